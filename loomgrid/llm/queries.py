@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import mixing, url_filter
+from loomgrid.llm import licenses, mixing, quality_rules, url_filter
 from loomgrid.llm.common import table
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = mixing.copy_counts(table(spark, sf_dir, "documents"))
     return counted.select(F.col("mix_id").alias("doc_id"), F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    names = {"q_words": "n_words", "q_word_chars": "word_chars", "q_symbols": "n_symbols", "q_dup_lines": "n_dup_lines", "q_repeat_words": "n_repeat_words", "q_failed": "base_failed", "q_kept": "kept"}
+    return judged.withColumnsRenamed(names)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_url_filters)}
-ORACLE_SQL = {"op3_mixing": mixing.ORACLE, "op5_url_filters": url_filter.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_license_scans, op3_mixing, op4_quality_rules, op5_url_filters)}
+ORACLE_SQL = {"op2_license_scans": licenses.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op3_mixing": mixing.ORACLE, "op5_url_filters": url_filter.ORACLE}
