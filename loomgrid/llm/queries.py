@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import licenses, mixing, quality_rules, url_filter
+from loomgrid.llm import licenses, mixing, quality_rules, simhash, url_filter, vector_dedup
 from loomgrid.llm.common import table
 
 
@@ -28,5 +28,15 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scans, op3_mixing, op4_quality_rules, op5_url_filters)}
-ORACLE_SQL = {"op2_license_scans": licenses.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op3_mixing": mixing.ORACLE, "op5_url_filters": url_filter.ORACLE}
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("v_id", "vec_id")
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("sim_fp"), 16, "0"))
+    return found.select(F.col("sim_id").alias("doc_id"), digits.alias("fingerprint"), F.col("sim_component").alias("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op2_license_scans, op3_mixing, op4_quality_rules, op5_url_filters, op6_embedding_near_dedup, op7_simhash_near_dedup)}
+ORACLE_SQL = {"op2_license_scans": licenses.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op3_mixing": mixing.ORACLE, "op5_url_filters": url_filter.ORACLE, "op6_embedding_near_dedup": vector_dedup.ORACLE}
