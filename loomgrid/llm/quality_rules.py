@@ -27,7 +27,7 @@ MAX_SHARE = 0.10
 #: A document is depleted if removal leaves less than this share of its words.
 MIN_LEFT = 0.3
 #: Boilerplate lines of at most this number (16 bytes each) are broadcast; beyond it documents look them up by a shuffled join.
-BROADCAST_LINES = 1_000_000
+BROADCAST_LINES = 200_000
 
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))

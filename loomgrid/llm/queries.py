@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import licenses, mixing, quality_rules, simhash, url_filter, vector_dedup
+from loomgrid.llm import licenses, mixing, quality_model, quality_rules, simhash, toxicity, url_filter, vector_dedup
 from loomgrid.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,9 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("sim_id").alias("doc_id"), digits.alias("fingerprint"), F.col("sim_component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scans, op3_mixing, op4_quality_rules, op5_url_filters, op6_embedding_near_dedup, op7_simhash_near_dedup)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scans, op3_mixing, op4_quality_rules, op5_url_filters, op6_embedding_near_dedup, op7_simhash_near_dedup, op9_quality_classifier)}
 ORACLE_SQL = {"op2_license_scans": licenses.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op3_mixing": mixing.ORACLE, "op5_url_filters": url_filter.ORACLE, "op6_embedding_near_dedup": vector_dedup.ORACLE}
