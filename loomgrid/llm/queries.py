@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import licenses, mixing, quality_model, quality_rules, simhash, toxicity, url_filter, vector_dedup
-from loomgrid.llm.common import table
+from loomgrid.llm import language_id, licenses, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_filter, vector_dedup
+from loomgrid.llm.common import fold, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +42,20 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("sim_id").alias("doc_id"), digits.alias("fingerprint"), F.col("sim_component").alias("component_id"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    held = F.coalesce(fold("doc_id", language_id.FOLDS) == language_id.HELD_FOLD, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), F.col("lid_lang").alias("lang_pred"), F.col("lid_score").alias("score"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scans, op3_mixing, op4_quality_rules, op5_url_filters, op6_embedding_near_dedup, op7_simhash_near_dedup, op9_quality_classifier)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("pk_id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scans, op3_mixing, op4_quality_rules, op5_url_filters, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_language_id, op9_quality_classifier, op10_best_fit_packing)}
 ORACLE_SQL = {"op2_license_scans": licenses.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op3_mixing": mixing.ORACLE, "op5_url_filters": url_filter.ORACLE, "op6_embedding_near_dedup": vector_dedup.ORACLE}
