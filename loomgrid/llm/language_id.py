@@ -126,12 +126,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple
     gives an empty result, and without anything to learn from all texts are `und`. Other columns are not read.
     """
     held: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    narrow = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("lid_text"))
+    column = text_col if text_col in carry else "lid_text"  # carried text goes to Python once
+    narrow = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if text_col in carry else [F.col(text_col).alias("lid_text")]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = Emissions(held.value)
         for batch in batches:
-            lang, score = _judge(batch, "lid_text", emissions)
+            lang, score = _judge(batch, column, emissions)
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in carry], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*carry, "lid_lang", "lid_score"])
 
     shape = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in carry)
