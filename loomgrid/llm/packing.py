@@ -11,6 +11,8 @@ within their length, and their places by range lookup, are worked out by Spark o
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -23,109 +25,70 @@ from pyspark.sql import functions as F
 from loomgrid.llm.common import materialize
 
 CAPACITY, END_ID = 4096, 1
+END = END_ID.to_bytes(4, "little")
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length that are ranked by one task; a commoner length is dealt over more.
 RANK_BLOCK = 1024
-_TAIL = ".,!?;:&%$#*|"
+#: The sign that byte-level BPE writes for each byte: itself where it is visible, the others from U+0100 on in order.
+_BYTE_SIGNS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173))}
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """Token ids of texts, with the ids of each space-free chunk kept up to a limit.
+    """Token ids of texts as little-endian 32-bit integers, with the ids of each chunk kept up to a limit.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids in order. A chunk of Latin letters
-    with marks behind it is encoded as its letters and its marks, which the tokenizer separates; any other chunk goes to the tokenizer
-    as it is, and a text with the separators U+001C to U+001F, which are no white space to the tokenizer, goes there whole.
+    The tokenizer drops white space, never joins across it, and parts letters from anything else. So a text's ids are the ids of its
+    runs of letters and of its other runs, in order; a text with no character beyond U+00FF is lower-cased and cut that way, as nothing in it
+    composes. Apostrophes (contractions) and `<|` (special tokens) join letters and marks: a text with one of these, or with a later
+    character, is cut at white space only, and one with U+001C to U+001F, no white space to the tokenizer, goes there whole.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
+    RUNS = re.compile(r"[^\W\d_]+|(?:[^\s\w]|[\d_])+")
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.plain = Tokenizer(self.full.model)  # for words that normalising and splitting leave as they are
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.full.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, number in vocabulary.items():
-            self.ends[number] = token.endswith("</w>")
-        self.tails: dict[str, np.ndarray] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _exact(self, text: str) -> np.ndarray:
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _words(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Ids of lower-case words of Latin letters, many in one call: each word's ids end with the only one that ends a word."""
-        out: dict[str, np.ndarray] = {}
-        for part in range(0, len(words), 1024):
-            some = words[part : part + 1024]
-            ids = np.array(self.plain.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            begin = 0
-            for word, stop in zip(some, stops, strict=True):
-                out[word] = ids[begin:stop]
-                begin = stop
-        return out
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.index) + len(chunks) > self.LIMIT:
-            self._reset()
-        split: dict[str, tuple[str, str]] = {}
-        for chunk in chunks:
-            word = chunk.rstrip(_TAIL)
-            if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
-                split[chunk] = word.lower(), chunk[len(word) :]
-        known = self._words(list({w for w, _ in split.values()}))
-        parts: list[np.ndarray] = []
-        number = len(self.index)
-        while number + len(chunks) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        for chunk in chunks:
-            if chunk in split:
-                word, tail = split[chunk]
-                ids = known[word]
-                if tail:
-                    if tail not in self.tails:
-                        self.tails[tail] = self._exact(tail)
-                    ids = np.concatenate([ids, self.tails[tail]])
+        self.known: dict[str, bytes] = {}
+
+    def _exact(self, text: str) -> bytes:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        known, tokenize, exact = self.known, self.full.model.tokenize, self._exact
+        new = set(chunks).difference(known)
+        if len(known) + len(new) > self.LIMIT:
+            known.clear()
+            new = set(chunks)
+        for chunk in new:
+            # A lower-case word of letters up to U+00FF is what normalising and splitting would leave of it.
+            if chunk.isalpha() and chunk.islower() and (chunk.isascii() or _is_latin(chunk)):
+                ids = [t.id for t in tokenize(chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+                known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
             else:
-                ids = self._exact(chunk)
-            self.index[chunk] = number
-            self.size[number] = len(ids)
-            parts.append(ids)
-            number += 1
-        new = np.concatenate(parts)
-        sizes = self.size[number - len(chunks) : number]
-        self.first[number - len(chunks) : number] = self.used + np.cumsum(sizes) - sizes
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(new)] = new
-        self.used += len(new)
-
-    def encode(self, text: str) -> np.ndarray:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                known[chunk] = exact(chunk)
+
+    def encode(self, text: str) -> bytes:
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return self._exact(text)
-        chunks = text.split()
-        if not chunks:
-            return np.zeros(0, np.uint32)
+        if "'" in text or "<|" in text or not (text.isascii() or _is_latin(text)):
+            chunks = text.split()
+        else:
+            chunks = self.RUNS.findall(text.lower())
         try:
-            at = np.array([self.index[c] for c in chunks])
+            return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
-            unknown = {c for c in chunks if c not in self.index}
-            if len(self.index) + len(unknown) > self.LIMIT:
-                unknown = set(chunks)
-            self.learn(unknown)
-            at = np.array([self.index[c] for c in chunks])
-        sizes = self.size[at]
-        begin = np.cumsum(sizes) - sizes
-        return self.flat[np.repeat(self.first[at] - begin, sizes) + np.arange(int(sizes.sum()))]
+            self._learn(chunks)
+            return b"".join(map(self.known.__getitem__, chunks))
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def encoder(tokenizer: str) -> ChunkEncoder:
@@ -153,12 +116,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             rows: list[tuple[int, int, int, int, int]] = []
             kept: list[np.ndarray] = []
             for i, text in enumerate(batch["x"]):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    some = ids[start : start + capacity]
-                    rows.append((i, piece, start, len(some), zlib.crc32(some.tobytes())))
+                ids = encode(text.as_py() or "") + END
+                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                    some = ids[4 * start : 4 * (start + capacity)]
+                    rows.append((i, piece, start, len(some) // 4, zlib.crc32(some)))
                     if keep_ids:
-                        kept.append(some.astype(np.int32))
+                        kept.append(np.frombuffer(some, "<i4"))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             arrays = [batch["pk_id"].take(pa.array(columns[0], pa.int64()))] + [pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []), names=names)
