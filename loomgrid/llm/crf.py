@@ -1,14 +1,13 @@
 """A linear-chain conditional random field over words, in numpy: features, inference by forward-backward, training.
 
 A word's score for a label is the sum of learned weights of its features: the word itself if the learned lexicon holds it, its
-openings and endings of one to three letters, and its letter 2- and 3-grams, the last two hashed into a fixed table. Neighbouring labels
+opening and ending of three letters, and the 2- and 3-grams of the word between marks of its start and end, hashed into a fixed table. Neighbouring labels
 score by learned transitions. All sequences of a batch are worked on side by side: each is cut into chunks, a chunk's
 messages are composed into one small matrix, chunks are chained by these, and then every chunk is swept at once.
 """
 
 from __future__ import annotations
 
-import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -17,18 +16,42 @@ import numpy as np
 BUCKETS, CHUNK = 1 << 15, 32
 
 
-def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Rows of the weight table: 0 for a word without letters, otherwise hashed affixes and n-grams, and the lexicon's own row."""
-    if not any(map(str.isalpha, word)):
-        return [0]
-    marked = f"^{word}$"
-    grams = {marked[:k] for k in (2, 3, 4)} | {marked[-k:] for k in (2, 3, 4)}
-    grams.update(marked[i : i + 2] for i in range(1, len(marked) - 2))
-    grams.update(marked[i : i + 3] for i in range(len(marked) - 2))
-    rows = [1 + zlib.crc32(g.encode()) % (BUCKETS - 1) for g in grams]
-    if word in lexicon:
-        rows.append(BUCKETS + lexicon[word])
-    return rows
+_SALTS = {2: 0x9E3779B97F4A7C15, 3: 0xC2B2AE3D27D4EB4F, "^": 0x165667B19E3779F9, "$": 0x27D4EB2F165667C5}
+
+
+def _hashed(codes: list[np.ndarray], kind: int | str) -> np.ndarray:
+    """Rows of the weight table for letter sequences given letter by letter."""
+    mixed = np.full(len(codes[0]), _SALTS[kind], np.uint64)
+    for letters in codes:
+        mixed = (mixed ^ letters) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed ^= mixed >> np.uint64(33)
+    return (mixed % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def feature_rows(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the weight table of all words one after another, how many each word has); every word has some."""
+    marked = "".join([f"^{w}$" for w in words])
+    codes = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    stops = np.cumsum(sizes)
+    starts = stops - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    rows, of = [], []
+    for n in (2, 3):
+        windows = [codes[i : len(codes) - n + 1 + i] for i in range(n)]
+        inside = owner[: len(codes) - n + 1] == owner[n - 1 :]
+        rows.append(_hashed([w[inside] for w in windows], n))
+        of.append(owner[: len(codes) - n + 1][inside])
+    long = np.flatnonzero(sizes >= 5)
+    for kind, at in (("^", starts[long] + 1), ("$", stops[long] - 4)):
+        rows.append(_hashed([codes[at + i] for i in range(3)], kind))
+        of.append(long)
+    held = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
+    if held:
+        of.append(np.array([i for i, _ in held]))
+        rows.append(BUCKETS + np.array([r for _, r in held]))
+    of, rows = np.concatenate(of), np.concatenate(rows)
+    return rows[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
 
 class Model(NamedTuple):
@@ -39,14 +62,11 @@ class Model(NamedTuple):
     weights: np.ndarray
     transitions: np.ndarray
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weights[word_features(word, self.lexicon)].sum(axis=0)
-
 
 class Emissions:
     """Scores of words, computed once and kept up to a limit."""
 
-    LIMIT = 150_000
+    LIMIT = 500_000
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -57,17 +77,15 @@ class Emissions:
         if len(self.rows) > self.LIMIT:
             self.rows.clear()
         rows = self.rows
-        new = [w for w in dict.fromkeys(words) if w not in rows]
+        new = list(set(words).difference(rows))
         if new:
             start = len(rows)
             rows.update(zip(new, range(start, start + len(new)), strict=True))
             while len(rows) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            features = [word_features(w, self.model.lexicon) for w in new]
-            flat = np.fromiter((f for many in features for f in many), np.int64)
-            first = np.cumsum([0, *map(len, features)])[:-1]
-            self.table[start : start + len(new)] = np.add.reduceat(self.model.weights[flat], first, axis=0)
-        return self.table[np.fromiter((rows[w] for w in words), np.int64, len(words))]
+            flat, sizes = feature_rows(new, self.model.lexicon)
+            self.table[start : start + len(new)] = np.add.reduceat(self.model.weights[flat], np.cumsum(sizes) - sizes, axis=0)
+        return self.table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))]
 
 
 def marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -151,15 +169,18 @@ def train(sequences: list[tuple[list[str], list[int]]], labels: list[str], lexic
     k = len(labels)
     weights, moved = np.zeros((BUCKETS + len(lexicon), k)), np.full((BUCKETS + len(lexicon), k), 1e-8)
     transitions, stirred = np.zeros((k, k)), np.full((k, k), 1e-8)
-    known: dict[str, list[int]] = {}
+    vocabulary = sorted(times)
+    number = {w: i for i, w in enumerate(vocabulary)}
+    every, many = feature_rows(vocabulary, lexicon) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    begin = np.cumsum(many) - many
     rng = np.random.default_rng(7)
     for _ in range(epochs if sequences else 0):
         order = rng.permutation(len(sequences))
         for part in range(0, len(order), batch):
             some = [sequences[i] for i in order[part : part + batch]]
-            features = [known.setdefault(w, []) or known[w].extend(word_features(w, lexicon)) or known[w] for words, _ in some for w in words]
-            flat = np.fromiter((f for many in features for f in many), np.int64)
-            sizes = np.fromiter(map(len, features), np.int64, len(features))
+            used = np.array([number[w] for words, _ in some for w in words])
+            sizes = many[used]
+            flat = every[np.repeat(begin[used] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
             scores = np.add.reduceat(weights[flat], np.cumsum(sizes) - sizes, axis=0).reshape(len(some), -1, k)
             truth = np.array([y for _, y in some])
             psi = np.exp(scores - scores.max(axis=2, keepdims=True)) + 1e-30

@@ -28,12 +28,15 @@ WINDOW, WINDOWS = 32, 3
 #: Words of a batch worked on at once, to bound memory.
 BATCH_WORDS = 60_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_RUN = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words between white space; none if the text has no letter."""
-    return text.lower().split() if text and _LETTER.search(text) else []
+    """Lower-cased runs of letters."""
+    if not text:
+        return []
+    runs = _RUN.findall(text.lower())
+    return runs if text.isascii() else [w for w in runs if w.isalpha() or any(map(str.isalpha, w))]  # a run may be numerals such as U+00B2
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +115,8 @@ def _judge(batch: pa.RecordBatch, column: str, emissions: Emissions) -> tuple[li
     labels = emissions.model.labels
     found, sure = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
     if labels:
-        for i, words, p in label_words(batch[column].to_pylist(), emissions):
-            lettered = np.fromiter((w.isalpha() or _LETTER.search(w) is not None for w in words), bool, len(words))
-            mean = p[lettered].mean(axis=0)
+        for i, _, p in label_words(batch[column].to_pylist(), emissions):
+            mean = p.mean(axis=0)
             found[i], sure[i] = labels[int(mean.argmax())], float(min(1.0, mean.max()))
     return found, sure
 
@@ -140,7 +142,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(span_id, lang, first, last, score): runs of words of one language in every text, words counted from 0; for code-switched text."""
+    """(span_id, lang, first, last, score): runs of words of one language in every text, runs of letters counted from 0; for code-switched text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(id_col).alias("span_id"), F.col(text_col).alias("x"))
 
