@@ -106,7 +106,7 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
 
 
 def snap(points: DataFrame, units: DataFrame, most: float) -> DataFrame:
-    """(p_id, AREA_CODE, DISTANCE): the unit whose boundary is nearest to a point outside all units, if within `most`; ties by code.
+    """(p_id, AREA_CODE, DISTANCE): the unit whose boundary is nearest to a point outside all units, if within `most`; distances equal to nine decimals are a tie, which goes by code.
 
     Edges are sent to the grid cells of size `most` within reach of them, so a point meets near edges only.
     """
@@ -115,7 +115,7 @@ def snap(points: DataFrame, units: DataFrame, most: float) -> DataFrame:
     reach = reach.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
     at = points.withColumns({"cx": F.floor(F.col("x") / most), "cy": F.floor(F.col("y") / most)})
     far = at.join(reach, ["cx", "cy"]).withColumn("d", segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]))
-    return far.filter(F.col("d") <= most).groupBy("p_id").agg(F.min(F.struct("d", "AREA_CODE")).alias("m")).select("p_id", F.col("m.AREA_CODE"), F.col("m.d").alias("DISTANCE"))
+    return far.filter(F.col("d") <= most).groupBy("p_id").agg(F.min(F.struct(F.round("d", 9).alias("d"), "AREA_CODE")).alias("m")).select("p_id", F.col("m.AREA_CODE"), F.col("m.d").alias("DISTANCE"))
 
 
 def overlap(layer: DataFrame, units: DataFrame, tile: float = 1.0) -> DataFrame:

@@ -445,11 +445,11 @@ def _(s, d):
 @query("SJ2", """, near as (
     select id, code, greatest(x0 - x, x - x1, 0) as dx, greatest(y0 - y, y - y1, 0) as dy, x, y, x0, x1, y0, y1 from pts, box where code < 'U12' and not exists (select 1 from box b where b.code < 'U12' and x > b.x0 and x < b.x1 and y > b.y0 and y < b.y1)),
     m as (select id, sqrt(dx * dx + dy * dy) as dist, code from near where sqrt(dx * dx + dy * dy) <= 5.0)
-    select id as p_id, round(min(dist), 9) as DISTANCE, arg_min(code, (dist, code)) as AREA_CODE from m group by id""")
+    select id as p_id, round(min(dist), 9) as DISTANCE, arg_min(code, (round(dist, 9), code)) as AREA_CODE from m group by id""")
 def _(s, d):
     some = _boxes(s).filter("AREA_CODE < 'U12'")
     lost = spatial.locate(_points(s, d), some, 50.0).filter("AREA_CODE is null").drop("AREA_CODE")
-    return spatial.snap(lost, some, 5.0).withColumn("DISTANCE", F.round("DISTANCE", 9))
+    return spatial.snap(lost, some, 5.0)
 
 
 @query("SJ3", "select code as AREA_CODE, count(*) as n from pts join box on x > x0 and x < x1 and y > y0 and y < y1 group by code")
