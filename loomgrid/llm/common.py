@@ -38,11 +38,22 @@ def materialize(df: DataFrame) -> DataFrame:
     and columns that a reader does not need are not read.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/loomgrid/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/loomgrid-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's scratch tables, once nothing reads results that come from them."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id falls into no fold (null)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

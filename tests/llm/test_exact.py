@@ -287,3 +287,15 @@ def test_held_out_languages(spark):
 def test_quality_counts_of_a_text():
     data = "Ä b c\nd\n\nÄ b c\nd # <é>".encode()
     assert quality_rules.text_counts(data) == (10, 12, 3, 1, 8)
+
+
+def test_scratch_tables_are_shared_and_released(spark):
+    from pathlib import Path
+
+    from loomgrid.llm import common
+
+    table = common.materialize(spark.range(3))
+    folder = Path(common.scratch_root(spark).removeprefix("file://")) / f"loomgrid-{spark.sparkContext.applicationId}"
+    assert table.count() == 3 and any(folder.iterdir())
+    common.release(spark)
+    assert not folder.exists()
