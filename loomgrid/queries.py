@@ -794,6 +794,16 @@ def _(s, d):
     return spatial.explode_points(two)
 
 
+@query("GEO5", "select p_partkey as id from part where p_partkey % 50 = 0")
+def _(s, d):
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    k = F.col("id")
+    bow = F.array(F.struct(F.lit(False).alias("hole"), F.array(point(k, k), point(k + 2, k + 2), point(k + 2, k), point(k, k + 2)).alias("points")))
+    layer = _layer(s, d)
+    mixed = layer.filter(k % 50 != 0).unionByName(layer.filter(k % 50 == 0).select("id", bow.alias("rings")))
+    return spatial.self_crossings(mixed, 50.0)
+
+
 @query("GEO6", "select count(*) filter (where id % 7 = 0) as empty, 0::bigint as invalid, count(*) as n from lay")
 def _(s, d):
     layer = _layer(s, d).withColumn("rings", F.when(F.col("id") % 7 != 0, F.col("rings")))
@@ -809,6 +819,73 @@ def _(s, d):
     return text.withColumn("p", wkt.point(F.col("w"))).select("p_id", "p.x", "p.y")
 
 
+@query("GEO8", "select id as p_id, round(sqrt(power(greatest(100 - x, x - 200, 0), 2) + power(y - 8, 2)), 9) as DISTANCE from pts")
+def _(s, d):
+    distance = spatial.segment_distance(F.col("x"), F.col("y"), F.lit(100.0), F.lit(8.0), F.lit(200.0), F.lit(8.0))
+    return _points(s, d).select("p_id", F.round(distance, 9).alias("DISTANCE"))
+
+
+_KRUEGER = """, c as (select 1 / 298.257222101::double as f), e as (select f, sqrt(f * (2 - f)) as e, f / (2 - f) as n from c),
+    k as (select e, 6378137.0::double / (1 + n) * (1 + n * n / 4 + power(n, 4) / 64) as r, n / 2 - 2 * n * n / 3 + 5 * power(n, 3) / 16 as a1, 13 * n * n / 48 - 3 * power(n, 3) / 5 as a2, 61 * power(n, 3) / 240 as a3 from e),
+    g as (select n_nationkey as id, radians(-74.1::double + n_nationkey / 100.0::double + 74.07750791666666::double) as d, radians(4.5::double + n_nationkey / 200.0::double) as lat from nation union all select -1, 0, radians(4.596200416666666::double)),
+    t as (select id, d, sinh(atanh(sin(lat)) - e * atanh(e * sin(lat))) as t, k.* from g, k),
+    u as (select *, atan2(t, cos(d)) as xi, asinh(sin(d) / sqrt(t * t + cos(d) * cos(d))) as et from t),
+    w as (select id, r * (et + a1 * cos(2 * xi) * sinh(2 * et) + a2 * cos(4 * xi) * sinh(4 * et) + a3 * cos(6 * xi) * sinh(6 * et)) as ea, r * (xi + a1 * sin(2 * xi) * cosh(2 * et) + a2 * sin(4 * xi) * cosh(4 * et) + a3 * sin(6 * xi) * cosh(6 * et)) as no from u)
+    select id, round(1e6 + ea, 2) as EAST, round(1e6 + no - (select no from w where id = -1), 2) as NORTH from w where id >= 0"""
+
+
+@query("GEO1", _KRUEGER)
+def _(s, d):
+    from loomgrid.functions.projection import to_plane
+
+    key = F.col("n_nationkey")
+    east, north = to_plane(-74.1 + key / 100.0, 4.5 + key / 200.0)
+    return ad.read(s, d, "nation").select(key.alias("id"), F.round(east, 2).alias("EAST"), F.round(north, 2).alias("NORTH"))
+
+
+@query("SRC5", f"select distinct {REPLACED} as YEAR from inc")
+def _(s, d):
+    incoming = _incoming(s, d)
+    integrate.assert_single_year(incoming, REPLACED)
+    return incoming.select("YEAR").distinct()
+
+
+@query("SRC6", "select case when id % 3 = 0 then 'MULTIPOINT' else 'POINT' end as KIND, count(*) as n from pts group by 1")
+def _(s, d):
+    from loomgrid.functions import wkt
+
+    xy = F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string"))
+    text = F.when(F.col("p_id") % 3 == 0, F.concat(F.lit("MULTIPOINT ("), xy, F.lit(", 0 0)"))).otherwise(F.concat(F.lit("POINT ("), xy, F.lit(")")))
+    layer = _points(s, d).select(wkt.kind(text).alias("geom_type"))
+    spatial.assert_geometry(layer, predictors.GEOMETRIES["point"])
+    return layer.groupBy(F.col("geom_type").alias("KIND")).agg(F.count("*").alias("n"))
+
+
+@query("SC12", "select b as BIN, (b * 100)::double as BIN_LOW, (b * 100 + 100)::double as BIN_HIGH from (select unnest(range(5))::int as b)")
+def _(s, d):
+    return predictors.histogram(ad.read(s, d, "events").select("value"), "value").drop("UNITS")
+
+
+@query("CK2", "select k as \"CHECK\", true as OK from (values ('fatalities'), ('injuries'), ('casualties'), ('vehicles'), ('fatalities_unlocated'), ('injuries_unlocated')) v(k)")
+def _(s, d):
+    from loomgrid.sources.readers import loading_counts
+
+    return checks.table(s, checks.loading(loading_counts(ad.casualties(s, d), ad.vehicles(s, d)).first().asDict(), None)).drop("DETAIL")
+
+
+@query("CK6", "select count(*)::bigint as ROWS, (count(*) - count(distinct (crash, person)))::bigint as DUPLICATED, 0::bigint as NULL_PERSONS, (select count(*) from (select crash, person from cas group by all having min(src) <> max(src)))::bigint as CROSS_LAYER from cas")
+def _(s, d):
+    return parties.person_profile(ad.casualties(s, d))
+
+
+@query("CK9", f""", now as (select avg((exists (select 1 from allveh a where a.crash = i.crash and a.veh = i.veh))::int) as r from inc i where veh is not null),
+    old as (select avg((vt is not null)::int) as r from hurt where yr = {REPLACED - 1} and veh is not null) select now.r >= 0.5 * old.r as RATE_HOLDS from now, old""")
+def _(s, d):
+    before = ad.casualties(s, d).filter(F.col("YEAR") == REPLACED - 1)
+    now, old = (integrate.reference_rate(x, ad.vehicles(s, d)).select(F.col("RATE").alias(n)) for x, n in ((_incoming(s, d), "now"), (before, "old")))
+    return now.crossJoin(old).select((F.col("now") >= 0.5 * F.col("old")).alias("RATE_HOLDS"))
+
+
 @query("CK1", "select 'threshold' as stage, (select count(*) from parties) as rows_in, (select count(*) from kept) as rows_out, (select count(*) from kept) - (select count(*) from parties) as explained")
 def _(s, d):
     counted = parties.with_party_count(_universe(s, d)).agg(F.count("*").alias("rows_in"), F.count_if(F.col("PARTIES") <= 2).alias("rows_out"), (-F.count_if(F.col("PARTIES") > 2)).alias("explained"))
