@@ -28,7 +28,7 @@ CAPACITY, END_ID = 4096, 1
 END = END_ID.to_bytes(4, "little")
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length that are ranked by one task; a commoner length is dealt over more.
-RANK_BLOCK = 1024
+RANK_BLOCK = 256
 #: The sign that byte-level BPE writes for each byte: itself where it is visible, the others from U+0100 on in order.
 _BYTE_SIGNS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173))}
 _ENCODERS: dict[str, ChunkEncoder] = {}
