@@ -6,11 +6,11 @@ counterparts are windows and one aggregation on that partitioning. A crash has a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.domains import MAX_PARTIES, SELF
-from loomgrid.functions.scalars import type_of_class, type_of_role
+from loomgrid.domains import MAX_PARTIES, RANK, SELF, TYPES
+from loomgrid.functions.scalars import lookup, type_of_class, type_of_role
 
 
 class IngestError(ValueError):
@@ -37,35 +37,33 @@ def person_ids_usable(casualties: DataFrame) -> bool:
     return not (row.DUPLICATED or row.NULL_PERSONS)
 
 
-def _person_key(by_id: bool, columns: list[str]) -> Column:
-    """The person id, or the row's place in its crash in an order of all columns (which no output shows)."""
-    if by_id:
-        return F.col("CODIGO_ACC").cast("string")
-    order = [F.col(c).asc_nulls_first() for c in columns if c != "FORMULARIO"]
-    return F.row_number().over(Window.partitionBy("FORMULARIO").orderBy(*order)).cast("string")
-
-
 def party_universe(casualties: DataFrame, vehicles: DataFrame, by_id: bool = False) -> DataFrame:
     """(FORMULARIO, PARTY_ID, PARTY_TYPE, PERSONS_INJURED, PERSONS_KILLED): every party of a crash with a casualty, the unharmed too.
 
     A vehicle without an id is no party. A casualty belongs to the vehicle that it names, if that is recorded for the crash; otherwise it
-    is a party of its own, typed by its role. A vehicle listed twice is one party, of its least type by name.
+    is a party of its own, typed by its role. A vehicle listed twice is one party, of its first type in rank order.
+
+    Without `by_id` a person is named by the place of the row in its crash, in an order of the columns used here; rows that tie there
+    are alike in all that comes out, so any order of them gives the same rows.
     """
-    hurt = casualties.withColumn("_person", _person_key(by_id, casualties.columns))
-    hurt = hurt.select("FORMULARIO", F.col("CODIGO_VEH").cast("long").alias("_vehicle"), "_person", type_of_role(F.col("CONDICION")).alias("_type"), F.col("INJURED").alias("_injured"), F.col("KILLED").alias("_killed"))
-    machines = vehicles.filter("CODIGO_VEHICULO is not null").select("FORMULARIO", F.col("CODIGO_VEHICULO").cast("long").alias("_vehicle"), F.lit(None).cast("string").alias("_person"), type_of_class(F.col("CLASE")).alias("_type"), F.lit(0).alias("_injured"), F.lit(0).alias("_killed"))
+    person = F.col("CODIGO_ACC").cast("string") if by_id else F.lit(None).cast("string")
+    rank = lambda t: lookup(t, RANK)
+    hurt = casualties.select("FORMULARIO", F.lit(False).alias("_machine"), F.col("CODIGO_VEH").cast("long").alias("_vehicle"), person.alias("_person"), rank(type_of_role(F.col("CONDICION"))).alias("_type"), F.col("INJURED").alias("_injured"), F.col("KILLED").alias("_killed"))
+    machines = vehicles.filter("CODIGO_VEHICULO is not null").select("FORMULARIO", F.lit(True).alias("_machine"), F.col("CODIGO_VEHICULO").cast("long").alias("_vehicle"), F.lit(None).cast("string").alias("_person"), rank(type_of_class(F.col("CLASE"))).alias("_type"), F.lit(0).alias("_injured"), F.lit(0).alias("_killed"))
     rows = machines.unionByName(hurt).repartition("FORMULARIO")
+    if not by_id:
+        place = F.row_number().over(Window.partitionBy("FORMULARIO", "_machine").orderBy("_vehicle", "_type", "_injured", "_killed"))
+        rows = rows.withColumn("_person", place.cast("string"))
     crash = Window.partitionBy("FORMULARIO")
     vehicle = Window.partitionBy("FORMULARIO", "_vehicle")
-    is_machine = F.col("_person").isNull()
     rows = rows.withColumns({
-        "_in_scope": F.bool_or(~is_machine).over(crash),
-        "_recorded": F.bool_or(is_machine).over(vehicle) & F.col("_vehicle").isNotNull(),
+        "_in_scope": F.bool_or(~F.col("_machine")).over(crash),
+        "_recorded": F.bool_or("_machine").over(vehicle) & F.col("_vehicle").isNotNull(),
     }).filter("_in_scope")
     party = F.when(F.col("_recorded"), F.concat(F.lit("V"), F.col("_vehicle").cast("string"))).otherwise(F.concat(F.lit("P"), F.col("_person")))
-    kind = F.when(is_machine | ~F.col("_recorded"), F.col("_type"))  # the vehicle's type beats the role
-    return rows.groupBy("FORMULARIO", party.alias("PARTY_ID")).agg(
-        F.min(kind).alias("PARTY_TYPE"), F.sum("_injured").alias("PERSONS_INJURED"), F.sum("_killed").alias("PERSONS_KILLED"))
+    kind = F.when(F.col("_machine") | ~F.col("_recorded"), F.col("_type"))  # the vehicle's type beats the role
+    summed = rows.groupBy("FORMULARIO", party.alias("PARTY_ID")).agg(F.min(kind).alias("_kind"), F.sum("_injured").alias("PERSONS_INJURED"), F.sum("_killed").alias("PERSONS_KILLED"))
+    return summed.select("FORMULARIO", "PARTY_ID", F.element_at(F.array(*[F.lit(t) for t in TYPES]), F.col("_kind") + 1).alias("PARTY_TYPE"), "PERSONS_INJURED", "PERSONS_KILLED")
 
 
 def with_party_count(universe: DataFrame) -> DataFrame:
