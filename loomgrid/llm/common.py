@@ -20,6 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 2_000
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """`docs`, in a session whose Arrow batches have at most `TEXT_ROWS` rows.
+
+    Spark's own limit of 10,000 rows makes batches of tens of megabytes of text, held several times over in the executor and its Python
+    workers. A session that already asks for smaller batches keeps its setting.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(conf.get(name, "10000"))
+    if rows <= 0 or rows > TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return docs
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir. Only a session without one, as in tests, gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

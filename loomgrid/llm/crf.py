@@ -66,7 +66,7 @@ class Model(NamedTuple):
 class Emissions:
     """Scores of words, computed once and kept up to a limit."""
 
-    LIMIT = 200_000
+    LIMIT = 120_000
 
     def __init__(self, model: Model) -> None:
         self.model = model

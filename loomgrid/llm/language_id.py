@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import fold
+from loomgrid.llm.common import fold, text_batches
 from loomgrid.llm.crf import Emissions, Model, marginals, train
 
 FOLDS, HELD_FOLD = 4, 2
@@ -26,7 +26,7 @@ TRAIN_DOCS, MAX_LANGUAGES = 1_600, 40
 #: Words in a training window, and windows from one document at most.
 WINDOW, WINDOWS = 32, 3
 #: Words of a batch worked on at once, to bound memory.
-BATCH_WORDS = 60_000
+BATCH_WORDS = 30_000
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Which documents are used goes by a hash of the id, with a share for each language that comes from its count; windows of about `limit` texts come to the driver.
     """
-    usable = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("x"), F.col(lang_col).alias("y")).filter(F.col("y").isNotNull() & (fold("k", folds) != held_fold))
+    usable = text_batches(docs).select(F.col(id_col).alias("k"), F.col(text_col).alias("x"), F.col(lang_col).alias("y")).filter(F.col("y").isNotNull() & (fold("k", folds) != held_fold))
     counts = usable.groupBy("y").count().orderBy(F.col("count").desc(), "y").limit(MAX_LANGUAGES).collect()
     labels = sorted(r.y for r in counts)
     if not labels:
@@ -87,7 +87,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(_sequences([(w, y) for _, y, w in rows]), labels)
 
 
-def label_words(texts: list[str | None], emissions: Emissions) -> Iterator[tuple[int, list[str], np.ndarray]]:
+def label_words(texts: Iterable[str | None], emissions: Emissions) -> Iterator[tuple[int, list[str], np.ndarray]]:
     """(text number, words, probabilities of the labels for each) for texts with words, in bounded batches."""
     numbers: list[int] = []
     words: list[list[str]] = []
@@ -115,7 +115,7 @@ def _judge(batch: pa.RecordBatch, column: str, emissions: Emissions) -> tuple[li
     labels = emissions.model.labels
     found, sure = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
     if labels:
-        for i, _, p in label_words(batch[column].to_pylist(), emissions):
+        for i, _, p in label_words((x.as_py() for x in batch[column]), emissions):
             mean = p.mean(axis=0)
             found[i], sure[i] = labels[int(mean.argmax())], float(min(1.0, mean.max()))
     return found, sure
@@ -129,7 +129,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple
     """
     held: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
     column = text_col if text_col in carry else "lid_text"  # carried text goes to Python once
-    narrow = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if text_col in carry else [F.col(text_col).alias("lid_text")]))
+    narrow = text_batches(docs).select(*[F.col(f"`{c}`") for c in carry], *([] if text_col in carry else [F.col(text_col).alias("lid_text")]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = Emissions(held.value)
@@ -144,13 +144,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(span_id, lang, first, last, score): runs of words of one language in every text, runs of letters counted from 0; for code-switched text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    narrow = docs.select(F.col(id_col).alias("span_id"), F.col(text_col).alias("x"))
+    narrow = text_batches(docs).select(F.col(id_col).alias("span_id"), F.col(text_col).alias("x"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = Emissions(held.value)
         for batch in batches:
             rows: list[tuple[int, str, int, int, float]] = []
-            for i, words, p in label_words(batch["x"].to_pylist(), emissions) if held.value.labels else ():
+            for i, words, p in label_words((x.as_py() for x in batch["x"]), emissions) if held.value.labels else ():
                 best = p.argmax(axis=1)
                 edges = np.flatnonzero(np.diff(best)) + 1
                 for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(words)], strict=True):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import materialize
+from loomgrid.llm.common import materialize, text_batches
 
 CAPACITY, END_ID = 4096, 1
 END = END_ID.to_bytes(4, "little")
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             arrays = [batch["pk_id"].take(pa.array(columns[0], pa.int64()))] + [pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []), names=names)
 
-    narrow = docs.select(F.col(id_col).alias("pk_id"), F.col(text_col).alias("x"))
+    narrow = text_batches(docs).select(F.col(id_col).alias("pk_id"), F.col(text_col).alias("x"))
     shape = f"pk_id {narrow.schema['pk_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return narrow.mapInArrow(cut, shape)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.boost import Trees, fit_trees
-from loomgrid.llm.common import fold, materialize
+from loomgrid.llm.common import fold, materialize, text_batches
 from loomgrid.llm.labelled import training_labels
 from loomgrid.llm.text_stats import NAMES, text_stats
 
@@ -29,7 +29,7 @@ def document_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(NAMES), pa.int32()), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([batch["doc_key"], lists], names=["doc_key", "stats"])
 
-    narrow = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("x"))
+    narrow = text_batches(docs).select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("x"))
     return narrow.mapInArrow(measure, f"doc_key {narrow.schema['doc_key'].dataType.simpleString()}, stats array<float>")
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import LOWER, UPPER, materialize
+from loomgrid.llm.common import LOWER, UPPER, materialize, text_batches
 
 #: Base rules.
 MIN_WORDS = 50
@@ -91,7 +91,7 @@ def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source
                 texts += [key] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, texts, keys)], names=["host_key", "text_key", "line_key"])
 
-    narrow = docs.select(F.xxhash64(F.col(host_col)).alias("host_key"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    narrow = text_batches(docs).select(F.xxhash64(F.col(host_col)).alias("host_key"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     per_host = narrow.groupBy("host_key", "text_key").agg(F.lit(1)).groupBy("host_key").agg(F.count("*").alias("texts"))
     held = narrow.mapInArrow(lines, "host_key long, text_key long, line_key long").groupBy("host_key", "line_key", "text_key").agg(F.lit(1))
     often = held.groupBy("host_key", "line_key").agg(F.count("*").alias("held")).filter(F.col("held") >= MIN_TEXTS)

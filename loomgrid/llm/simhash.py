@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import materialize
+from loomgrid.llm.common import materialize, text_batches
 from loomgrid.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.fromiter((fingerprint(x.as_py()) for x in batch["x"]), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["sim_id"], pa.array(found)], names=["sim_id", "sim_fp"])
 
-    narrow = docs.select(F.col(id_col).alias("sim_id"), F.col(text_col).alias("x"))
+    narrow = text_batches(docs).select(F.col(id_col).alias("sim_id"), F.col(text_col).alias("x"))
     return narrow.mapInArrow(score, f"sim_id {narrow.schema['sim_id'].dataType.simpleString()}, sim_fp long")
 
 

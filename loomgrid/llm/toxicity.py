@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.boost import Isotonic, Trees, fit_isotonic, fit_trees
-from loomgrid.llm.common import fold, materialize
+from loomgrid.llm.common import fold, materialize, text_batches
 from loomgrid.llm.labelled import training_labels
 from loomgrid.llm.quality_model import matrix
 from loomgrid.llm.text_stats import byte_classes
@@ -123,7 +123,7 @@ def learn_lexicons(docs: DataFrame, sample: DataFrame, id_col: str, text_col: st
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)] + [pa.array(list(seen.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["entry", "label", "part", "n"])
 
-    texts = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("x")).join(F.broadcast(sample), F.col("doc_key") == F.col("label_id")).select("x", "label", "part")
+    texts = text_batches(docs).select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("x")).join(F.broadcast(sample), F.col("doc_key") == F.col("label_id")).select("x", "label", "part")
     sizes = np.zeros((2, PARTS))
     for r in sample.groupBy("label", "part").count().collect():
         sizes[r.label, r.part] = r["count"]
