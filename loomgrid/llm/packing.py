@@ -14,7 +14,7 @@ import bisect
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -34,8 +34,26 @@ _BYTE_SIGNS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+class Memo(dict):
+    """What a function gave, by argument: two generations of at most `limit` entries, so that the common ones stay when it is full."""
+
+    def __init__(self, compute: Callable[[str], bytes], limit: int) -> None:
+        super().__init__()
+        self.compute, self.limit, self.older = compute, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.limit:
+            self.older = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ChunkEncoder:
-    """Token ids of texts as little-endian 32-bit integers, with the ids of each chunk kept up to a limit.
+    """Token ids of texts as little-endian 32-bit integers; the ids of runs of letters and of other runs are remembered.
 
     The tokenizer drops white space, never joins across it, and parts letters from anything else. So a text's ids are the ids of its
     runs of letters and of its other runs, in order; a text with no character beyond U+00FF is lower-cased and cut that way, as nothing in it
@@ -43,44 +61,33 @@ class ChunkEncoder:
     character, is cut at white space only, and one with U+001C to U+001F, no white space to the tokenizer, goes there whole.
     """
 
-    LIMIT = 200_000
-    RUNS = re.compile(r"[^\W\d_]+|(?:[^\s\w]|[\d_])+")
+    LIMIT = 450_000
+    RUN = re.compile(r"[^\W\d_]+|(?:[^\s\w]|[\d_])+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Memo(self._run, self.LIMIT)
 
     def _exact(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        known, tokenize, exact = self.known, self.full.model.tokenize, self._exact
-        new = set(chunks).difference(known)
-        if len(known) + len(new) > self.LIMIT:
-            known.clear()
-            new = set(chunks)
-        for chunk in new:
-            # A lower-case word of letters up to U+00FF is what normalising and splitting would leave of it.
-            if chunk.isalpha() and chunk.islower() and (chunk.isascii() or _is_latin(chunk)):
-                ids = [t.id for t in tokenize(chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTE_SIGNS))]
-                known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                known[chunk] = exact(chunk)
+    def _run(self, run: str) -> bytes:
+        if not (run.isalpha() and run.islower() and (run.isascii() or _is_latin(run))):
+            return self._exact(run)
+        # A lower-case word of letters up to U+00FF is what normalising and splitting would leave of it.
+        ids = [t.id for t in self.full.model.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return self._exact(text)
         if "'" in text or "<|" in text or not (text.isascii() or _is_latin(text)):
-            chunks = text.split()
+            runs = text.split()
         else:
-            chunks = self.RUNS.findall(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self._learn(chunks)
-            return b"".join(map(self.known.__getitem__, chunks))
+            runs = self.RUN.findall(text.lower())
+        return b"".join(map(self.known.__getitem__, runs))
 
 
 def _is_latin(text: str) -> bool:

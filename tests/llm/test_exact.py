@@ -134,12 +134,12 @@ def test_packing_equals_the_tokenizer(spark):
 
 def test_encoder_keeps_within_its_limit():
     encoder = packing.ChunkEncoder(__import__("public_tokenizers").path("word_bpe_49k.json"))
-    encoder.LIMIT = 50
+    encoder.known.limit = 25
     text = " ".join(f"wörd{i}x more, text" for i in range(40))
     for _ in range(3):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.full.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(encoder.encode("brand new words " * 30), "<u4").tolist() == encoder.full.encode("brand new words " * 30, add_special_tokens=False).ids
-    assert len(encoder.known) <= 50 + 80
+    assert len(encoder.known) <= 25 and len(encoder.known.older) <= 25
 
 
 @settings(max_examples=300, deadline=None)
