@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Actor types from the least to the most protected, the residual one last; and the counterpart of a lone party.
 PEDESTRIAN, BICYCLE, MOTORCYCLE, CAR, PUBLIC_TRANSPORT, OTHER = TYPES = ("PEDESTRIAN", "BICYCLE", "MOTORCYCLE", "CAR", "PUBLIC_TRANSPORT", "OTHER")
@@ -76,11 +80,17 @@ class Study:
     city_name: str = "Whole city"
 
 
+def declared(spark: SparkSession, rows: Iterable[tuple], ddl: str) -> DataFrame:
+    """A small table of declared values. It is a local relation, whose size the optimiser knows: crossed or joined, it is broadcast."""
+    schema = StructType.fromDDL(ddl)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=to_arrow_schema(schema)), schema)
+
+
 def ranked(spark: SparkSession, values: tuple[str, ...], name: str) -> DataFrame:
     """(name, name_RANK): a vocabulary as a table in declared order."""
-    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{name} string, {name}_RANK int")
+    return declared(spark, [(v, i) for i, v in enumerate(values)], f"{name} string, {name}_RANK int")
 
 
 def pairs_table(spark: SparkSession) -> DataFrame:
     """(PAIR, PAIR_TYPE_A, PAIR_TYPE_B, PAIR_RANK)."""
-    return spark.createDataFrame([("-".join(p), *p, i) for i, p in enumerate(PAIRS)], "PAIR string, PAIR_TYPE_A string, PAIR_TYPE_B string, PAIR_RANK int")
+    return declared(spark, [("-".join(p), *p, i) for i, p in enumerate(PAIRS)], "PAIR string, PAIR_TYPE_A string, PAIR_TYPE_B string, PAIR_RANK int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.domains import FATALITY, INJURY, THIN_SHARE
+from loomgrid.domains import FATALITY, INJURY, THIN_SHARE, declared
 from loomgrid.functions.scalars import share
 from loomgrid.operators.grid import complete_grid, fill, years_table
 
@@ -29,8 +29,8 @@ def monthly_table(casualties: DataFrame, years: tuple[int, ...]) -> DataFrame:
     Records outside the grid are dropped here, as an audit has nothing to say of them.
     """
     spark = casualties.sparkSession
-    layers = spark.createDataFrame([(FATALITY,), (INJURY,)], "CASUALTY_SOURCE string")
-    months = spark.createDataFrame([(m,) for m in range(1, 13)], "MONTH int")
+    layers = declared(spark, [(FATALITY,), (INJURY,)], "CASUALTY_SOURCE string")
+    months = declared(spark, [(m,) for m in range(1, 13)], "MONTH int")
     table = fill(complete_grid(layers, years_table(spark, years), months), observed_months(casualties), KEYS, ["RECORDS"])
     year = Window.partitionBy("CASUALTY_SOURCE", "YEAR")
     table = table.withColumn("YEAR_MEDIAN", F.median("RECORDS").over(year))

@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.domains import declared
+
 
 class CoverageError(RuntimeError):
     """An observation lies outside the declared grid."""
 
 
 def years_table(spark: SparkSession, years: tuple[int, ...]) -> DataFrame:
-    return spark.createDataFrame([(y,) for y in years], "YEAR int")
+    return declared(spark, [(y,) for y in years], "YEAR int")
 
 
 def complete_grid(*domains: DataFrame) -> DataFrame:

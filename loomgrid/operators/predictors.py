@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.domains import HIGH_CORRELATION, MEASURED, NOT_MEASURED, Study
+from loomgrid.domains import HIGH_CORRELATION, MEASURED, NOT_MEASURED, Study, declared
 from loomgrid.functions.bins import bucket, histogram_edges
 from loomgrid.functions.scalars import share
 from loomgrid.operators import spatial
@@ -103,7 +103,7 @@ def measure(layers: dict[str, DataFrame], units: DataFrame, predictors: tuple[Pr
 def dictionary(spark: SparkSession, predictors: tuple[Predictor, ...] = STATIC) -> DataFrame:
     """The declarations as a table: what the numbers mean and where they come from."""
     rows = [(p.name, i, p.label, p.geometry, p.layer, p.file, METHODS[p.method].measure_unit, METHODS[p.method].value_unit, p.coverage, p.zero_is_implausible) for i, p in enumerate(predictors)]
-    return spark.createDataFrame(rows, "PREDICTOR string, PREDICTOR_RANK int, PREDICTOR_LABEL string, PREDICTOR_FAMILY string, SOURCE_LAYER string, SOURCE_FILE string, MEASURE_UNIT string, VALUE_UNIT string, TIME_COVERAGE string, ZERO_IS_IMPLAUSIBLE boolean")
+    return declared(spark, rows, "PREDICTOR string, PREDICTOR_RANK int, PREDICTOR_LABEL string, PREDICTOR_FAMILY string, SOURCE_LAYER string, SOURCE_FILE string, MEASURE_UNIT string, VALUE_UNIT string, TIME_COVERAGE string, ZERO_IS_IMPLAUSIBLE boolean")
 
 
 def long_table(measured: DataFrame, study: Study, areas: DataFrame, predictors: tuple[Predictor, ...] = STATIC, check: bool = True) -> DataFrame:
@@ -179,6 +179,6 @@ def histogram(values: DataFrame, column: str) -> DataFrame:
     """(BIN, BIN_LOW, BIN_HIGH, UNITS) over round edges; bins without a unit are there with 0."""
     low, high = values.agg(F.min(column), F.max(column)).first()
     cuts = histogram_edges(low, high)
-    bins = values.sparkSession.createDataFrame([(i, cuts[i], cuts[i + 1]) for i in range(len(cuts) - 1)], "BIN int, BIN_LOW double, BIN_HIGH double")
+    bins = declared(values.sparkSession, [(i, cuts[i], cuts[i + 1]) for i in range(len(cuts) - 1)], "BIN int, BIN_LOW double, BIN_HIGH double")
     counted = values.groupBy(bucket(F.col(column), cuts).alias("BIN")).agg(F.count("*").alias("n"))
     return bins.join(counted, "BIN", "left").select("BIN", "BIN_LOW", "BIN_HIGH", F.coalesce("n", F.lit(0)).alias("UNITS"))

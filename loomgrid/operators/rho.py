@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.domains import CITY_LEVEL, JUMP, OTHER, PAIR_LABELS, PRIMARY, RANK, SPARSE, TYPES, UNIT_LEVEL, Study, pairs_table
+from loomgrid.domains import CITY_LEVEL, JUMP, OTHER, PAIR_LABELS, PRIMARY, RANK, SPARSE, TYPES, UNIT_LEVEL, Study, declared, pairs_table
 from loomgrid.functions.scalars import lookup, share
 from loomgrid.operators.grid import complete_grid, years_table
 from loomgrid.operators.parties import with_party_count
@@ -50,7 +50,7 @@ def aggregate(crashes: DataFrame) -> DataFrame:
 def long_table(crashes: DataFrame, study: Study) -> DataFrame:
     """Both levels on one complete grid. The city pools crashes, it does not average units; an empty cell has no rho, which is not zero."""
     spark = crashes.sparkSession
-    city = spark.createDataFrame([(study.city_code, study.city_name, CITY_LEVEL)], "AREA_CODE string, AREA_NAME string, AGGREGATION_LEVEL string")
+    city = declared(spark, [(study.city_code, study.city_name, CITY_LEVEL)], "AREA_CODE string, AREA_NAME string, AGGREGATION_LEVEL string")
     places = study.units.select("AREA_CODE", "AREA_NAME", F.lit(UNIT_LEVEL).alias("AGGREGATION_LEVEL")).unionByName(city)
     whole = complete_grid(places, years_table(spark, study.years), pairs_table(spark))
     seen = aggregate(crashes).withColumn("AREA_CODE", F.when(F.col("POOLED") == 1, study.city_code).otherwise(F.col("AREA_CODE"))).withColumn("AGGREGATION_LEVEL", F.when(F.col("POOLED") == 1, CITY_LEVEL).otherwise(UNIT_LEVEL)).drop("POOLED")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.domains import CITY_LEVEL, COUNTERPARTS, FATALITY, INJURY, PAIR_LABELS, PAIRS, TYPES, Scale, Study, ranked
+from loomgrid.domains import CITY_LEVEL, COUNTERPARTS, FATALITY, INJURY, PAIR_LABELS, PAIRS, TYPES, Scale, Study, declared, ranked
 from loomgrid.functions import scalars as sc
 from loomgrid.operators import checks, completeness, grid, integrate, matrix, parties, predictors, rho, spatial
 from loomgrid.sources import adapter as ad
@@ -294,7 +294,7 @@ def _(s, d):
 
 @query("SC4", "select pair as PAIR, a as SIDE_A, b as SIDE_B from pl")
 def _(s, d):
-    labels = s.createDataFrame([(p,) for p in PAIR_LABELS], "PAIR string")
+    labels = declared(s, [(p,) for p in PAIR_LABELS], "PAIR string")
     return labels.withColumn("s", F.split("PAIR", "-")).select("PAIR", F.col("s")[0].alias("SIDE_A"), F.col("s")[1].alias("SIDE_B"))
 
 
@@ -347,7 +347,7 @@ def _(s, d):
 
 @query("SC15", "select pair as PAIR, replace(replace(replace(replace(pair, 'PEDESTRIAN', 'PED'), 'BICYCLE', 'BIC'), 'MOTORCYCLE', 'MOT'), 'PUBLIC_TRANSPORT', 'PUB') as SHORT from pl")
 def _(s, d):
-    return s.createDataFrame([(p,) for p in PAIR_LABELS], "PAIR string").withColumn("SHORT", sc.short_pair(F.col("PAIR")))
+    return declared(s, [(p,) for p in PAIR_LABELS], "PAIR string").withColumn("SHORT", sc.short_pair(F.col("PAIR")))
 
 
 # --- joins ------------------------------------------------------------------------------------------------------
@@ -771,7 +771,7 @@ def _(s, d):
     long = _matrix(s, d)
     years = grid.years_table(s, ad.YEARS)
     equal = [checks.same_set(long.select("AREA_CODE"), ad.units(s, d).select("AREA_CODE")), checks.same_set(ad.casualties(s, d).select("YEAR"), years)]
-    return s.createDataFrame([tuple(equal)], "units_equal boolean, years_equal boolean")
+    return declared(s, [tuple(equal)], "units_equal boolean, years_equal boolean")
 
 
 # --- geometry and checks ------------------------------------------------------------------------------------------
