@@ -40,14 +40,15 @@ def bin_edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
     return [np.unique(np.quantile(column, steps, method="lower")) for column in x.T]
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, ridge: float = 1.0, least: float = 5.0) -> Trees:
+def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, ridge: float = 1.0, least: float = 5.0) -> Trees:
     """Boosted trees for labels y (0 or 1) by second-order gain over feature histograms, level by level.
 
-    `least` is the least hessian sum of a child. Without rows, or with one label only, the model is the smoothed rate of label 1.
+    A row counts `weight` times (once, if not given) in the base, the gradients and the hessians. `least` is the least hessian sum of a child. Without rows, or with one label only, the model is the smoothed rate of label 1.
     """
     x = np.asarray(x, np.float64)
     y = np.asarray(y, np.float64)
-    share = (y.sum() + 0.5) / (len(y) + 1.0)
+    weight = np.ones(len(y)) if weight is None else np.asarray(weight, np.float64)
+    share = ((weight * y).sum() + 0.5) / (weight.sum() + 1.0)
     base = float(np.log(share / (1 - share)))
     inner, leaves = 2**depth - 1, 2**depth
     if len(y) == 0 or y.min() == y.max():
@@ -64,7 +65,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rat
     all_feature, all_threshold, all_leaf = [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        grad, hess = p - y, np.maximum(p * (1 - p), 1e-6)
+        grad, hess = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
         feature, threshold = np.zeros(inner, np.int64), np.full(inner, np.inf)
         node = np.zeros(n, np.int64)
         for level in range(depth):
@@ -100,15 +101,16 @@ class Isotonic(NamedTuple):
         return np.interp(margin, self.at, self.value)
 
 
-def fit_isotonic(margin: np.ndarray, y: np.ndarray) -> Isotonic:
-    """Pool adjacent violators over (margin, label), with half a row of either label at the ends so that no score is exactly 0 or 1."""
+def fit_isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
+    """Pool adjacent violators over (margin, label), a row counting `weight` times (once, if not given), with half a row of either label at the ends so that no score is exactly 0 or 1."""
     order = np.argsort(margin, kind="stable")
     at, label = np.asarray(margin, float)[order], np.asarray(y, float)[order]
+    counted = np.ones(len(at)) if weight is None else np.asarray(weight, float)[order]
     places, first = np.unique(at, return_index=True)
-    weight = np.diff(np.append(first, len(at))).astype(float)
-    total = np.add.reduceat(label, first) if len(at) else np.zeros(0)
+    size = np.add.reduceat(counted, first) if len(at) else np.zeros(0)
+    total = np.add.reduceat(counted * label, first) if len(at) else np.zeros(0)
     blocks: list[list[float]] = []  # total, weight, first place, last place
-    for t, w, x in zip(total, weight, places, strict=True):
+    for t, w, x in zip(total, size, places, strict=True):
         blocks.append([t, w, x, x])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             t2, w2, _, x2 = blocks.pop()

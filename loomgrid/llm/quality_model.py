@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.boost import Trees, fit_trees
 from loomgrid.llm.common import fold, materialize, text_batches
-from loomgrid.llm.labelled import training_labels
+from loomgrid.llm.labelled import even_weights, training_labels
 from loomgrid.llm.text_stats import NAMES, text_stats
 
 FOLDS, HELD_FOLD = 5, 0
@@ -40,13 +40,13 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", folds: int = FOLDS, held_fold: int = HELD_FOLD, limit: int = TRAIN_ROWS) -> Trees:
     """Trees fitted on the statistics of a bounded sample of labelled documents outside the held-out fold.
 
-    The sample holds either label as often as `limit` allows; the base log-odds are not moved back, so scores are those of balanced classes.
+    The sample holds either label as often as `limit` allows; its rows are weighted back, so scores are at the labels' natural rates whatever their number.
     """
     sample = training_labels(labels, label_col, id_col, folds, held_fold, limit)
-    rows = stats.join(sample, F.col("doc_key") == F.col("label_id")).select("label_id", "stats", "label").limit(2 * limit).collect()
+    rows = stats.join(sample, F.col("doc_key") == F.col("label_id")).select("label_id", "stats", "label", "weight").limit(2 * limit).collect()
     rows.sort(key=lambda r: (r.label_id, r.stats))
     x = np.array([r.stats for r in rows], np.float32).reshape(len(rows), len(NAMES))
-    return fit_trees(x, np.array([r.label for r in rows], float))
+    return fit_trees(x, np.array([r.label for r in rows], float), even_weights([r.weight for r in rows]))
 
 
 def score(stats: DataFrame, model: Trees, folds: int = FOLDS, held_fold: int = HELD_FOLD, threshold: float = THRESHOLD) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.boost import Isotonic, Trees, fit_isotonic, fit_trees
 from loomgrid.llm.common import fold, materialize, text_batches
-from loomgrid.llm.labelled import training_labels
+from loomgrid.llm.labelled import even_weights, training_labels
 from loomgrid.llm.quality_model import matrix
 from loomgrid.llm.text_stats import byte_classes
 
@@ -147,7 +147,7 @@ def learn_lexicons(docs: DataFrame, sample: DataFrame, id_col: str, text_col: st
 
 
 def document_features(docs: DataFrame, sample: DataFrame, lexicons: list[Lexicon], id_col: str, text_col: str) -> DataFrame:
-    """(doc_key, label_part, label, stats) for every row; a row of the sample carries its label and part, and was measured without that part."""
+    """(doc_key, label_part, label, weight, stats) for every row; a row of the sample carries its label, part and weight, and was measured without that part."""
     held = docs.sparkSession.sparkContext.broadcast(lexicons)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +155,11 @@ def document_features(docs: DataFrame, sample: DataFrame, lexicons: list[Lexicon
             use = [PARTS if p is None else p for p in batch["label_part"].to_pylist()]
             rows = np.array([features((x.as_py() or "").encode(), held.value[p]) for x, p in zip(batch["x"], use, strict=True)], np.float32).reshape(batch.num_rows, len(FEATURES))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(FEATURES), pa.int32()), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["doc_key"], batch["label_part"], batch["label"], lists], names=["doc_key", "label_part", "label", "stats"])
+            yield pa.RecordBatch.from_arrays([batch["doc_key"], batch["label_part"], batch["label"], batch["weight"], lists], names=["doc_key", "label_part", "label", "weight", "stats"])
 
     narrow = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("x"))
-    marked = narrow.join(F.broadcast(sample.select("label_id", "label", F.col("part").alias("label_part"))), F.col("doc_key") == F.col("label_id"), "left").select("doc_key", "label_part", "label", "x")
-    return marked.mapInArrow(measure, f"doc_key {narrow.schema['doc_key'].dataType.simpleString()}, label_part int, label int, stats array<float>")
+    marked = narrow.join(F.broadcast(sample.select("label_id", "label", "weight", F.col("part").alias("label_part"))), F.col("doc_key") == F.col("label_id"), "left").select("doc_key", "label_part", "label", "weight", "x")
+    return marked.mapInArrow(measure, f"doc_key {narrow.schema['doc_key'].dataType.simpleString()}, label_part int, label int, weight double, stats array<float>")
 
 
 class Model(NamedTuple):
@@ -171,16 +171,18 @@ class Model(NamedTuple):
 
 
 def fit(stats: DataFrame) -> Model:
-    """Trees on the whole sample, calibrated on the margins of trees grown without each row's part. The sample is bounded by `TRAIN_ROWS`."""
-    rows = stats.filter("label is not null").select("doc_key", "label_part", "label", "stats").collect()
+    """Trees on the whole sample, calibrated on the margins of trees grown without each row's part. The sample is bounded by `TRAIN_ROWS`
+    and its rows are weighted back to the labels' natural rates."""
+    rows = stats.filter("label is not null").select("doc_key", "label_part", "label", "weight", "stats").collect()
     rows.sort(key=lambda r: (r.doc_key, r.stats))
     x = np.array([r.stats for r in rows], np.float32).reshape(len(rows), len(FEATURES))
     y, part = np.array([r.label for r in rows], float), np.array([r.label_part for r in rows], int)
+    weight = even_weights([r.weight for r in rows])
     margin = np.zeros(len(y))
     for p in range(PARTS):
         if (part == p).any():
-            margin[part == p] = fit_trees(x[part != p], y[part != p], trees=40).margin(x[part == p])
-    return Model(fit_trees(x, y, trees=40), fit_isotonic(margin, y))
+            margin[part == p] = fit_trees(x[part != p], y[part != p], weight[part != p], trees=40).margin(x[part == p])
+    return Model(fit_trees(x, y, weight, trees=40), fit_isotonic(margin, y, weight))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

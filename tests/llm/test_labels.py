@@ -1,0 +1,40 @@
+"""Scores do not depend on how many labelled rows there are."""
+
+import numpy as np
+import pytest
+
+from loomgrid.llm import quality_model, toxicity
+
+BASE, TIMES = 400, 8
+
+
+@pytest.fixture(scope="module")
+def sets(spark):
+    """Documents and labels once and `TIMES` times over; one document in ten is toxic, nine in ten are of quality 1, and every fifth label of either kind is noise."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    texts, labels = [], []
+    for i in range(BASE):
+        rare = i % 10 == 0
+        marked = rare != (i % 50 == 5 or i % 50 == 10)
+        texts.append(" ".join([*rng.choice(words, 30), *(["you idiot scum!!!"] * 3 if marked else [])]))
+        labels.append((int(not rare), int(rare)))
+    made = {}
+    for times in (1, TIMES):
+        rows = [(1000 * k + i, texts[i], *labels[i]) for k in range(times) for i in range(BASE)]
+        made[times] = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], *r[2:]) for r in rows], "doc_id long, quality int, toxic int")
+    return made
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_model])
+def test_scores_do_not_change_with_the_number_of_labels(sets, module, monkeypatch):
+    monkeypatch.setattr(module, "TRAIN_ROWS", 700)
+    if module is quality_model:
+        monkeypatch.setattr(module.fit, "__defaults__", (*module.fit.__defaults__[:-1], 700))
+    means, predicted = [], []
+    for docs, labels in sets.values():
+        rows = [r for r in module.classify(docs, labels).collect() if r.doc_id < 1000]
+        means.append(np.mean([r.score for r in rows]))
+        predicted.append(np.array([r.predicted for r in sorted(rows, key=lambda r: r.doc_id)]))
+    assert abs(means[0] - means[1]) < 0.05
+    assert (predicted[0] != predicted[1]).mean() < 0.05
