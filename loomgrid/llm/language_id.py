@@ -111,19 +111,23 @@ def label_words(texts: Iterable[str | None], emissions: Emissions) -> Iterator[t
     yield from flush()
 
 
-def _judge(batch: pa.RecordBatch, column: str, emissions: Emissions) -> tuple[list[str], list[float]]:
+def _judge(batch: pa.RecordBatch, column: str, emissions: Emissions) -> tuple[list[str], list[float], list[float]]:
+    """For each row its language, that language's mean word probability, and the mean of each word's largest probability."""
     labels = emissions.model.labels
-    found, sure = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+    found, score, sure = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, [0.0] * batch.num_rows
     if labels:
         for i, _, p in label_words((x.as_py() for x in batch[column]), emissions):
             mean = p.mean(axis=0)
-            found[i], sure[i] = labels[int(mean.argmax())], float(min(1.0, mean.max()))
-    return found, sure
+            found[i], score[i], sure[i] = labels[int(mean.argmax())], float(min(1.0, mean.max())), float(min(1.0, p.max(axis=1).mean()))
+    return found, score, sure
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), certainty: bool = False) -> DataFrame:
     """The columns `carry`, then lid_lang and lid_score: the language of each whole text and its mean word probability.
 
+    With `certainty` also lid_sure, the mean of each word's largest probability: it is high where every word's language is clear, whether
+    or not the words share one.
+
     Null texts and texts without a letter are `und` with score 0. Rows are judged on their own: repeated rows alike, an empty table
     gives an empty result, and without anything to learn from all texts are `und`. Other columns are not read.
     """
@@ -134,11 +138,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = Emissions(held.value)
         for batch in batches:
-            lang, score = _judge(batch, column, emissions)
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in carry], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*carry, "lid_lang", "lid_score"])
+            lang, score, sure = _judge(batch, column, emissions)
+            arrays, names = [*[batch[c] for c in carry], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*carry, "lid_lang", "lid_score"]
+            if certainty:
+                arrays, names = [*arrays, pa.array(sure, pa.float64())], [*names, "lid_sure"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     shape = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in carry)
-    return narrow.mapInArrow(judge, f"{shape}, lid_lang string, lid_score double")
+    return narrow.mapInArrow(judge, f"{shape}, lid_lang string, lid_score double" + (", lid_sure double" if certainty else ""))
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

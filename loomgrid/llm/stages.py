@@ -14,7 +14,7 @@ from loomgrid.llm.common import materialize
 
 #: Ids of dropped copies up to this number (8 bytes each) are broadcast; beyond it documents are joined to them by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Documents whose language's mean word probability is lower are rejected.
+#: Documents are rejected if their words are less certain than this: the mean, over words, of the largest probability that any language has there.
 MIN_LANGUAGE_SCORE = 0.5
 
 
@@ -27,15 +27,17 @@ def keep_quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_language(docs: DataFrame) -> DataFrame:
-    """Documents in a learned language; `und` and documents without a prevailing language go.
+    """Documents in learned languages; `und` and documents whose words are not told with certainty go.
+
+    Certainty is judged word by word, so a document of several languages stays even if none has half of it.
 
     The field is fitted on the documents at hand. Without any lang to learn from, nothing can be judged and all documents with a letter stay.
     """
     model = language_id.fit(docs)
     if not model.labels:
         return docs.filter(F.regexp_like("text", F.lit(r"\p{L}")))
-    judged = language_id.identify(docs, model, carry=tuple(docs.columns), text_col="text")
-    return judged.filter((F.col("lid_lang") != language_id.UNKNOWN) & (F.col("lid_score") >= MIN_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = language_id.identify(docs, model, carry=tuple(docs.columns), text_col="text", certainty=True)
+    return judged.filter((F.col("lid_lang") != language_id.UNKNOWN) & (F.col("lid_sure") >= MIN_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
