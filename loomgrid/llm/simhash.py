@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomgrid.llm.common import materialize, text_batches
 from loomgrid.llm.components import components
@@ -70,6 +71,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(score, f"sim_id {narrow.schema['sim_id'].dataType.simpleString()}, sim_fp long")
 
 
+def with_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """`docs` with the fingerprint of every row as sim_fp."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(x.as_py()) for x in batch[text_col]), np.uint64, batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "sim_fp"])
+
+    return text_batches(docs).mapInArrow(score, StructType([*docs.schema.fields, StructField("sim_fp", LongType())]))
+
+
 def grid_point(fp: Column) -> Column:
     """The bit counts of the sixteen segments, each in its own four bits of a 64-bit integer (none exceeds four, so the sign bit stays clear)."""
     counts = [F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * s).bitwiseAND(F.lit(0xF))).cast("long") for s in range(SEGMENTS)]
@@ -135,7 +147,12 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: (sim_id, sim_fp, sim_component).
+    """One row per row of `docs`: (sim_id, sim_fp, sim_component)."""
+    return groups(docs, id_col, text_col).drop("sim_root")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: (sim_id, sim_fp, sim_root, sim_component). sim_root is a fingerprint of the group and names no other group.
 
     sim_component is the smallest id reachable over links. Documents with one fingerprint are one vertex and are told
     apart only at the end, so copies are never paired. Null and empty texts have fingerprint 0 and link like any other; rows with a
@@ -147,5 +164,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = classes.join(reached, F.col("sim_fp") == F.col("node"), "left").select("sim_fp", "sim_low", F.coalesce("component", "sim_fp").alias("sim_root"))
     rooted = materialize(rooted)
     low = rooted.groupBy(F.col("sim_root").alias("sim_of")).agg(F.min("sim_low").alias("sim_component"))
-    named = rooted.join(low, F.col("sim_root") == F.col("sim_of"), "inner").select(F.col("sim_fp").alias("sim_key"), "sim_component")
-    return prints.join(named, F.col("sim_fp") == F.col("sim_key"), "inner").select("sim_id", "sim_fp", "sim_component")
+    named = rooted.join(low, F.col("sim_root") == F.col("sim_of"), "inner").select(F.col("sim_fp").alias("sim_key"), "sim_root", "sim_component")
+    return prints.join(named, F.col("sim_fp") == F.col("sim_key"), "inner").select("sim_id", "sim_fp", "sim_root", "sim_component")

@@ -41,31 +41,30 @@ def keep_language(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id. Of rows that repeat that id, one.
+    """One document of each SimHash group: the one with the smallest id, or of several rows with that id in the group the least row.
 
-    A document with a null id stays only if its group has no id. Dropped ids decide: a document is dropped if its id is that of a dropped row.
+    Ids decide where an id stands in one row, or in dropped rows only. Rows of other ids, and rows without an id, are told apart by id and
+    fingerprint, since an id's rows can lie in different groups; a row without an id stays only if its group has no id.
     """
-    found = materialize(simhash.near_duplicates(docs))
-    ids = found.groupBy("sim_id").agg(F.bool_or(F.col("sim_id").eqNullSafe(F.col("sim_component"))).alias("first"), F.count("*").alias("times"))
-    drop = materialize(ids.filter("sim_id is not null and not first").select(F.col("sim_id").alias("sim_drop")))
-    few = drop.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(drop) if few else drop, F.col("doc_id") == F.col("sim_drop"), "left_anti")
+    found = materialize(simhash.groups(docs))
+    first = F.col("sim_id").eqNullSafe(F.col("sim_component"))
+    ids = found.filter("sim_id is not null").groupBy("sim_id").agg(F.bool_or(first).alias("first"), F.count("*").alias("times"))
+    out = materialize(ids.filter("not first or times > 1").select(F.col("sim_id").alias("sim_out"), "first"))
+    few = out.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    sized = lambda table: F.broadcast(table) if few else table
+    kept = docs.join(sized(out.select("sim_out")), F.col("doc_id") == F.col("sim_out"), "left_anti")
     # Rare: ids that stand in more than one row, and rows without an id.
-    again = materialize(ids.filter("sim_id is not null and first and times > 1").select(F.col("sim_id").alias("sim_again")))
+    again = out.filter("first").select("sim_out")
     nulls = found.filter("sim_id is null").limit(1).count()
     if again.isEmpty() and not nulls:
         return kept
-    again = F.broadcast(again) if again.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else again
-    once = kept.filter("doc_id is not null").join(again, F.col("doc_id") == F.col("sim_again"), "left_anti")
-    rest = kept.join(again, F.col("doc_id") == F.col("sim_again"), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("sim_row")
-    rest = rest.select("doc_id", row).groupBy("doc_id").agg(F.min("sim_row").alias("sim_row")).select("sim_row.*")
-    alone = kept.filter("doc_id is null")
-    marks = simhash.fingerprints(alone.select(F.xxhash64("text").alias("doc_id"), "text")).select(F.col("sim_id").alias("sim_text"), F.col("sim_fp").alias("sim_mark")).distinct()
-    open_marks = found.filter("sim_component is null").select(F.col("sim_fp").alias("sim_open")).distinct()
-    alone = alone.withColumn("sim_at", F.xxhash64("text")).join(marks.join(open_marks, F.col("sim_mark") == F.col("sim_open")), F.col("sim_at") == F.col("sim_text"))
-    alone = alone.select("sim_mark", row).groupBy("sim_mark").agg(F.min("sim_row").alias("sim_row")).select("sim_row.*")
-    return once.unionByName(rest).unionByName(alone)
+    rest = docs.join(sized(again), F.col("doc_id") == F.col("sim_out"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    row = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("sim_row")
+    rest = simhash.with_fingerprints(rest).groupBy(F.col("doc_id").alias("sim_own"), F.col("sim_fp").alias("sim_mark")).agg(row)
+    roots = found.filter(first).select("sim_id", "sim_fp", "sim_root").distinct()
+    rest = rest.join(roots, F.col("sim_own").eqNullSafe(F.col("sim_id")) & (F.col("sim_mark") == F.col("sim_fp")))
+    rest = rest.groupBy("sim_root").agg(F.min("sim_row").alias("sim_row")).select("sim_row.*")
+    return kept.filter("doc_id is not null").unionByName(rest)
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
