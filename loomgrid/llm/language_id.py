@@ -18,15 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import fold, text_batches
-from loomgrid.llm.crf import Emissions, Model, marginals, train
+from loomgrid.llm.crf import CHUNK, Emissions, Model, marginals, train
 
 FOLDS, HELD_FOLD = 4, 2
-#: Labelled documents that the field is fitted on, at most about, shared evenly by the languages; and the most languages learned, by count.
-TRAIN_DOCS, MAX_LANGUAGES = 1_600, 40
+#: Labelled documents that the field is fitted on, at most about, shared evenly by the languages; a language's share is at least about LEAST_DOCS.
+TRAIN_DOCS, LEAST_DOCS = 1_600, 16
+#: All languages are learned. More values of lang than this are an error, since the field's tables grow with their square.
+MAX_LANGUAGES = 200
 #: Words in a training window, and windows from one document at most.
 WINDOW, WINDOWS = 32, 3
-#: Words of a batch worked on at once, to bound memory.
-BATCH_WORDS = 30_000
+#: Words of a batch worked on at once, and numbers in the matrices of its chunks (languages squared for each), to bound memory.
+BATCH_WORDS, BATCH_CELLS = 30_000, 4_000_000
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -70,20 +72,22 @@ def _sequences(rows: list[tuple[list[str], int]]) -> list[tuple[list[str], list[
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held_fold: int = HELD_FOLD, limit: int = TRAIN_DOCS) -> Model:
     """The field, from text and lang of documents outside the held-out fold whose lang is not null.
 
-    Which documents are used goes by a hash of the id, with a share for each language that comes from its count; windows of about `limit` texts come to the driver.
+    Which documents are used goes by a hash of the id, with a share for each language that comes from its count; windows of about `limit` texts come to the driver,
+    or of `LEAST_DOCS` a language where that is more. Every value of lang is learned; more than `MAX_LANGUAGES` of them raise a ValueError.
     """
     usable = text_batches(docs).select(F.col(id_col).alias("k"), F.col(text_col).alias("x"), F.col(lang_col).alias("y")).filter(F.col("y").isNotNull() & (fold("k", folds) != held_fold))
-    counts = usable.groupBy("y").count().orderBy(F.col("count").desc(), "y").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("y").count().orderBy(F.col("count").desc(), "y").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values, the most languages that can be learned")
     labels = sorted(r.y for r in counts)
     if not labels:
         return train([], [])
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("y") == r.y, min(1.0, limit / len(labels) / r["count"])).otherwise(share)
+    each = max(LEAST_DOCS, limit / len(labels))
+    share = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r.y, min(1.0, each / r["count"]))]), F.col("y"))
     draw = F.pmod(F.xxhash64(F.lit("language"), "k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     cut = usable.filter(draw < share).select("k", F.col("x"), "y").mapInArrow(_windows, f"k {usable.schema['k'].dataType.simpleString()}, y string, w array<string>")
     number = {x: i for i, x in enumerate(labels)}
-    rows = sorted((r.k, number[r.y], r.w) for r in cut.limit(2 * WINDOWS * limit).collect())
+    rows = sorted((r.k, number[r.y], r.w) for r in cut.limit(int(2 * WINDOWS * each * len(labels))).collect())
     return train(_sequences([(w, y) for _, y, w in rows]), labels)
 
 
@@ -91,7 +95,8 @@ def label_words(texts: Iterable[str | None], emissions: Emissions) -> Iterator[t
     """(text number, words, probabilities of the labels for each) for texts with words, in bounded batches."""
     numbers: list[int] = []
     words: list[list[str]] = []
-    waiting = 0
+    waiting = chunks = 0
+    cells = len(emissions.model.labels) ** 2
 
     def flush() -> Iterator[tuple[int, list[str], np.ndarray]]:
         if numbers:
@@ -102,12 +107,13 @@ def label_words(texts: Iterable[str | None], emissions: Emissions) -> Iterator[t
     for i, text in enumerate(texts):
         own = words_of(text)
         if own:
-            if waiting and waiting + len(own) > BATCH_WORDS:
+            if waiting and (waiting + len(own) > BATCH_WORDS or (chunks - len(own) // -CHUNK) * cells > BATCH_CELLS):
                 yield from flush()
-                numbers, words, waiting = [], [], 0
+                numbers, words, waiting, chunks = [], [], 0, 0
             numbers.append(i)
             words.append(own)
             waiting += len(own)
+            chunks -= len(own) // -CHUNK
     yield from flush()
 
 

@@ -26,3 +26,14 @@ def test_documents_of_three_languages_stay(spark):
     assert all(found[r[0]].lid_lang != language_id.UNKNOWN and found[r[0]].lid_score < 0.5 for r in mixed)
     kept = {r.doc_id for r in stages.keep_language(docs).collect()}
     assert {r[0] for r in mixed} <= kept
+
+
+def test_every_language_is_learned(spark):
+    rows, _ = invented(60, 8)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.fit(docs)
+    assert len(model.labels) == 60
+    found = {r.doc_id: r.lid_lang for r in language_id.identify(docs, model).collect()}
+    assert np.mean([found[r[0]] == r[2] for r in rows]) > 0.95
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(spark.createDataFrame([(i, "word", f"l{i}", "s") for i in range(2 * language_id.MAX_LANGUAGES)], SCHEMA))
