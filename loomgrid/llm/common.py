@@ -20,27 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch that holds whole texts.
-TEXT_ROWS = 2_000
+#: Rows and bytes of an Arrow batch that holds whole texts, at most (a text longer than that is a batch of its own).
+TEXT_ROWS, TEXT_BYTES = 2_000, 4 << 20
 
 
 def text_batches(docs: DataFrame) -> DataFrame:
-    """`docs`, in a session whose Arrow batches have at most `TEXT_ROWS` rows.
+    """`docs`, in a session whose Arrow batches have at most `TEXT_ROWS` rows and about `TEXT_BYTES` bytes.
 
-    Spark's own limit of 10,000 rows makes batches of tens of megabytes of text, held several times over in the executor and its Python
-    workers. A session that already asks for smaller batches keeps its setting.
+    Spark's own limits (10,000 rows, 64 MB) make batches that are held several times over in the executor and its Python
+    workers. The limits are settings of the session, so they hold for its later queries too; a session that already asks for smaller batches keeps its own.
     """
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(conf.get(name, "10000"))
-    if rows <= 0 or rows > TEXT_ROWS:
-        conf.set(name, str(TEXT_ROWS))
+    conf = docs.sparkSession.conf
+    for name, usual, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", TEXT_BYTES)):
+        now = conf.get(name, usual)
+        now = int(now) if now.lstrip("-").isdigit() else int(now.rstrip("b")) if now.rstrip("b").isdigit() else 0
+        if now <= 0 or now > most:
+            conf.set(name, str(most))
     return docs
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir. Only a session without one, as in tests, gets a folder of its own."""
+    """The shared folder named in spark.checkpoint.dir. A local session without one, as in tests, gets a folder of its own; on a cluster that is an error,
+    since other machines would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
         own = tempfile.mkdtemp(prefix="loomgrid-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
@@ -80,3 +85,20 @@ def fold(doc_id: Column | str, folds: int) -> Column:
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else (Spark's lower also folds other scripts)."""
     return F.translate(col, UPPER, LOWER)
+
+
+#: A class of equal rows is hot if it holds more than one in so many of all rows; so there are fewer hot classes than this.
+HOT_SHARE = 1_000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, class_key: str, size: str, total: int) -> DataFrame:
+    """Each of `rows` with the row of `classes` that has its key; `size` says how many rows a class has, `total` how many there are in all.
+
+    Hot classes, fewer than `HOT_SHARE` whatever the input, are broadcast, so their rows stay where they are and no task receives a whole hot
+    class; the others are joined by a shuffle. Keys are not null.
+    """
+    is_hot = F.col(size) * HOT_SHARE > F.lit(total)
+    hot, cold = classes.filter(is_hot), classes.filter(~is_hot)
+    near = rows.join(F.broadcast(hot), F.col(key) == F.col(class_key))
+    rest = rows.join(F.broadcast(hot.select(F.col(class_key).alias("hot_key"))), F.col(key) == F.col("hot_key"), "left_anti")
+    return near.unionByName(rest.join(cold, F.col(key) == F.col(class_key)))

@@ -1,8 +1,8 @@
 """Quality rules: per-text counts, and cross-document line frequency by host.
 
 Lines are normalised and hashed, the distinct documents that hold a line are counted per host, lines above the limit
-are removed, and a document left with too little is rejected. Texts that are equal count as one document, so copies
-do not turn their own lines into boilerplate.
+are removed, and a document left with too little is rejected. Rows with equal texts are copies of one document and count once: a
+text that was copied a thousand times would otherwise condemn all its lines, and removing copies is another operator's work.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from loomgrid.llm.common import LOWER, UPPER, materialize, text_batches
 #: Base rules.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is boilerplate in a host if it stands in at least so many distinct texts there, and in more than this share of them.
-MIN_TEXTS = 20
-MAX_SHARE = 0.10
-#: A document is depleted if removal leaves less than this share of its words.
+#: A line is boilerplate in a host if it stands in at least so many distinct texts there, and in more than this share of them. Prose does not
+#: repeat whole lines in one text of a hundred; the count keeps small hosts from losing lines that two or three texts share.
+MIN_TEXTS = 5
+MAX_SHARE = 0.01
+#: A document is depleted if removal leaves less than this share of its words, or fewer than `MIN_WORDS`.
 MIN_LEFT = 0.3
 #: Boilerplate lines of at most this number (16 bytes each) are broadcast; beyond it documents look them up by a shuffled join.
 BROADCAST_LINES = 200_000
@@ -137,7 +138,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source
                 counts = text_counts(data)
                 stay, kept_text = _left(data, held.value.get(host, none) if held else set(own or ()), rewrite)
                 failed = base_failed(counts[0], counts[4])
-                rows.append((*counts, failed, not failed and stay >= MIN_LEFT * counts[0]))
+                rows.append((*counts, failed, not failed and stay >= max(MIN_WORDS, MIN_LEFT * counts[0])))
                 if rewrite:
                     texts.append(None if value is None else kept_text.decode())
             out = list(zip(*rows, strict=True)) if rows else [()] * 7
@@ -188,6 +189,6 @@ r as (select doc_id, sum(n) as gone from l join f on f.source is not distinct fr
 select b.doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
        coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
        (n_words < {MIN_WORDS} or 100 * coalesce(n_repeat_words, 0) > {MAX_REPEAT_PERCENT} * n_words) as base_failed,
-       not (n_words < {MIN_WORDS} or 100 * coalesce(n_repeat_words, 0) > {MAX_REPEAT_PERCENT} * n_words) and n_words - coalesce(gone, 0) >= {MIN_LEFT}::double * n_words as kept
+       not (n_words < {MIN_WORDS} or 100 * coalesce(n_repeat_words, 0) > {MAX_REPEAT_PERCENT} * n_words) and n_words - coalesce(gone, 0) >= greatest({MIN_WORDS}::double, {MIN_LEFT}::double * n_words) as kept
 from b left join p on p.doc_id = b.doc_id left join r on r.doc_id = b.doc_id
 """

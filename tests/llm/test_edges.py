@@ -153,3 +153,16 @@ def test_boilerplate_lines_go_and_clean_documents_stay(spark):
     kept = {r.doc_id: r.text for r in stages.keep_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert set(kept) == {*range(40), 200}
     assert all("Share" not in kept[i] and kept[i] == body(i) for i in range(40)) and kept[200].startswith("Share")
+
+
+def test_lines_of_a_hot_host_and_depleted_documents(spark):
+    """A host with most rows: a line in 3 % of its documents goes, one in five documents stays, copies of one text condemn nothing, and a document without 50 words of its own is rejected."""
+    own = lambda i, n: "\n".join(" ".join(f"w{(i * 7919 + j * 104729 + k) % 99991}" for k in range(10)) for j in range(n))
+    rows = [(i, own(i, 6) + ("\nSubscribe to our letter" if i % 33 == 0 else "") + ("\nA line of five" if i < 5 else ""), "hot") for i in range(1500)]
+    rows += [(2000 + i, own(5000, 7), "hot") for i in range(400)]
+    rows += [(3000, own(6000, 4) + "\nSubscribe to our letter" * 4, "hot"), (3001, own(6001, 5) + "\nSubscribe to our letter", "hot"), (3002, own(6002, 4) + "\nSubscribe to our letter" * 4, "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in quality_rules.apply_rules(docs, rewrite=True).collect()}
+    assert {i for i, r in found.items() if not r.q_kept} == {3000} and not found[3000].q_failed
+    assert all("Subscribe" not in r.q_text for i, r in found.items() if i != 3002) and "Subscribe" in found[3002].q_text
+    assert all("A line of five" in found[i].q_text for i in range(5)) and all(found[2000 + i].q_text == own(5000, 7) for i in range(400))

@@ -33,7 +33,7 @@ def quality(docs):
         grams = Counter(zip(words, words[1:], words[2:], strict=False))
         repeated = {j for at in range(len(words) - 2) if grams[tuple(words[at : at + 3])] > 1 for j in (at, at + 1, at + 2)}
         stay = [line for line in text.split("\n") if (source, norm(line)) not in often]
-        if len(words) >= 50 and 2 * len(repeated) <= len(words) and sum(len(WORD.findall(x)) for x in stay) >= quality_rules.MIN_LEFT * len(words):
+        if len(words) >= 50 and 2 * len(repeated) <= len(words) and sum(len(WORD.findall(x)) for x in stay) >= max(50, quality_rules.MIN_LEFT * len(words)):
             out.append((i, "\n".join(stay), lang, source))
     return out
 
