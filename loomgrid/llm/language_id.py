@@ -85,9 +85,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     each = max(LEAST_DOCS, limit / len(labels))
     share = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r.y, min(1.0, each / r["count"]))]), F.col("y"))
     draw = F.pmod(F.xxhash64(F.lit("language"), "k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cut = usable.filter(draw < share).select("k", F.col("x"), "y").mapInArrow(_windows, f"k {usable.schema['k'].dataType.simpleString()}, y string, w array<string>")
+    once = usable.filter(draw < share).groupBy("k").agg(F.min(F.struct("y", "x")).alias("one")).select("k", "one.x", "one.y")  # an id counts once, by its least row
+    cut = once.mapInArrow(_windows, f"k {usable.schema['k'].dataType.simpleString()}, y string, w array<string>")
     number = {x: i for i, x in enumerate(labels)}
-    rows = sorted((r.k, number[r.y], r.w) for r in cut.limit(int(2 * WINDOWS * each * len(labels))).collect())
+    rows = sorted((r.k, number[r.y], r.w) for r in cut.collect())
     return train(_sequences([(w, y) for _, y, w in rows]), labels)
 
 

@@ -41,10 +41,12 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Trees fitted on the statistics of a bounded sample of labelled documents outside the held-out fold.
 
     The sample holds either label as often as `limit` allows; its rows are weighted back, so scores are at the labels' natural rates whatever their number.
+    An id that stands in several rows counts once, by its least statistics.
     """
     sample = training_labels(labels, label_col, id_col, folds, held_fold, limit)
-    rows = stats.join(sample, F.col("doc_key") == F.col("label_id")).select("label_id", "stats", "label", "weight").limit(2 * limit).collect()
-    rows.sort(key=lambda r: (r.label_id, r.stats))
+    found = stats.join(F.broadcast(sample), F.col("doc_key") == F.col("label_id")).groupBy("label_id").agg(F.min(F.struct("stats", "label", "weight")).alias("one"))
+    rows = found.select("label_id", "one.*").collect()
+    rows.sort(key=lambda r: r.label_id)
     x = np.array([r.stats for r in rows], np.float32).reshape(len(rows), len(NAMES))
     return fit_trees(x, np.array([r.label for r in rows], float), even_weights([r.weight for r in rows]))
 

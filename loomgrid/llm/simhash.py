@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from loomgrid.llm.common import materialize, text_batches
+from loomgrid.llm.common import join_classes, materialize, text_batches
 from loomgrid.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -159,10 +159,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     null id get a component too, but never name one: it is null if no id is reachable. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, id_col, text_col))
-    classes = materialize(prints.groupBy("sim_fp").agg(F.min("sim_id").alias("sim_low")))
+    classes = materialize(prints.groupBy("sim_fp").agg(F.min("sim_id").alias("sim_low"), F.count("*").alias("sim_rows")))
     reached = components(near_links(classes.select("sim_fp")))
-    rooted = classes.join(reached, F.col("sim_fp") == F.col("node"), "left").select("sim_fp", "sim_low", F.coalesce("component", "sim_fp").alias("sim_root"))
+    rooted = classes.join(reached, F.col("sim_fp") == F.col("node"), "left").select("sim_fp", "sim_low", "sim_rows", F.coalesce("component", "sim_fp").alias("sim_root"))
     rooted = materialize(rooted)
     low = rooted.groupBy(F.col("sim_root").alias("sim_of")).agg(F.min("sim_low").alias("sim_component"))
-    named = rooted.join(low, F.col("sim_root") == F.col("sim_of"), "inner").select(F.col("sim_fp").alias("sim_key"), "sim_root", "sim_component")
-    return prints.join(named, F.col("sim_fp") == F.col("sim_key"), "inner").select("sim_id", "sim_fp", "sim_root", "sim_component")
+    named = rooted.join(low, F.col("sim_root") == F.col("sim_of"), "inner").select(F.col("sim_fp").alias("sim_key"), "sim_rows", "sim_root", "sim_component")
+    total = classes.agg(F.sum("sim_rows")).first()[0] or 0
+    return join_classes(prints, materialize(named), "sim_fp", "sim_key", "sim_rows", total).select("sim_id", "sim_fp", "sim_root", "sim_component")

@@ -2,8 +2,9 @@
 
 The features are densities of a lexicon learned from labelled texts (whole words, and the openings of words, so that inflected
 and compounded forms are found), nearness of its words to the second person, and rates of capitals, punctuation and
-obfuscation. Labelled documents are dealt into three parts by a hash of their id. A labelled document's features use a lexicon learned
-without its part, and calibration uses margins of trees grown without its part, so neither sees its own labels.
+obfuscation. Labelled documents are dealt into three parts by a hash of their id. For fitting, a labelled document's features use a lexicon learned
+without its part, and calibration uses margins of trees grown without its part, so neither sees its own labels. Scores of all documents, labelled
+or not, come from features by the one lexicon learned on all parts, so they depend on the text alone.
 """
 
 from __future__ import annotations
@@ -123,7 +124,8 @@ def learn_lexicons(docs: DataFrame, sample: DataFrame, id_col: str, text_col: st
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)] + [pa.array(list(seen.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["entry", "label", "part", "n"])
 
-    texts = text_batches(docs).select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("x")).join(F.broadcast(sample), F.col("doc_key") == F.col("label_id")).select("x", "label", "part")
+    texts = text_batches(docs).select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("x")).join(F.broadcast(sample), F.col("doc_key") == F.col("label_id"))
+    texts = texts.groupBy("doc_key").agg(F.min(F.struct("x", "label", "part")).alias("one")).select("one.*")  # an id counts once, by its least text
     sizes = np.zeros((2, PARTS))
     for r in sample.groupBy("label", "part").count().collect():
         sizes[r.label, r.part] = r["count"]
@@ -147,19 +149,25 @@ def learn_lexicons(docs: DataFrame, sample: DataFrame, id_col: str, text_col: st
 
 
 def document_features(docs: DataFrame, sample: DataFrame, lexicons: list[Lexicon], id_col: str, text_col: str) -> DataFrame:
-    """(doc_key, label_part, label, weight, stats) for every row; a row of the sample carries its label, part and weight, and was measured without that part."""
+    """(doc_key, label_part, label, weight, stats, own) for every row: `stats` by the lexicon of all parts; for a row of the sample also `own`, by the lexicon without its part."""
     held = docs.sparkSession.sparkContext.broadcast(lexicons)
+    width = len(FEATURES)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            use = [PARTS if p is None else p for p in batch["label_part"].to_pylist()]
-            rows = np.array([features((x.as_py() or "").encode(), held.value[p]) for x, p in zip(batch["x"], use, strict=True)], np.float32).reshape(batch.num_rows, len(FEATURES))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(FEATURES), pa.int32()), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["doc_key"], batch["label_part"], batch["label"], batch["weight"], lists], names=["doc_key", "label_part", "label", "weight", "stats"])
+            parts = batch["label_part"].to_pylist()
+            rows, own = np.zeros((batch.num_rows, width), np.float32), []
+            for i, (x, part) in enumerate(zip(batch["x"], parts, strict=True)):
+                data = (x.as_py() or "").encode()
+                rows[i] = features(data, held.value[PARTS])
+                own.append(None if part is None else np.array(features(data, held.value[part]), np.float32))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), pa.array(rows.ravel()))
+            arrays = [batch["doc_key"], batch["label_part"], batch["label"], batch["weight"], lists, pa.array(own, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_key", "label_part", "label", "weight", "stats", "own"])
 
     narrow = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("x"))
     marked = narrow.join(F.broadcast(sample.select("label_id", "label", "weight", F.col("part").alias("label_part"))), F.col("doc_key") == F.col("label_id"), "left").select("doc_key", "label_part", "label", "weight", "x")
-    return marked.mapInArrow(measure, f"doc_key {narrow.schema['doc_key'].dataType.simpleString()}, label_part int, label int, weight double, stats array<float>")
+    return marked.mapInArrow(measure, f"doc_key {narrow.schema['doc_key'].dataType.simpleString()}, label_part int, label int, weight double, stats array<float>, own array<float>")
 
 
 class Model(NamedTuple):
@@ -171,11 +179,12 @@ class Model(NamedTuple):
 
 
 def fit(stats: DataFrame) -> Model:
-    """Trees on the whole sample, calibrated on the margins of trees grown without each row's part. The sample is bounded by `TRAIN_ROWS`
-    and its rows are weighted back to the labels' natural rates."""
-    rows = stats.filter("label is not null").select("doc_key", "label_part", "label", "weight", "stats").collect()
-    rows.sort(key=lambda r: (r.doc_key, r.stats))
-    x = np.array([r.stats for r in rows], np.float32).reshape(len(rows), len(FEATURES))
+    """Trees on the whole sample, calibrated on the margins of trees grown without each row's part. The sample is bounded by `TRAIN_ROWS`, with one row
+    (the least) for each id, and its rows are weighted back to the labels' natural rates."""
+    once = stats.filter("label is not null").groupBy("doc_key").agg(F.min(F.struct("own", "label_part", "label", "weight")).alias("one"))
+    rows = once.select("doc_key", "one.*").collect()
+    rows.sort(key=lambda r: r.doc_key)
+    x = np.array([r.own for r in rows], np.float32).reshape(len(rows), len(FEATURES))
     y, part = np.array([r.label for r in rows], float), np.array([r.label_part for r in rows], int)
     weight = even_weights([r.weight for r in rows])
     margin = np.zeros(len(y))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from loomgrid.llm import quality_model, toxicity
+from loomgrid.llm.queries import QUERIES
 
 BASE, TIMES = 400, 8
 
@@ -38,3 +39,23 @@ def test_scores_do_not_change_with_the_number_of_labels(sets, module, monkeypatc
         predicted.append(np.array([r.predicted for r in sorted(rows, key=lambda r: r.doc_id)]))
     assert abs(means[0] - means[1]) < 0.05
     assert (predicted[0] != predicted[1]).mean() < 0.05
+
+
+def test_equal_texts_score_alike_labelled_or_not(spark):
+    """Over all of sf0.01, held-out, labelled and unlabelled documents with one text have one score."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    for name in ("op1_toxicity", "op9_quality_classifier"):
+        scores: dict[str, set[float]] = {}
+        for r in QUERIES[name](spark, sf).collect():
+            scores.setdefault(texts[r.doc_id], set()).add(r.score)
+        assert len(scores) < len(texts) and all(len(s) == 1 for s in scores.values())
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_model])
+def test_an_id_in_many_rows_counts_once(sets, module):
+    docs, labels = sets[1]
+    plain = {r.doc_id: r.score for r in module.classify(docs, labels).collect()}
+    again = docs.unionByName(docs.filter("doc_id in (3, 10, 11)")).unionByName(docs.filter("doc_id = 10"))
+    rows = module.classify(again, labels).collect()
+    assert len(rows) == len(plain) + 4 and all(r.score == plain[r.doc_id] for r in rows)
