@@ -97,20 +97,47 @@ def test_components_of_random_graphs(spark):
     assert components(spark.createDataFrame([(4, 4)], "a long, b long")).collect() == [(4, 4)]
 
 
-@pytest.mark.parametrize("block,cell", [(16384, 16384), (16, 40)])
-def test_vectors_equal_brute_force(spark, monkeypatch, block, cell):
-    monkeypatch.setattr(vector_dedup, "BLOCK", block)
-    monkeypatch.setattr(vector_dedup, "CELL", cell)
+def vector_sets():
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(8, 6))
-    x = np.concatenate([centres[rng.integers(8, size=300)] + rng.normal(scale=0.12, size=(300, 6)), centres[:1].repeat(60, 0)]) * rng.uniform(0.5, 3, (360, 1))
-    x[300:] = x[300]
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = unit @ unit.T >= 0.95
-    near[300:, 300:] = True
-    want = brute_groups(range(360), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
-    got = {r.v_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
-    assert got == {i: (int(near[i].sum()) - 1, want[i]) for i in range(360)}
+    dense = np.concatenate([centres[rng.integers(8, size=300)] + rng.normal(scale=0.12, size=(300, 6)), centres[:1].repeat(60, 0)]) * rng.uniform(0.5, 3, (360, 1))
+    dense[300:] = dense[300]
+    yield "dense", dense
+    # 64 dimensions: many small groups, and groups that are paths, linked from one to the next only.
+    angle = np.arccos(0.96) * np.arange(7)
+    planes = [np.linalg.qr(rng.normal(size=(64, 2)))[0] for _ in range(30)]
+    paths = np.concatenate([(q @ np.stack([np.cos(angle), np.sin(angle)])).T for q in planes])
+    pairs = np.repeat(rng.normal(size=(120, 64)), 2, axis=0) + rng.normal(scale=0.05, size=(240, 64))
+    yield "sparse", rng.permutation(np.concatenate([paths, pairs, rng.normal(size=(150, 64))]))
+
+
+@pytest.mark.parametrize("name", ["dense", "sparse"])
+@pytest.mark.parametrize("block,pivots", [(8192, (1, 4, 16, 64, 256, 512)), (16, (9,)), (50, (64,)), (8192, (1,))])
+def test_vectors_equal_brute_force(spark, monkeypatch, name, block, pivots):
+    monkeypatch.setattr(vector_dedup, "BLOCK", block)
+    monkeypatch.setattr(vector_dedup, "PIVOTS", pivots)
+    x = dict(vector_sets())[name].astype(np.float32 if block == 16 else np.float64)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.95) | (x[:, None] == x[None]).all(axis=2)
+    want = brute_groups(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    assert near.sum() > len(x) and len(set(want.values())) < len(x)
+    kind = "float" if x.dtype == np.float32 else "double"
+    got = {r.v_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, want[i]) for i in range(len(x))}
+
+
+def test_more_pivots_where_vectors_cluster(spark):
+    rng = np.random.default_rng(4)
+    loose = rng.normal(size=(4000, 64))
+    tight = np.repeat(rng.normal(size=(200, 64)), 20, axis=0) + rng.normal(scale=0.02, size=(4000, 64))
+    few, many = (len(vector_dedup.choose_pivots(spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "v_key long, v_raw binary"), 10**6, np.float64, 0.3163)) for x in (loose, tight))
+    assert few <= 4 and many > 100
+
+
+def test_links_in_a_path_of_blocks_are_not_lost():
+    linked = np.array([[1, 0, 1], [0, 1, 1]], bool)  # x0 - y0, x0 - y2, x1 - y2, x1 - y1
+    pairs = np.concatenate(list(vector_dedup._pairs(linked, np.array([10, 20]), np.array([1, 2, 3]), np.zeros(3, np.int64))))
+    assert set(brute_groups([1, 2, 3, 10, 20], pairs.tolist()).values()) == {1}
 
 
 def test_packing_equals_the_tokenizer(spark):
