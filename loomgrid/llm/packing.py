@@ -1,25 +1,24 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity, in bulk-synchronous rounds.
 
-A length is an integer of at most the capacity, and documents of one length are interchangeable. So documents and gaps are
-range-sorted as classes (length, how many) and (gap, how many), at most `capacity` of either whatever the input. Lengths are
-swept from the largest down: a round matches a class of documents to its successor, the smallest gap that holds them; conflicts
-over a gap are resolved by rank, documents beyond its room go to the next round; the gap is updated and the round repeats; if no gap is
-left, new sequences open. A match is a range of ranks, so what the sweep yields is a short table. Ranks of single documents
-within their length, and their places by range lookup, are worked out by Spark over all pieces.
+A length is an integer of at most the capacity, and documents of one length are interchangeable. So the tables of the rounds hold classes: lengths with
+ranges of ranks, and gaps with ranges of sequences. Lengths are taken in bands, each half as long as the one before. In a round, documents and gaps of a band
+are sorted by size into range partitions, and a sweep matches every document to its successor, the smallest gap that holds it: running sums within a partition,
+carried across partition borders. Conflicts over a gap are resolved by rank: documents that find their successor taken get the gaps after it, and the longest
+are left over if there are too few. Gaps are updated and the round repeats; new sequences open as far as all gaps together cannot hold what is left, and in a band's last round
+as many as are needed. A match is a range of ranks and sequences; the ranks of single documents within their length, and their places by a join on ranges of
+ranks, are worked out over all pieces once, at the end.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import materialize, text_batches
@@ -29,6 +28,8 @@ END = END_ID.to_bytes(4, "little")
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length that are ranked by one task; a commoner length is dealt over more.
 RANK_BLOCK = 256
+#: Rounds of a band, range partitions of a round, and ranks that a piece and the matches that may hold it have in common when they are joined.
+ROUNDS, PARTS, LOOKUP = 2, 16, 16
 #: The sign that byte-level BPE writes for each byte: itself where it is visible, the others from U+0100 on in order.
 _BYTE_SIGNS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173))}
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -138,61 +139,104 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return narrow.mapInArrow(cut, shape)
 
 
-class Match(NamedTuple):
-    """Documents of `length` with ranks from `rank` on, `count` of them, lie `per` to a sequence from `sequence` and `offset` on."""
+GAPS = "gap long, sequence long, many long"
+#: `count` documents of `length` with ranks from `rank` on lie `per` to a sequence from `sequence` and `offset` on.
+MATCHES = ("length", "rank", "count", "per", "sequence", "offset")
+_BEFORE = "over (partition by part order by size, kind, gap, first rows between unbounded preceding and 1 preceding)"
+_SO_FAR = "over (partition by part order by size, kind, gap, first rows between unbounded preceding and current row)"
 
-    length: int
-    rank: int
-    count: int
-    per: int
-    sequence: int
-    offset: int
 
+def _sorted_rows(docs: DataFrame, gaps: DataFrame, low: int, top: int) -> DataFrame:
+    """Classes of documents (kind 0) and of slots in gaps (kind 1) of a band, range-sorted by size, with the units of either kind before each within its partition.
 
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Match], int]:
-    """Matches that place `counts[length]` documents of every length, and the number of sequences used.
+    A gap of at least `top` has as many slots as documents of length `top` fit, a smaller one has one slot. `lift` is how far documents up to a
+    row must move on from the slot of their own number to find one that holds them.
+    """
+    slots = gaps.filter(f"gap > {low}").selectExpr("gap", "sequence", "many", f"greatest(1L, gap div {top}) as per")
+    slots = slots.selectExpr(f"least(gap, {top}L) as size", "1 as kind", "gap", "per", "sequence as first", "many * per as units")
+    waiting = docs.filter("left > 0").selectExpr("length as size", "0 as kind", "0L as gap", "1L as per", "rank as first", "left as units")
+    rows = waiting.unionByName(slots).selectExpr("*", f"cast((size - {low + 1}) * {PARTS} div {top - low} as int) as part")
+    rows = rows.selectExpr("*", f"coalesce(sum(if(kind = 0, units, 0L)) {_BEFORE}, 0L) as docs_before", f"coalesce(sum(if(kind = 1, units, 0L)) {_BEFORE}, 0L) as slots_before")
+    return rows.selectExpr("*", f"max(if(kind = 0, slots_before - docs_before, null)) {_SO_FAR} as lift")
+
+
+def _segments(rows: DataFrame, ends: list[tuple[int, int]], capacity: int) -> DataFrame:
+    """Where a class of documents and a class of slots lie over the same numbers: its head in a sequence begun before, whole sequences, and a tail, each as a match.
 
-    >>> sweep({3: 1, 2: 3}, 5)
-    ([Match(length=3, rank=0, count=1, per=1, sequence=0, offset=0), Match(length=2, rank=0, count=1, per=1, sequence=0, offset=3), Match(length=2, rank=1, count=2, per=2, sequence=1, offset=0)], 2)
+    `rows` has the number of the first unit of each class as `start`; `ends` has the first and last slot number of each partition.
     """
-    gaps: list[int] = []  # open gap sizes, rising
-    held: dict[int, list[tuple[int, int]]] = {}  # for each, ranges of sequences (first, how many)
-    matches: list[Match] = []
-    used = 0
-
-    def put(gap: int, first: int, many: int) -> None:
-        if gap > 0 and many > 0:
-            if gap not in held:
-                bisect.insort(gaps, gap)
-                held[gap] = []
-            held[gap].append((first, many))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(gaps, length)
-            if at == len(gaps):  # no successor: open sequences, full ones and one with the rest
-                gap, first, many = capacity, used, -(-left // (capacity // length))
-                used += many
-            else:
-                gap = gaps[at]
-                first, many = held[gap].pop()
-                if not held[gap]:
-                    del held[gap], gaps[at]
-            per = gap // length
-            full = min(many, left // per)
-            if full:
-                matches.append(Match(length, rank, full * per, per, first, capacity - gap))
-                put(gap - per * length, first, full)
-                rank, left = rank + full * per, left - full * per
-                first, many = first + full, many - full
-            if many and left:  # fewer than `per` are left: they share one sequence
-                matches.append(Match(length, rank, left, left, first, capacity - gap))
-                put(gap - left * length, first, 1)
-                rank, left = rank + left, 0
-                first, many = first + 1, many - 1
-            put(gap, first, many)
-    return matches, used
+    slots = rows.filter("kind = 1").selectExpr("part", "start as at", "named_struct('gap', gap, 'per', per, 'first', first, 'start', start) as slot", "cast(null as struct<length:long,rank:long,at:long,end:long>) as doc")
+    own = ", ".join(f"named_struct('part', {p}, 'low', {a}L, 'high', {b}L)" for p, (a, b) in enumerate(ends) if b > a) or "named_struct('part', 0, 'low', 0L, 'high', 0L)"
+    docs = rows.filter("kind = 0 and placed > 0").selectExpr("size", "first", "start", "start + placed as end").selectExpr("*", f"inline(filter(array({own}), x -> x.low < end and x.high > start))")
+    docs = docs.selectExpr("*", "greatest(start, low) as at").selectExpr("part", "at", "cast(null as struct<gap:long,per:long,first:long,start:long>) as slot", "named_struct('length', size, 'rank', first + at - start, 'at', at, 'end', least(end, high)) as doc")
+    by = "over (partition by part order by at, doc is not null)"
+    met = slots.unionByName(docs).selectExpr("part", "at", f"last(slot, true) {by} as slot", f"last(doc, true) {by} as doc", f"lead(at) {by} as next").filter("doc is not null")
+    met = met.selectExpr("part", "slot.gap", "slot.per as slots", "slot.first as slot_first", "doc.length", "doc.rank + at - doc.at as rank", "at - slot.start as unit", "least(coalesce(next, doc.end), doc.end) - at as n").filter("n > 0")
+    met = met.selectExpr("*", "if(slots > 1, least(n, pmod(slots - pmod(unit, slots), slots)), 0L) as head").selectExpr("*", "(n - head) div slots * slots as middle")
+    piece = lambda skip, count, per, whole: f"named_struct('skip', {skip}, 'count', {count}, 'per', {per}, 'whole', {whole})"
+    three = ", ".join((piece("0L", "head", "head", "false"), piece("head", "middle", "slots", "true"), piece("head + middle", "n - head - middle", "n - head - middle", "false")))
+    pieces = met.selectExpr("part", "gap", "slot_first", "slots", "length", "rank", "unit", "unit + n as covered", f"inline(filter(array({three}), x -> x.count > 0))")
+    pieces = pieces.selectExpr("part", "gap", "slot_first", "length", "rank + skip as rank", "covered", "count", "per", "whole", "slot_first + (unit + skip) div slots as sequence", "pmod(unit + skip, slots) as place")
+    ahead = "coalesce(sum(count * length) over (partition by part, sequence order by place, rank rows between unbounded preceding and 1 preceding), 0L)"
+    return pieces.selectExpr("*", f"{capacity}L - gap + if(whole, 0L, {ahead}) as offset")
+
+
+def match_round(docs: DataFrame, gaps: DataFrame, low: int, top: int, fresh: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents left, gaps, matches) after one round over the band (low, top]; untouched sequences from `fresh` on stay closed.
+
+    `docs` has (length, rank, left), `gaps` the ranges of sequences with one gap. Both are tables of classes, whose sizes do not grow with the input.
+    """
+    rows = materialize(_sorted_rows(docs, gaps, low, top))
+    totals = {r.part: r for r in rows.groupBy("part").agg(F.expr("sum(if(kind = 0, units, 0L)) as docs"), F.expr("sum(if(kind = 1, units, 0L)) as slots"), F.expr("max(lift) as lift")).collect()}
+    carried, docs_before, slots_before, lift = [], 0, 0, -(1 << 60)
+    for part in range(PARTS):  # what the partitions before each carry over
+        carried.append((docs_before, slots_before, lift))
+        if part in totals:
+            own = totals[part]
+            lift = max(lift, own.lift + slots_before - docs_before) if own.lift is not None else lift
+            docs_before, slots_before = docs_before + own.docs, slots_before + own.slots
+    docs_carry, slots_carry, lift_carry = (f"element_at(array({', '.join(f'{c[i]}L' for c in carried)}), part + 1)" for i in range(3))
+    moved = f"greatest(lift + {slots_carry} - {docs_carry}, {lift_carry})"
+    rows = rows.selectExpr("*", f"if(kind = 0, docs_before + {docs_carry} + {moved}, slots_before + {slots_carry}) as start")
+    rows = rows.selectExpr("*", f"greatest(0L, least(units, {slots_before}L - start)) as placed")
+    ends = [(c[1], c[1] + (totals[p].slots if p in totals else 0)) for p, c in enumerate(carried)]
+    found = materialize(_segments(rows, ends, capacity))
+    left = rows.filter("kind = 0").selectExpr("size as length", "first + placed as rank", "units - placed as left")
+    covered = found.groupBy("part", F.col("slot_first").alias("first")).agg(F.max("covered").alias("covered"))
+    slots = rows.filter(f"kind = 1 and first < {fresh}").join(covered, ["part", "first"], "left").selectExpr("gap", "first", "units div per as many", "(coalesce(covered, 0L) + per - 1) div per as touched")
+    untouched = slots.selectExpr("gap", "first + touched as sequence", "many - touched as many")
+    whole = found.filter("whole").selectExpr("gap - per * length as gap", "sequence", "count div per as many")
+    begun = found.filter("not whole").groupBy("part", "sequence").agg(F.expr("min(gap) - sum(count * length) as gap")).selectExpr("gap", "sequence", "1L as many")
+    after = gaps.filter(f"gap <= {low}").unionByName(untouched).unionByName(whole).unionByName(begun).filter("gap > 0 and many > 0")
+    return left, materialize(after), found.select(*MATCHES)
+
+
+def match_classes(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY) -> DataFrame:
+    """Matches (the columns `MATCHES`) that place `counts[length]` documents of every length; sequences are numbered from 0 without a break."""
+    gaps = materialize(spark.createDataFrame([], GAPS))
+    found, used, room, top = spark.createDataFrame([], ", ".join(f"{c} long" for c in MATCHES)), 0, 0, max(counts, default=0)
+    while top:
+        low = top // 2
+        band = [(k, 0, n) for k, n in sorted(counts.items()) if low < k <= top]
+        below = max((k for k in counts if k <= low), default=0)
+        docs, units, tokens = spark.createDataFrame(band, "length long, rank long, left long"), sum(n for *_, n in band), sum(k * n for k, _, n in band)
+        number = 0
+        while units:
+            number += 1
+            slots = capacity // top
+            fresh = -(-units // slots) if number >= ROUNDS or slots == 1 else max(0, -(-(tokens - room) // capacity))
+            opened = gaps.unionByName(spark.createDataFrame([(capacity, used, fresh)], GAPS)) if fresh else gaps
+            docs, gaps, matches = match_round(docs, opened, low, top, used, capacity)
+            found = found.unionByName(matches)
+            # Three single rows: what is left of the band, the last sequence, and the room for this band and for the next one.
+            rest = docs.selectExpr("sum(left) as units", "sum(left * length) as tokens")
+            last = matches.selectExpr("max(sequence + (count + per - 1) div per) as last")
+            rooms = gaps.selectExpr(f"sum(if(gap > {low}, gap * many, 0L)) as same", f"sum(if(gap > {below // 2}, gap * many, 0L)) as following")
+            state = rest.crossJoin(last).crossJoin(rooms).first()
+            units, tokens, used = state.units or 0, state.tokens or 0, max(used, state["last"] or 0)
+            room = (state.same if units else state.following) or 0
+        top = below
+    return found
 
 
 def ranked(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
@@ -220,23 +264,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     Rows that repeat a document are packed each; equal pieces take their places in any order, which gives the same rows. A null id is an id
     like any other; an empty table gives an empty result. Other columns are not read.
     """
+    spark = docs.sparkSession
     cut = materialize(pieces(docs, id_col, text_col, tokenizer, capacity, keep_ids))
     counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    matches, _ = sweep(counts, capacity)
-    matches.sort()
-    table = np.array(matches, np.int64).reshape(len(matches), len(Match._fields))
-    plan = docs.sparkSession.sparkContext.broadcast(table)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = (plan.value[:, 0] << 50) | plan.value[:, 1]
-        for batch in batches:
-            length, rank = np.asarray(batch["length"]), np.asarray(batch["pk_rank"])
-            found = plan.value[np.searchsorted(starts, (length << 50) | rank, side="right") - 1]
-            ahead = rank - found[:, 1]
-            sequence, offset = found[:, 4] + ahead // found[:, 3], found[:, 5] + ahead % found[:, 3] * length
-            names = [c for c in batch.schema.names if c != "pk_rank"]
-            yield pa.RecordBatch.from_arrays([batch[c] for c in names] + [pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
-
-    shape = f"pk_id {cut.schema['pk_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    ordered = ranked(cut, counts).select(*cut.columns, F.col("pk_rank").cast("long").alias("pk_rank"))
-    return ordered.mapInArrow(place, f"{shape}, sequence_id long, offset long")
+    matches = materialize(match_classes(spark, counts, capacity))
+    # A match is joined to the pieces with its length and one of its blocks of ranks; a block has `LOOKUP` ranks, so few matches share one.
+    blocks = F.explode(F.sequence(F.floor(F.col("rank") / LOOKUP), F.floor((F.col("rank") + F.col("count") - 1) / LOOKUP))).alias("m_block")
+    spots = matches.select(F.col("length").alias("m_length"), F.col("rank").alias("m_rank"), F.col("count").alias("m_count"), F.col("per").alias("m_per"), F.col("sequence").alias("m_sequence"), F.col("offset").alias("m_offset"), blocks)
+    ordered = ranked(cut, counts).withColumn("pk_block", F.floor(F.col("pk_rank") / LOOKUP))
+    placed = ordered.join(spots, (F.col("length") == F.col("m_length")) & (F.col("pk_block") == F.col("m_block")))
+    ahead = F.col("pk_rank") - F.col("m_rank")
+    placed = placed.filter((ahead >= 0) & (ahead < F.col("m_count")))
+    return placed.select(*cut.columns, (F.col("m_sequence") + F.floor(ahead / F.col("m_per"))).cast("long").alias("sequence_id"), (F.col("m_offset") + F.pmod(ahead, F.col("m_per")) * F.col("length")).cast("long").alias("offset"))

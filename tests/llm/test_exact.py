@@ -1,5 +1,6 @@
 """Queries against SQL, brute force and held-out labels; the ways beyond a broadcast; and the numeric helpers."""
 
+import bisect
 import itertools
 import re
 import zlib
@@ -176,30 +177,46 @@ def test_encoder_equals_the_tokenizer(text):
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.full.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
-def test_sweep_places_everything_once(counts):
-    matches, used = packing.sweep(counts, 30)
+def best_fit_decreasing(counts, capacity):
+    """Sequences that one document after another uses, longest first, each in the smallest gap that holds it."""
+    gaps: list[int] = []
+    used = 0
+    for length in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        used += gap == capacity
+        if gap > length:
+            bisect.insort(gaps, gap - length)
+    return used
+
+
+def packing_sets():
+    rng = np.random.default_rng(12)
+    tally = lambda values: dict(zip(*(x.tolist() for x in np.unique(values, return_counts=True)), strict=True))
+    yield "skewed", 4096, tally(np.clip(rng.lognormal(5.5, 1.2, 6000).astype(int), 1, 4096))
+    yield "even", 4096, tally(rng.integers(1, 4097, 4000))
+    yield "one length", 30, {7: 1001}
+    yield "ones", 16, {1: 100}
+    yield "full", 30, {30: 12, 15: 3, 29: 2, 1: 2}
+    yield "none", 30, {}
+
+
+@pytest.mark.parametrize("name", [n for n, *_ in packing_sets()])
+def test_rounds_place_everything_once(spark, name):
+    capacity, counts = {n: x for n, *x in packing_sets()}[name]
+    matches = packing.match_classes(spark, counts, capacity).collect()
     filled: dict[int, list[tuple[int, int]]] = {}
     for length, count in counts.items():
-        own = sorted(m for m in matches if m.length == length)
-        assert [m.rank for m in own] == list(itertools.accumulate([0, *[m.count for m in own]]))[:-1] and sum(m.count for m in own) == count
+        own = sorted(m for m in matches if m["length"] == length)
+        assert [m["rank"] for m in own] == list(itertools.accumulate([0, *[m["count"] for m in own]]))[:-1] and sum(m["count"] for m in own) == count
         for m in own:
-            for i in range(m.count):
-                filled.setdefault(m.sequence + i // m.per, []).append((m.offset + i % m.per * length, length))
-    assert set(filled) == set(range(used))
+            for i in range(m["count"]):
+                filled.setdefault(m["sequence"] + i // m["per"], []).append((m["offset"] + i % m["per"] * length, length))
+    assert set(filled) == set(range(len(filled)))
     for own in filled.values():
         own.sort()
-        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 30
-    items = sorted((k for k, n in counts.items() for _ in range(n)), reverse=True)
-    gaps: list[int] = []
-    for item in items:  # sequential best-fit decreasing
-        fits = [g for g in gaps if g >= item]
-        gap = min(fits) if fits else 30
-        if fits:
-            gaps.remove(gap)
-        gaps.append(gap - item)
-    assert used <= len(gaps) + 1
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= capacity
+    assert len(filled) <= 1.02 * best_fit_decreasing(counts, capacity) + 1
 
 
 def test_beyond_the_broadcasts_results_are_the_same(spark, monkeypatch):
