@@ -40,15 +40,15 @@ RULES = (
 
 
 class Node:
-    """A trie node: whole labels or segments lead to children; `partial` holds rules that end inside the next segment."""
+    """A trie node: whole labels or segments lead to children; `partial` holds rules that end inside the next segment, `sizes` the lengths of their ends, longest first."""
 
-    __slots__ = ("children", "paths", "partial", "rule")
+    __slots__ = ("children", "paths", "partial", "sizes")
 
     def __init__(self) -> None:
         self.children: dict[str, Node] = {}
         self.paths: Node | None = None
         self.partial: dict[str, Rule] = {}
-        self.rule: Rule | None = None
+        self.sizes: list[int] = []
 
 
 class UrlTrie:
@@ -76,6 +76,8 @@ class UrlTrie:
         node = node.paths
         for segment in whole:
             node = node.children.setdefault(segment, Node())
+        if len(last) not in node.sizes:
+            node.sizes = sorted([*node.sizes, len(last)], reverse=True)
         old = node.partial.get(last)
         if old is None or rule.verdict == "block":
             node.partial[last] = rule
@@ -85,9 +87,11 @@ class UrlTrie:
         best = None
         segments = path.split("/")
         for depth, segment in enumerate(segments):
-            if node.partial:
-                fits = max((p for p in node.partial if segment.startswith(p)), key=len, default=None)
-                best = node.partial[fits] if fits is not None else best
+            for size in node.sizes:  # at most one look-up for each length up to the segment's
+                found = node.partial.get(segment[:size]) if size <= len(segment) else None
+                if found is not None:
+                    best = found
+                    break
             if depth + 1 == len(segments) or segment not in node.children:
                 break
             node = node.children[segment]
