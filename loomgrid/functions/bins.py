@@ -2,46 +2,44 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Steps within a decade, the bin count aimed at, and the counts allowed.
+#: Round steps within a decade, the bin count aimed at, and the counts allowed.
 MANTISSAS, TARGET, LIMITS = (1.0, 2.0, 2.5, 5.0), 6, (4, 10)
 
 
-def edges(low: float, high: float, step: float) -> tuple[float, ...]:
-    """Multiples of `step` that cover [low, high], rounded to one digit beyond the step's."""
-    a, b = math.floor(low / step), math.ceil(high / step)
-    digits = max(0, 1 - math.floor(math.log10(step)))
-    return tuple(round(k * step, digits) for k in range(a, max(b, a + 1) + 1))
-
-
-def step_for(low: float, high: float) -> float:
-    """The ladder step whose bin count is nearest the target within the limits; of two, the finer."""
-    span = high - low
-    if not (math.isfinite(span) and span > 0):
-        raise ValueError(f"no histogram over [{low}, {high}]")
-    decade = math.floor(math.log10(span))
-    ladder = [m * 10.0**e for e in range(decade - 2, decade + 3) for m in MANTISSAS]
-    options = [(abs(n - TARGET), s) for s in ladder if LIMITS[0] <= (n := len(edges(low, high, s)) - 1) <= LIMITS[1]]
-    return min(options)[1] if options else span / TARGET
+def round_numbers(least: float, most: float) -> np.ndarray:
+    """All round numbers in [least, most], rising."""
+    decades = np.arange(np.floor(np.log10(least)), np.ceil(np.log10(most)) + 1)
+    numbers = np.multiply.outer(10.0**decades, np.array(MANTISSAS)).ravel()
+    return numbers[(numbers >= least) & (numbers <= most)]
 
 
 def histogram_edges(low: float | None, high: float | None) -> tuple[float, ...]:
-    """Edges for values between low and high; one bin around a single value or none."""
-    if low is None or high is None or not (math.isfinite(low) and math.isfinite(high)) or low == high:
-        centre = low if low is not None and math.isfinite(low) else 0.0
-        half = abs(centre) * 0.05 or 0.5
+    """Edges for values between low and high: multiples of a round step that cover them. One bin around a single value or none.
+
+    A step s covers a span in at least span / s bins and at most two more, so only round numbers between a tenth and half of the span can give an
+    allowed count. Of these the one whose count is nearest the target is taken, the finer of two; without any, a sixth of the span.
+    """
+    if low is None or high is None or not np.isfinite([low, high]).all() or low == high:
+        centre = float(low) if low is not None and np.isfinite(low) else 0.0
+        half = abs(centre) / 20 or 0.5
         return centre - half, centre + half
-    return edges(low, high, step_for(low, high))
+    if high < low:
+        raise ValueError(f"no histogram from {low} to {high}")
+    span = high - low
+    steps = round_numbers(span / LIMITS[1] * (1 - 1e-9), span / 2)
+    bins = np.ceil(high / steps) - np.floor(low / steps)
+    steps, bins = (x[(bins >= LIMITS[0]) & (bins <= LIMITS[1])] for x in (steps, bins))
+    step = float(steps[np.abs(bins - TARGET).argmin()]) if len(steps) else span / TARGET
+    at = np.arange(np.floor(low / step), max(np.ceil(high / step), np.floor(low / step) + 1) + 1) * step
+    return tuple(np.round(at, max(0, 1 - int(np.floor(np.log10(step))))).tolist())
 
 
 def bucket(value: Column, cuts: tuple[float, ...]) -> Column:
     """Number of the bin a value lies in, from 0; the last bin holds its right edge; null outside."""
-    out = F.lit(None).cast("int")
-    for i in range(len(cuts) - 2, -1, -1):
-        inside = (value >= cuts[i]) & ((value < cuts[i + 1]) if i < len(cuts) - 2 else (value <= cuts[i + 1]))
-        out = F.when(inside, i).otherwise(out)
-    return out
+    last = len(cuts) - 2
+    passed = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[:-1]]), lambda c: c <= value)) - 1  # edges up to the value
+    return F.when((value >= cuts[0]) & (value <= cuts[-1]), F.least(passed, F.lit(last))).cast("int")

@@ -66,10 +66,16 @@ def short_pair(label: Column) -> Column:
     return F.concat_ws("-", lookup(sides[0], SHORT), lookup(sides[1], SHORT))
 
 
-def decimals(magnitude: Column) -> Column:
-    """Decimals that keep about three digits of a value; 2 where it is null, not finite or not positive."""
-    usable = magnitude.isNotNull() & ~F.isnan(magnitude) & (magnitude > 0) & (magnitude < float("inf"))
-    return F.when(~usable, 2).when(magnitude >= 100, 0).when(magnitude >= 10, 1).when(magnitude >= 1, 2).when(magnitude >= 0.1, 3).otherwise(4)
+#: From these sizes on so many places behind the point are shown; 4 below, and 2 for what is no positive number.
+PLACES = ((100.0, 0), (10.0, 1), (1.0, 2), (0.1, 3))
+
+
+def decimals(value: Column) -> Column:
+    """Places behind the point for a value of this size."""
+    by_size = F.lit(4)
+    for least, places in reversed(PLACES):
+        by_size = F.when(value >= least, places).otherwise(by_size)
+    return F.when((value > 0) & (value < float("inf")), by_size).otherwise(2)
 
 
 def shown(value: Column, family: Column) -> Column:

@@ -34,6 +34,13 @@ def assert_covered(observed: DataFrame, grid: DataFrame, keys: list[str]) -> Non
         raise CoverageError(f"outside the declared grid: {[tuple(r[k] for k in keys) for r in stray]}")
 
 
+def assert_unique(table: DataFrame, keys: list[str]) -> None:
+    """Each combination of keys stands in one row, so that a pivot that keeps one value a cell loses none."""
+    twice = table.groupBy(*keys).count().filter("count > 1").limit(5).collect()
+    if twice:
+        raise CoverageError(f"more than one row for {[tuple(r[k] for k in keys) for r in twice]}")
+
+
 def fill(grid: DataFrame, observed: DataFrame, keys: list[str], zeros: list[str]) -> DataFrame:
     """The grid with what was observed; counts that were not observed are zero."""
     joined = grid.join(observed, keys, "left")

@@ -99,6 +99,11 @@ def affected_parties(resolved: DataFrame, attributes: DataFrame) -> DataFrame:
         "FORMULARIO", "PARTY_ID", "PARTY_TYPE", "COUNTERPART_TYPE", F.lit(1).cast("long").alias("AFFECTED_PARTIES"), "PERSONS_INJURED", "PERSONS_KILLED", "AREA_CODE", "AREA_NAME", "YEAR", "CRASH_CLASS")
 
 
+def in_final_order(affected: DataFrame) -> DataFrame:
+    """The whole table by unit (without one last), crash and party: a range sort, so every partition holds a stretch of the order."""
+    return affected.orderBy(F.col("AREA_CODE").asc_nulls_last(), "FORMULARIO", "PARTY_TYPE", "PARTY_ID")
+
+
 def threshold_composition(universe: DataFrame, attributes: DataFrame) -> DataFrame:
     """Crash classes of what the threshold drops against what it keeps: counts, shares in percent, their ratio, and the share of the class dropped."""
     size = universe.groupBy("FORMULARIO").agg(F.count("*").alias("n"))

@@ -73,19 +73,24 @@ STATIC = tuple(Predictor(n, la, s, f, g, m, "snapshot", z) for rows, g, m in ((_
 M2_PER_KM2 = 1e6
 
 
-def area_share(layer: DataFrame, units: DataFrame, tile: float) -> DataFrame:
-    """(AREA_CODE, MEASURE): km2 of the layer inside each unit; features that overlap each other count each."""
-    return spatial.overlap(layer, units, tile).groupBy("AREA_CODE").agg((F.sum("OVERLAP") / M2_PER_KM2).alias("MEASURE"))
+def _tagged(layer: DataFrame, tags: tuple[str, ...], geometry: str) -> DataFrame:
+    return layer.select(F.struct(*tags, "id").alias("id"), geometry)
 
 
-def point_density(layer: DataFrame, units: DataFrame, tile: float) -> DataFrame:
-    """(AREA_CODE, MEASURE): points of the layer within each unit, each part of a multi-point one."""
-    points = spatial.explode_points(layer).withColumn("p_id", F.struct("id", "part"))
-    return spatial.locate(points, units, tile, "inner").groupBy("AREA_CODE").agg(F.count("*").cast("double").alias("MEASURE"))
+def area_share(layer: DataFrame, units: DataFrame, tile: float, tags: tuple[str, ...] = ()) -> DataFrame:
+    """(AREA_CODE, tags, MEASURE): km2 of the layer inside each unit; features that overlap each other count each."""
+    shared = spatial.overlap(_tagged(layer, tags, "rings"), units, tile)
+    return shared.groupBy("AREA_CODE", *[F.col(f"id.{t}").alias(t) for t in tags]).agg((F.sum("OVERLAP") / M2_PER_KM2).alias("MEASURE"))
+
+
+def point_density(layer: DataFrame, units: DataFrame, tile: float, tags: tuple[str, ...] = ()) -> DataFrame:
+    """(AREA_CODE, tags, MEASURE): points of the layer within each unit, each part of a multi-point one."""
+    located = spatial.locate(spatial.explode_points(_tagged(layer, tags, "points")), units, tile, "inner")
+    return located.groupBy("AREA_CODE", *[F.col(f"id.{t}").alias(t) for t in tags]).agg(F.count("*").cast("double").alias("MEASURE"))
 
 
 #: Measurement by method; a further method registers here.
-MEASUREMENTS: dict[str, Callable[[DataFrame, DataFrame, float], DataFrame]] = {"area_share": area_share, "point_density": point_density}
+MEASUREMENTS: dict[str, Callable[[DataFrame, DataFrame, float, tuple[str, ...]], DataFrame]] = {"area_share": area_share, "point_density": point_density}
 
 
 def usable(layer: DataFrame) -> DataFrame:
@@ -95,9 +100,13 @@ def usable(layer: DataFrame) -> DataFrame:
 
 
 def measure(layers: dict[str, DataFrame], units: DataFrame, predictors: tuple[Predictor, ...] = STATIC, tile: float = 1000.0) -> DataFrame:
-    """(AREA_CODE, PREDICTOR, MEASURE) of every declared layer, where it reaches a unit."""
-    parts = [MEASUREMENTS[p.method](usable(layers[p.name]), units, tile).withColumn("PREDICTOR", F.lit(p.name)) for p in predictors]
-    return reduce(DataFrame.unionByName, parts)
+    """(AREA_CODE, PREDICTOR, MEASURE) of every declared layer, where it reaches a unit. Layers of one method are measured together, in one join with the units."""
+    parts = []
+    for method, geometry in (("area_share", "rings"), ("point_density", "points")):
+        own = [usable(layers[p.name]).select(F.lit(p.name).alias("PREDICTOR"), "id", geometry) for p in predictors if p.method == method]
+        if own:
+            parts.append(MEASUREMENTS[method](reduce(DataFrame.unionByName, own), units, tile, ("PREDICTOR",)))
+    return reduce(DataFrame.unionByName, parts).select("AREA_CODE", "PREDICTOR", "MEASURE")
 
 
 def dictionary(spark: SparkSession, predictors: tuple[Predictor, ...] = STATIC) -> DataFrame:

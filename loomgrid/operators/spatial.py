@@ -79,23 +79,34 @@ def bounds(rings: Column) -> dict[str, Column]:
     return {"x_lo": F.array_min(xs), "y_lo": F.array_min(ys), "x_hi": F.array_max(xs), "y_hi": F.array_max(ys)}
 
 
+def cell_size(units: DataFrame) -> float:
+    """The side of a grid cell that fits a roster: the mean side of the units' bounding boxes, so a unit meets about four cells on average."""
+    sides = units.filter(~is_empty(F.col("rings"))).select(*bounds(F.col("rings")).values()).toDF("x0", "y0", "x1", "y1")
+    mean = sides.agg(F.avg((F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")) / 2)).first()[0]
+    return mean if mean and mean > 0 else 1.0
+
+
 def unit_cells(units: DataFrame, cell: float) -> DataFrame:
     """Units with the grid cells that their bounding boxes meet; a roster of units is declared and small."""
-    boxed = units.withColumns(bounds(F.col("rings")))
+    boxed = units.filter(~is_empty(F.col("rings"))).withColumns(bounds(F.col("rings")))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     return boxed.withColumn("cx", F.explode(span("x_lo", "x_hi"))).withColumn("cy", F.explode(span("y_lo", "y_hi")))
 
 
-def locate(points: DataFrame, units: DataFrame, cell: float = 1.0, how: str = "left") -> DataFrame:
-    """Adds AREA_CODE: the unit that a point (p_id, x, y) lies within, the least code if several; null outside all (`left`), or left out (`inner`).
+def locate(points: DataFrame, units: DataFrame, cell: float | None = None, how: str = "left") -> DataFrame:
+    """Adds AREA_CODE: the unit that a point (x, y) lies within, the least code if several; null outside all (`left`), or left out (`inner`).
 
-    Points meet the units of their own grid cell by an equality join with the broadcast roster, so points are never multiplied by all units; then
-    one aggregation by point takes the least code. Repeated p_ids would merge, so p_id must be a key.
+    The roster is grouped by grid cell, one row each with the units whose boxes meet it, and broadcast. A point looks up its cell's row and takes the least of
+    the units there that contain it, so points are neither shuffled nor multiplied. The cell is derived from the roster unless given.
     """
+    cell = cell or cell_size(units)
+    held = F.struct("AREA_CODE", "x_lo", "x_hi", "y_lo", "y_hi", "rings")
+    candidates = unit_cells(units, cell).groupBy("cx", "cy").agg(F.collect_list(held).alias("units_here"))
     at = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    met = at.join(F.broadcast(unit_cells(units, cell)), ["cx", "cy"]).filter(F.col("x").between(F.col("x_lo"), F.col("x_hi")) & F.col("y").between(F.col("y_lo"), F.col("y_hi")))
-    inside = met.filter(contains(F.col("rings"), F.col("x"), F.col("y"))).groupBy("p_id").agg(F.min("AREA_CODE").alias("AREA_CODE"))
-    return points.join(inside, "p_id", how)
+    x, y = F.col("x"), F.col("y")
+    within = F.filter("units_here", lambda u: x.between(u["x_lo"], u["x_hi"]) & y.between(u["y_lo"], u["y_hi"]) & contains(u["rings"], x, y))
+    found = at.join(F.broadcast(candidates), ["cx", "cy"], how).withColumn("AREA_CODE", F.array_min(F.transform(within, lambda u: u["AREA_CODE"]))).drop("cx", "cy", "units_here")
+    return found if how == "left" else found.filter("AREA_CODE is not null")
 
 
 def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -118,34 +129,54 @@ def snap(points: DataFrame, units: DataFrame, most: float) -> DataFrame:
     return far.filter(F.col("d") <= most).groupBy("p_id").agg(F.min(F.struct(F.round("d", 9).alias("d"), "AREA_CODE")).alias("m")).select("p_id", F.col("m.AREA_CODE"), F.col("m.d").alias("DISTANCE"))
 
 
+def box_pairs(layer: DataFrame, units: DataFrame) -> DataFrame:
+    """(id, AREA_CODE, x_from, x_to, y_base, least_area): features and units whose bounding boxes meet in both axes, by an equality join on the roster's grid cells."""
+    cell = cell_size(units)
+    theirs = unit_cells(units, cell).select("AREA_CODE", "cx", "cy", *[F.col(c).alias(f"u_{c}") for c in ("x_lo", "x_hi", "y_lo", "y_hi")], area(F.col("rings")).alias("u_area"))
+    mine = unit_cells(layer, cell).select("id", "cx", "cy", "x_lo", "x_hi", "y_lo", "y_hi", area(F.col("rings")).alias("area"))
+    # A pair may share several cells; the one where the boxes' common corner lies counts it.
+    corner = (F.col("cx") == F.floor(F.greatest("x_lo", "u_x_lo") / cell)) & (F.col("cy") == F.floor(F.greatest("y_lo", "u_y_lo") / cell))
+    met = mine.join(F.broadcast(theirs), ["cx", "cy"]).filter(corner & (F.col("x_lo") < F.col("u_x_hi")) & (F.col("u_x_lo") < F.col("x_hi")) & (F.col("y_lo") < F.col("u_y_hi")) & (F.col("u_y_lo") < F.col("y_hi")))
+    return met.select("id", "AREA_CODE", F.greatest("x_lo", "u_x_lo").alias("x_from"), F.least("x_hi", "u_x_hi").alias("x_to"), F.least("y_lo", "u_y_lo").alias("y_base"), F.least("area", "u_area").alias("least_area"))
+
+
+#: An overlap counts if it exceeds this share of the smaller of the two areas; what lies below is rounding.
+LEAST_SHARE = 1e-9
+
+
 def overlap(layer: DataFrame, units: DataFrame, tile: float = 1.0) -> DataFrame:
     """(id, AREA_CODE, OVERLAP): area shared by each feature and unit, where it is positive.
 
-    Both are sums of signed trapezoids under their edges, so the shared area is the sum over edge pairs of the area under the lower of the two.
-    Edges are cut at tile borders and meet by an equality join on the tile, which keeps the pairs local; heights count from the least y of both.
+    Only pairs whose bounding boxes meet are compared, each within the boxes' common stretch of x and with heights from its own least y, so that
+    large coordinates do not cancel. Both areas are sums of signed trapezoids under edges; the shared area is the sum over a pair's edges of the area
+    under the lower of the two. Edges meet by an equality join on the pair and a tile of x.
     """
-    floor_y = layer.select(F.array_min(F.transform(F.flatten(F.transform("rings", lambda r: r["points"])), lambda p: p["y"])).alias("y")).unionByName(
-        units.select(F.array_min(F.transform(F.flatten(F.transform("rings", lambda r: r["points"])), lambda p: p["y"])).alias("y"))).agg(F.min("y")).first()[0] or 0.0
+    pairs = box_pairs(layer, units)
 
     def cut(features: DataFrame, key: str, mark: str) -> DataFrame:
-        e = edges(features.select(F.col(key).alias("id"), "rings")).filter("side <> 0")
-        lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
-        e = e.withColumn("tile", F.explode(F.sequence(F.floor(lo / tile), F.floor(hi / tile))))
+        e = edges(features.select(F.col(key).alias("id"), "rings")).filter("side <> 0").withColumnRenamed("id", key)
+        if key == "AREA_CODE":
+            e = F.broadcast(e)  # the roster's edges
+        e = pairs.join(e, key)
+        lo, hi = F.greatest(F.least("x1", "x2"), F.col("x_from")), F.least(F.greatest("x1", "x2"), F.col("x_to"))
+        e = e.withColumns({"lo": lo, "hi": hi}).filter("lo < hi")
+        e = e.withColumn("tile", F.explode(F.sequence(F.floor((F.col("lo") - F.col("x_from")) / tile), F.floor((F.col("hi") - F.col("x_from")) / tile))))
         slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
-        a, b = F.greatest(lo, F.col("tile") * tile), F.least(hi, (F.col("tile") + 1) * tile)
-        height = lambda x: F.col("y1") + (x - F.col("x1")) * slope - F.lit(floor_y)
-        return e.select(F.col("id").alias(key), "tile", F.col("side").alias(f"{mark}s"), a.alias(f"{mark}a"), b.alias(f"{mark}b"), height(a).alias(f"{mark}p"), height(b).alias(f"{mark}q")).filter(f"{mark}b > {mark}a")
+        a, b = F.greatest("lo", F.col("x_from") + F.col("tile") * tile), F.least("hi", F.col("x_from") + (F.col("tile") + 1) * tile)
+        height = lambda x: F.col("y1") - F.col("y_base") + (x - F.col("x1")) * slope
+        kept = ["id", "AREA_CODE", "tile", "least_area"] if mark == "l" else ["id", "AREA_CODE", "tile"]
+        return e.select(*kept, F.col("side").alias(f"{mark}s"), a.alias(f"{mark}a"), b.alias(f"{mark}b"), height(a).alias(f"{mark}p"), height(b).alias(f"{mark}q")).filter(f"{mark}b > {mark}a")
 
-    pairs = cut(layer, "id", "l").join(cut(units, "AREA_CODE", "u"), "tile").withColumns({"a": F.greatest("la", "ua"), "b": F.least("lb", "ub")}).filter("b > a")
+    met = cut(layer, "id", "l").join(cut(units, "AREA_CODE", "u"), ["id", "AREA_CODE", "tile"]).withColumns({"a": F.greatest("la", "ua"), "b": F.least("lb", "ub")}).filter("b > a")
     on = lambda m, x: F.col(f"{m}p") + (F.col(f"{m}q") - F.col(f"{m}p")) * (F.col(x) - F.col(f"{m}a")) / (F.col(f"{m}b") - F.col(f"{m}a"))
-    pairs = pairs.withColumns({"l0": on("l", "a"), "l1": on("l", "b"), "u0": on("u", "a"), "u1": on("u", "b")})
+    met = met.withColumns({"l0": on("l", "a"), "l1": on("l", "b"), "u0": on("u", "a"), "u1": on("u", "b")})
     d0, d1 = F.col("u0") - F.col("l0"), F.col("u1") - F.col("l1")
     m0, m1 = F.least("l0", "u0"), F.least("l1", "u1")
     t = F.when(d0 * d1 < 0, d0 / (d0 - d1)).otherwise(0.0)
     middle = F.col("l0") + (F.col("l1") - F.col("l0")) * t
     under = (F.col("b") - F.col("a")) * F.when(d0 * d1 < 0, (t * (m0 + middle) + (1 - t) * (middle + m1)) / 2).otherwise((m0 + m1) / 2)
-    summed = pairs.withColumn("w", F.col("ls") * F.col("us") * under).groupBy("id", "AREA_CODE").agg(F.sum("w").alias("OVERLAP"))
-    return summed.filter(F.col("OVERLAP") > 1e-12)
+    summed = met.withColumn("w", F.col("ls") * F.col("us") * under).groupBy("id", "AREA_CODE").agg(F.sum("w").alias("OVERLAP"), F.max("least_area").alias("least_area"))
+    return summed.filter(F.col("OVERLAP") > F.lit(LEAST_SHARE) * F.col("least_area")).drop("least_area")
 
 
 def self_crossings(features: DataFrame, tile: float = 1.0) -> DataFrame:

@@ -16,7 +16,7 @@ from loomgrid import queries as q
 from loomgrid.domains import INJURY
 from loomgrid.ledger import Ledger
 from loomgrid.operators import checks, completeness, integrate, matrix, parties, predictors, rho
-from loomgrid.operators.grid import assert_covered
+from loomgrid.operators.grid import assert_covered, assert_unique
 from loomgrid.plans import sinks
 from loomgrid.sources import adapter as ad
 from loomgrid.sources.readers import loading_counts
@@ -67,8 +67,8 @@ def _parties(spark: SparkSession, sf_dir: str, out: Outcome) -> tuple[DataFrame,
     affected = parties.affected_parties(resolved, attributes)
     size = parties.with_party_count(universe).agg(F.count("*").alias("all"), F.count_if(F.col("PARTIES") > 2).alias("over"), F.count_if((F.col("PARTIES") <= 2) & (F.col("PERSONS_INJURED") + F.col("PERSONS_KILLED") == 0)).alias("unhurt")).first()
     emitted = affected.count()
-    out.ledger.record("two-party threshold", size["all"], size["all"] - size.over, [(-size.over, "parties of crashes with more than two")])
-    out.ledger.record("emit affected parties", size["all"] - size.over, emitted, [(-size.unhurt, "parties without a casualty")])
+    out.ledger.settle("two-party threshold", size["all"], size["all"] - size.over, {"parties of crashes with more than two": -size.over})
+    out.ledger.settle("emit affected parties", size["all"] - size.over, emitted, {"parties without a casualty": -size.unhurt})
     out.checks += checks.people(universe, people, resolved)
     return people, universe, attributes, affected
 
@@ -101,11 +101,12 @@ def rho_table(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> No
     pairs = rho.crash_pairs(universe).cache()
     reasons = {r.REASON: r["count"] for r in rho.with_reason(pairs).groupBy("REASON").count().collect()}
     kept, total = reasons.get(rho.KEPT, 0), sum(reasons.values())
-    out.ledger.record("restrict to the pairs", total, kept, [(-n, k) for k, n in reasons.items() if k != rho.KEPT])
+    out.ledger.settle("restrict to the pairs", total, kept, {k: -n for k, n in reasons.items() if k != rho.KEPT})
     located = rho.placed(rho.restrict(pairs), parties.crash_attributes(people)).cache()
     here = located.count()
-    out.ledger.record("located crashes", kept, here, [(here - kept, "crashes in no unit")])
+    out.ledger.settle("located crashes", kept, here, {"crashes in no unit": here - kept})
     long = rho.long_table(located, study).cache()
+    assert_unique(long, ["AGGREGATION_LEVEL", "AREA_CODE", "YEAR", "PAIR"])  # the pivots below keep one value a cell
     out.checks += checks.rho(long, located, study)
     out.tables |= {"rho_long": long, "rho_city": rho.city_table(long), "rho_city_crashes": rho.city_table(long, "CRASHES_TOTAL"), "rho_jumps": rho.jumps(long), "rho_sparse": rho.sparse_cells(long), "rho_pooled": rho.pooled_and_mean(long)}
 
@@ -132,7 +133,7 @@ def integration(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) ->
     rebuilt = integrate.replace_year(layer, new.drop("PERSON"), q.REPLACED)
     n = layer.agg(F.count("*").alias("rows"), F.count_if(F.col("YEAR") == q.REPLACED).alias("old")).first()
     fresh = new.count()
-    out.ledger.record("replace a year", n["rows"], rebuilt.count(), [(-n.old, "rows of the replaced year"), (fresh, "rows of the extract")])
+    out.ledger.settle("replace a year", n["rows"], rebuilt.count(), {"rows of the replaced year": -n.old, "rows of the extract": fresh})
     target = f"{folder}/data/injuries_by_year"
     sinks.write_years(rebuilt, target)
     out.files.append(target)
@@ -142,6 +143,7 @@ def integration(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) ->
 @route
 def urban_predictors(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> None:
     long = q._predictors(spark, sf_dir).cache()
+    assert_unique(long, ["AREA_CODE", "PREDICTOR"])  # the pivot below keeps one value a cell
     wide = predictors.wide_table(long).cache()
     pairs = predictors.correlations(wide)
     out.checks += checks.predictors(long, wide, pairs, q._predictor_study(spark))

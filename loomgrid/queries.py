@@ -704,11 +704,9 @@ def _(s, d):
     return ad.vehicles(s, d).select("FORMULARIO", "CODIGO_VEHICULO").distinct().withColumn("r", first).filter("r = 1").drop("r")
 
 
-@query("ST1", "select row_number() over (order by code nulls last, crash, ptype) as position, crash as FORMULARIO, code as AREA_CODE, ptype as PARTY_TYPE from (select distinct crash, code, ptype from aff) order by position limit 100")
+@query("ST1", "select crash as FORMULARIO, code as AREA_CODE, ptype as PARTY_TYPE, cp as COUNTERPART_TYPE, inj as PERSONS_INJURED, kil as PERSONS_KILLED from aff")
 def _(s, d):
-    order = [F.col("AREA_CODE").asc_nulls_last(), F.col("FORMULARIO"), F.col("PARTY_TYPE")]
-    top = _affected(s, d).select("FORMULARIO", "AREA_CODE", "PARTY_TYPE").distinct().orderBy(*order).limit(100)
-    return top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"), "FORMULARIO", "AREA_CODE", "PARTY_TYPE")
+    return parties.in_final_order(_affected(s, d)).select("FORMULARIO", "AREA_CODE", "PARTY_TYPE", "COUNTERPART_TYPE", "PERSONS_INJURED", "PERSONS_KILLED")
 
 
 @query("ST2", "select t as PARTY_TYPE, r as PARTY_TYPE_RANK from tl")
@@ -866,11 +864,13 @@ def _(s, d):
     return predictors.histogram(ad.read(s, d, "events").select("value"), "value").drop("UNITS")
 
 
-@query("CK2", "select k as \"CHECK\", true as OK from (values ('fatalities'), ('injuries'), ('casualties'), ('vehicles'), ('fatalities_unlocated'), ('injuries_unlocated')) v(k)")
+@query("CK2", "select k as \"CHECK\", OK from (values ('fatalities', true), ('injuries', true), ('casualties', (select count(*) from cas) = 0), ('vehicles', true), ('fatalities_unlocated', true), ('injuries_unlocated', true)) v(k, OK)")
 def _(s, d):
     from loomgrid.sources.readers import loading_counts
 
-    return checks.table(s, checks.loading(loading_counts(ad.casualties(s, d), ad.vehicles(s, d)).first().asDict(), None)).drop("DETAIL")
+    counts = loading_counts(ad.casualties(s, d), ad.vehicles(s, d)).first().asDict()
+    baseline = {"vehicles": ad.read(s, d, "lineitem").count(), "casualties": 0}  # one that holds and one that cannot
+    return checks.table(s, checks.loading(counts, baseline)).drop("DETAIL")
 
 
 @query("CK6", "select count(*)::bigint as ROWS, (count(*) - count(distinct (crash, person)))::bigint as DUPLICATED, 0::bigint as NULL_PERSONS, (select count(*) from (select crash, person from cas group by all having min(src) <> max(src)))::bigint as CROSS_LAYER from cas")

@@ -152,21 +152,43 @@ def test_replacing_a_year(spark):
 
 def test_ledger_balances_or_stops(spark):
     ledger = Ledger()
-    ledger.record("a", 10, 7, [(-4, "gone"), (1, "new"), (0, "nothing")], ["note"])
+    ledger.settle("a", 10, 7, {"gone": -4, "new": 1, "nothing": 0})
     with pytest.raises(LedgerError):
-        ledger.record("b", 10, 7, [(-2, "gone")])
-    assert ledger.frame(spark).collect()[0].changes == [(-4, "gone"), (1, "new")]
+        ledger.settle("b", 10, 7, {"gone": -2})
+    assert [tuple(r) for r in ledger.frame(spark).orderBy("STEP_NUMBER").collect()] == [(0, "a", "opening", 10), (0, "a", "gone", -4), (0, "a", "new", 1), (0, "a", "closing", 7)]
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.integers(0, 10**6), st.lists(st.tuples(st.integers(-1000, 1000), st.text(max_size=3)), max_size=5), st.integers(-3, 3))
-def test_ledger_accepts_exactly_balanced_stages(n, changes, off):
-    out = n + sum(d for d, _ in changes) + off
+@given(st.integers(0, 10**6), st.dictionaries(st.text(max_size=3), st.integers(-1000, 1000), max_size=5), st.integers(-3, 3))
+def test_ledger_accepts_exactly_balanced_stages(n, moved, off):
+    out = n + sum(moved.values()) + off
     if off:
         with pytest.raises(LedgerError):
-            Ledger().record("s", n, out, changes)
+            Ledger().settle("s", n, out, moved)
     else:
-        Ledger().record("s", n, out, changes)
+        Ledger().settle("s", n, out, moved)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.floats(-1e6, 1e6), st.floats(1e-6, 1e6))
+def test_histogram_edges_by_enumeration(low, span):
+    """Of all round steps over nine decades around the span, none has a count nearer the target."""
+    high = low + span
+    if high == low:
+        return
+    count = lambda s: math.ceil(high / s) - math.floor(low / s)
+    every = [m * 10.0**e for e in range(math.floor(math.log10(high - low)) - 4, math.floor(math.log10(high - low)) + 5) for m in (1.0, 2.0, 2.5, 5.0)]
+    allowed = [(abs(count(s) - 6), s) for s in every if 4 <= count(s) <= 10]
+    cuts = bins.histogram_edges(low, high)
+    if allowed:
+        best = min(allowed)[1]
+        assert len(cuts) - 1 == count(best) and math.isclose(cuts[1] - cuts[0], best, rel_tol=1e-6, abs_tol=best / 10)
+
+
+def test_pivots_need_one_row_a_cell(spark):
+    grid.assert_unique(spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int"), ["k", "v"])
+    with pytest.raises(grid.CoverageError):
+        grid.assert_unique(spark.createDataFrame([("a", 1), ("a", 1)], "k string, v int"), ["k", "v"])
 
 
 @pytest.mark.parametrize("low,high,first,count", [(0, 1, 0.0, 5), (0.003, 0.098, 0.0, 5), (3, 355, 0.0, 8), (-2, 2, -2.0, 8), (10, 10.6, 10.0, 6)])
@@ -223,6 +245,36 @@ def test_areas_containment_and_overlap(spark):
         spatial.assert_geometry(points, ("POINT",))
 
 
+def test_overlaps_at_large_coordinates(spark):
+    """Rotated polygons in metres near a city's plane coordinates: no pair that does not touch, and areas as by clipping."""
+    turned = lambda x, y, r, n, turn: [(x + r * math.cos(turn + 2 * math.pi * i / n), y + r * math.sin(turn + 2 * math.pi * i / n)) for i in range(n)]
+    text = lambda ring: "POLYGON((" + ", ".join(f"{a!r} {b!r}" for a, b in [*ring, ring[0]]) + "))"
+    units = {f"U{i}": turned(1_000_000 + 3_000 * (i % 4), 1_010_000 + 3_000 * (i // 4), 1_900, 5, 0.3 * i) for i in range(8)}
+    shapes = {i: turned(998_000 + 173 * i, 1_008_000 + (977 * i) % 8_000, 40 + 9 * i, 7, 0.1 * i) for i in range(60)} | {100 + i: turned(1_040_000 + 50 * i, 1_010_000 + 400 * i, 90, 7, 0.2 * i) for i in range(60)}
+    want = {(i, u): clip(a, b) for i, a in shapes.items() for u, b in units.items()}
+    want = {k: v for k, v in want.items() if v > 1e-6}
+    layer = spark.createDataFrame([(i, text(r)) for i, r in shapes.items()], "id int, w string").withColumn("rings", wkt.rings(F.col("w")))
+    roster = spark.createDataFrame([(u, text(r)) for u, r in units.items()], "AREA_CODE string, w string").withColumn("rings", wkt.rings(F.col("w")))
+    got = {(r.id, r.AREA_CODE): r.OVERLAP for r in spatial.overlap(layer, roster, 500.0).collect()}
+    assert len(want) > 40 and set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-6, abs_tol=1e-5) for k in want)
+
+
+def test_points_are_located_without_a_shuffle(spark):
+    units = spark.range(3).select(F.concat(F.lit("U"), "id").alias("AREA_CODE"), spatial.box(F.col("id") * 10, F.lit(0), F.col("id") * 10 + 10, F.lit(10)).alias("rings"))
+    points = spark.range(100).select(F.col("id").alias("p_id"), (F.col("id") * 0.5).alias("x"), F.lit(5.0).alias("y"))
+    found = spatial.locate(points, units)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert {r.p_id: r.AREA_CODE for r in found.collect()} == {i: None if i % 20 == 0 or i > 59 else f"U{i // 20}" for i in range(100)}
+    assert spatial.locate(points, units, how="inner").count() == 57
+
+
+def test_the_whole_table_is_in_order(spark):
+    rows = [("c2", None, "CAR", "V1"), ("c1", "02", "CAR", "V1"), ("c3", "01", "CAR", "V2"), ("c1", "01", "CAR", "V1"), ("c1", "01", "BICYCLE", "V2")]
+    got = parties.in_final_order(spark.createDataFrame(rows, "FORMULARIO string, AREA_CODE string, PARTY_TYPE string, PARTY_ID string")).collect()
+    assert [tuple(r) for r in got] == sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0], r[2]))
+
+
 def test_boundary_overlapping_units_and_snapping(spark):
     square = lambda x, y, w: f"POLYGON(({x} {y},{x + w} {y},{x + w} {y + w},{x} {y + w},{x} {y}))"
     units = spark.createDataFrame([("B", square(0, 0, 2)), ("A", square(1, 1, 2)), ("C", square(10, 10, 1))], "AREA_CODE string, w string").withColumn("rings", wkt.rings(F.col("w")))

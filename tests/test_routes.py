@@ -24,7 +24,7 @@ def test_matrix_route_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "write_table", lambda df, folder, kind, name, csv=True: [f"{folder}/{kind}_{name}"])
     out = routes.run(spark, "casualty_matrix", SF, str(tmp_path))
     assert sum(t.startswith(("crosstab", "by_year")) for t in out.tables) == 3 + 3 * 7
-    assert [r.stage for r in out.ledger.records] == ["two-party threshold", "emit affected parties"]
+    assert out.ledger.steps == ["two-party threshold", "emit affected parties"]
 
 
 def test_a_failed_check_fails_the_route(spark, tmp_path, monkeypatch):
