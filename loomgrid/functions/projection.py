@@ -38,11 +38,16 @@ def to_plane(lon: Column, lat: Column) -> tuple[Column, Column]:
     return east, SCALE * (_arc(phi) - arc0 + n * F.tan(phi) * rise) + NORTH0
 
 
-def project_rings(rings: Column) -> Column:
-    """Rings in degrees as rings in metres."""
+def _in_metres(p: Column) -> Column:
+    east, north = to_plane(p["x"], p["y"])
+    return F.struct(east.alias("x"), north.alias("y"))
+
 
-    def point(p: Column) -> Column:
-        east, north = to_plane(p["x"], p["y"])
-        return F.struct(east.alias("x"), north.alias("y"))
+def project_points(points: Column) -> Column:
+    """Points in degrees as points in metres."""
+    return F.transform(points, _in_metres)
 
-    return F.transform(rings, lambda r: F.struct(r["hole"].alias("hole"), F.transform(r["points"], point).alias("points")))
+
+def project_rings(rings: Column) -> Column:
+    """Rings in degrees as rings in metres."""
+    return F.transform(rings, lambda r: F.struct(r["hole"].alias("hole"), F.transform(r["points"], _in_metres).alias("points")))

@@ -75,6 +75,34 @@ def predictors(long: DataFrame, wide: DataFrame, correlations: DataFrame, study:
     ]
 
 
+def symmetry(square: DataFrame) -> list[Check]:
+    """A square table of correlations mirrors itself and has ones (or nothing, where a predictor does not vary) on its diagonal."""
+    a, b = F.col("PREDICTOR_A"), F.col("PREDICTOR_B")
+    each = square.groupBy(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).agg(
+        F.count("*").alias("n"), F.count("CORRELATION").alias("known"), (F.max("CORRELATION") - F.min("CORRELATION")).alias("gap"), F.max("CORRELATION").alias("most"))
+    own = F.col("low") == F.col("high")
+    skewed = ~own & ((F.col("n") != 2) | ~F.col("known").isin(0, 2) | (F.coalesce("gap", F.lit(0.0)) > 0))
+    t = each.agg(F.count_if(own & ((F.col("n") != 1) | (F.abs(F.col("most") - 1) > 1e-9))).alias("diagonal"), F.count_if(skewed).alias("skewed")).first()
+    return [("correlation diagonal is 1", t.diagonal == 0, str(t.diagonal)), ("correlations are symmetric", t.skewed == 0, str(t.skewed))]
+
+
+def dictionary(described: DataFrame, long: DataFrame, wide: DataFrame) -> list[Check]:
+    """The dictionary against the tables that it describes, all three as they were exported."""
+    measures = ["PREDICTOR", "MEASURE_UNIT", "VALUE_UNIT"]
+    known = {r[0] for r in described.select("PREDICTOR").collect()}  # declared, one row each
+    odd = long.select(*measures).distinct().join(F.broadcast(described.select(*measures)), measures, "left_anti").limit(20).collect()
+    bare = sorted(known - set(wide.columns))
+    return [
+        ("dictionary and measured predictors agree", same_set(described.select("PREDICTOR"), long.select("PREDICTOR")), ""),
+        ("dictionary covers the wide table", not bare and len(known) == len(wide.columns) - 4, f"not in the table: {bare}"),
+        ("dictionary and tables agree on units", not odd, str(sorted(r.PREDICTOR for r in odd))),
+    ]
+
+
+def sources(missing: list[str], declared: int) -> list[Check]:
+    return [("every declared source exists", not missing, f"{declared - len(missing)} of {declared}" + (f", not {missing}" if missing else ""))]
+
+
 def people(universe: DataFrame, casualties: DataFrame, kept: DataFrame) -> list[Check]:
     """Every person is in a party kept or in a crash discarded."""
     both = F.col("PERSONS_INJURED") + F.col("PERSONS_KILLED")

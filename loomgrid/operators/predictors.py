@@ -99,13 +99,18 @@ def usable(layer: DataFrame) -> DataFrame:
     return layer.filter(~spatial.is_empty(F.col(column)))
 
 
-def measure(layers: dict[str, DataFrame], units: DataFrame, predictors: tuple[Predictor, ...] = STATIC, tile: float = 1000.0) -> DataFrame:
-    """(AREA_CODE, PREDICTOR, MEASURE) of every declared layer, where it reaches a unit. Layers of one method are measured together, in one join with the units."""
+def measure(layers: dict[str, DataFrame], units: DataFrame, predictors: tuple[Predictor, ...] = STATIC, tile: float = 1000.0, repair: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(AREA_CODE, PREDICTOR, MEASURE) of every declared layer, where it reaches a unit. Layers of one method are measured together, in one join with the units.
+
+    `repair` gets the polygons of all layers at once, (PREDICTOR, id, rings), and gives valid ones.
+    """
     parts = []
     for method, geometry in (("area_share", "rings"), ("point_density", "points")):
         own = [usable(layers[p.name]).select(F.lit(p.name).alias("PREDICTOR"), "id", geometry) for p in predictors if p.method == method]
         if own:
-            parts.append(MEASUREMENTS[method](reduce(DataFrame.unionByName, own), units, tile, ("PREDICTOR",)))
+            features = reduce(DataFrame.unionByName, own)
+            features = repair(features) if repair and geometry == "rings" else features
+            parts.append(MEASUREMENTS[method](features, units, tile, ("PREDICTOR",)))
     return reduce(DataFrame.unionByName, parts).select("AREA_CODE", "PREDICTOR", "MEASURE")
 
 
@@ -156,6 +161,14 @@ def correlations(wide: DataFrame, predictors: tuple[Predictor, ...] = STATIC) ->
     return one.select(F.inline(rows))
 
 
+def correlation_matrix(pairs: DataFrame, wide: DataFrame, predictors: tuple[Predictor, ...] = STATIC) -> DataFrame:
+    """(PREDICTOR_A, PREDICTOR_B, CORRELATION) for every ordered pair and each predictor with itself: 1, or null where it does not vary."""
+    own = wide.agg(*[F.when(F.stddev_samp(c) > 0, 1.0).alias(c) for c in names(predictors)])
+    diagonal = own.select(F.inline(F.array(*[F.struct(F.lit(c).alias("PREDICTOR_A"), F.lit(c).alias("PREDICTOR_B"), F.col(c).alias("CORRELATION")) for c in names(predictors)])))
+    turned = pairs.select(F.col("PREDICTOR_B").alias("PREDICTOR_A"), F.col("PREDICTOR_A").alias("PREDICTOR_B"), "CORRELATION")
+    return pairs.unionByName(turned).unionByName(diagonal)
+
+
 def high_correlations(pairs: DataFrame, least: float = HIGH_CORRELATION) -> DataFrame:
     return pairs.filter(F.abs("CORRELATION") >= least).orderBy(F.abs("CORRELATION").desc(), "PREDICTOR_A", "PREDICTOR_B")
 

@@ -1,8 +1,8 @@
 """Planar geometry as column expressions and joins: areas, containment, overlap, nearest edge.
 
 A polygon feature is (id, rings), rings an ARRAY<STRUCT<hole BOOLEAN, points ARRAY<STRUCT<x DOUBLE, y DOUBLE>>>>; a ring may or may not repeat its
-first point. Multi-part features have several rings that are no holes. Polygons must be valid: `self_crossings` finds those that
-are not, and they are reported rather than repaired.
+first point. Multi-part features have several rings that are no holes. Areas ask for valid polygons: `self_crossings` finds those that
+are not, and `repaired` replaces them.
 """
 
 from __future__ import annotations
@@ -190,6 +190,53 @@ def self_crossings(features: DataFrame, tile: float = 1.0) -> DataFrame:
     return met.filter(crosses).select("id").distinct()
 
 
+def even_odd(features: DataFrame) -> DataFrame:
+    """(id, rings): the points that a ray from outside reaches over an odd number of edges, as trapezoids side by side; a feature without such points has no row.
+
+    A feature is cut into strips at the x of its corners and crossings. In a strip no two edges cross, so they are ordered by height and every second gap
+    between them lies inside. A feature is worked on within its row, without a shuffle, in time that goes by the square of its edges: this is for the few that are invalid.
+    """
+    height = lambda e, x: e["at_lo"] + (x - e["lo"]) / (e["hi"] - e["lo"]) * (e["at_hi"] - e["at_lo"])
+
+    def sloped(s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        east = p["x"] < q["x"]
+        ends = F.least(p["x"], q["x"]).alias("lo"), F.greatest(p["x"], q["x"]).alias("hi")
+        return F.struct(*ends, F.when(east, p["y"]).otherwise(q["y"]).alias("at_lo"), F.when(east, q["y"]).otherwise(p["y"]).alias("at_hi"))
+
+    def crossing(e: Column, o: Column) -> Column:
+        """The x where two edges cross inside both; null where they do not."""
+        a, b = F.greatest(e["lo"], o["lo"]), F.least(e["hi"], o["hi"])
+        d0, d1 = height(e, a) - height(o, a), height(e, b) - height(o, b)
+        return F.when((a < b) & (d0 * d1 < 0), a + (b - a) * d0 / (d0 - d1))
+
+    def strip(a: Column, i: Column) -> Column:
+        b = F.get("cuts", i + 1)
+        spanning = F.filter("lines", lambda e: (e["lo"] <= a) & (e["hi"] >= b))
+        up = F.transform(spanning, lambda e: F.struct((height(e, a) + height(e, b)).alias("m"), height(e, a).alias("p"), height(e, b).alias("q")))
+        return F.struct(a.alias("a"), b.alias("b"), F.array_sort(up).alias("up"))
+
+    def trapezoids(s: Column) -> Column:
+        corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+        gaps = F.filter(F.transform(s["up"], lambda h, i: F.struct(i.alias("i"), h.alias("low"), F.get(s["up"], i + 1).alias("high"))), lambda g: (g["i"] % 2 == 0) & (g["high"]["m"] > g["low"]["m"]))
+        points = lambda g: F.array(corner(s["a"], g["low"]["p"]), corner(s["b"], g["low"]["q"]), corner(s["b"], g["high"]["q"]), corner(s["a"], g["high"]["p"]))
+        return F.transform(gaps, lambda g: F.struct(F.lit(False).alias("hole"), points(g).alias("points")))
+
+    drawn = F.flatten(F.transform(F.filter("rings", lambda r: F.size(r["points"]) > 2), lambda r: _neighbours(r["points"])))
+    each = features.select("id", F.transform(F.filter(drawn, lambda s: s["p"]["x"] != s["q"]["x"]), sloped).alias("lines"))
+    met = F.flatten(F.transform("lines", lambda e, i: F.filter(F.transform(F.slice("lines", i + 2, F.size("lines")), lambda o: crossing(e, o)), lambda x: x.isNotNull())))
+    ends = F.concat(F.transform("lines", lambda e: e["lo"]), F.transform("lines", lambda e: e["hi"]))
+    each = each.filter(F.size("lines") > 1).select("id", "lines", F.array_sort(F.array_distinct(F.concat(ends, met))).alias("cuts"))
+    each = each.select("id", F.transform(F.slice("cuts", 1, F.size("cuts") - 1), strip).alias("strips"))
+    return each.select("id", F.flatten(F.transform("strips", trapezoids)).alias("rings")).filter(F.size("rings") > 0)
+
+
+def repaired(features: DataFrame, tile: float = 1.0) -> DataFrame:
+    """(id, rings): features that cross themselves are replaced by their even-odd interior, the others stay; one that has no interior is left out."""
+    bad = self_crossings(features, tile)
+    return features.select("id", "rings").join(bad, "id", "left_anti").unionByName(even_odd(features.join(bad, "id", "left_semi")))
+
+
 def explode_points(features: DataFrame) -> DataFrame:
     """(id, part, x, y): one row for each point of a multi-point feature (id, points)."""
     return features.select("id", F.posexplode("points").alias("part", "p")).select("id", "part", "p.x", "p.y")

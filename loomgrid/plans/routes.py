@@ -1,4 +1,6 @@
-"""The seven routes over the adapter's model: `python -m loomgrid.plans.routes ROUTE SF_DIR OUT`.
+"""The seven routes: `python -m loomgrid.plans.routes ROUTE FOLDER OUT [--dump]`.
+
+FOLDER holds a city's own files if it has a `city.json`, else the star-schema tables.
 
 A route returns its ledger and checks; a failed check or an unbalanced stage ends it with an error after its report is written.
 """
@@ -13,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid import queries as q
-from loomgrid.domains import INJURY
+from loomgrid.domains import FATALITY, INJURY
 from loomgrid.ledger import Ledger
 from loomgrid.operators import checks, completeness, integrate, matrix, parties, predictors, rho
 from loomgrid.operators.grid import assert_covered, assert_unique
 from loomgrid.plans import sinks
-from loomgrid.sources import adapter as ad
+from loomgrid.sources import adapter, city
 from loomgrid.sources.readers import loading_counts
 
 
@@ -32,6 +34,8 @@ class Outcome:
     ledger: Ledger = field(default_factory=Ledger)
     checks: list[checks.Check] = field(default_factory=list)
     files: list[str] = field(default_factory=list)
+    intermediates: dict[str, DataFrame] = field(default_factory=dict)
+    exported: Callable[[Callable[[str], str]], list[checks.Check]] | None = None  # checks that reread exports, given the path of a table's CSV
 
 
 Route = Callable[[SparkSession, str, str, Outcome], None]
@@ -43,8 +47,18 @@ def route(f: Route) -> Route:
     return f
 
 
+def _model(folder: str):
+    """Where a folder's casualties, vehicles, units and study come from."""
+    return city if city.is_city(folder) else adapter
+
+
+def _years(folder: str) -> tuple[int, ...]:
+    return city.years(folder) if city.is_city(folder) else adapter.YEARS
+
+
 def _load(spark: SparkSession, sf_dir: str, out: Outcome) -> tuple[DataFrame, DataFrame]:
-    people, vehicles = ad.casualties(spark, sf_dir), ad.vehicles(spark, sf_dir)
+    model = _model(sf_dir)
+    people, vehicles = model.casualties(spark, sf_dir), model.vehicles(spark, sf_dir)
     parties.assert_crash_ids(people)
     out.checks += checks.loading(loading_counts(people, vehicles).first().asDict(), None)
     return people, vehicles
@@ -57,7 +71,7 @@ def _universe(people: DataFrame, vehicles: DataFrame) -> DataFrame:
 @route
 def loading(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> None:
     _load(spark, sf_dir, out)
-    out.tables["units"] = ad.units(spark, sf_dir)
+    out.tables["units"] = _model(sf_dir).units(spark, sf_dir)
 
 
 def _parties(spark: SparkSession, sf_dir: str, out: Outcome) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -70,6 +84,7 @@ def _parties(spark: SparkSession, sf_dir: str, out: Outcome) -> tuple[DataFrame,
     out.ledger.settle("two-party threshold", size["all"], size["all"] - size.over, {"parties of crashes with more than two": -size.over})
     out.ledger.settle("emit affected parties", size["all"] - size.over, emitted, {"parties without a casualty": -size.unhurt})
     out.checks += checks.people(universe, people, resolved)
+    out.intermediates |= {"party_universe": universe, "resolved_counterparts": resolved}
     return people, universe, attributes, affected
 
 
@@ -82,7 +97,7 @@ def affected(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> Non
 @route
 def casualty_matrix(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> None:
     _, _, _, found = _parties(spark, sf_dir, out)
-    study = ad.study(spark, sf_dir)
+    study = _model(sf_dir).study(spark, sf_dir)
     long = matrix.long_table(found, study).cache()
     assert_covered(matrix.cells(found), matrix.grid(study), matrix.KEYS)
     out.checks += checks.matrix(long, found, study)
@@ -97,7 +112,7 @@ def casualty_matrix(spark: SparkSession, sf_dir: str, folder: str, out: Outcome)
 @route
 def rho_table(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> None:
     people, vehicles = _load(spark, sf_dir, out)
-    universe, study = _universe(people, vehicles), ad.study(spark, sf_dir)
+    universe, study = _universe(people, vehicles), _model(sf_dir).study(spark, sf_dir)
     pairs = rho.crash_pairs(universe).cache()
     reasons = {r.REASON: r["count"] for r in rho.with_reason(pairs).groupBy("REASON").count().collect()}
     kept, total = reasons.get(rho.KEPT, 0), sum(reasons.values())
@@ -113,56 +128,75 @@ def rho_table(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> No
 
 @route
 def coverage(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> None:
-    people = ad.casualties(spark, sf_dir)
-    table = completeness.monthly_table(people, ad.YEARS).cache()
+    people = _model(sf_dir).casualties(spark, sf_dir)
+    table = completeness.monthly_table(people, _years(sf_dir)).cache()
     out.tables |= {"completeness": table, "flagged_months": completeness.flagged(table), "yearly_change": completeness.yearly_change(table), "trailing_empty": completeness.trailing_empty(table), "dates": completeness.date_profile(people)}
 
 
+def _extract(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The updated extract with PERSON, and the year it replaces."""
+    return (city.extract(spark, sf_dir), city.replaced(sf_dir)) if city.is_city(sf_dir) else (q._incoming(spark, sf_dir), q.REPLACED)
+
+
 @route
 def integration(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> None:
-    people, vehicles, incoming = ad.casualties(spark, sf_dir), ad.vehicles(spark, sf_dir), q._incoming(spark, sf_dir)
-    integrate.assert_single_year(incoming, q.REPLACED)
-    before = people.filter(F.col("YEAR") == q.REPLACED - 1)
+    """Both layers with the year replaced, written under the run's folder and never beside their source."""
+    model = _model(sf_dir)
+    people, vehicles, (incoming, year) = model.casualties(spark, sf_dir), model.vehicles(spark, sf_dir), _extract(spark, sf_dir)
+    integrate.assert_single_year(incoming, year)
+    before = people.filter(F.col("YEAR") == year - 1)
     integrate.assert_rate(integrate.reference_rate(incoming, vehicles), integrate.reference_rate(before, vehicles))
-    everyone = people.filter(F.col("YEAR") == q.REPLACED).withColumn("PERSON", F.col("CODIGO_ACC"))
-    new = incoming.filter(F.col("CASUALTY_SOURCE") == INJURY)
-    account = integrate.account_for_people(q._previous(spark, sf_dir), new, incoming, everyone)
-    integrate.assert_overlap(account)
-    layer = people.filter(F.col("CASUALTY_SOURCE") == INJURY)
-    integrate.assert_same_types(new.drop("PERSON"), layer)
-    rebuilt = integrate.replace_year(layer, new.drop("PERSON"), q.REPLACED)
-    n = layer.agg(F.count("*").alias("rows"), F.count_if(F.col("YEAR") == q.REPLACED).alias("old")).first()
-    fresh = new.count()
-    out.ledger.settle("replace a year", n["rows"], rebuilt.count(), {"rows of the replaced year": -n.old, "rows of the extract": fresh})
-    target = f"{folder}/data/injuries_by_year"
-    sinks.write_years(rebuilt, target)
-    out.files.append(target)
-    out.tables["people"] = account
+    everyone = people.filter(F.col("YEAR") == year).withColumn("PERSON", F.col("CODIGO_ACC"))
+    for source, name in ((FATALITY, "fatalities"), (INJURY, "injuries")):
+        own = F.col("CASUALTY_SOURCE") == source
+        layer, new = people.filter(own), incoming.filter(own)
+        account = integrate.account_for_people(everyone.filter(own), new, incoming, everyone)
+        integrate.assert_overlap(account)
+        integrate.assert_same_types(new.drop("PERSON"), layer)
+        rebuilt = integrate.replace_year(layer, new.drop("PERSON"), year)
+        n = layer.agg(F.count("*").alias("rows"), F.count_if(F.col("YEAR") == year).alias("old")).first()
+        out.ledger.settle(f"replace a year of {name}", n["rows"], rebuilt.count(), {"rows of the replaced year": -n.old, "rows of the extract": new.count()})
+        target = f"{folder}/data/{name}_by_year"
+        sinks.write_years(rebuilt, target)
+        out.files.append(target)
+        out.tables[f"people_{name}"] = account
+        out.tables[f"relocated_{name}"] = integrate.relocated(everyone.filter(own), new)
 
 
 @route
 def urban_predictors(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> None:
-    long = q._predictors(spark, sf_dir).cache()
+    if city.is_city(sf_dir):
+        out.checks += checks.sources(city.missing_sources(sf_dir), len(predictors.STATIC))
+        long, study = city.predictor_table(spark, sf_dir, f"{folder}/intermediate")
+    else:
+        long, study = q._predictors(spark, sf_dir), q._predictor_study(spark)
+    long = long.cache()
     assert_unique(long, ["AREA_CODE", "PREDICTOR"])  # the pivot below keeps one value a cell
     wide = predictors.wide_table(long).cache()
     pairs = predictors.correlations(wide)
-    out.checks += checks.predictors(long, wide, pairs, q._predictor_study(spark))
-    out.tables |= {"predictors_long": long, "predictors_wide": wide, "correlations": pairs, "high_correlations": predictors.high_correlations(pairs), "summary": predictors.summary(long), "dictionary": predictors.dictionary(spark), "scaled": predictors.scaled(wide), "zeros": predictors.zeros(long)}
+    square = predictors.correlation_matrix(pairs, wide)
+    out.checks += checks.predictors(long, wide, pairs, study) + checks.symmetry(square)
+    out.tables |= {"predictors_long": long, "predictors_wide": wide, "correlations": pairs, "correlation_matrix": square, "high_correlations": predictors.high_correlations(pairs), "summary": predictors.summary(long), "dictionary": predictors.dictionary(spark), "scaled": predictors.scaled(wide), "zeros": predictors.zeros(long)}
     for p in predictors.STATIC:
         out.tables[f"histogram_{p.name.lower()}"] = predictors.histogram(wide, p.name)
+    out.exported = lambda path: checks.dictionary(*(sinks.reread(spark, path(t), out.tables[t]) for t in ("dictionary", "predictors_long", "predictors_wide")))
 
 
 #: Tables for models; the dictionary is a reference; all others are for reading.
 ANALYSIS = {"affected_parties", "matrix_long", "rho_long", "completeness", "predictors_long", "predictors_wide", "correlations", "units"}
 
 
-def run(spark: SparkSession, name: str, sf_dir: str, root: str) -> Outcome:
-    """Run a route, write its tables, ledger and checks, and fail if a check did."""
+def run(spark: SparkSession, name: str, sf_dir: str, root: str, dump: bool = False) -> Outcome:
+    """Run a route, write its tables, ledger and checks, with `dump` its intermediate results too, and fail if a check did."""
     out, folder = Outcome(), sinks.run_folder(root)
     ROUTES[name](spark, sf_dir, folder, out)
+    kinds = {t: "reference" if t == "dictionary" else "analysis" if t in ANALYSIS else "presentation" for t in out.tables}
     for table, df in out.tables.items():
-        kind = "reference" if table == "dictionary" else "analysis" if table in ANALYSIS else "presentation"
-        out.files += sinks.write_table(df, folder, kind, table)
+        out.files += sinks.write_table(df, folder, kinds[table], table)
+    for stage, df in out.intermediates.items() if dump else ():
+        out.files += sinks.write_intermediate(df, folder, stage)
+    if out.exported:
+        out.checks += out.exported(lambda table: f"{sinks.path(folder, kinds[table], table)}.csv")
     out.files += sinks.write_table(out.ledger.frame(spark), folder, "reference", "ledger", csv=False)
     out.files += sinks.write_table(checks.table(spark, out.checks), folder, "reference", "checks")
     failed = [f"{n}: {detail}" for n, ok, detail in out.checks if not ok]
@@ -176,10 +210,11 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("route", choices=ROUTES)
     parser.add_argument("sf_dir")
     parser.add_argument("out")
+    parser.add_argument("--dump", action="store_true", help="write intermediate results too")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName(f"loomgrid-{given.route}").getOrCreate()
     try:
-        outcome = run(spark, given.route, given.sf_dir, given.out)
+        outcome = run(spark, given.route, given.sf_dir, given.out, given.dump)
     except RouteFailed as e:
         print(e)
         return 1

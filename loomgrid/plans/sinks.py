@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: The kinds of files.
 KINDS = ("analysis", "presentation", "reference")
@@ -34,3 +34,18 @@ def write_table(df: DataFrame, folder: str, kind: str, name: str, csv: bool = Tr
 def write_years(layer: DataFrame, target: str, column: str = "YEAR") -> None:
     """A layer partitioned by year; writing some years again replaces these and leaves the others."""
     layer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(target)
+
+
+def write_intermediate(df: DataFrame, folder: str, name: str) -> list[str]:
+    """A stage's result for inspection: Parquet with its types, and CSV without the columns that CSV cannot hold."""
+    out = [f"{folder}/intermediate/{name}.parquet", f"{folder}/intermediate/{name}.csv"]
+    df.write.mode("overwrite").parquet(out[0])
+    flat = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "struct", "map")]
+    df.select(*flat).write.mode("overwrite").option("header", True).csv(out[1])
+    return out
+
+
+def reread(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """An exported CSV with the columns and types of the table it was written from; a row that does not fit is an error."""
+    found = spark.read.schema(like.schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
+    return found.select(*like.columns)

@@ -48,7 +48,7 @@ def plain(value):
     return float(f"{value:.8g}") if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", ["op_AG3", "op_AG4", "op_WN6", "op_AG8", "op_SJ4", "op_SO6", "op_AG14", "op_JN13"])
+@pytest.mark.parametrize("name", ["op_AG3", "op_AG4", "op_WN6", "op_AG8", "op_SJ4", "op_SO6", "op_AG14", "op_JN13", "op_FLT11", "op_GEO5", "op_GEO6", "op_CK2", "op_CK5"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
