@@ -623,7 +623,13 @@ def _(s, d):
     return rho.pooled_and_mean(_rho(s, d))
 
 
-@query("AG24", "select b as BIN, (b * 100)::double as BIN_LOW, (b * 100 + 100)::double as BIN_HIGH, (select count(*) from events where value >= b * 100 and (value < b * 100 + 100 or (b = 4 and value <= 500))) as UNITS from (select unnest(range(5))::int as b)")
+_BINS_SQL = """, r as (select min(value) as lo, max(value) as hi from events),
+    tried as (select m * power(10.0, e) as step, lo, hi from r, unnest([1.0, 2.0, 2.5, 5.0]) t(m), range(-9, 10) x(e)),
+    best as (select step, floor(lo / step) as f, ceil(hi / step) - floor(lo / step) as n from tried where ceil(hi / step) - floor(lo / step) between 4 and 10 order by abs(n - 6), step limit 1),
+    bins as (select b::int as BIN, ((f + b) * step)::double as BIN_LOW, ((f + b + 1) * step)::double as BIN_HIGH, b = n - 1 as is_last from best, range(10) y(b) where b < n)"""
+
+
+@query("AG24", _BINS_SQL + """ select BIN, BIN_LOW, BIN_HIGH, (select count(*) from events where value >= BIN_LOW and (value < BIN_HIGH or (is_last and value <= BIN_HIGH))) as UNITS from bins""")
 def _(s, d):
     return predictors.histogram(ad.read(s, d, "events").select("value"), "value")
 
@@ -866,7 +872,7 @@ def _(s, d):
     return layer.groupBy(F.col("geom_type").alias("KIND")).agg(F.count("*").alias("n"))
 
 
-@query("SC12", "select b as BIN, (b * 100)::double as BIN_LOW, (b * 100 + 100)::double as BIN_HIGH from (select unnest(range(5))::int as b)")
+@query("SC12", _BINS_SQL + " select BIN, BIN_LOW, BIN_HIGH from bins")
 def _(s, d):
     return predictors.histogram(ad.read(s, d, "events").select("value"), "value").drop("UNITS")
 
