@@ -62,7 +62,7 @@ class ChunkEncoder:
     character, is cut at white space only, and one with U+001C to U+001F, no white space to the tokenizer, goes there whole.
     """
 
-    LIMIT = 450_000
+    LIMIT = 60_000
     RUN = re.compile(r"[^\W\d_]+|(?:[^\s\w]|[\d_])+")
 
     def __init__(self, path: str) -> None:
