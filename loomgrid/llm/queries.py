@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import language_id, licenses, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_filter, vector_dedup
+from loomgrid.llm import language_id, licenses, line_dedup, merkle, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_filter, vector_dedup, whitening
 from loomgrid.llm.common import fold, table
 
 
@@ -57,5 +57,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("pk_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scans, op3_mixing, op4_quality_rules, op5_url_filters, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_language_id, op9_quality_classifier, op10_best_fit_packing)}
-ORACLE_SQL = {"op2_license_scans": licenses.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op3_mixing": mixing.ORACLE, "op5_url_filters": url_filter.ORACLE, "op6_embedding_near_dedup": vector_dedup.ORACLE}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.tampered(table(spark, sf_dir, "documents"))
+    as_text = lambda c: F.lower(F.hex(c))
+    found = found.select(F.col("m_id").alias("doc_id"), as_text("m_leaf").alias("leaf"), as_text("m_subroot").alias("subroot"), as_text("m_root").alias("root"), merkle.path_digest(F.col("m_path")).alias("proof_sha256"), merkle.fold(F.coalesce("m_other", "m_leaf"), F.col("m_path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("l_id").alias("doc_id"), F.col("l_lines").alias("n_lines"), F.col("l_dropped").alias("n_dropped"), F.sha2(F.coalesce("l_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnsRenamed({"w_id": "vec_id", "w_component": "component", "w_n": "n", "w_deviation": "deviation", "w_value": "whitened", "w_explained": "explained", "w_identity_error": "identity_error"})
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scans, op3_mixing, op4_quality_rules, op5_url_filters, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_language_id, op9_quality_classifier, op10_best_fit_packing, op11_merkle_manifest, op12_line_dedup, op13_embedding_whitening)}
+ORACLE_SQL = {"op2_license_scans": licenses.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op3_mixing": mixing.ORACLE, "op5_url_filters": url_filter.ORACLE, "op6_embedding_near_dedup": vector_dedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_line_dedup": line_dedup.ORACLE}
