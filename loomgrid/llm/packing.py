@@ -1,35 +1,40 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity, in bulk-synchronous rounds.
 
 A length is an integer of at most the capacity, and documents of one length are interchangeable. So the tables of the rounds hold classes: lengths with
-ranges of ranks, and gaps with ranges of sequences. Lengths are taken in bands, each half as long as the one before. In a round, documents and gaps of a band
-are sorted by size into range partitions, and a sweep matches every document to its successor, the smallest gap that holds it: running sums within a partition,
-carried across partition borders. Conflicts over a gap are resolved by rank: documents that find their successor taken get the gaps after it, and the longest
-are left over if there are too few. Gaps are updated and the round repeats; new sequences open as far as all gaps together cannot hold what is left, and in a band's last round
-as many as are needed. A match is a range of ranks and sequences; the ranks of single documents within their length, and their places by a join on ranges of
-ranks, are worked out over all pieces once, at the end.
+ranges of ranks, and gaps with ranges of sequences. Lengths are taken in bands from the longest down; a band never joins lengths of which a sequence holds different numbers. In a
+round, documents and gaps of a band are sorted by size into range partitions, and a sweep matches every document to its successor, the smallest gap that holds it: running sums
+within a partition, carried across partition borders. Conflicts over a gap are resolved by rank: documents that find their successor taken get the gaps after it, and the longest
+are left over if there are too few. Gaps are updated and the round repeats, opening new sequences only as far as all gaps together cannot hold what is left, until a round gains
+little; then as many as are needed open. A match is a range of ranks and sequences; documents get their ranks within their length by one range sort over all pieces at the end, and look
+their matches, few whatever the input, up in a broadcast table.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import materialize, text_batches
 
 CAPACITY, END_ID = 4096, 1
+#: Fixed value: how the tokenizer whose texts can be encoded run by run splits them.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = END_ID.to_bytes(4, "little")
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces of one length that are ranked by one task; a commoner length is dealt over more.
-RANK_BLOCK = 256
-#: Rounds of a band, range partitions of a round, and ranks that a piece and the matches that may hold it have in common when they are joined.
-ROUNDS, PARTS, LOOKUP = 2, 16, 16
+#: A band reaches down to so much of its longest length, or to half of it where more than `FINE` of that fill a sequence. After a round that placed less than `GAIN` of
+#: what it was given, as many sequences as are needed open.
+BAND, FINE, GAIN = 0.75, 6, 0.9
+#: Range partitions of a round; pieces of a range partition of the last sort (more only beyond `MOST_PARTS` of them).
+PARTS, PART_PIECES, MOST_PARTS = 16, 100_000, 20_000
 #: The sign that byte-level BPE writes for each byte: itself where it is visible, the others from U+0100 on in order.
 _BYTE_SIGNS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173))}
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -56,7 +61,7 @@ class Memo(dict):
 class ChunkEncoder:
     """Token ids of texts as little-endian 32-bit integers; the ids of runs of letters and of other runs are remembered.
 
-    The tokenizer drops white space, never joins across it, and parts letters from anything else. So a text's ids are the ids of its
+    That holds for a tokenizer that splits as `SPLIT` says; any other one encodes whole texts. It drops white space, never joins across it, and parts letters from anything else. So a text's ids are the ids of its
     runs of letters and of its other runs, in order; a text with no character beyond U+00FF is lower-cased and cut that way, as nothing in it
     composes. Apostrophes (contractions) and `<|` (special tokens) join letters and marks: a text with one of these, or with a later
     character, is cut at white space only, and one with U+001C to U+001F, no white space to the tokenizer, goes there whole.
@@ -70,6 +75,15 @@ class ChunkEncoder:
 
         self.full = Tokenizer.from_file(path)
         self.known = Memo(self._run, self.LIMIT)
+        self.by_runs = self._parts_runs()
+
+    def _parts_runs(self) -> bool:
+        """Whether the tokenizer's file normalises and splits as encoding run by run needs. Any other one gets whole texts."""
+        form = json.loads(self.full.to_str())
+        normal, split = (form[k] or {} for k in ("normalizer", "pre_tokenizer"))
+        kinds = [n["type"] for n in normal.get("normalizers", [])]
+        patterns = [p.get("pattern", {}).get("Regex") for p in split.get("pretokenizers", [])]
+        return kinds == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and patterns == [SPLIT, None] and form["model"]["type"] == "BPE"
 
     def _exact(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -82,7 +96,7 @@ class ChunkEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        if not self.by_runs or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return self._exact(text)
         if "'" in text or "<|" in text or not (text.isascii() or _is_latin(text)):
             runs = text.split()
@@ -139,123 +153,193 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return narrow.mapInArrow(cut, shape)
 
 
-GAPS = "gap long, sequence long, many long"
-#: `count` documents of `length` with ranks from `rank` on lie `per` to a sequence from `sequence` and `offset` on.
-MATCHES = ("length", "rank", "count", "per", "sequence", "offset")
-_BEFORE = "over (partition by part order by size, kind, gap, first rows between unbounded preceding and 1 preceding)"
-_SO_FAR = "over (partition by part order by size, kind, gap, first rows between unbounded preceding and current row)"
+#: Classes: `many` documents of length `size` with ranks from `first` on (kind 0), or `many` sequences from `first` on with a gap of `size` (kind 1).
+CLASS = "kind int, size long, first long, many long"
+#: Matches (kind 2): `many` documents of length `size` with ranks from `first` on lie `per` to a sequence from `sequence` and `offset` on.
+MATCHES = ("size", "first", "many", "per", "sequence", "offset")
+_ROUND = f"{CLASS}, per long, sequence long, offset long"
+_NEVER = -(1 << 60)
+
+
+def _rows(schema: str, rows: list[tuple[int, ...]]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    fields = [(name, kinds[kind]) for name, kind in (field.split() for field in schema.split(", "))]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _sorted_rows(docs: DataFrame, gaps: DataFrame, low: int, top: int) -> DataFrame:
-    """Classes of documents (kind 0) and of slots in gaps (kind 1) of a band, range-sorted by size, with the units of either kind before each within its partition.
+class Sweep:
+    """The classes of one range partition in order of size, documents before slots, with the documents and slots before each within the partition.
 
     A gap of at least `top` has as many slots as documents of length `top` fit, a smaller one has one slot. `lift` is how far documents up to a
-    row must move on from the slot of their own number to find one that holds them.
+    class must move on from the slot of their own number to find one that holds them.
     """
-    slots = gaps.filter(f"gap > {low}").selectExpr("gap", "sequence", "many", f"greatest(1L, gap div {top}) as per")
-    slots = slots.selectExpr(f"least(gap, {top}L) as size", "1 as kind", "gap", "per", "sequence as first", "many * per as units")
-    waiting = docs.filter("left > 0").selectExpr("length as size", "0 as kind", "0L as gap", "1L as per", "rank as first", "left as units")
-    rows = waiting.unionByName(slots).selectExpr("*", f"cast((size - {low + 1}) * {PARTS} div {top - low} as int) as part")
-    rows = rows.selectExpr("*", f"coalesce(sum(if(kind = 0, units, 0L)) {_BEFORE}, 0L) as docs_before", f"coalesce(sum(if(kind = 1, units, 0L)) {_BEFORE}, 0L) as slots_before")
-    return rows.selectExpr("*", f"max(if(kind = 0, slots_before - docs_before, null)) {_SO_FAR} as lift")
 
+    def __init__(self, table: pa.Table, top: int) -> None:
+        kind, size, first, many = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("kind", "size", "first", "many"))
+        order = np.lexsort((first, size, kind, np.where(kind == 1, np.minimum(size, top), size)))
+        self.kind, self.size, self.first, self.many = kind[order], size[order], first[order], many[order]
+        self.units = self.many * np.where(self.kind == 1, np.maximum(1, self.size // top), 1)
+        docs, slots = np.where(self.kind == 0, self.units, 0), np.where(self.kind == 1, self.units, 0)
+        self.docs, self.slots = int(docs.sum()), int(slots.sum())
+        self.docs_before, self.slots_before = np.cumsum(docs) - docs, np.cumsum(slots) - slots
+        self.lift = np.maximum.accumulate(np.where(self.kind == 0, self.slots_before - self.docs_before, _NEVER))
+
+
+def _fill(table: pa.Table, top: int, fresh: int, capacity: int) -> list[tuple[int, ...]]:
+    """Matches and gaps of one range partition of slots, from its classes of slots and the documents that were given their numbers (`at`)."""
+    rows = sorted(zip(*[table[c].to_pylist() for c in ("at", "kind", "size", "first", "many")], strict=True), key=lambda r: (r[0], -r[1]))
+    out: list[tuple[int, ...]] = []
+    slots, docs = [r for r in rows if r[1] == 1], [r for r in rows if r[1] == 0]
+    at_doc = 0
+    for start, _, gap, sequence, many in slots:
+        per = max(1, gap // top)
+        end, covered = start + many * per, 0
+        filled = 0  # of the sequence that was begun last
+        while at_doc < len(docs) and docs[at_doc][0] < end:
+            at, _, length, rank, n = docs[at_doc]
+            now, unit = min(n, end - at), at - start
+            covered = unit + now
+            if now < n:
+                docs[at_doc] = (end, 0, length, rank + now, n - now)
+            else:
+                at_doc += 1
+            head = min(now, -unit % per)
+            whole = (now - head) // per
+            if head:
+                out.append((2, length, rank, head, head, sequence + unit // per, capacity - gap + filled))
+                filled += head * length
+                if (unit + head) % per == 0:
+                    out.append((1, gap - filled, sequence + unit // per, 1, 0, 0, 0))
+                    filled = 0
+            if whole:
+                out.append((2, length, rank + head, whole * per, per, sequence + (unit + head) // per, capacity - gap))
+                out.append((1, gap - per * length, sequence + (unit + head) // per, whole, 0, 0, 0))
+            if tail := now - head - whole * per:
+                out.append((2, length, rank + head + whole * per, tail, tail, sequence + (covered - tail) // per, capacity - gap))
+                filled = tail * length
+        touched = -(-covered // per)
+        if filled:
+            out.append((1, gap - filled, sequence + touched - 1, 1, 0, 0, 0))
+        if many > touched and sequence < fresh:
+            out.append((1, gap, sequence + touched, many - touched, 0, 0, 0))
+    return [r for r in out if r[0] != 1 or r[1] > 0]
+
+
+def match_round(classes: DataFrame, low: int, top: int, fresh: int, capacity: int) -> DataFrame:
+    """What one round over the band (low, top] leaves: classes of documents and gaps, and matches (the columns of `_ROUND`), in a scratch table.
+
+    Sequences from `fresh` on that nothing was put in stay closed. Tables of classes do not grow with the input.
+    """
+    banded = classes.filter(f"kind = 0 or size > {low}").withColumn("part", F.expr(f"cast((least(size, {top}L) - {low + 1}) * {PARTS} div {top - low} as int)"))
 
-def _segments(rows: DataFrame, ends: list[tuple[int, int]], capacity: int) -> DataFrame:
-    """Where a class of documents and a class of slots lie over the same numbers: its head in a sequence begun before, whole sequences, and a tail, each as a match.
+    def survey(key: tuple, table: pa.Table) -> pa.Table:
+        own = Sweep(table, top)
+        return _rows("part int, docs long, slots long, lift long", [(key[0].as_py(), own.docs, own.slots, int(own.lift[-1]))])
 
-    `rows` has the number of the first unit of each class as `start`; `ends` has the first and last slot number of each partition.
-    """
-    slots = rows.filter("kind = 1").selectExpr("part", "start as at", "named_struct('gap', gap, 'per', per, 'first', first, 'start', start) as slot", "cast(null as struct<length:long,rank:long,at:long,end:long>) as doc")
-    own = ", ".join(f"named_struct('part', {p}, 'low', {a}L, 'high', {b}L)" for p, (a, b) in enumerate(ends) if b > a) or "named_struct('part', 0, 'low', 0L, 'high', 0L)"
-    docs = rows.filter("kind = 0 and placed > 0").selectExpr("size", "first", "start", "start + placed as end").selectExpr("*", f"inline(filter(array({own}), x -> x.low < end and x.high > start))")
-    docs = docs.selectExpr("*", "greatest(start, low) as at").selectExpr("part", "at", "cast(null as struct<gap:long,per:long,first:long,start:long>) as slot", "named_struct('length', size, 'rank', first + at - start, 'at', at, 'end', least(end, high)) as doc")
-    by = "over (partition by part order by at, doc is not null)"
-    met = slots.unionByName(docs).selectExpr("part", "at", f"last(slot, true) {by} as slot", f"last(doc, true) {by} as doc", f"lead(at) {by} as next").filter("doc is not null")
-    met = met.selectExpr("part", "slot.gap", "slot.per as slots", "slot.first as slot_first", "doc.length", "doc.rank + at - doc.at as rank", "at - slot.start as unit", "least(coalesce(next, doc.end), doc.end) - at as n").filter("n > 0")
-    met = met.selectExpr("*", "if(slots > 1, least(n, pmod(slots - pmod(unit, slots), slots)), 0L) as head").selectExpr("*", "(n - head) div slots * slots as middle")
-    piece = lambda skip, count, per, whole: f"named_struct('skip', {skip}, 'count', {count}, 'per', {per}, 'whole', {whole})"
-    three = ", ".join((piece("0L", "head", "head", "false"), piece("head", "middle", "slots", "true"), piece("head + middle", "n - head - middle", "n - head - middle", "false")))
-    pieces = met.selectExpr("part", "gap", "slot_first", "slots", "length", "rank", "unit", "unit + n as covered", f"inline(filter(array({three}), x -> x.count > 0))")
-    pieces = pieces.selectExpr("part", "gap", "slot_first", "length", "rank + skip as rank", "covered", "count", "per", "whole", "slot_first + (unit + skip) div slots as sequence", "pmod(unit + skip, slots) as place")
-    ahead = "coalesce(sum(count * length) over (partition by part, sequence order by place, rank rows between unbounded preceding and 1 preceding), 0L)"
-    return pieces.selectExpr("*", f"{capacity}L - gap + if(whole, 0L, {ahead}) as offset")
-
-
-def match_round(docs: DataFrame, gaps: DataFrame, low: int, top: int, fresh: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents left, gaps, matches) after one round over the band (low, top]; untouched sequences from `fresh` on stay closed.
-
-    `docs` has (length, rank, left), `gaps` the ranges of sequences with one gap. Both are tables of classes, whose sizes do not grow with the input.
-    """
-    rows = materialize(_sorted_rows(docs, gaps, low, top))
-    totals = {r.part: r for r in rows.groupBy("part").agg(F.expr("sum(if(kind = 0, units, 0L)) as docs"), F.expr("sum(if(kind = 1, units, 0L)) as slots"), F.expr("max(lift) as lift")).collect()}
-    carried, docs_before, slots_before, lift = [], 0, 0, -(1 << 60)
+    totals = {r.part: r for r in banded.groupBy("part").applyInArrow(survey, "part int, docs long, slots long, lift long").collect()}
+    carried, docs_before, slots_before, lift = [], 0, 0, _NEVER
     for part in range(PARTS):  # what the partitions before each carry over
         carried.append((docs_before, slots_before, lift))
         if part in totals:
             own = totals[part]
-            lift = max(lift, own.lift + slots_before - docs_before) if own.lift is not None else lift
+            lift = max(lift, own.lift + slots_before - docs_before) if own.lift > _NEVER else lift
             docs_before, slots_before = docs_before + own.docs, slots_before + own.slots
-    docs_carry, slots_carry, lift_carry = (f"element_at(array({', '.join(f'{c[i]}L' for c in carried)}), part + 1)" for i in range(3))
-    moved = f"greatest(lift + {slots_carry} - {docs_carry}, {lift_carry})"
-    rows = rows.selectExpr("*", f"if(kind = 0, docs_before + {docs_carry} + {moved}, slots_before + {slots_carry}) as start")
-    rows = rows.selectExpr("*", f"greatest(0L, least(units, {slots_before}L - start)) as placed")
-    ends = [(c[1], c[1] + (totals[p].slots if p in totals else 0)) for p, c in enumerate(carried)]
-    found = materialize(_segments(rows, ends, capacity))
-    left = rows.filter("kind = 0").selectExpr("size as length", "first + placed as rank", "units - placed as left")
-    covered = found.groupBy("part", F.col("slot_first").alias("first")).agg(F.max("covered").alias("covered"))
-    slots = rows.filter(f"kind = 1 and first < {fresh}").join(covered, ["part", "first"], "left").selectExpr("gap", "first", "units div per as many", "(coalesce(covered, 0L) + per - 1) div per as touched")
-    untouched = slots.selectExpr("gap", "first + touched as sequence", "many - touched as many")
-    whole = found.filter("whole").selectExpr("gap - per * length as gap", "sequence", "count div per as many")
-    begun = found.filter("not whole").groupBy("part", "sequence").agg(F.expr("min(gap) - sum(count * length) as gap")).selectExpr("gap", "sequence", "1L as many")
-    after = gaps.filter(f"gap <= {low}").unionByName(untouched).unionByName(whole).unionByName(begun).filter("gap > 0 and many > 0")
-    return left, materialize(after), found.select(*MATCHES)
+    ends = [(p, c[1], c[1] + totals[p].slots) for p, c in enumerate(carried) if p in totals and totals[p].slots]
+
+    def route(key: tuple, table: pa.Table) -> pa.Table:
+        """Slots with their numbers, documents to the partition of the slots whose numbers they get, and those that get none."""
+        own, part = Sweep(table, top), key[0].as_py()
+        docs_carry, slots_carry, lift_carry = carried[part]
+        start = np.where(own.kind == 0, own.docs_before + docs_carry + np.maximum(own.lift + slots_carry - docs_carry, lift_carry), own.slots_before + slots_carry).tolist()
+        out = []
+        for kind, size, first, many, units, at in zip(own.kind.tolist(), own.size.tolist(), own.first.tolist(), own.many.tolist(), own.units.tolist(), start, strict=True):
+            if kind == 1:
+                out.append((part, kind, size, first, many, at))
+                continue
+            placed = max(0, min(units, slots_before - at))
+            for to, a, b in ends:
+                if (many_there := min(at + placed, b) - max(at, a)) > 0:
+                    out.append((to, kind, size, first + max(at, a) - at, many_there, max(at, a)))
+            if placed < units:
+                out.append((-1, kind, size, first + placed, units - placed, at))
+        return _rows(f"to int, {CLASS}, at long", out)
+
+    def match(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() >= 0:
+            return _rows(_ROUND, _fill(table, top, fresh, capacity))
+        return _rows(_ROUND, [(*r, 0, 0, 0) for r in zip(*[table[c].to_pylist() for c in ("kind", "size", "first", "many")], strict=True)])
+
+    met = banded.groupBy("part").applyInArrow(route, f"to int, {CLASS}, at long").groupBy("to").applyInArrow(match, _ROUND)
+    return materialize(met.unionByName(classes.filter(f"kind = 1 and size <= {low}").selectExpr("*", "0L as per", "0L as sequence", "0L as offset")))
+
+
+def band_below(top: int, capacity: int = CAPACITY) -> int:
+    """The length that a band from `top` down ends above: a sequence holds as many documents of any length in the band."""
+    fine = top > capacity // FINE
+    return max(int(top * BAND), capacity // (capacity // top + 1)) if fine else top // 2
 
 
 def match_classes(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY) -> DataFrame:
-    """Matches (the columns `MATCHES`) that place `counts[length]` documents of every length; sequences are numbered from 0 without a break."""
-    gaps = materialize(spark.createDataFrame([], GAPS))
-    found, used, room, top = spark.createDataFrame([], ", ".join(f"{c} long" for c in MATCHES)), 0, 0, max(counts, default=0)
+    """Matches (the columns `MATCHES`) that place `counts[size]` documents of every length; sequences are numbered from 0 without a break."""
+    names = [field.split()[0] for field in CLASS.split(", ")]
+    classes, found, used, room, top = spark.createDataFrame([], CLASS), spark.createDataFrame([], ", ".join(f"{c} long" for c in MATCHES)), 0, 0, max(counts, default=0)
     while top:
-        low = top // 2
-        band = [(k, 0, n) for k, n in sorted(counts.items()) if low < k <= top]
+        low = band_below(top, capacity)
+        band = [(0, k, 0, n) for k, n in sorted(counts.items()) if low < k <= top]
         below = max((k for k in counts if k <= low), default=0)
-        docs, units, tokens = spark.createDataFrame(band, "length long, rank long, left long"), sum(n for *_, n in band), sum(k * n for k, _, n in band)
-        number = 0
+        following = band_below(below, capacity) if below else 0
+        classes = classes.unionByName(spark.createDataFrame(band, CLASS))
+        units, tokens, longest, gained = sum(r[3] for r in band), sum(r[1] * r[3] for r in band), top, 1.0
         while units:
-            number += 1
-            slots = capacity // top
-            fresh = -(-units // slots) if number >= ROUNDS or slots == 1 else max(0, -(-(tokens - room) // capacity))
-            opened = gaps.unionByName(spark.createDataFrame([(capacity, used, fresh)], GAPS)) if fresh else gaps
-            docs, gaps, matches = match_round(docs, opened, low, top, used, capacity)
-            found = found.unionByName(matches)
-            # Three single rows: what is left of the band, the last sequence, and the room for this band and for the next one.
-            rest = docs.selectExpr("sum(left) as units", "sum(left * length) as tokens")
-            last = matches.selectExpr("max(sequence + (count + per - 1) div per) as last")
-            rooms = gaps.selectExpr(f"sum(if(gap > {low}, gap * many, 0L)) as same", f"sum(if(gap > {below // 2}, gap * many, 0L)) as following")
-            state = rest.crossJoin(last).crossJoin(rooms).first()
-            units, tokens, used = state.units or 0, state.tokens or 0, max(used, state["last"] or 0)
-            room = (state.same if units else state.following) or 0
+            slots = capacity // longest
+            fresh = -(-units // slots) if gained < GAIN or slots == 1 else max(0, -(-(tokens - room) // capacity))
+            opened = classes.unionByName(spark.createDataFrame([(1, capacity, used, fresh)], CLASS)) if fresh else classes
+            state = match_round(opened, low, longest, used, capacity)
+            found = found.unionByName(state.filter("kind = 2").select(*MATCHES))
+            classes = state.filter("kind < 2").select(*names)
+            # One row: what is left of the band, its longest length, the last sequence, and the room for this band and for the next one.
+            sums = {"units": "if(kind = 0, many, 0L)", "tokens": "if(kind = 0, many * size, 0L)", "same": f"if(kind = 1 and size > {low}, many * size, 0L)", "following": f"if(kind = 1 and size > {following}, many * size, 0L)"}
+            tops = {"longest": "if(kind = 0, size, 0L)", "last": "if(kind = 2, sequence + (many + per - 1) div per, 0L)"}
+            now = state.selectExpr(*[f"coalesce({f}({x}), 0L) as {n}" for f, xs in (("sum", sums), ("max", tops)) for n, x in xs.items()]).first()
+            gained, units, tokens, longest, used = 1 - now.units / units, now.units, now.tokens, now.longest, max(used, now["last"])
+            room = now.same if units else now.following
         top = below
     return found
 
 
-def ranked(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """Adds pk_rank, from 0 within each length by (id, piece, crc). `counts` has one entry for each length.
-
-    A length is dealt by a hash over as many blocks as its count asks for; a piece's rank is its place in its block after the sizes of
-    the blocks before.
-    """
-    spark = cut.sparkSession
-    blocks = spark.createDataFrame([(k, -(-n // RANK_BLOCK)) for k, n in counts.items()], "pk_length long, pk_blocks long")
-    dealt = cut.join(F.broadcast(blocks), F.col("length") == F.col("pk_length")).drop("pk_length")  # at most `capacity` rows
-    dealt = dealt.withColumn("pk_block", F.pmod(F.xxhash64("pk_id", "piece", "ids_crc32"), F.col("pk_blocks"))).drop("pk_blocks")
-    inside = Window.partitionBy("length", "pk_block").orderBy(F.col("pk_id").asc_nulls_first(), "piece", "ids_crc32")
-    before = Window.partitionBy("l").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy(F.col("length").alias("l"), F.col("pk_block").alias("b")).count()
-    sizes = sizes.select("l", "b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("pk_before"))
-    placed = dealt.withColumn("pk_in", F.row_number().over(inside) - 1)
-    same = (F.col("length") == F.col("l")) & (F.col("pk_block") == F.col("b"))
-    return placed.join(sizes, same).withColumn("pk_rank", F.col("pk_before") + F.col("pk_in")).drop("l", "b", "pk_before", "pk_in", "pk_block")
+def ranked(cut: DataFrame) -> DataFrame:
+    """The rows of `cut`, range-sorted by length and pk_row, which tells rows apart, with pk_part and pk_at, which rises within a part. In a scratch table."""
+    parts = min(MOST_PARTS, max(1, -(-cut.count() // PART_PIECES)))
+    placed = cut.repartitionByRange(parts, "length", "pk_row").sortWithinPartitions("length", "pk_row").withColumn("pk_at", F.monotonically_increasing_id())
+    return materialize(placed.withColumn("pk_part", F.shiftright("pk_at", 33)))
+
+
+class Places:
+    """Where each piece goes: the ranks of a part's pieces of one length, and the matches by length and rank."""
+
+    def __init__(self, runs: list[tuple[int, int, int, int]], matches: list[tuple[int, ...]]) -> None:
+        runs, before, self.shift = sorted(runs, key=lambda r: (r[1], r[0])), Counter(), {}
+        for part, length, first, count in runs:
+            self.shift[part, length] = before[length] - first
+            before[length] += count
+        self.length, self.rank, _, self.per, self.sequence, self.offset = np.array(sorted(matches), np.int64).reshape(-1, len(MATCHES)).T
+        self.first = np.searchsorted(self.length, np.arange(self.length.max(initial=0) + 2))
+
+    def find(self, part: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of pieces; equal lengths stand together."""
+        sequence, offset = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        borders = np.flatnonzero((length[1:] != length[:-1]) | (part[1:] != part[:-1])) + 1
+        for low, high in zip([0, *borders.tolist()], [*borders.tolist(), len(at)], strict=True):
+            if low == high:
+                continue
+            own, size = slice(low, high), int(length[low])
+            rank = at[own] + self.shift[int(part[low]), size]
+            start, stop = self.first[size], self.first[size + 1]
+            match = start + np.searchsorted(self.rank[start:stop], rank, side="right") - 1
+            ahead = rank - self.rank[match]
+            sequence[own], offset[own] = self.sequence[match] + ahead // self.per[match], self.offset[match] + ahead % self.per[match] * size
+        return sequence, offset
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -265,14 +349,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     like any other; an empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, id_col, text_col, tokenizer, capacity, keep_ids))
+    cut = materialize(pieces(docs, id_col, text_col, tokenizer, capacity, keep_ids).withColumn("pk_row", F.monotonically_increasing_id()))
     counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    matches = materialize(match_classes(spark, counts, capacity))
-    # A match is joined to the pieces with its length and one of its blocks of ranks; a block has `LOOKUP` ranks, so few matches share one.
-    blocks = F.explode(F.sequence(F.floor(F.col("rank") / LOOKUP), F.floor((F.col("rank") + F.col("count") - 1) / LOOKUP))).alias("m_block")
-    spots = matches.select(F.col("length").alias("m_length"), F.col("rank").alias("m_rank"), F.col("count").alias("m_count"), F.col("per").alias("m_per"), F.col("sequence").alias("m_sequence"), F.col("offset").alias("m_offset"), blocks)
-    ordered = ranked(cut, counts).withColumn("pk_block", F.floor(F.col("pk_rank") / LOOKUP))
-    placed = ordered.join(spots, (F.col("length") == F.col("m_length")) & (F.col("pk_block") == F.col("m_block")))
-    ahead = F.col("pk_rank") - F.col("m_rank")
-    placed = placed.filter((ahead >= 0) & (ahead < F.col("m_count")))
-    return placed.select(*cut.columns, (F.col("m_sequence") + F.floor(ahead / F.col("m_per"))).cast("long").alias("sequence_id"), (F.col("m_offset") + F.pmod(ahead, F.col("m_per")) * F.col("length")).cast("long").alias("offset"))
+    matches = match_classes(spark, counts, capacity)
+    ordered = ranked(cut)
+    # A row for each length and for each part besides, at most; and classes of lengths by classes of gaps, as bounded by the capacity.
+    runs = [tuple(r) for r in ordered.groupBy("pk_part", "length").agg(F.min("pk_at"), F.count("*")).collect()]
+    places = spark.sparkContext.broadcast(Places(runs, [tuple(r) for r in matches.collect()]))
+    names = [c for c in cut.columns if c != "pk_row"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = places.value.find(*(np.asarray(batch[c]) for c in ("pk_part", "length", "pk_at")))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], *map(pa.array, found)], names=[*names, "sequence_id", "offset"])
+
+    shape = ", ".join(f"{c} {cut.schema[c].dataType.simpleString()}" for c in names)
+    return ordered.select(*names, "pk_part", "pk_at").mapInArrow(place, f"{shape}, sequence_id long, offset long")
