@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ MANTISSAS, TARGET, LIMITS = (1.0, 2.0, 2.5, 5.0), 6, (4, 10)
 
 def round_numbers(least: float, most: float) -> np.ndarray:
     """All round numbers in [least, most], rising."""
-    decades = np.arange(np.floor(np.log10(least)), np.ceil(np.log10(most)) + 1)
-    numbers = np.multiply.outer(10.0**decades, np.array(MANTISSAS)).ravel()
+    decades = range(math.floor(math.log10(least)), math.ceil(math.log10(most)) + 1)
+    numbers = np.array([m * 10.0**e for e in decades for m in MANTISSAS])  # Python's power: numpy's is off by a unit in the last place for some exponents
     return numbers[(numbers >= least) & (numbers <= most)]
 
 
@@ -35,7 +37,8 @@ def histogram_edges(low: float | None, high: float | None) -> tuple[float, ...]:
     steps, bins = (x[(bins >= LIMITS[0]) & (bins <= LIMITS[1])] for x in (steps, bins))
     step = float(steps[np.abs(bins - TARGET).argmin()]) if len(steps) else span / TARGET
     at = np.arange(np.floor(low / step), max(np.ceil(high / step), np.floor(low / step) + 1) + 1) * step
-    return tuple(np.round(at, max(0, 1 - int(np.floor(np.log10(step))))).tolist())
+    decimals = max(0, 1 - math.floor(math.log10(step)))
+    return tuple(round(v, decimals) for v in at.tolist())
 
 
 def bucket(value: Column, cuts: tuple[float, ...]) -> Column:
