@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import product
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,13 +45,8 @@ SNAP_METRES = 5.0
 PRIMARY, SECONDARY = (MOTORCYCLE, CAR, PUBLIC_TRANSPORT), TYPES[:-1]
 
 
-def _pairs() -> tuple[tuple[str, str], ...]:
-    """Unordered pairs of a primary and another mode, each once in rank order."""
-    found = {(a, b) if RANK[a] < RANK[b] else (b, a) for a, b in product(PRIMARY, SECONDARY) if a != b}
-    return tuple(sorted(found, key=lambda p: (RANK[p[0]], RANK[p[1]])))
-
-
-PAIRS = _pairs()
+#: Every two modes of which one is primary, in the order of the vocabulary.
+PAIRS = tuple(pair for pair in combinations(SECONDARY, 2) if not set(PRIMARY).isdisjoint(pair))
 PAIR_LABELS = tuple("-".join(p) for p in PAIRS)
 #: Short names for pair labels.
 SHORT = {PEDESTRIAN: "PED", BICYCLE: "BIC", MOTORCYCLE: "MOT", CAR: "CAR", PUBLIC_TRANSPORT: "PUB"}

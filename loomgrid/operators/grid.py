@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from loomgrid.domains import declared
 
 
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """`table`, to be broadcast if it has at most `BROADCAST_ROWS` rows (counted unless `rows` says how many); otherwise the optimiser chooses a join for it."""
+    rows = table.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 class CoverageError(RuntimeError):
     """An observation lies outside the declared grid."""
 
@@ -25,7 +35,7 @@ def complete_grid(*domains: DataFrame) -> DataFrame:
 
 def outside(observed: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
     """Observed combinations that the grid lacks; null keys are outside any grid."""
-    return observed.join(F.broadcast(grid.select(*keys)), keys, "left_anti")  # grids are products of declared domains
+    return observed.join(bounded(grid.select(*keys)), keys, "left_anti")
 
 
 def assert_covered(observed: DataFrame, grid: DataFrame, keys: list[str]) -> None:

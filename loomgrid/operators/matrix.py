@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.domains import COUNTERPARTS, TYPES, Study, ranked
 from loomgrid.functions.scalars import share
-from loomgrid.operators.grid import complete_grid, fill, years_table
+from loomgrid.operators.grid import bounded, complete_grid, fill, years_table
 
 KEYS = ["AREA_CODE", "YEAR", "PARTY_TYPE", "COUNTERPART_TYPE"]
 COUNTS = ["AFFECTED_PARTIES", "PERSONS_INJURED", "PERSONS_KILLED"]
@@ -30,7 +30,7 @@ def grid(study: Study) -> DataFrame:
 def long_table(affected: DataFrame, study: Study) -> DataFrame:
     """Every cell of the grid with its three counts, in the order of its keys' names and ranks."""
     whole = fill(grid(study), cells(affected), KEYS, COUNTS)
-    named = whole.join(F.broadcast(study.units), "AREA_CODE", "left")  # one row a unit
+    named = whole.join(bounded(study.units, study.scale.units), "AREA_CODE", "left")
     ordered = named.orderBy("AREA_CODE", "YEAR", "PARTY_TYPE_RANK", "COUNTERPART_TYPE_RANK")
     return ordered.select(F.lit(study.scale.label).alias("SCALE"), *KEYS, "AREA_NAME", *COUNTS)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgrid.domains import HIGH_CORRELATION, MEASURED, NOT_MEASURED, Study, declared
 from loomgrid.functions.bins import bucket, histogram_edges
 from loomgrid.functions.scalars import share
-from loomgrid.operators import spatial
+from loomgrid.operators import cells, overlay, spatial
 from loomgrid.operators.grid import assert_covered, complete_grid
 
 
@@ -27,8 +27,8 @@ class Method:
 
 
 #: Methods, geometry kinds and time coverages.
-METHODS = {"area_share": Method("area", "km2", "share of unit area"), "point_density": Method("point", "count", "points per km2")}
-GEOMETRIES = {"area": ("POLYGON", "MULTIPOLYGON"), "point": ("POINT", "MULTIPOINT")}
+METHODS = {"area_share": Method("area", "km2", "share of unit area"), "point_density": Method("point", "count", "points per km2"), "line_density": Method("line", "km", "km per km2")}
+GEOMETRIES = {"area": ("POLYGON", "MULTIPOLYGON"), "point": ("POINT", "MULTIPOINT"), "line": ("LINESTRING", "MULTILINESTRING")}
 COVERAGES = ("snapshot", "annual series")
 
 
@@ -70,7 +70,7 @@ _POINTS = (
 )
 STATIC = tuple(Predictor(n, la, s, f, g, m, "snapshot", z) for rows, g, m in ((_AREAS, "area", "area_share"), (_POINTS, "point", "point_density")) for n, la, s, f, z in rows)
 
-M2_PER_KM2 = 1e6
+M2_PER_KM2, M_PER_KM = 1e6, 1e3
 
 
 def _tagged(layer: DataFrame, tags: tuple[str, ...], geometry: str) -> DataFrame:
@@ -85,12 +85,18 @@ def area_share(layer: DataFrame, units: DataFrame, tile: float, tags: tuple[str,
 
 def point_density(layer: DataFrame, units: DataFrame, tile: float, tags: tuple[str, ...] = ()) -> DataFrame:
     """(AREA_CODE, tags, MEASURE): points of the layer within each unit, each part of a multi-point one."""
-    located = spatial.locate(spatial.explode_points(_tagged(layer, tags, "points")), units, tile, "inner")
+    located = cells.locate(spatial.explode_points(_tagged(layer, tags, "points")), units, how="inner")
     return located.groupBy("AREA_CODE", *[F.col(f"id.{t}").alias(t) for t in tags]).agg(F.count("*").cast("double").alias("MEASURE"))
 
 
+def line_density(layer: DataFrame, units: DataFrame, tile: float, tags: tuple[str, ...] = ()) -> DataFrame:
+    """(AREA_CODE, tags, MEASURE): km of the layer's lines inside each unit."""
+    inside = overlay.line_lengths(_tagged(layer, tags, "rings"), units)
+    return inside.groupBy("AREA_CODE", *[F.col(f"id.{t}").alias(t) for t in tags]).agg((F.sum("LENGTH") / M_PER_KM).alias("MEASURE"))
+
+
 #: Measurement by method; a further method registers here.
-MEASUREMENTS: dict[str, Callable[[DataFrame, DataFrame, float, tuple[str, ...]], DataFrame]] = {"area_share": area_share, "point_density": point_density}
+MEASUREMENTS: dict[str, Callable[[DataFrame, DataFrame, float, tuple[str, ...]], DataFrame]] = {"area_share": area_share, "point_density": point_density, "line_density": line_density}
 
 
 def usable(layer: DataFrame) -> DataFrame:
@@ -105,11 +111,11 @@ def measure(layers: dict[str, DataFrame], units: DataFrame, predictors: tuple[Pr
     `repair` gets the polygons of all layers at once, (PREDICTOR, id, rings), and gives valid ones.
     """
     parts = []
-    for method, geometry in (("area_share", "rings"), ("point_density", "points")):
+    for method, geometry in (("area_share", "rings"), ("point_density", "points"), ("line_density", "rings")):
         own = [usable(layers[p.name]).select(F.lit(p.name).alias("PREDICTOR"), "id", geometry) for p in predictors if p.method == method]
         if own:
             features = reduce(DataFrame.unionByName, own)
-            features = repair(features) if repair and geometry == "rings" else features
+            features = repair(features) if repair and method == "area_share" else features
             parts.append(MEASUREMENTS[method](features, units, tile, ("PREDICTOR",)))
     return reduce(DataFrame.unionByName, parts).select("AREA_CODE", "PREDICTOR", "MEASURE")
 

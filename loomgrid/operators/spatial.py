@@ -1,8 +1,8 @@
 """Planar geometry as column expressions and joins: areas, containment, overlap, nearest edge.
 
 A polygon feature is (id, rings), rings an ARRAY<STRUCT<hole BOOLEAN, points ARRAY<STRUCT<x DOUBLE, y DOUBLE>>>>; a ring may or may not repeat its
-first point. Multi-part features have several rings that are no holes. Areas ask for valid polygons: `self_crossings` finds those that
-are not, and `repaired` replaces them.
+first point. Multi-part features have several rings that are no holes. Areas ask for valid polygons; `operators.validity` finds
+those that are not and replaces them.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.operators.grid import bounded
+
 RINGS = "array<struct<hole:boolean,points:array<struct<x:double,y:double>>>>"
 
 
@@ -93,22 +95,6 @@ def unit_cells(units: DataFrame, cell: float) -> DataFrame:
     return boxed.withColumn("cx", F.explode(span("x_lo", "x_hi"))).withColumn("cy", F.explode(span("y_lo", "y_hi")))
 
 
-def locate(points: DataFrame, units: DataFrame, cell: float | None = None, how: str = "left") -> DataFrame:
-    """Adds AREA_CODE: the unit that a point (x, y) lies within, the least code if several; null outside all (`left`), or left out (`inner`).
-
-    The roster is grouped by grid cell, one row each with the units whose boxes meet it, and broadcast. A point looks up its cell's row and takes the least of
-    the units there that contain it, so points are neither shuffled nor multiplied. The cell is derived from the roster unless given.
-    """
-    cell = cell or cell_size(units)
-    held = F.struct("AREA_CODE", "x_lo", "x_hi", "y_lo", "y_hi", "rings")
-    candidates = unit_cells(units, cell).groupBy("cx", "cy").agg(F.collect_list(held).alias("units_here"))
-    at = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    x, y = F.col("x"), F.col("y")
-    within = F.filter("units_here", lambda u: x.between(u["x_lo"], u["x_hi"]) & y.between(u["y_lo"], u["y_hi"]) & contains(u["rings"], x, y))
-    found = at.join(F.broadcast(candidates), ["cx", "cy"], how).withColumn("AREA_CODE", F.array_min(F.transform(within, lambda u: u["AREA_CODE"]))).drop("cx", "cy", "units_here")
-    return found if how == "left" else found.filter("AREA_CODE is not null")
-
-
 def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     dx, dy = x2 - x1, y2 - y1
     length = dx * dx + dy * dy
@@ -116,28 +102,16 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
     return F.sqrt((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2)
 
 
-def snap(points: DataFrame, units: DataFrame, most: float) -> DataFrame:
-    """(p_id, AREA_CODE, DISTANCE): the unit whose boundary is nearest to a point outside all units, if within `most`; distances equal to nine decimals are a tie, which goes by code.
-
-    Edges are sent to the grid cells of size `most` within reach of them, so a point meets near edges only.
-    """
-    reach = edges(units.select(F.col("AREA_CODE").alias("id"), "rings")).withColumnRenamed("id", "AREA_CODE")
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - most) / most), F.floor((F.greatest(a, b) + most) / most))
-    reach = reach.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
-    at = points.withColumns({"cx": F.floor(F.col("x") / most), "cy": F.floor(F.col("y") / most)})
-    far = at.join(reach, ["cx", "cy"]).withColumn("d", segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]))
-    return far.filter(F.col("d") <= most).groupBy("p_id").agg(F.min(F.struct(F.round("d", 9).alias("d"), "AREA_CODE")).alias("m")).select("p_id", F.col("m.AREA_CODE"), F.col("m.d").alias("DISTANCE"))
-
-
-def box_pairs(layer: DataFrame, units: DataFrame) -> DataFrame:
-    """(id, AREA_CODE, x_from, x_to, y_base, least_area): features and units whose bounding boxes meet in both axes, by an equality join on the roster's grid cells."""
+def box_pairs(layer: DataFrame, units: DataFrame, touching: bool = False) -> DataFrame:
+    """(id, AREA_CODE, x_from, x_to, y_base, y_to, least_area): features and units whose bounding boxes meet in both axes (with `touching` also in a line or point), by an equality join on the roster's grid cells."""
     cell = cell_size(units)
     theirs = unit_cells(units, cell).select("AREA_CODE", "cx", "cy", *[F.col(c).alias(f"u_{c}") for c in ("x_lo", "x_hi", "y_lo", "y_hi")], area(F.col("rings")).alias("u_area"))
     mine = unit_cells(layer, cell).select("id", "cx", "cy", "x_lo", "x_hi", "y_lo", "y_hi", area(F.col("rings")).alias("area"))
     # A pair may share several cells; the one where the boxes' common corner lies counts it.
     corner = (F.col("cx") == F.floor(F.greatest("x_lo", "u_x_lo") / cell)) & (F.col("cy") == F.floor(F.greatest("y_lo", "u_y_lo") / cell))
-    met = mine.join(F.broadcast(theirs), ["cx", "cy"]).filter(corner & (F.col("x_lo") < F.col("u_x_hi")) & (F.col("u_x_lo") < F.col("x_hi")) & (F.col("y_lo") < F.col("u_y_hi")) & (F.col("u_y_lo") < F.col("y_hi")))
-    return met.select("id", "AREA_CODE", F.greatest("x_lo", "u_x_lo").alias("x_from"), F.least("x_hi", "u_x_hi").alias("x_to"), F.least("y_lo", "u_y_lo").alias("y_base"), F.least("area", "u_area").alias("least_area"))
+    below = lambda a, b: F.col(a) <= F.col(b) if touching else F.col(a) < F.col(b)
+    met = mine.join(bounded(theirs), ["cx", "cy"]).filter(corner & below("x_lo", "u_x_hi") & below("u_x_lo", "x_hi") & below("y_lo", "u_y_hi") & below("u_y_lo", "y_hi"))
+    return met.select("id", "AREA_CODE", F.greatest("x_lo", "u_x_lo").alias("x_from"), F.least("x_hi", "u_x_hi").alias("x_to"), F.least("y_lo", "u_y_lo").alias("y_base"), F.least("y_hi", "u_y_hi").alias("y_to"), F.least("area", "u_area").alias("least_area"))
 
 
 #: An overlap counts if it exceeds this share of the smaller of the two areas; what lies below is rounding.
@@ -151,12 +125,12 @@ def overlap(layer: DataFrame, units: DataFrame, tile: float = 1.0) -> DataFrame:
     large coordinates do not cancel. Both areas are sums of signed trapezoids under edges; the shared area is the sum over a pair's edges of the area
     under the lower of the two. Edges meet by an equality join on the pair and a tile of x.
     """
-    pairs = box_pairs(layer, units)
+    pairs = box_pairs(layer, units).drop("y_to")
 
     def cut(features: DataFrame, key: str, mark: str) -> DataFrame:
         e = edges(features.select(F.col(key).alias("id"), "rings")).filter("side <> 0").withColumnRenamed("id", key)
         if key == "AREA_CODE":
-            e = F.broadcast(e)  # the roster's edges
+            e = bounded(e)
         e = pairs.join(e, key)
         lo, hi = F.greatest(F.least("x1", "x2"), F.col("x_from")), F.least(F.greatest("x1", "x2"), F.col("x_to"))
         e = e.withColumns({"lo": lo, "hi": hi}).filter("lo < hi")
@@ -179,64 +153,6 @@ def overlap(layer: DataFrame, units: DataFrame, tile: float = 1.0) -> DataFrame:
     return summed.filter(F.col("OVERLAP") > F.lit(LEAST_SHARE) * F.col("least_area")).drop("least_area")
 
 
-def self_crossings(features: DataFrame, tile: float = 1.0) -> DataFrame:
-    """(id): features whose edges cross each other away from shared ends; their areas are not to be trusted."""
-    e = edges(features).withColumn("tile", F.explode(F.sequence(F.floor(F.least("x1", "x2") / tile), F.floor(F.greatest("x1", "x2") / tile))))
-    other = e.select("tile", *[F.col(c).alias(f"o_{c}") for c in ("id", "ring", "e", "x1", "y1", "x2", "y2")])
-    side = lambda ax, ay, bx, by, px, py: F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
-    mine, theirs = ("x1", "y1", "x2", "y2"), ("o_x1", "o_y1", "o_x2", "o_y2")
-    crosses = (side(*mine, "o_x1", "o_y1") * side(*mine, "o_x2", "o_y2") < 0) & (side(*theirs, "x1", "y1") * side(*theirs, "x2", "y2") < 0)
-    met = e.join(other, (e["tile"] == other["tile"]) & (F.col("id") == F.col("o_id")) & (F.struct("ring", "e") < F.struct("o_ring", "o_e")))
-    return met.filter(crosses).select("id").distinct()
-
-
-def even_odd(features: DataFrame) -> DataFrame:
-    """(id, rings): the points that a ray from outside reaches over an odd number of edges, as trapezoids side by side; a feature without such points has no row.
-
-    A feature is cut into strips at the x of its corners and crossings. In a strip no two edges cross, so they are ordered by height and every second gap
-    between them lies inside. A feature is worked on within its row, without a shuffle, in time that goes by the square of its edges: this is for the few that are invalid.
-    """
-    height = lambda e, x: e["at_lo"] + (x - e["lo"]) / (e["hi"] - e["lo"]) * (e["at_hi"] - e["at_lo"])
-
-    def sloped(s: Column) -> Column:
-        p, q = s["p"], s["q"]
-        east = p["x"] < q["x"]
-        ends = F.least(p["x"], q["x"]).alias("lo"), F.greatest(p["x"], q["x"]).alias("hi")
-        return F.struct(*ends, F.when(east, p["y"]).otherwise(q["y"]).alias("at_lo"), F.when(east, q["y"]).otherwise(p["y"]).alias("at_hi"))
-
-    def crossing(e: Column, o: Column) -> Column:
-        """The x where two edges cross inside both; null where they do not."""
-        a, b = F.greatest(e["lo"], o["lo"]), F.least(e["hi"], o["hi"])
-        d0, d1 = height(e, a) - height(o, a), height(e, b) - height(o, b)
-        return F.when((a < b) & (d0 * d1 < 0), a + (b - a) * d0 / (d0 - d1))
-
-    def strip(a: Column, i: Column) -> Column:
-        b = F.get("cuts", i + 1)
-        spanning = F.filter("lines", lambda e: (e["lo"] <= a) & (e["hi"] >= b))
-        up = F.transform(spanning, lambda e: F.struct((height(e, a) + height(e, b)).alias("m"), height(e, a).alias("p"), height(e, b).alias("q")))
-        return F.struct(a.alias("a"), b.alias("b"), F.array_sort(up).alias("up"))
-
-    def trapezoids(s: Column) -> Column:
-        corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-        gaps = F.filter(F.transform(s["up"], lambda h, i: F.struct(i.alias("i"), h.alias("low"), F.get(s["up"], i + 1).alias("high"))), lambda g: (g["i"] % 2 == 0) & (g["high"]["m"] > g["low"]["m"]))
-        points = lambda g: F.array(corner(s["a"], g["low"]["p"]), corner(s["b"], g["low"]["q"]), corner(s["b"], g["high"]["q"]), corner(s["a"], g["high"]["p"]))
-        return F.transform(gaps, lambda g: F.struct(F.lit(False).alias("hole"), points(g).alias("points")))
-
-    drawn = F.flatten(F.transform(F.filter("rings", lambda r: F.size(r["points"]) > 2), lambda r: _neighbours(r["points"])))
-    each = features.select("id", F.transform(F.filter(drawn, lambda s: s["p"]["x"] != s["q"]["x"]), sloped).alias("lines"))
-    met = F.flatten(F.transform("lines", lambda e, i: F.filter(F.transform(F.slice("lines", i + 2, F.size("lines")), lambda o: crossing(e, o)), lambda x: x.isNotNull())))
-    ends = F.concat(F.transform("lines", lambda e: e["lo"]), F.transform("lines", lambda e: e["hi"]))
-    each = each.filter(F.size("lines") > 1).select("id", "lines", F.array_sort(F.array_distinct(F.concat(ends, met))).alias("cuts"))
-    each = each.select("id", F.transform(F.slice("cuts", 1, F.size("cuts") - 1), strip).alias("strips"))
-    return each.select("id", F.flatten(F.transform("strips", trapezoids)).alias("rings")).filter(F.size("rings") > 0)
-
-
-def repaired(features: DataFrame, tile: float = 1.0) -> DataFrame:
-    """(id, rings): features that cross themselves are replaced by their even-odd interior, the others stay; one that has no interior is left out."""
-    bad = self_crossings(features, tile)
-    return features.select("id", "rings").join(bad, "id", "left_anti").unionByName(even_odd(features.join(bad, "id", "left_semi")))
-
-
 def explode_points(features: DataFrame) -> DataFrame:
     """(id, part, x, y): one row for each point of a multi-point feature (id, points)."""
     return features.select("id", F.posexplode("points").alias("part", "p")).select("id", "part", "p.x", "p.y")

@@ -157,7 +157,7 @@ def integration(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) ->
         n = layer.agg(F.count("*").alias("rows"), F.count_if(F.col("YEAR") == year).alias("old")).first()
         out.ledger.settle(f"replace a year of {name}", n["rows"], rebuilt.count(), {"rows of the replaced year": -n.old, "rows of the extract": new.count()})
         target = f"{folder}/data/{name}_by_year"
-        sinks.write_years(rebuilt, target)
+        sinks.write_years(city.as_layer(rebuilt) if city.is_city(sf_dir) else rebuilt, target)
         out.files.append(target)
         out.tables[f"people_{name}"] = account
         out.tables[f"relocated_{name}"] = integrate.relocated(everyone.filter(own), new)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The kinds of files.
 KINDS = ("analysis", "presentation", "reference")
+#: Rows of a table that is written as one CSV file, at most.
+CSV_ROWS = 100_000
 
 
 def run_folder(root: str, now: datetime | None = None) -> str:
@@ -22,12 +24,14 @@ def path(folder: str, kind: str, name: str) -> str:
 
 
 def write_table(df: DataFrame, folder: str, kind: str, name: str, csv: bool = True) -> list[str]:
-    """Parquet and, for tables of reading size, one CSV file beside it."""
+    """Parquet and, read from what was written there, CSV: one file for a table of reading size, as many as there are tasks for a larger one."""
     out = [f"{path(folder, kind, name)}.parquet"]
     df.write.mode("overwrite").parquet(out[0])
     if csv:
+        written = df.sparkSession.read.schema(df.schema).parquet(out[0])
+        one = written.count() <= CSV_ROWS  # from the files' footers
         out.append(f"{path(folder, kind, name)}.csv")
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(out[1])
+        (written.coalesce(1) if one else written).write.mode("overwrite").option("header", True).csv(out[1])
     return out
 
 

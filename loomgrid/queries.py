@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from loomgrid.domains import CITY_LEVEL, COUNTERPARTS, FATALITY, INJURY, PAIR_LABELS, PAIRS, TYPES, Scale, Study, declared, ranked
 from loomgrid.functions import scalars as sc
-from loomgrid.operators import checks, completeness, grid, integrate, matrix, parties, predictors, rho, spatial
+from loomgrid.operators import cells, checks, completeness, grid, integrate, matrix, models, overlay, parties, predictors, rho, spatial, validity
 from loomgrid.sources import adapter as ad
+from loomgrid.sources import wkb
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -172,9 +173,26 @@ def _(s, d):
     return ad.units(s, d)
 
 
-@query("SRC2", "select id as p_id, x, y from pts")
+_SRC2 = """
+    select id as p_id, k as KIND, n as POINTS, sx as X, sy as Y, a as AREA from (
+        select id, 'POINT' as k, 1::bigint as n, x as sx, y as sy, 0.0::double as a from pts
+        union all select -1 - id, case id % 3 when 0 then 'POLYGON' when 1 then 'MULTIPOLYGON' else 'MULTIPOINT' end, case id % 3 when 0 then 4 when 1 then 8 else 2 end,
+            case id % 3 when 0 then 2 * (x0 + x1) when 1 then 4 * (x0 + x1) + 4 * 1000 else x0 + x1 end, case id % 3 when 0 then 2 * (y0 + y1) when 1 then 4 * (y0 + y1) else y0 + y1 end,
+            case id % 3 when 0 then 1 when 1 then 2 else 0 end * (x1 - x0) * (y1 - y0) from lay)"""
+
+
+@query("SRC2", _SRC2)
 def _(s, d):
-    return _points(s, d)
+    """Points of one table and polygons, of one part and of two, and pairs of points of another, as well-known binary in both byte orders, decoded."""
+    points = _points(s, d).select("p_id", F.lit("POINT").alias("geom_type"), F.array(F.struct("x", "y")).alias("points"), F.lit(None).cast(spatial.RINGS).alias("rings"))
+    east = F.transform("rings", lambda r: F.struct(r["hole"].alias("hole"), F.transform(r["points"], lambda p: F.struct((p["x"] + 1000).alias("x"), p["y"].alias("y"))).alias("points")))
+    corners = F.col("rings")[0]["points"]
+    kind = F.element_at(F.array(*map(F.lit, ("POLYGON", "MULTIPOLYGON", "MULTIPOINT"))), (F.col("id") % 3 + 1).cast("int"))
+    shapes = _layer(s, d).select((-1 - F.col("id")).alias("p_id"), kind.alias("geom_type"), F.when(F.col("id") % 3 == 2, F.array(corners[0], corners[2])).alias("points"), F.when(F.col("id") % 3 == 0, F.col("rings")).when(F.col("id") % 3 == 1, F.concat("rings", east)).alias("rings"))
+    back = wkb.decode(wkb.encode(points).unionByName(wkb.encode(shapes, order=">")))
+    held = F.coalesce("points", F.flatten(F.transform("rings", lambda r: r["points"])))
+    total = lambda c: F.aggregate(held, F.lit(0.0), lambda acc, p: acc + p[c])
+    return back.select("p_id", F.col("geom_type").alias("KIND"), F.size(held).cast("long").alias("POINTS"), total("x").alias("X"), total("y").alias("Y"), F.coalesce(spatial.area(F.col("rings")), F.lit(0.0)).alias("AREA"))
 
 
 @query("SRC3", "select src as CASUALTY_SOURCE, count(*) as n, count(*) filter (where code is null) as unlocated from cas group by src")
@@ -443,7 +461,7 @@ def _(s, d):
 
 @query("SJ1", "select id as p_id, min(code) as AREA_CODE from pts left join box on x > x0 and x < x1 and y > y0 and y < y1 group by id")
 def _(s, d):
-    return spatial.locate(_points(s, d), _boxes(s), 50.0).select("p_id", "AREA_CODE")
+    return cells.locate(_points(s, d), _boxes(s)).select("p_id", "AREA_CODE")
 
 
 @query("SJ2", """, near as (
@@ -452,13 +470,13 @@ def _(s, d):
     select id as p_id, round(min(dist), 9) as DISTANCE, arg_min(code, (round(dist, 9), code)) as AREA_CODE from m group by id""")
 def _(s, d):
     some = _boxes(s).filter("AREA_CODE < 'U12'")
-    lost = spatial.locate(_points(s, d), some, 50.0).filter("AREA_CODE is null").drop("AREA_CODE")
-    return spatial.snap(lost, some, 5.0)
+    lost = cells.locate(_points(s, d), some).filter("AREA_CODE is null").drop("AREA_CODE")
+    return cells.snap(lost, some, 5.0)
 
 
 @query("SJ3", "select code as AREA_CODE, count(*) as n from pts join box on x > x0 and x < x1 and y > y0 and y < y1 group by code")
 def _(s, d):
-    return spatial.locate(_points(s, d), _boxes(s), 50.0, "inner").groupBy("AREA_CODE").agg(F.count("*").alias("n"))
+    return cells.locate(_points(s, d), _boxes(s), how="inner").groupBy("AREA_CODE").agg(F.count("*").alias("n"))
 
 
 @query("SJ4", "select id, code as AREA_CODE, s as OVERLAP from ov where s > 0")
@@ -466,6 +484,69 @@ def _(s, d):
     return spatial.overlap(_layer(s, d), _boxes(s), 50.0)
 
 
+_WHOLE = "w as (select p_partkey as id, p_partkey % 480 as x0, p_partkey % 480 + p_size as x1, p_partkey % 23 as y0, p_partkey % 23 + 2 as y1 from part)"
+
+
+def _whole_layer(s: SparkSession, d: str) -> DataFrame:
+    """Boxes with whole-numbered corners, of which many touch a unit in an edge or a corner."""
+    k = F.col("p_partkey")
+    return ad.read(s, d, "part").select(k.alias("id"), spatial.box(k % 480, k % 23, k % 480 + F.col("p_size"), k % 23 + 2).alias("rings"))
+
+
+@query("SJ4_touch", f""", {_WHOLE},
+    t as (select id, code, least(w.x1, b.x1) - greatest(w.x0, b.x0) as dx, least(w.y1, b.y1) - greatest(w.y0, b.y0) as dy from w join box b on w.x1 >= b.x0 and w.x0 <= b.x1 and w.y1 >= b.y0 and w.y0 <= b.y1)
+    select id, code as AREA_CODE, case when dx > 0 and dy > 0 then 'area' when dx > 0 or dy > 0 then 'line' else 'point' end as KIND, (dx * dy)::double as OVERLAP, (case when dx > 0 and dy > 0 then 0 else dx + dy end)::double as LENGTH from t""")
+def _(s, d):
+    found = overlay.fragments(_whole_layer(s, d), _boxes(s), 50.0)
+    return found.withColumn("OVERLAP", F.round("OVERLAP", 6))
+
+
+_LINES = """ln as (select id, x0, y0 + 0.1 as y0, x1 - x0 as dx, 1.9::double as dy from lay),
+    lb as (select id, code, greatest(0, (b.x0 - l.x0) / dx, (b.y0 - l.y0) / dy) as t0, least(1, (b.x1 - l.x0) / dx, (b.y1 - l.y0) / dy) as t1, sqrt(dx * dx + dy * dy) as long from ln l, box b),
+    ll as (select id, code, (t1 - t0) * long as len from lb where t1 > t0)"""
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    """A slanted line through each box of the layer."""
+    box = F.col("rings")[0]["points"]
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    way = F.array(point(box[0]["x"], box[0]["y"] + 0.1), point(box[2]["x"], box[0]["y"] + 2.0))
+    return _layer(s, d).select("id", F.array(F.struct(F.lit(False).alias("hole"), way.alias("points"))).alias("rings"))
+
+
+@query("LN1", f", {_LINES} select code as AREA_CODE, round(sum(len) / 1000, 9) as MEASURE from ll group by code")
+def _(s, d):
+    """Km of lines inside each unit."""
+    return predictors.line_density(_lines(s, d), _boxes(s), 50.0).withColumn("MEASURE", F.round("MEASURE", 9))
+
+
+@query("LN2", f""", {_LINES}, st as (select code, len, 1990 + id % 15 as a, case when id % 4 = 0 then 1990 + id % 15 + id % 3 end as b from ll)
+    select code as AREA_CODE, y as YEAR, round(coalesce(sum(len) filter (where a <= y and (b is null or b >= y)), 0), 6) as LENGTH from st, yl where code in (select code from st where a <= 2001) group by code, y""")
+def _(s, d):
+    """The same by year, with lines that are built and taken down."""
+    since = 1990 + F.col("id") % 15
+    stood = overlay.line_lengths(_lines(s, d), _boxes(s)).select("AREA_CODE", "LENGTH", since.cast("int").alias("SINCE"), F.when(F.col("id") % 4 == 0, since + F.col("id") % 3).cast("int").alias("UNTIL"))
+    return overlay.annual(stood, ad.YEARS, until="UNTIL").withColumn("LENGTH", F.round(F.col("LENGTH") + 0.0, 6))
+
+
+@query("CM1", """, g as (select case when pt = 'PEDESTRIAN' then 1 else 0 end as p, avg(ni) as m from mat group by p)
+    select 'intercept' as TERM, round((select ln(m) from g where p = 0), 8) as COEFFICIENT union all select 'pedestrian', round(ln((select m from g where p = 1) / (select m from g where p = 0)), 8)""")
+def _(s, d):
+    """Poisson regression of persons injured on whether the party walks, over all cells of the matrix; with one dummy the coefficients are logs of means."""
+    fit = models.poisson(_matrix(s, d), "PERSONS_INJURED", {"intercept": F.lit(1.0), "pedestrian": (F.col("PARTY_TYPE") == "PEDESTRIAN").cast("double")})
+    return s.createDataFrame([(n, round(v, 8)) for n, v in fit.coefficients.items()], "TERM string, COEFFICIENT double")
+
+
+@query("CM2", """, c as (select code, y, sum(nk)::double as k, sum(np)::double as p from mat group by code, y),
+    e as (select k - avg(k) over (partition by code) - avg(k) over (partition by y) + avg(k) over () as k, p - avg(p) over (partition by code) - avg(p) over (partition by y) + avg(p) over () as p from c)
+    select 'affected' as TERM, round(sum(k * p) / sum(p * p), 8) as COEFFICIENT from e""")
+def _(s, d):
+    """Persons killed on affected parties with effects of unit and year."""
+    cells_by_year = _matrix(s, d).groupBy("AREA_CODE", "YEAR").agg(F.sum("PERSONS_KILLED").alias("killed"), F.sum("AFFECTED_PARTIES").alias("affected"))
+    fit = models.two_way(cells_by_year, "killed", ["affected"], ("AREA_CODE", "YEAR"))
+    return s.createDataFrame([(n, round(v, 8)) for n, v in fit.coefficients.items()], "TERM string, COEFFICIENT double")
+
+
 @query("CJ1", "select u.code as AREA_CODE, y as YEAR, t as PARTY_TYPE, c as COUNTERPART_TYPE from units u, yl, tl, cl")
 def _(s, d):
     return matrix.grid(ad.study(s, d)).select(*matrix.KEYS)
@@ -812,13 +893,13 @@ def _bow_ties(s: SparkSession, d: str) -> DataFrame:
 
 @query("GEO5", "select id, round(case when id % 50 = 0 then 2 else (x1 - x0) * (y1 - y0) end, 6) as area from lay")
 def _(s, d):
-    return spatial.repaired(_bow_ties(s, d), 50.0).select("id", F.round(spatial.area(F.col("rings")), 6).alias("area"))
+    return validity.repaired(_bow_ties(s, d)).select("id", F.round(spatial.area(F.col("rings")), 6).alias("area"))
 
 
 @query("GEO6", "select count(*) filter (where id % 7 = 0) as empty, count(*) filter (where id % 50 = 0 and id % 7 <> 0) as invalid, count(*) as n from lay")
 def _(s, d):
     layer = _bow_ties(s, d).withColumn("rings", F.when(F.col("id") % 7 != 0, F.col("rings")))
-    bad = spatial.self_crossings(layer.filter("rings is not null"), 50.0).agg(F.count("*").alias("invalid"))
+    bad = validity.invalid(layer).agg(F.count("*").alias("invalid"))
     return layer.agg(F.count_if(spatial.is_empty(F.col("rings"))).alias("empty"), F.count("*").alias("n")).crossJoin(bad)
 
 

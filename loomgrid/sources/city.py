@@ -1,6 +1,6 @@
 """The data model over a city's own files, declared in `city.json` in a folder that all machines see.
 
-Layers are shapefiles in degrees, vehicles and an updated extract are CSV. Everything is brought to metres, casualties are located in the roster's units,
+Layers are shapefiles, or Parquet with well-known binary, in degrees; vehicles and an updated extract are CSV. Everything is brought to metres, casualties are located in the roster's units,
 and what comes out has the columns of the adapter to the star-schema tables, so the routes run over either.
 """
 
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from loomgrid.domains import FATALITY, INJURY, Scale, Study
 from loomgrid.functions.projection import project_points, project_rings, to_plane
 from loomgrid.functions.scalars import text_key, utc_timestamp
-from loomgrid.operators import integrate, predictors, spatial
-from loomgrid.sources import readers, shapefile
+from loomgrid.operators import cells, grid, integrate, predictors, spatial, validity
+from loomgrid.sources import readers, shapefile, wkb
 
 DECLARATION = "city.json"
 
@@ -49,11 +49,17 @@ def city(root: str) -> City:
 
 
 def layer(spark: SparkSession, path: str, kinds: tuple[str, ...], owner: str) -> DataFrame:
-    """A declared layer. A missing file is an error that names who declares it, and so is a geometry of another kind."""
+    """A declared layer, by its suffix: .shp is a shapefile, anything else Parquet whose column `geometry` is well-known binary.
+
+    A missing file is an error that names who declares it, and so is a geometry of another kind.
+    """
     if not Path(path).exists():
         raise FileNotFoundError(f"{owner}: the declared source {path} does not exist")
-    shapefile.register(spark)
-    found = spark.read.format("shapefile").load(path)
+    if Path(path).suffix.lower() == ".shp":
+        shapefile.register(spark)
+        found = spark.read.format("shapefile").load(path)
+    else:
+        found = wkb.decode(spark.read.parquet(path))
     spatial.assert_geometry(found, kinds)
     return found
 
@@ -82,11 +88,11 @@ def years(root: str) -> tuple[int, ...]:
 def _located(people: DataFrame, roster_units: DataFrame, killed: Column) -> DataFrame:
     """People (x, y in degrees) with their unit; a person without a point, or outside all units, is in none and stays."""
     east, north = to_plane(F.col("x"), F.col("y"))
-    placed = spatial.locate(people.withColumns({"x": east, "y": north}), roster_units).drop("x", "y")
-    names = F.broadcast(roster_units.select("AREA_CODE", "AREA_NAME"))  # the roster
+    placed = cells.locate(people.withColumns({"LON": F.col("x"), "LAT": F.col("y"), "x": east, "y": north}), roster_units).drop("x", "y")
+    names = grid.bounded(roster_units.select("AREA_CODE", "AREA_NAME"))
     return placed.join(names, "AREA_CODE", "left").select(
         "FORMULARIO", "CODIGO_ACC", F.col("CODIGO_VEH").cast("double").alias("CODIGO_VEH"), "CONDICION", "CLASE_ACC", "YEAR", "FECHA_OCUR", "AREA_CODE", "AREA_NAME",
-        F.when(killed, FATALITY).otherwise(INJURY).alias("CASUALTY_SOURCE"), F.when(killed, 0).otherwise(1).alias("INJURED"), F.when(killed, 1).otherwise(0).alias("KILLED"))
+        F.when(killed, FATALITY).otherwise(INJURY).alias("CASUALTY_SOURCE"), F.when(killed, 0).otherwise(1).alias("INJURED"), F.when(killed, 1).otherwise(0).alias("KILLED"), "LON", "LAT")
 
 
 def casualties(spark: SparkSession, root: str) -> DataFrame:
@@ -98,7 +104,7 @@ def casualties(spark: SparkSession, root: str) -> DataFrame:
         at = F.get("points", F.lit(0))
         narrow = raw.select(
             text_key(F.col("FORMULARIO")).alias("FORMULARIO"), text_key(F.col("CODIGO_ACC")).alias("CODIGO_ACC"), F.col("CODIGO_VEH").try_cast("double").alias("CODIGO_VEH"), "CONDICION", "CLASE_ACC",
-            F.col("ANO_OCURRE").try_cast("int").alias("YEAR"), utc_timestamp(F.col("FECHA_OCUR")).alias("FECHA_OCUR"), at["x"].alias("x"), at["y"].alias("y"))
+            F.col("YEAR" if "YEAR" in raw.columns else "ANO_OCURRE").try_cast("int").alias("YEAR"), utc_timestamp(F.col("FECHA_OCUR")).alias("FECHA_OCUR"), at["x"].alias("x"), at["y"].alias("y"))
         parts.append(_located(narrow, within, F.lit(killed)))
     return parts[0].unionByName(parts[1])
 
@@ -116,6 +122,14 @@ def extract(spark: SparkSession, root: str) -> DataFrame:
     return both.withColumn("PERSON", F.col("CODIGO_ACC"))
 
 
+def as_layer(people: DataFrame) -> DataFrame:
+    """A casualty table with its points, in degrees, as well-known binary, so that a written layer can be declared as a source in turn."""
+    at = F.struct(F.col("LON").alias("x"), F.col("LAT").alias("y"))
+    some = F.col("LON").isNotNull() & F.col("LAT").isNotNull()
+    shaped = people.withColumns({"geom_type": F.when(some, "POINT"), "points": F.when(some, F.array(at)), "rings": F.lit(None).cast(spatial.RINGS)})
+    return wkb.encode(shaped.drop("LON", "LAT"))
+
+
 def replaced(root: str) -> int:
     return city(root).replaced
 
@@ -130,7 +144,7 @@ def predictor_layers(spark: SparkSession, root: str, declared: tuple[predictors.
     layers = {}
     for p in declared:
         raw = layer(spark, predictor_path(root, p), predictors.GEOMETRIES[p.geometry], p.name).withColumn("id", F.monotonically_increasing_id())
-        layers[p.name] = raw.select("id", project_rings(F.col("rings")).alias("rings")) if p.geometry == "area" else raw.select("id", project_points(F.col("points")).alias("points"))
+        layers[p.name] = raw.select("id", project_rings(F.col("rings")).alias("rings")) if p.geometry != "point" else raw.select("id", project_points(F.col("points")).alias("points"))
     return layers
 
 
@@ -146,7 +160,7 @@ def predictor_table(spark: SparkSession, root: str, work: str, declared: tuple[p
 
     def repair(features: DataFrame) -> DataFrame:
         tagged = written(features.select(F.struct("PREDICTOR", "id").alias("id"), "rings"), "area_features")
-        return written(spatial.repaired(tagged, tile), "area_features_repaired").select("id.PREDICTOR", "id.id", "rings")
+        return written(validity.repaired(tagged), "area_features_repaired").select("id.PREDICTOR", "id.id", "rings")
 
     within = roster(spark, root)
     areas = within.select("AREA_CODE", (spatial.area(F.col("rings")) / predictors.M2_PER_KM2).alias("AREA_UNIT_KM2"))

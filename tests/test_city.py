@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from loomgrid.operators import checks, predictors, spatial
+from loomgrid.operators import checks, predictors, spatial, validity
 from loomgrid.plans import routes, sinks
 from loomgrid.sources import city
 
@@ -130,7 +130,7 @@ def test_polygons_that_cross_themselves_are_repaired(spark):
         (4, [ring((0, 0), (4, 0), (4, 4), (0, 4)), (True, [(3.0, 1.0), (5.0, 1.0), (5.0, 3.0), (3.0, 3.0)])]),  # a hole that leaves its ring
         (5, [ring((0, 0), (2, 0), (2, 0), (0, 0))]),  # no area
     ]
-    fixed = spatial.repaired(spark.createDataFrame(features, f"id int, rings {spatial.RINGS}"), 1.0)
+    fixed = validity.repaired(spark.createDataFrame(features, f"id int, rings {spatial.RINGS}"))
     got = {r.id: r.a for r in fixed.select("id", spatial.area(F.col("rings")).alias("a")).collect()}
 
     def inside(rings, x, y):

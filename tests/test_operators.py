@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgrid.domains import PAIR_LABELS, Scale, Study
 from loomgrid.functions import bins, projection, scalars, wkt
 from loomgrid.ledger import Ledger, LedgerError
-from loomgrid.operators import checks, completeness, grid, integrate, matrix, parties, predictors, rho, spatial
+from loomgrid.operators import cells, checks, completeness, grid, integrate, matrix, parties, predictors, rho, spatial, validity
 from loomgrid.sources import readers, shapefile
 
 PEOPLE = "FORMULARIO string, CODIGO_ACC string, CODIGO_VEH double, CONDICION string, CLASE_ACC string, YEAR int, FECHA_OCUR timestamp, AREA_CODE string, AREA_NAME string, CASUALTY_SOURCE string, INJURED int, KILLED int"
@@ -237,7 +237,7 @@ def test_areas_containment_and_overlap(spark):
     for tile in (0.37, 1.0, 100.0):
         got = {r.id: r.OVERLAP for r in spatial.overlap(solid, unit, tile).collect()}
         assert all(math.isclose(got[i], want[i], rel_tol=1e-12) for i in want)
-    assert [r.id for r in spatial.self_crossings(shapes.filter("id in (1, 2, 3, 7)").select("id", "rings")).collect()] == [7]
+    assert [r.id for r in validity.self_crossings(shapes.filter("id in (1, 2, 3, 7)").select("id", "rings")).collect()] == [7]
     points = shapes.select("id", wkt.point(F.col("w")).alias("p"), wkt.kind(F.col("w")).alias("geom_type"))
     assert [tuple(r.p) for r in points.filter("p is not null").collect()] == [(1.0, 2.0)]
     spatial.assert_geometry(points, ("POINT", "POLYGON", "MULTIPOLYGON"))
@@ -262,11 +262,11 @@ def test_overlaps_at_large_coordinates(spark):
 def test_points_are_located_without_a_shuffle(spark):
     units = spark.range(3).select(F.concat(F.lit("U"), "id").alias("AREA_CODE"), spatial.box(F.col("id") * 10, F.lit(0), F.col("id") * 10 + 10, F.lit(10)).alias("rings"))
     points = spark.range(100).select(F.col("id").alias("p_id"), (F.col("id") * 0.5).alias("x"), F.lit(5.0).alias("y"))
-    found = spatial.locate(points, units)
+    found = cells.locate(points, units)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     assert {r.p_id: r.AREA_CODE for r in found.collect()} == {i: None if i % 20 == 0 or i > 59 else f"U{i // 20}" for i in range(100)}
-    assert spatial.locate(points, units, how="inner").count() == 57
+    assert cells.locate(points, units, how="inner").count() == 57
 
 
 def test_the_whole_table_is_in_order(spark):
@@ -279,10 +279,10 @@ def test_boundary_overlapping_units_and_snapping(spark):
     square = lambda x, y, w: f"POLYGON(({x} {y},{x + w} {y},{x + w} {y + w},{x} {y + w},{x} {y}))"
     units = spark.createDataFrame([("B", square(0, 0, 2)), ("A", square(1, 1, 2)), ("C", square(10, 10, 1))], "AREA_CODE string, w string").withColumn("rings", wkt.rings(F.col("w")))
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 0.0, 1.0), (4, 6.0, 6.0), (5, 9.5, 10.5)], "p_id long, x double, y double")
-    located = {r.p_id: r.AREA_CODE for r in spatial.locate(points, units).collect()}
+    located = {r.p_id: r.AREA_CODE for r in cells.locate(points, units).collect()}
     assert located == {1: "B", 2: "A", 3: None, 4: None, 5: None}
-    lost = spatial.locate(points, units).filter("AREA_CODE is null").drop("AREA_CODE")
-    assert {r.p_id: (r.AREA_CODE, r.DISTANCE) for r in spatial.snap(lost, units, 1.0).collect()} == {3: ("B", 0.0), 5: ("C", 0.5)}
+    lost = cells.locate(points, units).filter("AREA_CODE is null").drop("AREA_CODE")
+    assert {r.p_id: (r.AREA_CODE, r.DISTANCE) for r in cells.snap(lost, units, 1.0).collect()} == {3: ("B", 0.0), 5: ("C", 0.5)}
 
 
 def test_predictors_zero_and_not_measured(spark):
