@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What counts as white space in word rules: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -102,3 +102,25 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, class_key: str,
     near = rows.join(F.broadcast(hot), F.col(key) == F.col(class_key))
     rest = rows.join(F.broadcast(hot.select(F.col(class_key).alias("hot_key"))), F.col(key) == F.col("hot_key"), "left_anti")
     return near.unionByName(rest.join(cold, F.col(key) == F.col(class_key)))
+
+
+#: Rows of a range partition of `rank_rows` (more only beyond `MOST_PARTS` of them).
+PART_ROWS, MOST_PARTS = 1 << 15, 20_000
+
+
+def rank_rows(rows: DataFrame, key: str, order: list[Column], part_rows: int = PART_ROWS) -> DataFrame:
+    """`rows` with r_part, r_rank from 0 within their key, and r_total, the rows of the key. `order` must tell all rows of a key apart; keys are not null.
+
+    Rows are range-sorted by key and order, so a key that holds very many is spread over many tasks; a row's rank is its place in its part after the counts of the parts
+    before, of which there is one row for each part and key.
+    """
+    parts = min(MOST_PARTS, max(1, -(-rows.count() // part_rows)))
+    by = [F.col(key), *order]
+    placed = materialize(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("r_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("r_part", F.shiftright("r_at", 33))
+    own = placed.groupBy(F.col("r_part").alias("s_part"), F.col(key).alias("s_key")).agg(F.min("r_at").alias("s_first"), F.count("*").alias("s_count"))
+    whole = Window.partitionBy("s_key")
+    before = F.coalesce(F.sum("s_count").over(whole.orderBy("s_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = materialize(own.select("s_part", "s_key", (before - F.col("s_first")).alias("s_shift"), F.sum("s_count").over(whole).alias("r_total")))
+    met = placed.join(sizes, (F.col("r_part") == F.col("s_part")) & (F.col(key) == F.col("s_key")))
+    return met.withColumn("r_rank", F.col("r_at") + F.col("s_shift")).drop("s_part", "s_key", "s_shift", "r_at")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomgrid.llm.common import fold, text_batches
 from loomgrid.llm.crf import CHUNK, Emissions, Model, marginals, train
@@ -151,8 +152,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple
                 arrays, names = [*arrays, pa.array(sure, pa.float64())], [*names, "lid_sure"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    shape = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in carry)
-    return narrow.mapInArrow(judge, f"{shape}, lid_lang string, lid_score double" + (", lid_sure double" if certainty else ""))
+    judged = StructType.fromDDL("lid_lang string, lid_score double" + ", lid_sure double" * certainty)
+    return narrow.mapInArrow(judge, StructType([*[narrow.schema[c] for c in carry], *judged]))
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

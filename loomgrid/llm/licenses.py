@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import ascii_lower
+from loomgrid.llm.common import ascii_lower, materialize
 
 #: Separators between words, for Java's regular expressions: ASCII except digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -40,6 +40,8 @@ TEMPLATES = (
 MERGE_GAP = 3
 #: Least share of a template's words that a span's aligned words must cover.
 MIN_COVER = 0.8
+#: Rows equal in id and text that one row is multiplied into by one task.
+ROW_BLOCK = 10_000
 
 
 def _templates() -> list[tuple[int, str, bool, list[str], list[int]]]:
@@ -140,7 +142,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = license_spans(docs, id_col, text_col).groupBy("lic_id", "lic_key", "lic_words").agg(
         F.sum("lic_rows").alias("lic_rows"), F.count_if(base).cast("long").alias("n_base"), F.min(F.when(base, F.col("lic_start"))).alias("first_word"), F.max(F.when(base, F.col("lic_start"))).alias("last_word"),
         joined(base).alias("base_labels"), joined(F.lit(True)).alias("labels"), F.coalesce(F.max("lic_cover"), F.lit(0.0)).alias("score"))
-    each = texts.withColumn("lic_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("lic_rows"))))
+    # Rows equal in id and text were judged as one. Few of them are written out in place; many in blocks that are dealt over all tasks first.
+    texts = materialize(texts)
+    few, many = texts.filter(F.col("lic_rows") <= ROW_BLOCK), texts.filter(F.col("lic_rows") > ROW_BLOCK)
+    if not many.isEmpty():
+        dealt = many.withColumn("lic_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(lic_rows - 1) div {ROW_BLOCK}"))))
+        dealt = dealt.withColumn("lic_rows", F.least(F.lit(ROW_BLOCK), F.col("lic_rows") - ROW_BLOCK * F.col("lic_block")))
+        few = few.unionByName(dealt.repartition("lic_id", "lic_key", "lic_block").drop("lic_block"))
+    each = few.withColumn("lic_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("lic_rows"))))
     return each.select(F.col("lic_id").alias(id_col), F.col("lic_words").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 

@@ -15,16 +15,16 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import materialize
+from loomgrid.llm.common import materialize, rank_rows
 
 #: Children of a node, fields of a leaf, and levels of a block of leaves whose paths are worked out together.
 ARITY, FIELDS, BLOCK_LEVELS = 8, ("doc_id", "source", "lang", "n_chars", "text"), 4
 BLOCK = ARITY**BLOCK_LEVELS
-#: Leaves of a range partition (more only beyond `MOST_PARTS` of them), and parts that one merge takes.
-PART_ROWS, MOST_PARTS, FAN = 8 * BLOCK, 20_000, 16
+#: Leaves of a range partition, and parts that one merge takes.
+PART_ROWS, FAN = 8 * BLOCK, 16
 #: A step of a path: the siblings before and after a node, as hex text.
 PATH = "array<struct<before:string,after:string>>"
 _NODE = "n_group long, n_tree string, n_level int, n_index long, n_total long, n_digest binary, n_new boolean, n_open boolean"
@@ -84,20 +84,9 @@ def leaf(values: dict[str, Column]) -> Column:
 
 
 def _ranked(leaves: DataFrame) -> DataFrame:
-    """`leaves` (m_tree not null, m_key, m_leaf, m_row and others) with m_part, m_rank from 0 within the tree, and m_total, the tree's leaves.
-
-    Ranks are places in a range partition after the counts of the partitions before: one row for each part and tree. m_row tells equal rows apart.
-    """
-    parts = min(MOST_PARTS, max(1, -(-leaves.count() // PART_ROWS)))
-    order = [F.col("m_tree"), F.col("m_key").asc_nulls_first(), F.col("m_leaf"), F.col("m_row")]
-    placed = materialize(leaves.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("m_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("m_part", F.shiftright("m_at", 33))
-    own = placed.groupBy(F.col("m_part").alias("s_part"), F.col("m_tree").alias("s_tree")).agg(F.min("m_at").alias("s_first"), F.count("*").alias("s_count"))
-    tree = Window.partitionBy("s_tree")
-    before = F.coalesce(F.sum("s_count").over(tree.orderBy("s_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = materialize(own.select("s_part", "s_tree", (before - F.col("s_first")).alias("s_shift"), F.sum("s_count").over(tree).alias("m_total")))
-    met = placed.join(sizes, (F.col("m_part") == F.col("s_part")) & (F.col("m_tree") == F.col("s_tree")))
-    return met.withColumn("m_rank", F.col("m_at") + F.col("s_shift")).drop("s_part", "s_tree", "s_shift", "m_at")
+    """`leaves` (m_tree not null, m_key, m_leaf, m_row and others) with m_part, m_rank from 0 within the tree, and m_total, the tree's leaves. m_row tells equal rows apart."""
+    found = rank_rows(leaves, "m_tree", [F.col("m_key").asc_nulls_first(), F.col("m_leaf"), F.col("m_row")], PART_ROWS)
+    return found.withColumnsRenamed({"r_part": "m_part", "r_rank": "m_rank", "r_total": "m_total"})
 
 
 def _grown(ranked: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomgrid.llm.common import LOWER, UPPER, materialize, text_batches
 
@@ -148,9 +149,8 @@ def apply_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source
                 arrays, names = [*arrays, pa.array(texts, pa.string())], [*names, "q_text"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    shape = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in carry)
-    shape += ", q_words long, q_word_chars long, q_symbols long, q_dup_lines long, q_repeat_words long, q_failed boolean, q_kept boolean"
-    return narrow.mapInArrow(judge, shape + (", q_text string" if rewrite else ""))
+    counts = "q_words long, q_word_chars long, q_symbols long, q_dup_lines long, q_repeat_words long, q_failed boolean, q_kept boolean" + ", q_text string" * rewrite
+    return narrow.mapInArrow(judge, StructType([*[narrow.schema[c] for c in carry], *StructType.fromDDL(counts)]))
 
 
 def _with_lines(narrow: DataFrame, lines: DataFrame) -> DataFrame:

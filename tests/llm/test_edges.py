@@ -19,13 +19,13 @@ ROWS = [
     (None, None, None, None),
     (8, "ẞ İ \x1cé\x1f <|endoftext|> 𝒳 naïve \u2028 line", None, "ü"),
 ]
-CLASH = "size int, score double, label string, x string, k long, kept boolean, words long, rank int, target double, length int, piece int, stats string, n_words long, component string, host string, node string, a long, b long"
+CLASH = "size int, score double, label string, x string, k long, kept boolean, words long, rank int, target double, length int, piece int, stats string, n_words long, component string, host string, node string, a long, b long, q_kept boolean, q_text string, q_host long, q_in string, lid_lang string, lid_sure double, sim_fp long, sim_out long, sim_mark int, mix_row int, mix_at int, pk_id long, pk_row int, st_row int, st_text string, st_id int, lic_rows int"
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}"
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    filler = (7, 0.5, "l", "x", 1, True, 3, 4, 1.0, 5, 6, "s", 8, "c", "h", "n", 1, 2)
+    filler = (7, 0.5, "l", "x", 1, True, 3, 4, 1.0, 5, 6, "s", 8, "c", "h", "n", 1, 2, False, "q", 3, "i", "l", 0.5, 9, 8, 7, 6, 5, 4, 3, 2, "t", 1, 0)
     return spark.createDataFrame([(*r, len(r[1] or ""), *filler) for r in ROWS], SCHEMA)
 
 

@@ -380,3 +380,31 @@ def test_scratch_tables_are_shared_and_released(spark):
     assert table.count() == 3 and any(folder.iterdir())
     common.release(spark)
     assert not folder.exists()
+
+
+@pytest.mark.parametrize("sources", [10_000, 0])
+def test_equal_rows_and_missing_ids_are_drawn_each(spark, monkeypatch, sources):
+    """A third of a source without an id, and a third of another one row many times: both come near their targets, however the rows are dealt."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
+    words = " ".join("w" for _ in range(20))
+    rows = [(i, words + f" {i}", "a") for i in range(3_000)] + [(None, words + f" n{i}", "a") for i in range(1_500)] + [(9, words, "b")] * 2_000 + [(10_000 + i, words + f" {i}", "b") for i in range(4_000)] + [(50_000 + i, words, None) for i in range(12_000)] + [(None, None, "c"), (None, "", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.copy_counts(docs).collect()
+    by_source = {}
+    for r in found:
+        own = by_source.setdefault(r.mix_source, [0, r.target, r.source_size])
+        own[0] += r.mix_size * r.mix_copies
+    assert len(found) == len(rows) and all(abs(taken - target) <= 0.03 * target for taken, target, _ in by_source.values())
+    assert abs(sum(t for _, t, _ in by_source.values()) - 1.5 * sum(s for *_, s in by_source.values())) < 1e-3
+    twins = sorted(r.mix_copies for r in found if r.mix_id == 9)
+    assert len(twins) == 2_001 and len(set(twins)) == 2
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, mixing.copy_counts(docs.repartition(13)).collect()), key=str)
+    assert mixing.mix(docs).count() == sum(r.mix_copies for r in found)
+
+
+def test_license_rows_that_are_very_often_equal(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "ROW_BLOCK", 7)
+    rows = [(1, "under the MIT License here")] * 500 + [(None, None)] * 30 + [(i, f"text {i}") for i in range(2, 60)] + [(1, "other text")] * 8
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    counts = sorted((str(r.doc_id), r.base_labels) for r in found)
+    assert len(found) == len(rows) and counts.count(("1", "mit")) == 500 and counts.count(("None", "")) == 30 and counts.count(("1", "")) == 8

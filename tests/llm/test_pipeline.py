@@ -43,7 +43,7 @@ def language(spark, docs):
     emissions, out = Emissions(model), []
     for doc in docs:
         words = language_id.words_of(doc[1])
-        if words and marginals(emissions(words), np.array([len(words)]), model.transitions).mean(axis=0).max() >= stages.MIN_LANGUAGE_SCORE:
+        if words and marginals(emissions(words), np.array([len(words)]), model.transitions).max(axis=1).mean() >= stages.MIN_LANGUAGE_SCORE:
             out.append(doc)
     return out
 
@@ -82,7 +82,8 @@ def mix(docs):
     out = []
     for d in docs:
         rate = target[d[3]] / sizes[d[3]]
-        u = int(hashlib.md5(f"{mixing.SEED}:{d[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+        u = int(md5(md5(f"{mixing.SEED}:{d[0]}:{d[3]}:{md5(d[1])}") + ":0")[:13], 16) / 2**52
         out += [d] * (int(rate) + (u < rate - int(rate)))
     return out
 
