@@ -75,3 +75,13 @@ def colour_range(long: DataFrame, count: str = "AFFECTED_PARTIES") -> DataFrame:
     """Least and most positive yearly cell: the range that yearly tables share."""
     yearly = long.groupBy("YEAR", "PARTY_TYPE", "COUNTERPART_TYPE").agg(F.sum(count).alias("n"))
     return yearly.agg(F.min(F.when(F.col("n") > 0, F.col("n"))).alias("LOW"), F.max(F.when(F.col("n") > 0, F.col("n"))).alias("HIGH"))
+
+
+def shaded(long: DataFrame, count: str = "AFFECTED_PARTIES") -> DataFrame:
+    """What the yearly figures of a count draw: (YEAR, PARTY_TYPE, COUNTERPART_TYPE, VALUE, SHADE). SHADE places a positive cell on a logarithmic scale from 0 to 1 over the positive
+    cells of all years, so that years compare; a cell of 0 has none."""
+    yearly = long.groupBy("YEAR", "PARTY_TYPE", "COUNTERPART_TYPE").agg(F.sum(count).alias("VALUE"))
+    across = yearly.crossJoin(colour_range(long, count))  # one row
+    wide = F.col("HIGH") > F.col("LOW")
+    scale = F.when(wide, (F.log("VALUE") - F.log("LOW")) / (F.log("HIGH") - F.log("LOW"))).otherwise(F.lit(1.0))
+    return across.select("YEAR", "PARTY_TYPE", "COUNTERPART_TYPE", "VALUE", F.when(F.col("VALUE") > 0, scale).alias("SHADE"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.domains import CITY_LEVEL, JUMP, OTHER, PAIR_LABELS, PRIMARY, RANK, SPARSE, TYPES, UNIT_LEVEL, Study, declared, pairs_table
@@ -13,6 +13,7 @@ from loomgrid.operators.grid import complete_grid, years_table
 from loomgrid.operators.parties import with_party_count
 
 KEPT = "KEPT"
+REASONS = (KEPT, "RESIDUAL", "SAME_TYPE", "NO_PRIMARY")
 
 
 def crash_pairs(universe: DataFrame) -> DataFrame:
@@ -24,20 +25,29 @@ def crash_pairs(universe: DataFrame) -> DataFrame:
         F.min(side)["PARTY_TYPE"].alias("PAIR_TYPE_A"), F.max(side)["PARTY_TYPE"].alias("PAIR_TYPE_B"), F.bool_and(F.col("PERSONS_INJURED") + F.col("PERSONS_KILLED") > 0).alias("BOTH_AFFECTED"))
 
 
-def with_reason(pairs: DataFrame) -> DataFrame:
-    """Adds REASON: KEPT, or the first rule that excludes the crash: RESIDUAL, SAME_TYPE, NO_PRIMARY."""
+def reason() -> Column:
+    """One of `REASONS` for a pair: KEPT, or the first rule that excludes the crash."""
     a, b = F.col("PAIR_TYPE_A"), F.col("PAIR_TYPE_B")
-    reason = F.when((a == OTHER) | (b == OTHER), "RESIDUAL").when(a == b, "SAME_TYPE").when(~(a.isin(*PRIMARY) | b.isin(*PRIMARY)), "NO_PRIMARY").otherwise(KEPT)
-    return pairs.withColumn("REASON", reason)
+    return F.when((a == OTHER) | (b == OTHER), "RESIDUAL").when(a == b, "SAME_TYPE").when(~(a.isin(*PRIMARY) | b.isin(*PRIMARY)), "NO_PRIMARY").otherwise(KEPT)
+
+
+def with_reason(pairs: DataFrame) -> DataFrame:
+    """Adds REASON."""
+    return pairs.withColumn("REASON", reason())
 
 
 def restrict(pairs: DataFrame) -> DataFrame:
     return with_reason(pairs).filter(F.col("REASON") == KEPT).drop("REASON").withColumn("PAIR", F.concat_ws("-", "PAIR_TYPE_A", "PAIR_TYPE_B"))
 
 
+def with_attributes(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Crashes with their year and unit, which may be none."""
+    return pairs.join(attributes.select("FORMULARIO", "YEAR", "AREA_CODE", "AREA_NAME"), "FORMULARIO", "left")
+
+
 def placed(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
     """Crashes with their year and unit; those in no unit go."""
-    return pairs.join(attributes.select("FORMULARIO", "YEAR", "AREA_CODE", "AREA_NAME"), "FORMULARIO", "left").filter("AREA_CODE is not null")
+    return with_attributes(pairs, attributes).filter("AREA_CODE is not null")
 
 
 def aggregate(crashes: DataFrame) -> DataFrame:
@@ -75,6 +85,26 @@ def jumps(long: DataFrame, least: float | None = JUMP) -> DataFrame:
     return changed.select("PAIR", "YEAR", "RHO_BEFORE", "RHO", "CHANGE", "CRASHES_BEFORE", "CRASHES_TOTAL").orderBy(F.abs("CHANGE").desc(), "PAIR", "YEAR")
 
 
+def lines(long: DataFrame) -> DataFrame:
+    """What a figure of the city's rho draws: (PAIR, YEAR, RHO, SEGMENT, JUMPED), one row for each declared pair and year.
+
+    SEGMENT numbers the runs of years that a line connects, from 1; a year without rho is in none and breaks the line. JUMPED marks a change from the year before of at least the limit.
+    """
+    pair = Window.partitionBy("PAIR").orderBy("YEAR")
+    has, before = F.col("RHO").isNotNull(), F.lag("RHO").over(pair)
+    joined = has & before.isNotNull() & (F.lag("YEAR").over(pair) == F.col("YEAR") - 1)
+    city = long.filter(F.col("AGGREGATION_LEVEL") == CITY_LEVEL).withColumns({"starts": (has & ~F.coalesce(joined, F.lit(False))).cast("int"), "JUMPED": F.coalesce(joined & (F.abs(F.col("RHO") - before) >= JUMP), F.lit(False))})
+    run = F.sum("starts").over(pair.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return city.select("PAIR", "YEAR", "RHO", F.when(has, run).alias("SEGMENT"), "JUMPED")
+
+
+def gaps(long: DataFrame) -> DataFrame:
+    """(PAIR, FIRST_YEAR, LAST_YEAR, YEARS): the stretches of years in which the city's rho of a pair is undefined."""
+    pair = Window.partitionBy("PAIR").orderBy("YEAR")
+    empty = long.filter((F.col("AGGREGATION_LEVEL") == CITY_LEVEL) & F.col("RHO").isNull()).withColumn("island", F.col("YEAR") - F.row_number().over(pair))
+    return empty.groupBy("PAIR", "island").agg(F.min("YEAR").alias("FIRST_YEAR"), F.max("YEAR").alias("LAST_YEAR"), F.count("*").alias("YEARS")).drop("island")
+
+
 def sparse_cells(long: DataFrame) -> DataFrame:
     """Unit cells by pair: how many, with fewer crashes than the limit, empty, and the median behind a cell. Nothing is filtered by it."""
     return long.filter(F.col("AGGREGATION_LEVEL") == UNIT_LEVEL).groupBy("PAIR").agg(

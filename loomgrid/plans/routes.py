@@ -80,9 +80,9 @@ def _parties(spark: SparkSession, sf_dir: str, out: Outcome) -> tuple[DataFrame,
     resolved = parties.resolve_counterparts(universe)
     affected = parties.affected_parties(resolved, attributes)
     size = parties.with_party_count(universe).agg(F.count("*").alias("all"), F.count_if(F.col("PARTIES") > 2).alias("over"), F.count_if((F.col("PARTIES") <= 2) & (F.col("PERSONS_INJURED") + F.col("PERSONS_KILLED") == 0)).alias("unhurt")).first()
-    emitted = affected.count()
     out.ledger.settle("two-party threshold", size["all"], size["all"] - size.over, {"parties of crashes with more than two": -size.over})
-    out.ledger.settle("emit affected parties", size["all"] - size.over, emitted, {"parties without a casualty": -size.unhurt})
+    affected, emitted = out.ledger.watch(affected, rows=F.count("*"))
+    out.ledger.later("emit affected parties", lambda again: (size["all"] - size.over, emitted(again)["rows"], {"parties without a casualty": -size.unhurt}))
     out.checks += checks.people(universe, people, resolved)
     out.intermediates |= {"party_universe": universe, "resolved_counterparts": resolved}
     return people, universe, attributes, affected
@@ -97,6 +97,7 @@ def affected(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> Non
 @route
 def casualty_matrix(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> None:
     _, _, _, found = _parties(spark, sf_dir, out)
+    found = sinks.staged(found, folder, "affected_parties")
     study = _model(sf_dir).study(spark, sf_dir)
     long = matrix.long_table(found, study).cache()
     assert_covered(matrix.cells(found), matrix.grid(study), matrix.KEYS)
@@ -107,23 +108,29 @@ def casualty_matrix(spark: SparkSession, sf_dir: str, folder: str, out: Outcome)
         for year in study.years:
             out.tables[f"by_year_{count.lower()}_{year}"] = matrix.crosstab(long, count, year)
     out.tables |= {"yearly_totals": matrix.yearly_totals(long), "empty_by_unit": matrix.emptiness(long, "AREA_CODE"), "empty_by_year": matrix.emptiness(long, "YEAR"), "counterpart_shares": matrix.counterpart_shares(long), "colour_range": matrix.colour_range(long)}
+    out.tables |= {f"shaded_{count.lower()}": matrix.shaded(long, count) for count in matrix.COUNTS}
 
 
 @route
 def rho_table(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) -> None:
     people, vehicles = _load(spark, sf_dir, out)
     universe, study = _universe(people, vehicles), _model(sf_dir).study(spark, sf_dir)
-    pairs = rho.crash_pairs(universe).cache()
-    reasons = {r.REASON: r["count"] for r in rho.with_reason(pairs).groupBy("REASON").count().collect()}
-    kept, total = reasons.get(rho.KEPT, 0), sum(reasons.values())
-    out.ledger.settle("restrict to the pairs", total, kept, {k: -n for k, n in reasons.items() if k != rho.KEPT})
-    located = rho.placed(rho.restrict(pairs), parties.crash_attributes(people)).cache()
-    here = located.count()
-    out.ledger.settle("located crashes", kept, here, {"crashes in no unit": here - kept})
+    pairs = rho.crash_pairs(universe)
+    # Counted while the crashes are placed: how many there are for each reason, and how many of those kept have a unit.
+    pairs, reasons = out.ledger.watch(pairs, **{r: F.count_if(rho.reason() == r) for r in rho.REASONS})
+    restricted, whole = out.ledger.watch(rho.with_attributes(rho.restrict(pairs), parties.crash_attributes(people)), located=F.count("AREA_CODE"), lost=F.count_if(F.col("AREA_CODE").isNull()))
+    located = sinks.staged(restricted.filter("AREA_CODE is not null"), folder, "located_crashes")
+
+    def restriction(again: bool) -> tuple[int, int, dict[str, int]]:
+        n = reasons(again)
+        return sum(n.values()), n[rho.KEPT], {k: -v for k, v in n.items() if k != rho.KEPT}
+
+    out.ledger.later("restrict to the pairs", restriction)
+    out.ledger.later("located crashes", lambda again: (reasons(again)[rho.KEPT], whole(again)["located"], {"crashes in no unit": -whole(again)["lost"]}))
     long = rho.long_table(located, study).cache()
     assert_unique(long, ["AGGREGATION_LEVEL", "AREA_CODE", "YEAR", "PAIR"])  # the pivots below keep one value a cell
     out.checks += checks.rho(long, located, study)
-    out.tables |= {"rho_long": long, "rho_city": rho.city_table(long), "rho_city_crashes": rho.city_table(long, "CRASHES_TOTAL"), "rho_jumps": rho.jumps(long), "rho_sparse": rho.sparse_cells(long), "rho_pooled": rho.pooled_and_mean(long)}
+    out.tables |= {"rho_long": long, "rho_city": rho.city_table(long), "rho_city_crashes": rho.city_table(long, "CRASHES_TOTAL"), "rho_jumps": rho.jumps(long), "rho_sparse": rho.sparse_cells(long), "rho_lines": rho.lines(long), "rho_gaps": rho.gaps(long), "rho_pooled": rho.pooled_and_mean(long)}
 
 
 @route
@@ -153,9 +160,12 @@ def integration(spark: SparkSession, sf_dir: str, folder: str, out: Outcome) ->
         account = integrate.account_for_people(everyone.filter(own), new, incoming, everyone)
         integrate.assert_overlap(account)
         integrate.assert_same_types(new.drop("PERSON"), layer)
-        rebuilt = integrate.replace_year(layer, new.drop("PERSON"), year)
-        n = layer.agg(F.count("*").alias("rows"), F.count_if(F.col("YEAR") == year).alias("old")).first()
-        out.ledger.settle(f"replace a year of {name}", n["rows"], rebuilt.count(), {"rows of the replaced year": -n.old, "rows of the extract": new.count()})
+        # Counted while the layer is written.
+        seen_layer, old = out.ledger.watch(layer, rows=F.count("*"), old=F.count_if(F.col("YEAR") == year))
+        seen_new, fresh = out.ledger.watch(new.drop("PERSON"), rows=F.count("*"))
+        rebuilt, written = out.ledger.watch(integrate.replace_year(seen_layer, seen_new, year), rows=F.count("*"))
+        moved = lambda again, old=old, fresh=fresh, written=written: (old(again)["rows"], written(again)["rows"], {"rows of the replaced year": -old(again)["old"], "rows of the extract": fresh(again)["rows"]})
+        out.ledger.later(f"replace a year of {name}", moved)
         target = f"{folder}/data/{name}_by_year"
         sinks.write_years(city.as_layer(rebuilt) if city.is_city(sf_dir) else rebuilt, target)
         out.files.append(target)
@@ -197,6 +207,7 @@ def run(spark: SparkSession, name: str, sf_dir: str, root: str, dump: bool = Fal
         out.files += sinks.write_intermediate(df, folder, stage)
     if out.exported:
         out.checks += out.exported(lambda table: f"{sinks.path(folder, kinds[table], table)}.csv")
+    out.ledger.close()
     out.files += sinks.write_table(out.ledger.frame(spark), folder, "reference", "ledger", csv=False)
     out.files += sinks.write_table(checks.table(spark, out.checks), folder, "reference", "checks")
     failed = [f"{n}: {detail}" for n, ok, detail in out.checks if not ok]

@@ -35,6 +35,13 @@ def write_table(df: DataFrame, folder: str, kind: str, name: str, csv: bool = Tr
     return out
 
 
+def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """A stage's result, written under the run's folder and read from there: what uses it several times does not work it out again, and counts taken on the way are complete."""
+    target = f"{folder}/intermediate/{name}_stage.parquet"
+    df.write.mode("overwrite").parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
 def write_years(layer: DataFrame, target: str, column: str = "YEAR") -> None:
     """A layer partitioned by year; writing some years again replaces these and leaves the others."""
     layer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(target)

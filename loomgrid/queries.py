@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.domains import CITY_LEVEL, COUNTERPARTS, FATALITY, INJURY, PAIR_LABELS, PAIRS, TYPES, Scale, Study, declared, ranked
 from loomgrid.functions import scalars as sc
+from loomgrid.ledger import Ledger
 from loomgrid.operators import cells, checks, completeness, grid, integrate, matrix, models, overlay, parties, predictors, rho, spatial, validity
 from loomgrid.sources import adapter as ad
 from loomgrid.sources import wkb
@@ -314,10 +315,10 @@ def _(s, d):
     return _universe(s, d).filter(F.col("PARTY_ID").startswith("V")).select("FORMULARIO", "PARTY_ID")
 
 
-@query("SC4", "select pair as PAIR, a as SIDE_A, b as SIDE_B from pl")
+@query("SC4", "select ta || '-' || tb as PAIR, ta as SIDE_A, tb as SIDE_B, count(*) as n from put group by all")
 def _(s, d):
-    labels = declared(s, [(p,) for p in PAIR_LABELS], "PAIR string")
-    return labels.withColumn("s", F.split("PAIR", "-")).select("PAIR", F.col("s")[0].alias("SIDE_A"), F.col("s")[1].alias("SIDE_B"))
+    sides = F.split("PAIR", "-")
+    return _placed(s, d).groupBy("PAIR").agg(F.count("*").alias("n")).select("PAIR", sides[0].alias("SIDE_A"), sides[1].alias("SIDE_B"), "n")
 
 
 @query("SC5", "select ta || '-' || tb as PAIR, count(*) as n from why where reason = 'KEPT' group by 1")
@@ -367,9 +368,9 @@ def _(s, d):
     return long.select("AREA_CODE", "PREDICTOR", sc.shown(F.col("VALUE"), F.col("PREDICTOR_FAMILY")).alias("SHOWN"))
 
 
-@query("SC15", "select pair as PAIR, replace(replace(replace(replace(pair, 'PEDESTRIAN', 'PED'), 'BICYCLE', 'BIC'), 'MOTORCYCLE', 'MOT'), 'PUBLIC_TRANSPORT', 'PUB') as SHORT from pl")
+@query("SC15", "select replace(replace(replace(replace(pair, 'PEDESTRIAN', 'PED'), 'BICYCLE', 'BIC'), 'MOTORCYCLE', 'MOT'), 'PUBLIC_TRANSPORT', 'PUB') as SHORT, yr as YEAR, count(*) as n from put group by all")
 def _(s, d):
-    return declared(s, [(p,) for p in PAIR_LABELS], "PAIR string").withColumn("SHORT", sc.short_pair(F.col("PAIR")))
+    return _placed(s, d).groupBy(sc.short_pair(F.col("PAIR")).alias("SHORT"), "YEAR").agg(F.count("*").alias("n"))
 
 
 # --- joins ------------------------------------------------------------------------------------------------------
@@ -800,9 +801,11 @@ def _(s, d):
     return parties.in_final_order(_affected(s, d)).select("FORMULARIO", "AREA_CODE", "PARTY_TYPE", "COUNTERPART_TYPE", "PERSONS_INJURED", "PERSONS_KILLED")
 
 
-@query("ST2", "select t as PARTY_TYPE, r as PARTY_TYPE_RANK from tl")
+@query("ST2", "select t as PARTY_TYPE, r as PARTY_TYPE_RANK, count(crash) as n from tl left join parties on ptype = t group by all")
 def _(s, d):
-    return ranked(s, TYPES, "PARTY_TYPE")
+    """The vocabulary in declared order with the parties of each type."""
+    found = _universe(s, d).groupBy("PARTY_TYPE").agg(F.count("*").alias("n"))
+    return ranked(s, TYPES, "PARTY_TYPE").join(found, "PARTY_TYPE", "left").select("PARTY_TYPE", "PARTY_TYPE_RANK", F.coalesce("n", F.lit(0)).alias("n")).orderBy("PARTY_TYPE_RANK")
 
 
 @query("ST3", "select pt as PARTY_TYPE, cp as COUNTERPART_TYPE, sum(np)::bigint as PARTIES from mat group by all order by PARTIES desc, pt, cp limit 3")
@@ -980,22 +983,33 @@ def _(s, d):
     return now.crossJoin(old).select((F.col("now") >= 0.5 * F.col("old")).alias("RATE_HOLDS"))
 
 
-@query("CK1", "select 'threshold' as stage, (select count(*) from parties) as rows_in, (select count(*) from kept) as rows_out, (select count(*) from kept) - (select count(*) from parties) as explained")
+@query("CK1", """, n as (select (select count(*) from parties) as a, (select count(*) from kept) as b, (select count(*) from kept where inj + kil = 0) as c)
+    select 0::int as STEP_NUMBER, 'two-party threshold' as STEP, 'opening' as ENTRY, a as ROWS from n union all select 0, 'two-party threshold', 'parties of crashes with more than two', b - a from n where a <> b union all select 0, 'two-party threshold', 'closing', b from n
+    union all select 1, 'emit affected parties', 'opening', b from n union all select 1, 'emit affected parties', 'parties without a casualty', -c from n where c > 0 union all select 1, 'emit affected parties', 'closing', b - c from n""")
 def _(s, d):
-    counted = parties.with_party_count(_universe(s, d)).agg(F.count("*").alias("rows_in"), F.count_if(F.col("PARTIES") <= 2).alias("rows_out"), (-F.count_if(F.col("PARTIES") > 2)).alias("explained"))
-    return counted.select(F.lit("threshold").alias("stage"), "rows_in", "rows_out", "explained")
+    """Two steps booked in a ledger from counts taken while the second one's table is made, in one job."""
+    book, hurt = Ledger(), F.col("PERSONS_INJURED") + F.col("PERSONS_KILLED") > 0
+    every, seen = book.watch(parties.with_party_count(_universe(s, d)), rows=F.count("*"), over=F.count_if(F.col("PARTIES") > 2), unhurt=F.count_if((F.col("PARTIES") <= 2) & ~hurt))
+    emitted, after = book.watch(every.filter((F.col("PARTIES") <= 2) & hurt), rows=F.count("*"))
+    book.later("two-party threshold", lambda again: (seen(again)["rows"], seen(again)["rows"] - seen(again)["over"], {"parties of crashes with more than two": -seen(again)["over"]}))
+    book.later("emit affected parties", lambda again: (seen(again)["rows"] - seen(again)["over"], after(again)["rows"], {"parties without a casualty": -seen(again)["unhurt"]}))
+    emitted.write.format("noop").mode("overwrite").save()
+    book.close()
+    return book.frame(s)
 
 
-@query("CK3", "select sum(np)::bigint as AFFECTED_PARTIES, (select count(*) from aff where code is not null) as located, count(*) filter (where np > ni + nk) as few from mat")
+@query("CK3", """ select * from (values ('AFFECTED_PARTIES preserved', (select sum(np) from mat) = (select count(*) from aff where code is not null)), ('PERSONS_INJURED preserved', (select sum(ni) from mat) = (select sum(inj) from aff where code is not null)),
+    ('PERSONS_KILLED preserved', (select sum(nk) from mat) = (select sum(kil) from aff where code is not null)), ('no negative count', (select count(*) from mat where least(np, ni, nk) < 0) = 0), ('persons at least parties', (select count(*) from mat where ni + nk < np) = 0),
+    ('units of the roster', (select count(distinct code) from mat) = (select count(*) from units)), ('years of the study', (select count(distinct y) from mat) = 7), ('complete grid', (select count(*) from mat) = (select count(*) from units) * 7 * 6 * 7)) v("CHECK", OK)""")
 def _(s, d):
-    long = _matrix(s, d).agg(F.sum("AFFECTED_PARTIES").alias("AFFECTED_PARTIES"), F.count_if(F.col("AFFECTED_PARTIES") > F.col("PERSONS_INJURED") + F.col("PERSONS_KILLED")).alias("few"))
-    return long.crossJoin(matrix.located(_affected(s, d)).agg(F.count("*").alias("located")))
+    return checks.table(s, checks.matrix(_matrix(s, d), _affected(s, d), ad.study(s, d))).drop("DETAIL")
 
 
-@query("CK4", "select y as YEAR, sum(d) filter (where lvl = 'CITY')::bigint as city, sum(d) filter (where lvl = 'UNIT')::bigint as units from rl group by y")
+@query("CK4", """ select * from (values ('numerator within denominator', (select count(*) from rl where n > d) = 0), ('rho in [0, 1]', (select count(*) from rr where rho < 0 or rho > 1) = 0), ('rho defined where there are crashes', (select count(*) from rr where (rho is not null) <> (d > 0)) = 0),
+    ('units sum to the city', (select count(*) from (select y, sum(d) filter (where lvl = 'CITY') - sum(d) filter (where lvl = 'UNIT') as gap, sum(n) filter (where lvl = 'CITY') - sum(n) filter (where lvl = 'UNIT') as hit from rl group by y) where gap <> 0 or hit <> 0) = 0),
+    ('crashes preserved', (select sum(d) from rl where lvl = 'CITY') = (select count(*) from put)), ('complete grid', (select count(*) from rl) = (select count(*) + 1 from units) * 7 * (select count(*) from pl))) v("CHECK", OK)""")
 def _(s, d):
-    city = F.col("AGGREGATION_LEVEL") == CITY_LEVEL
-    return _rho(s, d).groupBy("YEAR").agg(F.sum(F.when(city, F.col("CRASHES_TOTAL"))).alias("city"), F.sum(F.when(~city, F.col("CRASHES_TOTAL"))).alias("units"))
+    return checks.table(s, checks.rho(_rho(s, d), _placed(s, d), ad.study(s, d))).drop("DETAIL")
 
 
 @query("CK5", "select CHECK_NAME as \"CHECK\", OK from (values ('complete grid', true), ('nothing negative', true), ('shares at most 1', (select count(*) from pv where kind = 'area' and v > 1) = 0), ('value is measure by area', true), ('a value where measured', true), ('a snapshot has no year', true), ('wide shape', true), ('every pair of predictors', true), ('correlations in [-1, 1]', true), ('units of the roster', true), ('predictors as declared', true), ('correlation diagonal is 1', true), ('correlations are symmetric', true), ('dictionary and measured predictors agree', true), ('dictionary covers the wide table', true), ('dictionary and tables agree on units', true)) v(CHECK_NAME, OK)")
@@ -1007,11 +1021,9 @@ def _(s, d):
     return checks.table(s, found).drop("DETAIL")
 
 
-@query("CK7", "select sum(inj + kil)::bigint as people, (select sum(inj + kil) from kept)::bigint as kept, (select sum(inj + kil) from sized where n > 2)::bigint as discarded from cas")
+@query("CK7", "select 'people balance' as \"CHECK\", (select sum(inj + kil) from kept) + (select coalesce(sum(inj + kil), 0) from sized where n > 2) = sum(inj + kil) as OK, (select sum(inj + kil) from kept) || ' kept and ' || (select coalesce(sum(inj + kil), 0) from sized where n > 2) || ' discarded of ' || sum(inj + kil) as DETAIL from cas")
 def _(s, d):
-    both = F.col("PERSONS_INJURED") + F.col("PERSONS_KILLED")
-    split = parties.with_party_count(_universe(s, d)).agg(F.sum(F.when(F.col("PARTIES") <= 2, both)).alias("kept"), F.sum(F.when(F.col("PARTIES") > 2, both)).alias("discarded"))
-    return ad.casualties(s, d).agg(F.sum(F.col("INJURED") + F.col("KILLED")).alias("people")).crossJoin(split)
+    return checks.table(s, checks.people(_universe(s, d), ad.casualties(s, d), _resolved(s, d)))
 
 
 @query("CK8", "select count(*) as n from (select crash from res except select crash from aff)")
@@ -1023,3 +1035,23 @@ def _(s, d):
 @query("CK11", "select count(*) filter (where p.code is not null and i.code is null) as NEWLY, count(*) filter (where p.code is null and i.code is not null) as RECOVERED, (select count(*) from inc where src = 'INJURY' and code is null) as OUTSIDE from prev p join inc i on i.person = p.person and i.src = 'INJURY'")
 def _(s, d):
     return integrate.relocated(_previous(s, d), _incoming(s, d).filter(F.col("CASUALTY_SOURCE") == INJURY))
+
+
+@query("SNK7", """, c as (select pair, y, rho, lag(rho) over (partition by pair order by y) as before from rr where lvl = 'CITY'),
+    f as (select *, case when rho is not null and before is null then 1 else 0 end as starts from c)
+    select pair as PAIR, y as YEAR, rho as RHO, case when rho is not null then sum(starts) over (partition by pair order by y) end::bigint as SEGMENT, coalesce(abs(rho - before) >= 0.1, false) as JUMPED from f""")
+def _(s, d):
+    """The table behind the figure of the city's rho: segments between undefined years, and jumps."""
+    return rho.lines(_rho(s, d))
+
+
+@query("SNK7_gaps", ", e as (select pair, y, y - row_number() over (partition by pair order by y) as k from rr where lvl = 'CITY' and rho is null) select pair as PAIR, min(y) as FIRST_YEAR, max(y) as LAST_YEAR, count(*) as YEARS from e group by pair, k")
+def _(s, d):
+    return rho.gaps(_rho(s, d))
+
+
+@query("SNK7_shades", """, c as (select y, pt, cp, sum(np)::bigint as n from mat group by all), g as (select min(n) filter (where n > 0) as low, max(n) as high from c)
+    select y as YEAR, pt as PARTY_TYPE, cp as COUNTERPART_TYPE, n as VALUE, round(case when n > 0 then case when high > low then (ln(n) - ln(low)) / (ln(high) - ln(low)) else 1 end end, 9) as SHADE from c, g""")
+def _(s, d):
+    """The table behind the yearly figures of affected parties, on one scale for all years."""
+    return matrix.shaded(_matrix(s, d)).withColumn("SHADE", F.round("SHADE", 9))

@@ -1,6 +1,7 @@
 """Routes over a city's own files: shapefiles in degrees, CSV of vehicles and of an updated extract; repair of polygons; exports read again."""
 
 import json
+import shutil
 import struct
 
 import pytest
@@ -92,6 +93,17 @@ def test_routes_over_a_city(spark, root, tmp_path, name):
         dead, hurt = (spark.read.parquet(next(f for f in out.files if f.endswith(f"{t}_by_year"))) for t in ("fatalities", "injuries"))
         assert [r.CODIGO_ACC for r in dead.collect()] == ["p3"] and sorted(r.CODIGO_ACC for r in hurt.collect()) == ["p1", "p2", "p4", "p9"]
         assert out.ledger.steps == ["replace a year of fatalities", "replace a year of injuries"]
+        # The layers written are sources in turn: a city that declares them has the people of the rebuilt years in the same units.
+        after = tmp_path / "after"
+        shutil.copytree(root, after)
+        declared = json.loads((after / "city.json").read_text()) | {n: next(f for f in out.files if f.endswith(f"{n}_by_year")) for n in ("fatalities", "injuries")}
+        for n in ("fatalities", "injuries"):
+            shutil.copytree(declared[n], after / "people" / f"{n}.parquet")
+            declared[n] = f"people/{n}.parquet"
+        (after / "city.json").write_text(json.dumps(declared))
+        again = {(r.CODIGO_ACC, r.YEAR, r.AREA_CODE, r.KILLED, str(r.FECHA_OCUR)) for r in city.casualties(spark, str(after)).collect()}
+        assert again == {("p1", 2020, "01", 0, "2020-01-01 00:00:00"), ("p2", 2020, "01", 0, "2020-01-01 00:00:00"), ("p3", 2021, "02", 1, "2021-03-01 00:00:00"), ("p4", 2021, "02", 0, "2021-03-01 00:00:00"), ("p9", 2021, "02", 0, "2021-03-01 00:00:00")}
+        assert all(ok for _, ok, _ in routes.run(spark, "loading", str(after), str(tmp_path / "again")).checks)
     if name == "urban_predictors":
         assert {n for n, _, _ in out.checks} >= {"every declared source exists", "correlation diagonal is 1", "correlations are symmetric", "dictionary and measured predictors agree", "dictionary covers the wide table", "dictionary and tables agree on units"}
         got = {(r.AREA_CODE, r.PREDICTOR_FAMILY): (r.VALUE, r.MEASURE) for r in out.tables["predictors_long"].collect()}

@@ -374,3 +374,28 @@ def test_formats(spark):
     values = spark.createDataFrame([(None,), (float("nan"),), (-1.0,), (0.05,), (0.5,), (5.0,), (50.0,), (500.0,)], "v double").coalesce(1)
     assert [r[0] for r in values.select(scalars.decimals(F.col("v"))).collect()] == [2, 2, 2, 4, 3, 2, 1, 0]
     assert [r[0] for r in values.select(scalars.shown(F.col("v"), F.lit("area"))).collect()][:5] == ["-", "-", "-1.0000", "0.0500", "0.5000"]
+
+
+def test_lines_of_rho_break_where_it_is_undefined(spark):
+    values = {2000: 0.2, 2001: 0.25, 2002: None, 2003: None, 2004: 0.3, 2005: 0.45, 2006: None, 2007: 0.4}
+    long = spark.createDataFrame([("CITY", "A-B", y, v, 5) for y, v in values.items()] + [("UNIT", "A-B", 2000, None, 0), ("CITY", "C-D", 2000, None, 0)], "AGGREGATION_LEVEL string, PAIR string, YEAR int, RHO double, CRASHES_TOTAL int")
+    got = {(r.PAIR, r.YEAR): (r.SEGMENT, r.JUMPED) for r in rho.lines(long).collect()}
+    assert [got["A-B", y] for y in values] == [(1, False), (1, False), (None, False), (None, False), (2, False), (2, True), (None, False), (3, False)]
+    assert sorted(map(tuple, rho.gaps(long).collect())) == [("A-B", 2002, 2003, 2), ("A-B", 2006, 2006, 1), ("C-D", 2000, 2000, 1)]
+
+
+def test_ledger_counts_while_a_table_is_made(spark):
+    book = Ledger()
+    all_rows, seen = book.watch(spark.range(100), rows=F.count("*"), odd=F.count_if(F.col("id") % 2 == 1))
+    even, after = book.watch(all_rows.filter("id % 2 = 0"), rows=F.count("*"))
+    book.later("keep even", lambda again: (seen(again)["rows"], after(again)["rows"], {"odd rows": -seen(again)["odd"]}))
+    even.write.format("noop").mode("overwrite").save()
+    book.close()
+    assert book.lines == [(0, "keep even", "opening", 100), (0, "keep even", "odd rows", -50), (0, "keep even", "closing", 50)]
+    calls = []
+    book.later("counted anew", lambda again: (calls.append(again), (10, 10 if again else 11, {}))[1])
+    book.close()
+    assert calls == [False, True] and book.steps == ["keep even", "counted anew"]
+    book.later("lost", lambda again: (10, 9, {}))
+    with pytest.raises(LedgerError):
+        book.close()
