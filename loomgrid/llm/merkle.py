@@ -228,7 +228,7 @@ with recursive x as (
     from documents),
 l as (
     select doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
-           sha256(head || coalesce(strlen(text) || ':' || case when xor(crc, 4294967295) % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end, '-')) as other from x),
+           sha256(head || coalesce(strlen(text) || ':' || case when doc_id is not null and xor(crc, 4294967295) % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end, '-')) as other from x),
 r as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from l),
 n(lang, level, i, size, d) as (
     select lang, 0, i, n, leaf from r
