@@ -56,7 +56,7 @@ def roster_index(units: DataFrame, cell: float) -> DataFrame:
     """(cx, cy, AREA_CODE, corner, edges): for each unit the cells that it meets; `corner` says whether the cell's lower left corner lies inside, `edges` has what passes the cell."""
     e = edges(units.select(F.col("AREA_CODE").alias("id"), "rings")).select(F.col("id").alias("AREA_CODE"), "x1", "y1", "x2", "y2")
     edge = F.struct("x1", "y1", "x2", "y2")
-    passing = walked(e, cell).groupBy("AREA_CODE", "cx", "cy").agg(F.collect_list(edge).alias("edges"))
+    passing = walked(e, cell).select("AREA_CODE", "cx", "cy", edge.alias("edge"), F.lit(False).alias("inside"))
     # Along the line below each row of cells: the first corner that has an edge behind it, for every edge that crosses the line. Corners from an odd one to the next lie inside.
     crossing = e.filter("y1 <> y2").withColumn("cy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
     line = F.col("cy") * cell
@@ -68,10 +68,9 @@ def roster_index(units: DataFrame, cell: float) -> DataFrame:
     crossing = crossing.withColumn("near", near).withColumn("from", F.when(beyond, F.col("near")).otherwise(F.col("near") + 1))
     starts = crossing.groupBy("AREA_CODE", "cy").agg(F.array_sort(F.collect_list("from")).alias("at"))
     stretch = F.expr("filter(transform(sequence(0, size(at) div 2 - 1), i -> struct(at[2 * i] as a, at[2 * i + 1] - 1 as b)), s -> s.a <= s.b)")
-    inside = starts.filter("size(at) > 1").withColumn("s", F.explode(stretch)).select(F.col("AREA_CODE").alias("i_code"), F.col("cy").alias("i_cy"), F.explode(F.sequence("s.a", "s.b")).alias("i_cx"))
-    met = passing.join(inside, (F.col("AREA_CODE") == F.col("i_code")) & (F.col("cx") == F.col("i_cx")) & (F.col("cy") == F.col("i_cy")), "full")
-    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
-    return met.select(F.coalesce("cx", "i_cx").alias("cx"), F.coalesce("cy", "i_cy").alias("cy"), F.coalesce("AREA_CODE", "i_code").alias("AREA_CODE"), F.col("i_code").isNotNull().alias("corner"), F.coalesce("edges", none).alias("edges"))
+    inside = starts.filter("size(at) > 1").withColumn("s", F.explode(stretch))
+    inside = inside.select("AREA_CODE", F.explode(F.sequence("s.a", "s.b")).alias("cx"), "cy", F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("edge"), F.lit(True).alias("inside"))
+    return passing.unionByName(inside).groupBy("AREA_CODE", "cx", "cy").agg(F.bool_or("inside").alias("corner"), F.collect_list("edge").alias("edges"))  # a list leaves nulls out
 
 
 def within(corner: Column, edge_list: Column, x: Column, y: Column, x0: Column, y0: Column) -> Column:
