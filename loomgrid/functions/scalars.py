@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,17 +11,45 @@ from pyspark.sql import functions as F
 from loomgrid.domains import OTHER, SHORT, TYPE_OF_CLASS, TYPE_OF_ROLE
 
 
-def _unaccented() -> tuple[str, str]:
-    """Latin letters that decompose to a letter and marks, and those letters; worked out from the Unicode data at hand."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+#: Hangul syllables: the first and last, the jamo they are made of (openings, vowels, closings), as the Unicode standard numbers them.
+_SYLLABLES = ("\uac00", "\ud7a3")
+_OPENINGS, _VOWELS, _CLOSINGS = ("".join(map(chr, range(a, b))) for a, b in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3)))
+#: Decompositions lie in the first three planes.
+_PLANES = 0x30000
 
 
-_ACCENTED, _PLAIN = _unaccented()
+@cache
+def _decomposed() -> tuple[str, str, str]:
+    """Characters that become one character under compatibility decomposition without marks, or none; what they become, those with none last; and the
+    others but Hangul as `character, \\x01, text` joined by \\x02. Worked out from the Unicode data at hand."""
+    ones, gone, many = [], [], []
+    for code in range(0x80, _PLANES):
+        c = chr(code)
+        if unicodedata.combining(c):
+            gone.append(c)
+        elif unicodedata.decomposition(c):
+            base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            (ones if len(base) == 1 else many).append((c, base))
+    return "".join(c for c, _ in ones) + "".join(gone), "".join(base for _, base in ones), "\x02".join(f"{c}\x01{base}" for c, base in many)
+
+
+def without_marks(text: Column) -> Column:
+    """Compatibility decomposition (NFKD) without combining characters: accents go, full-width letters, ligatures and the like become plain ones.
+
+    Most characters become one character or none, by a single `translate`. Only texts with a character from which several can come are taken apart.
+    """
+    one, plain, many = _decomposed()
+    table = F.str_to_map(F.lit(many), F.lit("\x02"), F.lit("\x01"))
+
+    def apart(c: Column) -> Column:
+        place = F.ascii(c) - ord(_SYLLABLES[0])
+        jamo = lambda letters, at: F.substring(F.lit(letters), (at + 1).cast("int"), F.lit(1))
+        closing = F.when(place % 28 > 0, jamo(_CLOSINGS, place % 28 - 1)).otherwise("")
+        syllable = F.concat(jamo(_OPENINGS, F.floor(place / 588)), jamo(_VOWELS, F.floor(place % 588 / 28)), closing)
+        return F.when(c.between(*_SYLLABLES), syllable).otherwise(F.coalesce(F.try_element_at(table, c), c))
+
+    several = text.rlike(r"[\x{bc}-\x{be}\x{132}-\x{10ffff}]")
+    return F.translate(F.when(several, F.array_join(F.transform(F.split(text, ""), apart), "")).otherwise(text), one, plain)
 
 
 def normal_class(raw: Column) -> Column:
@@ -28,9 +57,8 @@ def normal_class(raw: Column) -> Column:
 
     A null class gives NAN, which is no class and so residual.
     """
-    plain = F.regexp_replace(F.translate(raw, _ACCENTED, _PLAIN), r"\p{M}+", "")
-    collapsed = F.trim(F.regexp_replace(plain, r"[\s\p{Z}]+", " "))
-    return F.coalesce(F.upper(F.regexp_replace(collapsed, r"\s+([,.])", "$1")), F.lit("NAN"))
+    collapsed = F.trim(F.regexp_replace(without_marks(raw), r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
+    return F.coalesce(F.upper(F.regexp_replace(collapsed, r" ([,.])", "$1")), F.lit("NAN"))
 
 
 def lookup(key: Column, table: dict) -> Column:

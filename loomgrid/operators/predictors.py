@@ -193,6 +193,12 @@ def zeros(long: DataFrame, predictors: tuple[Predictor, ...] = STATIC) -> DataFr
     return long.filter("VALUE = 0").groupBy("PREDICTOR").agg(F.count("*").alias("UNITS_AT_ZERO")).join(F.broadcast(marks), "PREDICTOR")
 
 
+def zero_report(long: DataFrame, predictors: tuple[Predictor, ...] = STATIC) -> DataFrame:
+    """`zeros` with the units themselves, code and name, in one text for reading: at most a roster's."""
+    which = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "AREA_CODE", "AREA_NAME"))), ", ").alias("UNITS")
+    return zeros(long, predictors).join(long.filter("VALUE = 0").groupBy("PREDICTOR").agg(which), "PREDICTOR")
+
+
 def scaled(wide: DataFrame, predictors: tuple[Predictor, ...] = STATIC) -> DataFrame:
     """Each column stretched to [0, 1]; a column of one value lies at one half."""
     whole = Window.partitionBy()  # one row a unit

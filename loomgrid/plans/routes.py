@@ -60,7 +60,7 @@ def _load(spark: SparkSession, sf_dir: str, out: Outcome) -> tuple[DataFrame, Da
     model = _model(sf_dir)
     people, vehicles = model.casualties(spark, sf_dir), model.vehicles(spark, sf_dir)
     parties.assert_crash_ids(people)
-    out.checks += checks.loading(loading_counts(people, vehicles).first().asDict(), None)
+    out.checks += checks.loading(loading_counts(people, vehicles).first().asDict(), city.baseline(sf_dir) if city.is_city(sf_dir) else None)
     return people, vehicles
 
 
@@ -186,7 +186,7 @@ def urban_predictors(spark: SparkSession, sf_dir: str, folder: str, out: Outcome
     pairs = predictors.correlations(wide)
     square = predictors.correlation_matrix(pairs, wide)
     out.checks += checks.predictors(long, wide, pairs, study) + checks.symmetry(square)
-    out.tables |= {"predictors_long": long, "predictors_wide": wide, "correlations": pairs, "correlation_matrix": square, "high_correlations": predictors.high_correlations(pairs), "summary": predictors.summary(long), "dictionary": predictors.dictionary(spark), "scaled": predictors.scaled(wide), "zeros": predictors.zeros(long)}
+    out.tables |= {"predictors_long": long, "predictors_wide": wide, "correlations": pairs, "correlation_matrix": square, "high_correlations": predictors.high_correlations(pairs), "summary": predictors.summary(long), "dictionary": predictors.dictionary(spark), "scaled": predictors.scaled(wide), "zeros": predictors.zero_report(long)}
     for p in predictors.STATIC:
         out.tables[f"histogram_{p.name.lower()}"] = predictors.histogram(wide, p.name)
     out.exported = lambda path: checks.dictionary(*(sinks.reread(spark, path(t), out.tables[t]) for t in ("dictionary", "predictors_long", "predictors_wide")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +21,22 @@ def run_folder(root: str, now: datetime | None = None) -> str:
     return f"{root.rstrip('/')}/run_{(now or datetime.now()):%Y%m%d_%H%M%S}"
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for files of this application, under the shared one named in spark.checkpoint.dir.
+
+    A local session without that setting gets a temporary folder that goes with it; elsewhere it is an error, as other machines would not see the files.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
+        own = tempfile.mkdtemp(prefix="loomgrid-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/loomgrid-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def path(folder: str, kind: str, name: str) -> str:
     if kind not in KINDS:
         raise ValueError(f"{kind!r} is none of {KINDS}")
@@ -47,6 +67,12 @@ def write_years(layer: DataFrame, target: str, column: str = "YEAR") -> None:
     layer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(target)
 
 
+def exported(df: DataFrame, kind: str, name: str, folder: str | None = None) -> DataFrame:
+    """A table as it comes back from its own CSV, under `folder` or a new work folder."""
+    written = write_table(df, folder or work_folder(df.sparkSession), kind, name)
+    return reread(df.sparkSession, written[-1], df)
+
+
 def write_intermediate(df: DataFrame, folder: str, name: str) -> list[str]:
     """A stage's result for inspection: Parquet with its types, and CSV without the columns that CSV cannot hold."""
     out = [f"{folder}/intermediate/{name}.parquet", f"{folder}/intermediate/{name}.csv"]

@@ -11,6 +11,7 @@ from loomgrid.domains import CITY_LEVEL, COUNTERPARTS, FATALITY, INJURY, PAIR_LA
 from loomgrid.functions import scalars as sc
 from loomgrid.ledger import Ledger
 from loomgrid.operators import cells, checks, completeness, grid, integrate, matrix, models, overlay, parties, predictors, rho, spatial, validity
+from loomgrid.plans import sinks
 from loomgrid.sources import adapter as ad
 from loomgrid.sources import wkb
 
@@ -276,6 +277,12 @@ def _(s, d):
     return predictors.zeros(_predictors(s, d))
 
 
+@query("FLT12_units", """select name as PREDICTOR, count(*) as UNITS_AT_ZERO, string_agg(code || ' ' || code, ', ' order by code) as UNITS, case when name in ('SIDEWALK_AREA_SHARE', 'ARTERIAL_ROAD_AREA_SHARE', 'ROADWAY_AREA_SHARE', 'PEDESTRIAN_CROSSING_DENSITY') then 'IMPLAUSIBLE' else 'MEASURED ZERO' end as READING
+    from pv where v = 0 group by name""")
+def _(s, d):
+    return predictors.zero_report(_predictors(s, d))
+
+
 @query("FLT13", "select pair as PAIR, count(*) as CELLS, count(*) filter (where d < 10) as SPARSE, count(*) filter (where d = 0) as EMPTY, median(d)::double as MEDIAN_CRASHES from rl where lvl = 'UNIT' group by pair")
 def _(s, d):
     return rho.sparse_cells(_rho(s, d))
@@ -305,6 +312,17 @@ def _(s, d):
     return ad.read(s, d, "part").select("p_type").distinct().withColumn("CLASS", sc.normal_class(sc.lookup(F.col("p_type"), ad.CLASS_OF_PART)))
 
 
+_WIDE = ("".join(map(chr, range(0x21, 0x7F))), "".join(map(chr, range(0xFF01, 0xFF5F))))  # plain and full-width letters
+
+
+@query("SC1_wide", "select p_partkey, case p_type when 'SMALL' then 'PEATON' when 'ECONOMY' then 'BICICLETA' when 'PROMO' then 'MOTOCICLETA' when 'MEDIUM' then 'AUTOMOVIL' when 'LARGE' then 'BUS ARTICULADO' when 'STANDARD' then 'CAMION, FURGON' else 'NAN' end || case when p_partkey % 5 = 0 and p_type is not null then ' OFFICIAL 12' else '' end as CLASS from part")
+def _(s, d):
+    """Classes of all parts, every third written in full-width letters and every fifth with a ligature and a number in a circle."""
+    k, raw = F.col("p_partkey"), sc.lookup(F.col("p_type"), ad.CLASS_OF_PART)
+    drawn = F.when(k % 3 == 0, F.translate(raw, *_WIDE)).otherwise(raw)
+    return ad.read(s, d, "part").select("p_partkey", sc.normal_class(F.when(k % 5 == 0, F.concat(drawn, F.lit("\u2003o\ufb03cial \u246b"))).otherwise(drawn)).alias("CLASS"))
+
+
 @query("SC2", "select c_custkey, c_custkey::varchar as key from customer")
 def _(s, d):
     return ad.read(s, d, "customer").select("c_custkey", sc.text_key(F.concat(F.lit(" "), F.col("c_custkey").cast("decimal(20,1)").cast("string"), F.lit(""))).alias("key"))
@@ -1055,3 +1073,47 @@ def _(s, d):
 def _(s, d):
     """The table behind the yearly figures of affected parties, on one scale for all years."""
     return matrix.shaded(_matrix(s, d)).withColumn("SHADE", F.round("SHADE", 9))
+
+
+# --- files written and read again ------------------------------------------------------------------------------------
+
+
+def export(name: str, of: str, kind: str, table: str) -> None:
+    """Register a query that writes the table of another one as its route does and returns what its CSV holds, under that query's SQL."""
+    QUERIES[f"op_{name}"] = lambda s, d: sinks.exported(QUERIES[f"op_{of}"](s, d), kind, table)
+    ORACLE_SQL[f"op_{name}"] = ORACLE_SQL[f"op_{of}"]
+
+
+export("SNK1", "AG3", "analysis", "matrix_long")
+export("SRC7", "AG15", "presentation", "crosstab_affected_parties")
+export("SNK2", "AG17", "presentation", "rho_city")
+export("SNK3", "JN11", "analysis", "predictors_wide")
+
+
+@query("SNK4", "select src as CASUALTY_SOURCE, y as YEAR, m as MONTH, n as RECORDS, med::double as YEAR_MEDIAN from mo")
+def _(s, d):
+    return sinks.exported(_months(s, d), "analysis", "completeness").select("CASUALTY_SOURCE", "YEAR", "MONTH", "RECORDS", "YEAR_MEDIAN")
+
+
+@query("SNK5", f"select src as CASUALTY_SOURCE, yr as YEAR, person as PERSON, code as AREA_CODE from cas where yr <> {REPLACED} union all select src, {REPLACED}, person, code from inc")
+def _(s, d):
+    """Both layers, written by year, with the replaced year written again: other years' files stay, the source is left alone."""
+    incoming, folder = _incoming(s, d).withColumn("CODIGO_ACC", F.col("PERSON")).drop("PERSON"), sinks.work_folder(s)
+    layers = []
+    for source, name in ((FATALITY, "fatalities"), (INJURY, "injuries")):
+        own, target = F.col("CASUALTY_SOURCE") == source, f"{folder}/data/{name}_by_year"
+        layer = ad.casualties(s, d).filter(own)
+        sinks.write_years(layer, target)
+        sinks.write_years(incoming.filter(own).select(layer.columns), target)
+        layers.append(s.read.schema(layer.schema).parquet(target))
+    return layers[0].unionByName(layers[1]).select("CASUALTY_SOURCE", "YEAR", F.col("CODIGO_ACC").alias("PERSON"), "AREA_CODE")
+
+
+@query("SNK6", "select id, round((x1 - x0) * (y1 - y0), 9) as AREA, true as SAME from lay")
+def _(s, d):
+    """An intermediate result with geometry: the CSV leaves the geometry out and otherwise says what the Parquet says."""
+    found = _layer(s, d).withColumn("AREA", F.round(spatial.area(F.col("rings")), 9))
+    parquet, csv = sinks.write_intermediate(found, sinks.work_folder(s), "layer")
+    whole, flat = s.read.schema(found.schema).parquet(parquet), sinks.reread(s, csv, found.drop("rings"))
+    areas = whole.select("id", F.round(spatial.area(F.col("rings")), 9).alias("SHAPED"))
+    return flat.join(areas, "id", "full").select("id", "AREA", (F.col("AREA") == F.col("SHAPED")).alias("SAME"))

@@ -7,7 +7,7 @@ and what comes out has the columns of the adapter to the star-schema tables, so
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,21 +22,63 @@ from loomgrid.sources import readers, shapefile, wkb
 DECLARATION = "city.json"
 
 
+#: What a load is verified by: counts of the source files, and counts that depend on where a roster's units lie.
+SOURCE_COUNTS, FOOTPRINT_COUNTS = ("fatalities", "injuries", "casualties", "vehicles"), ("fatalities_unlocated", "injuries_unlocated")
+
+
+class DeclarationError(ValueError):
+    """A `city.json` that contradicts itself."""
+
+
 @dataclass(frozen=True)
-class City:
-    """Where a city's files lie under its folder, the size of its roster with the fields of its code and name, its years, and the year that the extract replaces."""
+class Territory:
+    """A roster of units that the study can be made on: its size, its layer under the folder, and the fields of code and name."""
 
-    scale: tuple[str, int]
+    size: int
     units: str
     code: str
     name: str
+
+
+@dataclass(frozen=True)
+class City:
+    """Where a city's files lie under its folder, its rosters and the one in use, its years, and the year that the extract replaces.
+
+    `scale` names one of `scales`, which maps labels to what `Territory` holds; or, with one roster only, it is (label, size) beside `units`, `code` and `name`.
+    `edition` names the extract that the layers come from. `baselines` holds by edition the counts that a load must reproduce: `counts`, those of the
+    source files, and `scales`, by label those that depend on the roster. What is not declared there is a first measurement.
+    """
+
+    scale: str | tuple[str, int]
     years: tuple[int, int]
     fatalities: str
     injuries: str
     vehicles: str
+    units: str = ""
+    code: str = ""
+    name: str = ""
     extract: str = ""
     replaced: int = 0
     predictors: str = "predictors"
+    scales: dict[str, dict] = field(default_factory=dict)
+    edition: str = "original"
+    baselines: dict[str, dict] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if isinstance(self.scale, str) and self.scale not in self.scales:
+            raise DeclarationError(f"scale {self.scale!r} is none of {sorted(self.scales)}")
+        for edition, given in self.baselines.items():
+            for kind, counts, allowed in (("counts", given.get("counts", {}), SOURCE_COUNTS), *((f"scale {k}", v, FOOTPRINT_COUNTS) for k, v in given.get("scales", {}).items())):
+                if set(counts) - set(allowed):
+                    raise DeclarationError(f"baseline of {edition}, {kind}: {sorted(set(counts) - set(allowed))} are none of {allowed}")
+
+    @property
+    def in_use(self) -> Scale:
+        return Scale(self.scale, self.territory.size) if isinstance(self.scale, str) else Scale(*self.scale)
+
+    @property
+    def territory(self) -> Territory:
+        return Territory(**self.scales[self.scale]) if isinstance(self.scale, str) else Territory(self.scale[1], self.units, self.code, self.name)
 
 
 def is_city(root: str) -> bool:
@@ -48,6 +90,13 @@ def city(root: str) -> City:
     return City(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
 
 
+def baseline(root: str) -> dict[str, int]:
+    """The counts that a load of the edition and roster in use must reproduce; those of another edition or roster never count."""
+    c = city(root)
+    own = c.baselines.get(c.edition, {})
+    return own.get("counts", {}) | own.get("scales", {}).get(c.in_use.label, {})
+
+
 def layer(spark: SparkSession, path: str, kinds: tuple[str, ...], owner: str) -> DataFrame:
     """A declared layer, by its suffix: .shp is a shapefile, anything else Parquet whose column `geometry` is well-known binary.
 
@@ -67,8 +116,9 @@ def layer(spark: SparkSession, path: str, kinds: tuple[str, ...], owner: str) ->
 def roster(spark: SparkSession, root: str) -> DataFrame:
     """(AREA_CODE, AREA_NAME, rings) in metres."""
     c = city(root)
-    found = layer(spark, f"{root}/{c.units}", predictors.GEOMETRIES["area"], "units")
-    return readers.territorial_units(found, Scale(*c.scale), c.code, c.name).withColumn("rings", project_rings(F.col("rings")))
+    own = c.territory
+    found = layer(spark, f"{root}/{own.units}", predictors.GEOMETRIES["area"], "units")
+    return readers.territorial_units(found, c.in_use, own.code, own.name).withColumn("rings", project_rings(F.col("rings")))
 
 
 def units(spark: SparkSession, root: str) -> DataFrame:
@@ -77,7 +127,7 @@ def units(spark: SparkSession, root: str) -> DataFrame:
 
 def study(spark: SparkSession, root: str) -> Study:
     c = city(root)
-    return Study(Scale(*c.scale), units(spark, root), years(root))
+    return Study(c.in_use, units(spark, root), years(root))
 
 
 def years(root: str) -> tuple[int, ...]:
@@ -164,7 +214,7 @@ def predictor_table(spark: SparkSession, root: str, work: str, declared: tuple[p
 
     within = roster(spark, root)
     areas = within.select("AREA_CODE", (spatial.area(F.col("rings")) / predictors.M2_PER_KM2).alias("AREA_UNIT_KM2"))
-    found = Study(Scale(*city(root).scale), within.drop("rings"), ())
+    found = Study(city(root).in_use, within.drop("rings"), ())
     measured = written(predictors.measure(predictor_layers(spark, root, declared), within, declared, tile, repair), "measures")
     return predictors.long_table(measured, found, areas, declared), found
 

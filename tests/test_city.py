@@ -77,6 +77,42 @@ def test_people_are_located_in_their_units(spark, root):
         ("p1", "01", "West", "INJURY", 0), ("p2", "01", "West", "INJURY", 0), ("p3", "02", "East", "FATALITY", 1), ("p4", "02", "East", "INJURY", 0), ("p5", None, None, "INJURY", 0), ("p6", None, None, "INJURY", 0)]
 
 
+def redeclared(root, tmp_path, **changes):
+    target = tmp_path / "redeclared"
+    shutil.copytree(root, target, dirs_exist_ok=True)
+    given = json.loads((target / "city.json").read_text()) | changes
+    (target / "city.json").write_text(json.dumps({k: v for k, v in given.items() if v is not None}))
+    return str(target)
+
+
+def test_one_declaration_holds_several_rosters(spark, root, tmp_path):
+    """The same people on one unit over both halves: the roster in use decides the units, the files are the same."""
+    write_shapefile(tmp_path / "redeclared/units/whole.shp", [("ID", 4), ("LABEL", 8)], [(("W", "All"), [[(LON, LAT), (LON, LAT + 0.01), (LON + 0.02, LAT + 0.01), (LON + 0.02, LAT), (LON, LAT)]])])
+    pair, whole = {"size": 2, "units": "units/units.shp", "code": "COD", "name": "NOM"}, {"size": 1, "units": "units/whole.shp", "code": "ID", "name": "LABEL"}
+    for label, codes in (("PAIR", ["01", "02"]), ("WHOLE", ["W"])):
+        own = redeclared(root, tmp_path, scale=label, scales={"PAIR": pair, "WHOLE": whole}, units=None, code=None, name=None)
+        study = city.study(spark, own)
+        assert (study.scale.label, study.scale.units) == (label, len(codes)) and sorted(r.AREA_CODE for r in study.units.collect()) == codes
+        people = city.casualties(spark, own).filter("AREA_CODE is not null").agg(F.sum("KILLED"), F.sum("INJURED"), F.array_sort(F.collect_set("AREA_CODE"))).first()
+        assert people == (1, 3, codes)
+    with pytest.raises(city.DeclarationError, match="none of"):
+        city.city(redeclared(root, tmp_path, scale="OTHER"))
+
+
+def test_a_load_is_held_against_the_baseline_of_its_edition_and_roster(spark, root, tmp_path):
+    counts = {"fatalities": 1, "injuries": 5, "casualties": 6, "vehicles": 4}
+    good = {"original": {"counts": counts, "scales": {"PAIR": {"injuries_unlocated": 2}, "ELSE": {"fatalities_unlocated": 99}}}, "updated": {"counts": {"vehicles": 99}}}
+    out = routes.run(spark, "loading", redeclared(root, tmp_path, baselines=good), str(tmp_path / "good"))
+    details = {n: d for n, _, d in out.checks}
+    assert details["injuries"] == "5 against 5" and details["injuries_unlocated"] == "2 against 2" and details["fatalities_unlocated"] == "0, FIRST MEASUREMENT"
+    with pytest.raises(routes.RouteFailed, match="4 against 99"):
+        routes.run(spark, "loading", redeclared(root, tmp_path, baselines=good, edition="updated"), str(tmp_path / "bad"))
+    new = routes.run(spark, "loading", redeclared(root, tmp_path, baselines=good, edition="next"), str(tmp_path / "new"))
+    assert all(d.endswith("FIRST MEASUREMENT") for _, _, d in new.checks)
+    with pytest.raises(city.DeclarationError, match="vehicles"):
+        city.city(redeclared(root, tmp_path, baselines={"original": {"scales": {"PAIR": {"vehicles": 4}}}}))
+
+
 @pytest.mark.parametrize("name", list(routes.ROUTES))
 def test_routes_over_a_city(spark, root, tmp_path, name):
     out = routes.run(spark, name, root, str(tmp_path), dump=name == "affected")

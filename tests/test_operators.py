@@ -2,7 +2,9 @@
 
 import math
 import struct
+import unicodedata
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -399,3 +401,14 @@ def test_ledger_counts_while_a_table_is_made(spark):
     book.later("lost", lambda again: (10, 9, {}))
     with pytest.raises(LedgerError):
         book.close()
+
+
+def test_classes_are_decomposed_as_unicode_says(spark):
+    """Every assigned code point between two letters, against the rule; and whole classes written in other ways."""
+    rule = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    texts = [f"a{chr(c)}b" for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts += ["", "Peato\u0301n", "\uff21\uff35\uff34\uff2f\uff2d\uff2f\uff36\uff29\uff2c", "\ud55c\uae00 \uac00", "o\ufb03ce \u00bd", "\U0001d400\U0001f130"]
+    frame = spark.createDataFrame(pd.DataFrame({"c": texts}))
+    assert [r.c for r in frame.select("c", scalars.without_marks(F.col("c")).alias("p")).collect() if r.p != rule(r.c)] == []
+    got = [r.k for r in frame.filter("c like 'Peat%' or c like '\uff21%'").select(scalars.normal_class(F.col("c")).alias("k")).collect()]
+    assert sorted(got) == ["AUTOMOVIL", "PEATON"]
