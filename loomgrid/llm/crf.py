@@ -8,6 +8,7 @@ messages are composed into one small matrix, chunks are chained by these, and th
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -64,17 +65,18 @@ class Model(NamedTuple):
 
 
 class Emissions:
-    """Scores of words, computed once and kept up to a limit."""
+    """Scores of words, computed once and kept up to a limit of words, and of numbers in the table."""
 
-    LIMIT = 120_000
+    LIMIT, LIMIT_CELLS = 120_000, 8_000_000
 
     def __init__(self, model: Model) -> None:
         self.model = model
+        self.limit = min(self.LIMIT, self.LIMIT_CELLS // max(1, len(model.labels)))
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.labels)), np.float32)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) > self.LIMIT:
+        if len(self.rows) > self.limit:
             self.rows.clear()
         rows = self.rows
         new = list(set(words).difference(rows))
@@ -139,6 +141,38 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarra
     return both / both.sum(axis=1, keepdims=True)
 
 
+def marginals_of_long(scores: Callable[[int, int], np.ndarray], words: int, transitions: np.ndarray, block: int) -> Iterator[tuple[int, np.ndarray]]:
+    """As `marginals` for one sequence of any length: (first word, probabilities) block by block, the last block first.
+
+    `scores(a, b)` gives the emissions of words a to b - 1. A forward pass keeps the message that enters each block; the backward pass works
+    every block out again from there. So memory goes by the block and the number of blocks, and the work by words times labels squared.
+    """
+    k = len(transitions)
+    step = np.exp(transitions - transitions.max())
+
+    def forward(a: int, message: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        given = scores(a, min(words, a + block))
+        psi = np.exp(given - given.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
+        ahead = np.empty_like(psi)
+        for t in range(len(psi)):
+            message = (message @ step) * psi[t]
+            message = message / message.sum()
+            ahead[t] = message
+        return psi, ahead
+
+    entering = [np.ones(k)]
+    for a in range(0, words - block, block):
+        entering.append(forward(a, entering[-1])[1][-1].copy())  # a view would hold the whole block
+    message, back = np.ones(k), step.T.copy()
+    for b in range(len(entering) - 1, -1, -1):
+        psi, both = forward(b * block, entering[b])
+        for t in range(len(psi) - 1, -1, -1):
+            both[t] *= message
+            message = (message * psi[t]) @ back
+            message = message / message.sum()
+        yield b * block, both / both.sum(axis=1, keepdims=True)
+
+
 def _train_pass(psi: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word marginals (B, T, K), summed pair marginals (K, K)) for sequences of one length."""
     b, t, k = psi.shape

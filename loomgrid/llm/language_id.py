@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomgrid.llm.common import fold, text_batches
-from loomgrid.llm.crf import CHUNK, Emissions, Model, marginals, train
+from loomgrid.llm.crf import CHUNK, Emissions, Model, marginals, marginals_of_long, train
 
 FOLDS, HELD_FOLD = 4, 2
 #: Labelled documents that the field is fitted on, at most about, shared evenly by the languages; a language's share is at least about LEAST_DOCS.
@@ -30,6 +31,8 @@ MAX_LANGUAGES = 200
 WINDOW, WINDOWS = 32, 3
 #: Words of a batch worked on at once, and numbers in the matrices of its chunks (languages squared for each), to bound memory.
 BATCH_WORDS, BATCH_CELLS = 30_000, 4_000_000
+#: Numbers in the scores of a block of a text that is longer than a batch.
+BLOCK_CELLS = 1_000_000
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -93,22 +96,30 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(_sequences([(w, y) for _, y, w in rows]), labels)
 
 
-def label_words(texts: Iterable[str | None], emissions: Emissions) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """(text number, words, probabilities of the labels for each) for texts with words, in bounded batches."""
+def label_words(texts: Iterable[str | None], emissions: Emissions) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """(text number, first word, words, probabilities of the labels for each) for texts with words, in bounded batches.
+
+    A text too long for one batch comes in several pieces, one after another and the last first; others come whole.
+    """
     numbers: list[int] = []
     words: list[list[str]] = []
     waiting = chunks = 0
-    cells = len(emissions.model.labels) ** 2
+    labels = len(emissions.model.labels)
+    cells = labels**2
 
-    def flush() -> Iterator[tuple[int, list[str], np.ndarray]]:
+    def flush() -> Iterator[tuple[int, int, list[str], np.ndarray]]:
         if numbers:
             lengths = np.array([len(w) for w in words])
             p = marginals(emissions([w for many in words for w in many]), lengths, emissions.model.transitions)
-            yield from zip(numbers, words, np.split(p, np.cumsum(lengths)[:-1]), strict=True)
+            yield from zip(numbers, [0] * len(numbers), words, np.split(p, np.cumsum(lengths)[:-1]), strict=True)
 
     for i, text in enumerate(texts):
         own = words_of(text)
-        if own:
+        if len(own) > BATCH_WORDS or -(-len(own) // CHUNK) * cells > BATCH_CELLS:
+            block = max(CHUNK, min(BATCH_WORDS, BLOCK_CELLS // labels))
+            for at, p in marginals_of_long(lambda a, b, own=own: emissions(own[a:b]), len(own), emissions.model.transitions, block):
+                yield i, at, own[at : at + block], p
+        elif own:
             if waiting and (waiting + len(own) > BATCH_WORDS or (chunks - len(own) // -CHUNK) * cells > BATCH_CELLS):
                 yield from flush()
                 numbers, words, waiting, chunks = [], [], 0, 0
@@ -124,9 +135,15 @@ def _judge(batch: pa.RecordBatch, column: str, emissions: Emissions) -> tuple[li
     labels = emissions.model.labels
     found, score, sure = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, [0.0] * batch.num_rows
     if labels:
-        for i, _, p in label_words((x.as_py() for x in batch[column]), emissions):
-            mean = p.mean(axis=0)
-            found[i], score[i], sure[i] = labels[int(mean.argmax())], float(min(1.0, mean.max())), float(min(1.0, p.max(axis=1).mean()))
+        sums = np.zeros((batch.num_rows, len(labels)))
+        clear, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+        for i, _, words, p in label_words((x.as_py() for x in batch[column]), emissions):
+            sums[i] += p.sum(axis=0)
+            clear[i] += p.max(axis=1).sum()
+            count[i] += len(words)
+        for i in np.flatnonzero(count).tolist():
+            mean = sums[i] / count[i]
+            found[i], score[i], sure[i] = labels[int(mean.argmax())], float(min(1.0, mean.max())), float(min(1.0, clear[i] / count[i]))
     return found, score, sure
 
 
@@ -165,11 +182,13 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         emissions = Emissions(held.value)
         for batch in batches:
             rows: list[tuple[int, str, int, int, float]] = []
-            for i, words, p in label_words((x.as_py() for x in batch["x"]), emissions) if held.value.labels else ():
-                best = p.argmax(axis=1)
+            pieces = label_words((x.as_py() for x in batch["x"]), emissions) if held.value.labels else ()
+            for i, own in groupby(pieces, key=lambda piece: piece[0]):
+                parts = sorted((at, p.argmax(axis=1), p.max(axis=1)) for _, at, _, p in own)
+                best, likely = np.concatenate([x for _, x, _ in parts]), np.concatenate([x for _, _, x in parts])
                 edges = np.flatnonzero(np.diff(best)) + 1
-                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(words)], strict=True):
-                    rows.append((i, held.value.labels[best[a]], a, b - 1, float(p[a:b, best[a]].mean())))
+                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(best)], strict=True):
+                    rows.append((i, held.value.labels[best[a]], a, b - 1, float(likely[a:b].mean())))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             arrays = [batch["span_id"].take(pa.array(columns[0], pa.int64()))] + [pa.array(c, t) for c, t in zip(columns[1:], (pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=["span_id", "lang", "first", "last", "score"])
