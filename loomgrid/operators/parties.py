@@ -1,7 +1,7 @@
 """Parties of a crash, who was hurt, and each party's counterpart.
 
-Vehicles and casualties of a crash meet in one shuffle on the crash id: resolving a casualty's vehicle, counting parties and finding
-counterparts are windows and one aggregation on that partitioning. A crash has a handful of rows, so no key is hot.
+Vehicles and casualties of a crash meet in one shuffle on the crash id and are sorted once: resolving a casualty's vehicle, making and
+counting parties are windows over that order, which hold a crash at a time. A crash has a handful of rows, so no key is hot.
 """
 
 from __future__ import annotations
@@ -51,19 +51,25 @@ def party_universe(casualties: DataFrame, vehicles: DataFrame, by_id: bool = Fal
     hurt = casualties.select("FORMULARIO", F.lit(False).alias("_machine"), F.col("CODIGO_VEH").cast("long").alias("_vehicle"), person.alias("_person"), rank(type_of_role(F.col("CONDICION"))).alias("_type"), F.col("INJURED").alias("_injured"), F.col("KILLED").alias("_killed"))
     machines = vehicles.filter("CODIGO_VEHICULO is not null").select("FORMULARIO", F.lit(True).alias("_machine"), F.col("CODIGO_VEHICULO").cast("long").alias("_vehicle"), F.lit(None).cast("string").alias("_person"), rank(type_of_class(F.col("CLASE"))).alias("_type"), F.lit(0).alias("_injured"), F.lit(0).alias("_killed"))
     rows = machines.unionByName(hurt).repartition("FORMULARIO")
-    if not by_id:
-        place = F.row_number().over(Window.partitionBy("FORMULARIO", "_machine").orderBy("_vehicle", "_type", "_injured", "_killed"))
-        rows = rows.withColumn("_person", place.cast("string"))
+    # One sort serves every window: each asks for a prefix of this order, vehicles before the casualties that name them.
+    order = (F.desc("_machine"), "_type", "_injured", "_killed")
     crash = Window.partitionBy("FORMULARIO")
     vehicle = Window.partitionBy("FORMULARIO", "_vehicle")
-    rows = rows.withColumns({
-        "_in_scope": F.bool_or(~F.col("_machine")).over(crash),
+    place = F.count_if(~F.col("_machine")).over(crash.orderBy("_vehicle", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_place", place).withColumn("_in_scope", F.bool_or(~F.col("_machine")).over(crash)).filter("_in_scope")
+    rows = rows.withColumn("_first", F.row_number().over(vehicle.orderBy(*order)) == 1).withColumns({
         "_recorded": F.bool_or("_machine").over(vehicle) & F.col("_vehicle").isNotNull(),
-    }).filter("_in_scope")
-    party = F.when(F.col("_recorded"), F.concat(F.lit("V"), F.col("_vehicle").cast("string"))).otherwise(F.concat(F.lit("P"), F.col("_person")))
-    kind = F.when(F.col("_machine") | ~F.col("_recorded"), F.col("_type"))  # the vehicle's type beats the role
-    summed = rows.groupBy("FORMULARIO", party.alias("PARTY_ID")).agg(F.min(kind).alias("_kind"), F.sum("_injured").alias("PERSONS_INJURED"), F.sum("_killed").alias("PERSONS_KILLED"))
-    return summed.select("FORMULARIO", "PARTY_ID", F.element_at(F.array(*[F.lit(t) for t in TYPES]), F.col("_kind") + 1).alias("PARTY_TYPE"), "PERSONS_INJURED", "PERSONS_KILLED")
+        "_kind": F.min(F.when(F.col("_machine"), F.col("_type"))).over(vehicle),  # the vehicle's type beats the role
+        "_all_injured": F.sum("_injured").over(vehicle),
+        "_all_killed": F.sum("_killed").over(vehicle),
+    }).filter("_first or not _recorded")
+    own = lambda shared, alone: F.when(F.col("_recorded"), F.col(shared)).otherwise(F.col(alone))
+    name = F.concat(F.lit("P"), F.col("_person") if by_id else F.col("_place").cast("string"))
+    party = F.when(F.col("_recorded"), F.concat(F.lit("V"), F.col("_vehicle").cast("string"))).otherwise(name)
+    each = rows.select("FORMULARIO", party.alias("PARTY_ID"), own("_kind", "_type").alias("_kind"), own("_all_injured", "_injured").cast("long").alias("PERSONS_INJURED"), own("_all_killed", "_killed").cast("long").alias("PERSONS_KILLED"))
+    if by_id:  # rows of one person are one party
+        each = each.groupBy("FORMULARIO", "PARTY_ID").agg(F.min("_kind").alias("_kind"), F.sum("PERSONS_INJURED").alias("PERSONS_INJURED"), F.sum("PERSONS_KILLED").alias("PERSONS_KILLED"))
+    return each.select("FORMULARIO", "PARTY_ID", F.element_at(F.array(*[F.lit(t) for t in TYPES]), F.col("_kind") + 1).alias("PARTY_TYPE"), "PERSONS_INJURED", "PERSONS_KILLED")
 
 
 def with_party_count(universe: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-built fixtures: one rule each, with values that follow from the rule."""
 
 import math
+import random
 import struct
 import unicodedata
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgrid.domains import PAIR_LABELS, Scale, Study
+from loomgrid.domains import PAIR_LABELS, TYPES, Scale, Study
 from loomgrid.functions import bins, projection, scalars, wkt
 from loomgrid.ledger import Ledger, LedgerError
 from loomgrid.operators import cells, checks, completeness, grid, integrate, matrix, parties, predictors, rho, spatial, validity
@@ -56,6 +57,46 @@ def test_more_than_two_parties_go_whole(spark):
     assert universe.count() == 4 and found.count() == 0
 
 
+def plain_universe(people, vehicles):
+    """Parties of crashes with people, without ids of their own: (crash, type, injured, killed)."""
+    found = []
+    for crash in {p["FORMULARIO"] for p in people}:
+        own = {}
+        for c, v, k in vehicles:
+            if c == crash and v is not None:
+                own.setdefault(v, []).append(k)
+        machines = {v: [min(ks, key=TYPES.index), 0, 0] for v, ks in own.items()}
+        for p in people:
+            if p["FORMULARIO"] == crash:
+                hurt = [p["INJURED"], p["KILLED"]]
+                if p["CODIGO_VEH"] in machines:
+                    machines[p["CODIGO_VEH"]][1:] = [a + b for a, b in zip(machines[p["CODIGO_VEH"]][1:], hurt, strict=True)]
+                else:
+                    found.append((crash, "PEDESTRIAN" if p["CONDICION"] == "PEATON" else "BICYCLE", *hurt))
+        found += [(crash, *m) for m in machines.values()]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("by_id", [False, True])
+def test_parties_from_one_sort(spark, by_id):
+    """Random crashes against a plain double; without ids, one sort of the rows and no hash table serve the universe, its counts and the pairs."""
+    rng = random.Random(5)
+    classes = {"BICICLETA": "BICYCLE", "MOTOCICLETA": "MOTORCYCLE", "AUTOMOVIL": "CAR"}
+    people, vehicles = [], []
+    for i in range(300):
+        vehicles += [(f"c{i}", rng.choice([None, 1, 1, 2, 3]), rng.choice(list(classes))) for _ in range(rng.randint(0, 4))]
+        for j in range(rng.randint(0, 4)):
+            killed = rng.randint(0, 1)
+            people.append({"FORMULARIO": f"c{i}", "CODIGO_ACC": str(j), "CODIGO_VEH": rng.choice([None, 1, 2, 3, 4]), "CONDICION": rng.choice(["PEATON", "CICLISTA"]), "INJURED": 1 - killed, "KILLED": killed})
+    p = spark.createDataFrame([tuple(x.values()) for x in people], "FORMULARIO string, CODIGO_ACC string, CODIGO_VEH long, CONDICION string, INJURED int, KILLED int")
+    universe = parties.party_universe(p, spark.createDataFrame(vehicles, "FORMULARIO string, CODIGO_VEHICULO long, CLASE string"), by_id)
+    assert rows(universe, "FORMULARIO", "PARTY_TYPE", "PERSONS_INJURED", "PERSONS_KILLED") == plain_universe(people, [(c, v, classes[k]) for c, v, k in vehicles])
+    assert universe.select("FORMULARIO", "PARTY_ID").distinct().count() == universe.count()
+    if not by_id:
+        plan = parties.with_party_count(universe)._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count(" Sort ["), plan.count("HashAggregate")) == (1, 0)
+
+
 def test_standalone_types_come_from_roles_and_vehicles_beat_roles(spark):
     people = [person("a", "1", None, "PASAJERO"), person("b", "2", 99.0, "CICLISTA"), person("c", "3", 1.0, "PEATON"), person("d", "4", None, None), person("e", "5", None, "CONDUCTOR")]
     _, found = affected_of(spark, people, [("c", 1.0, "AUTOMOVIL"), ("b", None, "BUS"), ("z", 1.0, "BUS")])
