@@ -29,7 +29,7 @@ def _turn(p: Column, q: Column) -> Column:
     return p["x"] * q["y"] - q["x"] * p["y"]
 
 
-def _neighbours(points: Column) -> Column:
+def neighbours(points: Column) -> Column:
     """Pairs of consecutive points, closing the ring."""
     n = F.size(points)
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(points, i).alias("p"), F.get(points, (i + 1) % n).alias("q")))
@@ -37,7 +37,7 @@ def _neighbours(points: Column) -> Column:
 
 def ring_area(points: Column) -> Column:
     """Signed area of a ring, positive counter-clockwise."""
-    return F.when(F.size(points) > 2, F.aggregate(_neighbours(points), F.lit(0.0), lambda acc, e: acc + _turn(e["p"], e["q"])) / 2).otherwise(0.0)
+    return F.when(F.size(points) > 2, F.aggregate(neighbours(points), F.lit(0.0), lambda acc, e: acc + _turn(e["p"], e["q"])) / 2).otherwise(0.0)
 
 
 def area(rings: Column) -> Column:
@@ -53,7 +53,7 @@ def edges(features: DataFrame, key: str = "id", rings: str = "rings") -> DataFra
     """(key, ring, e, x1, y1, x2, y2, side): one row per edge. `side` is 1 or -1 so that summing side times the area under edges gives the feature's area."""
     each = features.select(key, F.posexplode(rings).alias("ring", "r")).filter(F.size("r.points") > 2)
     turned = F.signum(ring_area(F.col("r.points"))) * F.when(F.col("r.hole"), -1).otherwise(1)
-    each = each.select(key, "ring", turned.alias("t"), F.posexplode(_neighbours(F.col("r.points"))).alias("e", "s"))
+    each = each.select(key, "ring", turned.alias("t"), F.posexplode(neighbours(F.col("r.points"))).alias("e", "s"))
     xy = each.select(key, "ring", "e", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"), "t")
     return xy.withColumn("side", F.col("t") * F.signum(F.col("x1") - F.col("x2"))).drop("t")
 
@@ -70,7 +70,7 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
         return F.struct((acc["odd"] != crosses).alias("odd"), (acc["on"] | touches).alias("on"))
 
     start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
-    all_edges = F.flatten(F.transform(rings, lambda r: _neighbours(r["points"])))
+    all_edges = F.flatten(F.transform(rings, lambda r: neighbours(r["points"])))
     found = F.aggregate(all_edges, start, step)
     return found["odd"] & ~found["on"]
 

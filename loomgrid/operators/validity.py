@@ -14,27 +14,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.operators.cells import walked
-from loomgrid.operators.spatial import RINGS, edges, is_empty
+from loomgrid.operators.spatial import RINGS, edges, is_empty, neighbours
 
 Ring = list[tuple[float, float]]
 
 
+#: Features of up to so many edges are compared pair by pair within their row.
+FEW_EDGES = 16
+
+
+def _crosses(a: Column, b: Column) -> Column:
+    """Whether two edges cross inside both."""
+    side = lambda e, p: F.signum((e["q"]["x"] - e["p"]["x"]) * (p["y"] - e["p"]["y"]) - (e["q"]["y"] - e["p"]["y"]) * (p["x"] - e["p"]["x"]))
+    return (side(a, b["p"]) * side(a, b["q"]) < 0) & (side(b, a["p"]) * side(b, a["q"]) < 0)
+
+
 def self_crossings(features: DataFrame) -> DataFrame:
-    """(id): features of whose edges two cross inside both. Edges of a feature meet by equality on the cells they pass; cells have about the mean length of its edges."""
-    e = edges(features)
-    size = e.groupBy(F.col("id").alias("s_id")).agg(F.avg(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("s_cell"))
-    unit = e.join(size.filter("s_cell > 0"), F.col("id") == F.col("s_id")).select("id", "ring", "e", *[(F.col(c) / F.col("s_cell")).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    """(id): features of whose edges two cross inside both. Edges of a feature of more than `FEW_EDGES` meet by equality on the cells they pass; cells have about the mean length of its edges.
+
+    The join is a merge join by hint: the optimiser takes a table of edges to be as small as the features' columns in the file and would broadcast it.
+    """
+    some = features.select("id", F.filter("rings", lambda r: F.size(r["points"]) > 2).alias("rings"))
+    few = F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r["points"])) <= FEW_EDGES
+    drawn = F.flatten(F.transform("rings", lambda r: neighbours(r["points"])))
+    # Arrays are handed to lambdas, so that they are made once a row and not once a pair.
+    after = lambda es: F.transform(F.sequence(F.lit(0), F.size(es) - 1), lambda i: F.struct(F.get(es, i).alias("e"), F.slice(es, i + 2, F.lit(FEW_EDGES)).alias("others")))
+    pairwise = F.exists(F.array(drawn), lambda es: F.exists(after(es), lambda x: F.exists(x["others"], lambda o: _crosses(x["e"], o))))
+    small = some.filter(few & (F.size("rings") > 0)).filter(pairwise).select("id")
+    length = lambda e: F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"])
+    mean = F.aggregate(drawn, F.lit(0.0), lambda acc, e: acc + length(e)) / F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r["points"]))
+    many = some.filter(~few).select(F.struct("id", mean.alias("s_cell")).alias("id"), "rings")
+    unit = edges(many).filter("id.s_cell > 0").select("id.id", "ring", "e", *[(F.col(c) / F.col("id.s_cell")).alias(c) for c in ("x1", "y1", "x2", "y2")])
     cut = walked(unit, 1.0)
     other = cut.select(*[F.col(c).alias(f"o_{c}") for c in ("id", "ring", "e", "x1", "y1", "x2", "y2", "cx", "cy")])
-    side = lambda ax, ay, bx, by, px, py: F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
-    mine, theirs = ("x1", "y1", "x2", "y2"), ("o_x1", "o_y1", "o_x2", "o_y2")
-    crosses = (side(*mine, "o_x1", "o_y1") * side(*mine, "o_x2", "o_y2") < 0) & (side(*theirs, "x1", "y1") * side(*theirs, "x2", "y2") < 0)
-    met = cut.join(other, (F.col("id") == F.col("o_id")) & (F.col("cx") == F.col("o_cx")) & (F.col("cy") == F.col("o_cy")) & (F.struct("ring", "e") < F.struct("o_ring", "o_e")))
-    return met.filter(crosses).select("id").distinct()
+    edge = lambda x1, y1, x2, y2: F.struct(F.struct(F.col(x1).alias("x"), F.col(y1).alias("y")).alias("p"), F.struct(F.col(x2).alias("x"), F.col(y2).alias("y")).alias("q"))
+    met = cut.join(other.hint("merge"), (F.col("id") == F.col("o_id")) & (F.col("cx") == F.col("o_cx")) & (F.col("cy") == F.col("o_cy")) & (F.struct("ring", "e") < F.struct("o_ring", "o_e")))
+    large = met.filter(_crosses(edge("x1", "y1", "x2", "y2"), edge("o_x1", "o_y1", "o_x2", "o_y2"))).select("id")
+    return small.unionByName(large).distinct()
 
 
 def _inside(points: Ring, x: float, y: float) -> bool:
@@ -185,7 +205,7 @@ def invalid(features: DataFrame) -> DataFrame:
 
 def repaired(features: DataFrame) -> DataFrame:
     """(id, rings): invalid features are replaced by their even-odd interior, the others stay; one that has no interior is left out."""
-    bad = invalid(features)
+    bad = invalid(features).hint("merge")  # there may be as many as features
     own = features.select("id", "rings")
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

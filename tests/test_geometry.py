@@ -157,6 +157,20 @@ def test_which_features_are_invalid(spark):
     assert areas == {1: 81, 2: 56, 3: 56, 4: 85, 5: 85, 6: 2}
 
 
+def test_validity_broadcasts_no_layer(spark, tmp_path):
+    """Edges of a layer are more than its file lets the optimiser expect, so no join of them is left to it; features of few and of many edges are judged alike."""
+    k = F.col("id")
+    spark.range(2000).write.parquet(f"{tmp_path}/layer")
+    many = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.struct((k + 4 * F.cos(i * math.pi / 10)).alias("x"), (4 * F.sin(i * math.pi / 10)).alias("y")))
+    few = F.slice(many, 1, 5)
+    swapped = lambda ring: F.concat(F.slice(ring, 1, 1), F.slice(ring, 3, 1), F.slice(ring, 2, 1), F.slice(ring, 4, 30))
+    ring = F.when(k % 4 == 0, few).when(k % 4 == 1, swapped(few)).when(k % 4 == 2, many).otherwise(swapped(many))
+    layer = spark.read.parquet(f"{tmp_path}/layer").select("id", F.array(F.struct(F.lit(False).alias("hole"), ring.alias("points"))).alias("rings"))
+    assert sorted(r.id for r in validity.invalid(layer).collect()) == [i for i in range(2000) if i % 2]
+    for found in (validity.invalid(layer), validity.repaired(layer)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_long_outline_is_repaired_in_proportion(spark):
     """A ring of many corners that crosses itself once: seconds, where all pairs of edges would be 5 * 10^9."""
     n = 100_000
