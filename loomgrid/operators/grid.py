@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,17 @@ def bounded(table: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
+@contextmanager
+def held(*tables: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
+    """Tables that several jobs read: computed once, kept by the executors in memory or on disk until the jobs are done. One that its owner keeps already is left to them."""
+    own = [t.persist() for t in tables if not t.is_cached]
+    try:
+        yield tables
+    finally:
+        for t in own:
+            t.unpersist()
+
+
 class CoverageError(RuntimeError):
     """An observation lies outside the declared grid."""
 

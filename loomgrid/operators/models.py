@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.operators.grid import held
+
 
 @dataclass(frozen=True)
 class Fit:
@@ -53,11 +55,16 @@ def _solved(a: np.ndarray, b: np.ndarray, names: list[str]) -> tuple[np.ndarray,
 def poisson(rows: DataFrame, count: str, covariates: dict[str, Column], exposure: Column | None = None, tolerance: float = 1e-10, most: int = 50) -> Fit:
     """Poisson regression with a log link by iteratively reweighted least squares. `exposure` multiplies the mean and gets no coefficient.
 
-    Rows with a null or negative count, a null covariate or an exposure that is not positive are left out. Every round is one aggregation; it ends when no coefficient moves by more than `tolerance`.
+    Rows with a null or negative count, a null covariate or an exposure that is not positive are left out. Every round is one aggregation over these rows, which are computed once; it ends when no coefficient moves by more than `tolerance`.
     """
     names = list(covariates)
     used = rows.select(F.col(count).cast("double").alias("m_y"), *[c.cast("double").alias(f"m_{i}") for i, c in enumerate(covariates.values())], F.log((exposure if exposure is not None else F.lit(1.0)).cast("double")).alias("m_offset"))
     used = used.dropna().filter("m_y >= 0 and not isnan(m_offset) and m_offset > double('-infinity')")
+    with held(used):
+        return _reweighted(used, names, tolerance, most)
+
+
+def _reweighted(used: DataFrame, names: list[str], tolerance: float, most: int) -> Fit:
     xs = [F.col(f"m_{i}") for i in range(len(names))]
     beta: np.ndarray | None = None
     for number in range(1, most + 1):
@@ -95,10 +102,11 @@ def within(rows: DataFrame, columns: list[str], effects: tuple[str, str]) -> Dat
 
 def two_way(rows: DataFrame, response: str, covariates: list[str], effects: tuple[str, str]) -> Fit:
     """Least squares of the response on covariates with an effect of each value of two keys, by the within-transformation. Standard errors count the effects as fitted."""
-    centred = within(rows.select(*effects, *[F.col(c).cast("double").alias(c) for c in (response, *covariates)]), [response, *covariates], effects)
-    a, b, n, zz = _sums(centred, [F.col(c) for c in covariates], F.col(response), F.lit(1.0))
+    with held(rows.select(*effects, *[F.col(c).cast("double").alias(c) for c in (response, *covariates)])) as (used,):
+        centred = within(used, [response, *covariates], effects)
+        a, b, n, zz = _sums(centred, [F.col(c) for c in covariates], F.col(response), F.lit(1.0))
+        keys = used.agg(F.count_distinct(effects[0]).alias("a"), F.count_distinct(effects[1]).alias("b")).first()
     beta, inverse = _solved(a, b, covariates)
-    keys = rows.agg(F.count_distinct(effects[0]).alias("a"), F.count_distinct(effects[1]).alias("b")).first()
     free = n - len(covariates) - keys["a"] - keys["b"] + 1
     if free <= 0:
         raise ModelError("no more rows than coefficients and effects")

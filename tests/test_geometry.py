@@ -242,6 +242,32 @@ def test_poisson_equals_a_plain_fit(spark):
         models.poisson(table.limit(0), "y", {"one": F.lit(1.0)})
 
 
+def test_rounds_of_a_fit_compute_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        read.add(1)
+        return float(v % 7)
+
+    table = spark.range(0, 200, 1, 2).select(seen("id").alias("y"), (F.col("id") % 5).alias("a"))
+    assert models.poisson(table, "y", {"one": F.lit(1.0), "a": F.col("a")}).rounds > 2
+    assert read.value <= 2 * 200  # the filter and the value of each row, whatever the number of rounds
+
+
+def test_held_tables_are_computed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(v):
+        read.add(1)
+        return v
+
+    with grid.held(spark.range(0, 100, 1, 2).select(seen("id").alias("v"))) as (table,):
+        assert [table.agg(F.sum("v")).first()[0] for _ in range(3)] == [4950] * 3 and read.value == 100
+    assert not table.is_cached
+
+
 def test_two_way_effects_equal_dummies(spark):
     rng = np.random.default_rng(9)
     units, years = 12, 7
