@@ -1020,23 +1020,25 @@ def _(s, d):
     ('PERSONS_KILLED preserved', (select sum(nk) from mat) = (select sum(kil) from aff where code is not null)), ('no negative count', (select count(*) from mat where least(np, ni, nk) < 0) = 0), ('persons at least parties', (select count(*) from mat where ni + nk < np) = 0),
     ('units of the roster', (select count(distinct code) from mat) = (select count(*) from units)), ('years of the study', (select count(distinct y) from mat) = 7), ('complete grid', (select count(*) from mat) = (select count(*) from units) * 7 * 6 * 7)) v("CHECK", OK)""")
 def _(s, d):
-    return checks.table(s, checks.matrix(_matrix(s, d), _affected(s, d), ad.study(s, d))).drop("DETAIL")
+    with grid.held(_matrix(s, d)) as (long,):
+        return checks.table(s, checks.matrix(long, _affected(s, d), ad.study(s, d))).drop("DETAIL")
 
 
 @query("CK4", """ select * from (values ('numerator within denominator', (select count(*) from rl where n > d) = 0), ('rho in [0, 1]', (select count(*) from rr where rho < 0 or rho > 1) = 0), ('rho defined where there are crashes', (select count(*) from rr where (rho is not null) <> (d > 0)) = 0),
     ('units sum to the city', (select count(*) from (select y, sum(d) filter (where lvl = 'CITY') - sum(d) filter (where lvl = 'UNIT') as gap, sum(n) filter (where lvl = 'CITY') - sum(n) filter (where lvl = 'UNIT') as hit from rl group by y) where gap <> 0 or hit <> 0) = 0),
     ('crashes preserved', (select sum(d) from rl where lvl = 'CITY') = (select count(*) from put)), ('complete grid', (select count(*) from rl) = (select count(*) + 1 from units) * 7 * (select count(*) from pl))) v("CHECK", OK)""")
 def _(s, d):
-    return checks.table(s, checks.rho(_rho(s, d), _placed(s, d), ad.study(s, d))).drop("DETAIL")
+    with grid.held(_rho(s, d)) as (long,):
+        return checks.table(s, checks.rho(long, _placed(s, d), ad.study(s, d))).drop("DETAIL")
 
 
 @query("CK5", "select CHECK_NAME as \"CHECK\", OK from (values ('complete grid', true), ('nothing negative', true), ('shares at most 1', (select count(*) from pv where kind = 'area' and v > 1) = 0), ('value is measure by area', true), ('a value where measured', true), ('a snapshot has no year', true), ('wide shape', true), ('every pair of predictors', true), ('correlations in [-1, 1]', true), ('units of the roster', true), ('predictors as declared', true), ('correlation diagonal is 1', true), ('correlations are symmetric', true), ('dictionary and measured predictors agree', true), ('dictionary covers the wide table', true), ('dictionary and tables agree on units', true)) v(CHECK_NAME, OK)")
 def _(s, d):
-    long = _predictors(s, d)
-    wide = predictors.wide_table(long)
-    pairs = predictors.correlations(wide)
-    found = checks.predictors(long, wide, pairs, _predictor_study(s)) + checks.symmetry(predictors.correlation_matrix(pairs, wide)) + checks.dictionary(predictors.dictionary(s), long, wide)
-    return checks.table(s, found).drop("DETAIL")
+    with grid.held(_predictors(s, d)) as (long,):
+        wide = predictors.wide_table(long)
+        pairs = predictors.correlations(wide)
+        found = checks.predictors(long, wide, pairs, _predictor_study(s)) + checks.symmetry(predictors.correlation_matrix(pairs, wide)) + checks.dictionary(predictors.dictionary(s), long, wide)
+        return checks.table(s, found).drop("DETAIL")
 
 
 @query("CK7", "select 'people balance' as \"CHECK\", (select sum(inj + kil) from kept) + (select coalesce(sum(inj + kil), 0) from sized where n > 2) = sum(inj + kil) as OK, (select sum(inj + kil) from kept) || ' kept and ' || (select coalesce(sum(inj + kil), 0) from sized where n > 2) || ' discarded of ' || sum(inj + kil) as DETAIL from cas")
