@@ -13,6 +13,10 @@ from loomgrid.domains import MAX_PARTIES, RANK, SELF, TYPES
 from loomgrid.functions.scalars import lookup, type_of_class, type_of_role
 
 
+#: Vehicles of a partition of crashes, about; a crash has a handful, so partitions are alike and what a task holds does not grow with the tables.
+PART_VEHICLES = 250_000
+
+
 class IngestError(ValueError):
     """Input that the rules cannot place."""
 
@@ -37,11 +41,18 @@ def person_ids_usable(casualties: DataFrame) -> bool:
     return not (row.DUPLICATED or row.NULL_PERSONS)
 
 
-def party_universe(casualties: DataFrame, vehicles: DataFrame, by_id: bool = False) -> DataFrame:
+def by_crash(rows: DataFrame, count: int) -> DataFrame:
+    """`rows` dealt by crash, to as many partitions as `count` vehicles need; as the optimiser sizes them if that is no more than the machines work on at once."""
+    parts = -(-count // PART_VEHICLES)
+    return rows.repartition(parts, "FORMULARIO") if parts > rows.sparkSession.sparkContext.defaultParallelism else rows.repartition("FORMULARIO")
+
+
+def party_universe(casualties: DataFrame, vehicles: DataFrame, by_id: bool = False, count: int | None = None) -> DataFrame:
     """(FORMULARIO, PARTY_ID, PARTY_TYPE, PERSONS_INJURED, PERSONS_KILLED): every party of a crash with a casualty, the unharmed too.
 
     A vehicle without an id is no party. A casualty belongs to the vehicle that it names, if that is recorded for the crash; otherwise it
     is a party of its own, typed by its role. A vehicle listed twice is one party, of its first type in rank order.
+    `count` says how many rows the vehicles have, about; without it they are counted.
 
     Without `by_id` a person is named by the place of the row in its crash, in an order of the columns used here; rows that tie there
     are alike in all that comes out, so any order of them gives the same rows.
@@ -50,7 +61,7 @@ def party_universe(casualties: DataFrame, vehicles: DataFrame, by_id: bool = Fal
     rank = lambda t: lookup(t, RANK)
     hurt = casualties.select("FORMULARIO", F.lit(False).alias("_machine"), F.col("CODIGO_VEH").cast("long").alias("_vehicle"), person.alias("_person"), rank(type_of_role(F.col("CONDICION"))).alias("_type"), F.col("INJURED").alias("_injured"), F.col("KILLED").alias("_killed"))
     machines = vehicles.filter("CODIGO_VEHICULO is not null").select("FORMULARIO", F.lit(True).alias("_machine"), F.col("CODIGO_VEHICULO").cast("long").alias("_vehicle"), F.lit(None).cast("string").alias("_person"), rank(type_of_class(F.col("CLASE"))).alias("_type"), F.lit(0).alias("_injured"), F.lit(0).alias("_killed"))
-    rows = machines.unionByName(hurt).repartition("FORMULARIO")
+    rows = by_crash(machines.unionByName(hurt), vehicles.count() if count is None else count)
     # One sort serves every window: each asks for a prefix of this order, vehicles before the casualties that name them.
     order = (F.desc("_machine"), "_type", "_injured", "_killed")
     crash = Window.partitionBy("FORMULARIO")

@@ -97,6 +97,20 @@ def test_parties_from_one_sort(spark, by_id):
         assert (plan.count(" Sort ["), plan.count("HashAggregate")) == (1, 0)
 
 
+@pytest.mark.parametrize("crashes", [100, 400])
+def test_partitions_of_crashes_stay_alike(spark, monkeypatch, crashes):
+    """Four times the crashes come in four times the partitions, counted or as told, so none holds more; the parties are the same as in partitions of the optimiser's."""
+    p = spark.range(crashes).select(F.concat(F.lit("c"), "id").alias("FORMULARIO"), F.lit("1").alias("CODIGO_ACC"), F.lit(1).alias("CODIGO_VEH"), F.lit("PEATON").alias("CONDICION"), F.lit(1).alias("INJURED"), F.lit(0).alias("KILLED"))
+    v = spark.range(2 * crashes).select(F.concat(F.lit("c"), F.col("id") % crashes).alias("FORMULARIO"), (F.col("id") % 2 + 1).alias("CODIGO_VEHICULO"), F.lit("AUTOMOVIL").alias("CLASE"))
+    whole = rows(parties.party_universe(p, v), "FORMULARIO", "PARTY_ID", "PERSONS_INJURED")
+    monkeypatch.setattr(parties, "PART_VEHICLES", 20)
+    for count in (None, 2 * crashes):
+        universe = parties.party_universe(p, v, count=count)
+        held = universe.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert universe.rdd.getNumPartitions() == crashes // 10 and held.max() <= 60
+        assert rows(universe, "FORMULARIO", "PARTY_ID", "PERSONS_INJURED") == whole
+
+
 def test_standalone_types_come_from_roles_and_vehicles_beat_roles(spark):
     people = [person("a", "1", None, "PASAJERO"), person("b", "2", 99.0, "CICLISTA"), person("c", "3", 1.0, "PEATON"), person("d", "4", None, None), person("e", "5", None, "CONDUCTOR")]
     _, found = affected_of(spark, people, [("c", 1.0, "AUTOMOVIL"), ("b", None, "BUS"), ("z", 1.0, "BUS")])
