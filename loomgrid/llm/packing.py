@@ -58,8 +58,27 @@ class Memo(dict):
         return value
 
 
+class Common(dict):
+    """What a function gave for the first `limit` arguments; it starts afresh after a hundred times as many that it did not know, and so follows the texts."""
+
+    def __init__(self, compute: Callable[[str], bytes], limit: int) -> None:
+        super().__init__()
+        self.compute, self.limit, self.unknown = compute, limit, 0
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.compute(key)
+        if len(self) < self.limit:
+            self[key] = value
+            return value
+        self.unknown += 1
+        if self.unknown >= 100 * self.limit:
+            self.clear()
+            self.unknown = 0
+        return value
+
+
 class ChunkEncoder:
-    """Token ids of texts as little-endian 32-bit integers; the ids of runs of letters and of other runs are remembered.
+    """Token ids of texts as little-endian 32-bit integers; the ids of runs of letters and of other runs are remembered, and those of the words that are met first.
 
     That holds for a tokenizer that splits as `SPLIT` says; any other one encodes whole texts. It drops white space, never joins across it, and parts letters from anything else. So a text's ids are the ids of its
     runs of letters and of its other runs, in order; a text with no character beyond U+00FF is lower-cased and cut that way, as nothing in it
@@ -67,14 +86,15 @@ class ChunkEncoder:
     character, is cut at white space only, and one with U+001C to U+001F, no white space to the tokenizer, goes there whole.
     """
 
-    LIMIT = 60_000
-    RUN = re.compile(r"[^\W\d_]+|(?:[^\s\w]|[\d_])+")
+    LIMIT, WORDS = 60_000, 150_000
+    #: Runs of letters and of anything else but white space. Characters up to U+00FF are listed, so that they are found in half the time.
+    RUN = re.compile("|".join(f"[{''.join(re.escape(c) for c in map(chr, range(256)) if re.fullmatch(kind, c))}]+" for kind in (r"[^\W\d_]", r"[^\s\w]|[\d_]")))
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.known = Memo(self._run, self.LIMIT)
+        self.known, self.words = Memo(self._run, self.LIMIT), Common(self._word, self.WORDS)
         self.by_runs = self._parts_runs()
 
     def _parts_runs(self) -> bool:
@@ -95,14 +115,17 @@ class ChunkEncoder:
         ids = [t.id for t in self.full.model.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_SIGNS))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of what stands between white space in a lower-case text of characters up to U+00FF: those of its runs."""
+        runs = self.RUN.findall(word)
+        return self.known[word] if len(runs) == 1 else b"".join([self.known[run] for run in runs])
+
     def encode(self, text: str) -> bytes:
         if not self.by_runs or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return self._exact(text)
         if "'" in text or "<|" in text or not (text.isascii() or _is_latin(text)):
-            runs = text.split()
-        else:
-            runs = self.RUN.findall(text.lower())
-        return b"".join(map(self.known.__getitem__, runs))
+            return b"".join(map(self.known.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 def _is_latin(text: str) -> bool:

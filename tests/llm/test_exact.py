@@ -171,6 +171,19 @@ def test_encoder_keeps_within_its_limit():
     assert len(encoder.known) <= 25 and len(encoder.known.older) <= 25
 
 
+def test_words_are_cut_once():
+    """A word that comes again is neither cut nor looked up by its runs; beyond the limit words are cut each time, with the same ids."""
+    encoder = packing.ChunkEncoder(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    text = "Wörds, words; more-words 12²\u00a0_x\x85 " * 50
+    want = encoder.full.encode(text, add_special_tokens=False).ids
+    cut = []
+    encoder.words.compute = lambda word: cut.append(word) or encoder._word(word)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want and len(cut) == len({*text.lower().split()})
+    encoder.words.clear()
+    encoder.words.limit = 2
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want and len(encoder.words) <= 2
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["a", "Wörd", "the", "'s", "'", ".", "!!", "<|", "<|endoftext|>", " ", "\n", "\x1c", "\x85", "\xa0", "12", "²", "_", "é", "e\u0301", "İ", "Σ", "漢", "ﬁ", "\u200b", "ß", "&", "S", "T"]), max_size=12).map("".join))
 def test_encoder_equals_the_tokenizer(text):
