@@ -6,7 +6,7 @@ counting parties are windows over that order, which hold a crash at a time. A cr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrid.domains import MAX_PARTIES, RANK, SELF, TYPES
@@ -41,10 +41,16 @@ def person_ids_usable(casualties: DataFrame) -> bool:
     return not (row.DUPLICATED or row.NULL_PERSONS)
 
 
-def by_crash(rows: DataFrame, count: int) -> DataFrame:
-    """`rows` dealt by crash, to as many partitions as `count` vehicles need; as the optimiser sizes them if that is no more than the machines work on at once."""
+def crash_partitions(spark: SparkSession, count: int) -> int | None:
+    """Partitions of crashes that `count` vehicles need; none if that is no more than the machines work on at once, the optimiser sizes them then."""
     parts = -(-count // PART_VEHICLES)
-    return rows.repartition(parts, "FORMULARIO") if parts > rows.sparkSession.sparkContext.defaultParallelism else rows.repartition("FORMULARIO")
+    return parts if parts > spark.sparkContext.defaultParallelism else None
+
+
+def by_crash(rows: DataFrame, count: int) -> DataFrame:
+    """`rows` dealt by crash, to as many partitions as `count` vehicles need."""
+    parts = crash_partitions(rows.sparkSession, count)
+    return rows.repartition(parts, "FORMULARIO") if parts else rows.repartition("FORMULARIO")
 
 
 def party_universe(casualties: DataFrame, vehicles: DataFrame, by_id: bool = False, count: int | None = None) -> DataFrame:

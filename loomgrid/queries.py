@@ -95,7 +95,7 @@ inc as (
 
 
 def _universe(s: SparkSession, d: str) -> DataFrame:
-    return parties.party_universe(ad.casualties(s, d), ad.vehicles(s, d), count=ad.read(s, d, "lineitem").count())  # from the files' footers
+    return parties.party_universe(ad.casualties(s, d), ad.vehicles(s, d), count=ad.line_count(s, d))
 
 
 def _resolved(s: SparkSession, d: str) -> DataFrame:

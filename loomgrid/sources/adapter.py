@@ -1,6 +1,7 @@
 """The data model over the star-schema tables: orders are crashes, parts vehicles, returned lines casualties, nations units.
 
-Everything is narrow columns of the tables' own scans; joins are plain equality joins, the small sides left to the optimiser.
+Everything is narrow columns of the tables' own scans; joins are plain equality joins, the small sides left to the optimiser. Lines meet
+their orders in partitions of bounded size.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.domains import FATALITY, INJURY, Scale, Study
 from loomgrid.functions.scalars import lookup
+from loomgrid.operators.parties import crash_partitions
 
 #: Fixed values of the adapter: raw vehicle classes by part type, roles by order priority, and the region whose crashes lie in no unit.
 CLASS_OF_PART = {"SMALL": "Peatón", "ECONOMY": "BICICLETA", "PROMO": " motocicleta", "MEDIUM": "Automóvil", "LARGE": "BUS  ARTICULADO", "STANDARD": "Camión , furgón"}
@@ -23,6 +25,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_count(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of `lineitem`, from the files' footers."""
+    return read(spark, sf_dir, "lineitem").count()
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(AREA_CODE, AREA_NAME): every nation."""
     nation = read(spark, sf_dir, "nation")
@@ -42,6 +49,9 @@ def casualties(spark: SparkSession, sf_dir: str) -> DataFrame:
     crash = orders.join(located, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate",
         F.when(inside, F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("AREA_CODE"), F.when(inside, F.col("n_name")).alias("AREA_NAME"))
+    parts = crash_partitions(spark, line_count(spark, sf_dir))
+    if parts:  # the join's own shuffles, to partitions of bounded size
+        lines, crash = lines.repartition(parts, "l_orderkey"), crash.repartition(parts, "o_orderkey")
     discount = F.round("l_discount", 2)
     killed = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
     return lines.join(crash, F.col("l_orderkey") == F.col("o_orderkey")).select(

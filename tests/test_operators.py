@@ -15,7 +15,7 @@ from loomgrid.domains import PAIR_LABELS, TYPES, Scale, Study
 from loomgrid.functions import bins, projection, scalars, wkt
 from loomgrid.ledger import Ledger, LedgerError
 from loomgrid.operators import cells, checks, completeness, grid, integrate, matrix, parties, predictors, rho, spatial, validity
-from loomgrid.sources import readers, shapefile
+from loomgrid.sources import adapter, readers, shapefile
 
 PEOPLE = "FORMULARIO string, CODIGO_ACC string, CODIGO_VEH double, CONDICION string, CLASE_ACC string, YEAR int, FECHA_OCUR timestamp, AREA_CODE string, AREA_NAME string, CASUALTY_SOURCE string, INJURED int, KILLED int"
 VEHICLES = "FORMULARIO string, CODIGO_VEHICULO double, CLASE string"
@@ -111,6 +111,19 @@ def test_partitions_of_crashes_stay_alike(spark, monkeypatch, crashes):
         assert rows(universe, "FORMULARIO", "PARTY_ID", "PERSONS_INJURED") == whole
 
 
+@pytest.mark.parametrize("size", [500, 100])
+def test_lines_meet_their_orders_in_partitions_that_stay_alike(spark, monkeypatch, size):
+    """Five times the partitions hold a fifth each; their casualties are those of the optimiser's partitions."""
+    sf_dir = "/root/testdata/sf0.001"
+    whole = adapter.casualties(spark, sf_dir)
+    monkeypatch.setattr(parties, "PART_VEHICLES", size)
+    dealt = adapter.casualties(spark, sf_dir)
+    parts = -(-adapter.read(spark, sf_dir, "lineitem").count() // size)
+    held = dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert dealt.rdd.getNumPartitions() == parts and held.max() <= size
+    assert whole.exceptAll(dealt).isEmpty() and dealt.exceptAll(whole).isEmpty() and whole.count() == held.sum()
+
+
 def test_standalone_types_come_from_roles_and_vehicles_beat_roles(spark):
     people = [person("a", "1", None, "PASAJERO"), person("b", "2", 99.0, "CICLISTA"), person("c", "3", 1.0, "PEATON"), person("d", "4", None, None), person("e", "5", None, "CONDUCTOR")]
     _, found = affected_of(spark, people, [("c", 1.0, "AUTOMOVIL"), ("b", None, "BUS"), ("z", 1.0, "BUS")])
