@@ -41,9 +41,9 @@ def person_ids_usable(casualties: DataFrame) -> bool:
     return not (row.DUPLICATED or row.NULL_PERSONS)
 
 
-def crash_partitions(spark: SparkSession, count: int) -> int | None:
-    """Partitions of crashes that `count` vehicles need; none if that is no more than the machines work on at once, the optimiser sizes them then."""
-    parts = -(-count // PART_VEHICLES)
+def crash_partitions(spark: SparkSession, count: int, size: int | None = None) -> int | None:
+    """Partitions of crashes that `count` vehicles need (or other rows, `size` to a partition); none if that is no more than the machines work on at once, the optimiser sizes them then."""
+    parts = -(-count // (size or PART_VEHICLES))
     return parts if parts > spark.sparkContext.defaultParallelism else None
 
 

@@ -124,6 +124,21 @@ def test_lines_meet_their_orders_in_partitions_that_stay_alike(spark, monkeypatc
     assert whole.exceptAll(dealt).isEmpty() and dealt.exceptAll(whole).isEmpty() and whole.count() == held.sum()
 
 
+def test_tables_too_long_to_broadcast_are_merged_in_partitions_that_stay_alike(spark, monkeypatch):
+    """Parts and customers beyond the bound are not broadcast, however small their files; vehicles and casualties are the same either way."""
+    sf_dir = "/root/testdata/sf0.001"
+    whole = {make: make(spark, sf_dir) for make in (adapter.vehicles, adapter.casualties)}
+    monkeypatch.setattr(grid, "BROADCAST_ROWS", 25)
+    monkeypatch.setattr(parties, "PART_VEHICLES", 100)
+    monkeypatch.setattr(adapter, "PART_ROWS", 100, raising=False)
+    for make, broadcasts in ((adapter.vehicles, 0), (adapter.casualties, 1)):  # the nations
+        dealt = make(spark, sf_dir)
+        held = dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert dealt._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == broadcasts
+        assert dealt.rdd.getNumPartitions() == -(-adapter.line_count(spark, sf_dir) // 100) and held.max() <= 400
+        assert whole[make].exceptAll(dealt).isEmpty() and dealt.exceptAll(whole[make]).isEmpty() and whole[make].count() == held.sum()
+
+
 def test_standalone_types_come_from_roles_and_vehicles_beat_roles(spark):
     people = [person("a", "1", None, "PASAJERO"), person("b", "2", 99.0, "CICLISTA"), person("c", "3", 1.0, "PEATON"), person("d", "4", None, None), person("e", "5", None, "CONDUCTOR")]
     _, found = affected_of(spark, people, [("c", 1.0, "AUTOMOVIL"), ("b", None, "BUS"), ("z", 1.0, "BUS")])
