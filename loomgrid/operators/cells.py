@@ -17,21 +17,29 @@ from loomgrid.operators.spatial import bounds, edges, is_empty, segment_distance
 _MARGIN = 1e-9
 
 
-def walked(lines: DataFrame, cell: float, reach: float = 0.0) -> DataFrame:
-    """`lines` (x1, y1, x2, y2 and others), a row for each grid cell (cx, cy) that a line passes, or comes within `reach` of.
+def walked(lines: DataFrame, cell: float, reach: float = 0.0, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """`lines` (x1, y1, x2, y2 and others), a row for each grid cell (cx, cy) that a line passes, or comes within `reach` of; with a `box` (least x and y, greatest x and y) only cells that meet it.
 
     A line is followed row by row: in each it covers a stretch of x, so a long diagonal passes a number of cells that goes by its length and not by its bounding box.
+    Of a box it may get a cell at the border that it does not pass.
     """
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     margin = reach + _MARGIN * cell
-    rows = F.sequence(F.floor((F.least(y1, y2) - margin) / cell), F.floor((F.greatest(y1, y2) + margin) / cell))
+    bottom, top = F.least(y1, y2), F.greatest(y1, y2)
+    if box:
+        x_lo, y_lo, x_hi, y_hi = (F.lit(v) for v in box)
+        lines = lines.filter((F.greatest(x1, x2) >= x_lo) & (F.least(x1, x2) <= x_hi) & (top >= y_lo) & (bottom <= y_hi))
+        bottom, top = F.greatest(bottom, y_lo), F.least(top, y_hi)
+    rows = F.sequence(F.floor((bottom - margin) / cell), F.floor((top + margin) / cell))
     each = lines.withColumn("cy", F.explode(rows))
     low, high = F.col("cy") * cell - margin, (F.col("cy") + 1) * cell + margin
     # Where the line enters and leaves the row: a share of its way, between 0 and 1.
     share = lambda y: F.when(y2 != y1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - y1) / (y2 - y1))))
     at_low, at_high = x1 + F.coalesce(share(low), F.lit(0.0)) * (x2 - x1), x1 + F.coalesce(share(high), F.lit(1.0)) * (x2 - x1)
-    first, last = F.floor((F.least(at_low, at_high) - margin) / cell), F.floor((F.greatest(at_low, at_high) + margin) / cell)
-    return each.withColumn("cx", F.explode(F.sequence(first, last)))
+    left, right = F.least(at_low, at_high), F.greatest(at_low, at_high)
+    if box:
+        left, right = F.least(F.greatest(left, x_lo), x_hi), F.greatest(F.least(right, x_hi), x_lo)
+    return each.withColumn("cx", F.explode(F.sequence(F.floor((left - margin) / cell), F.floor((right + margin) / cell))))
 
 
 def left_of(x: Column, y: Column, e: dict[str, Column]) -> Column:

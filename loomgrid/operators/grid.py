@@ -17,9 +17,14 @@ BROADCAST_ROWS = 200_000
 
 
 def bounded(table: DataFrame, rows: int | None = None) -> DataFrame:
-    """`table`, to be broadcast if it has at most `BROADCAST_ROWS` rows (counted unless `rows` says how many); otherwise the optimiser chooses a join for it."""
+    """`table`, to be broadcast if it has at most `BROADCAST_ROWS` rows (counted unless `rows` says how many); otherwise to be merged."""
     rows = table.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else merged(table)
+
+
+def merged(table: DataFrame) -> DataFrame:
+    """`table`, for a join of two sides that grow with the data, neither to be broadcast: the optimiser goes by the size of files, and rows that take little room there take much in a driver."""
+    return table.hint("merge")
 
 
 @contextmanager

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.operators.cells import grid_for, locate, walked
-from loomgrid.operators.spatial import box_pairs, edges, is_empty, overlap
+from loomgrid.operators.grid import bounded, merged
+from loomgrid.operators.spatial import bounds, edges, is_empty, overlap
 
 _XY = ("x1", "y1", "x2", "y2")
 
@@ -15,30 +16,37 @@ def _turn(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column)
     return (bx - ax) * (y - ay) - (by - ay) * (x - ax)
 
 
+def _extent(units: DataFrame) -> tuple[float, float, float, float] | None:
+    """Least x and y, greatest x and y of a roster."""
+    b = bounds(F.col("rings"))
+    found = units.filter(~is_empty(F.col("rings"))).agg(F.min(b["x_lo"]), F.min(b["y_lo"]), F.max(b["x_hi"]), F.max(b["y_hi"])).first()
+    return None if None in found else tuple(found)
+
+
 def contacts(layer: DataFrame, units: DataFrame) -> DataFrame:
     """(id, AREA_CODE, LENGTH): the boundary that a feature and a unit have in common, for every pair whose boundaries meet; 0 where they meet in points only.
 
-    Pairs come from bounding boxes that meet, touching ones too; of either side only the edges that reach the boxes' common part are taken, and edges of a pair meet
-    by equality on the grid cells that they pass. Stretches count where edges lie on one line exactly, as neighbours do that were drawn with the same corners.
+    Edges of either side are followed through one grid, within the roster's extent, and meet by equality on the cells that both pass; the roster's are broadcast, so nothing is shuffled
+    but what meets. Stretches count where edges lie on one line exactly, as neighbours do that were drawn with the same corners.
     """
-    cell = grid_for(units)
-    pairs = box_pairs(layer, units, touching=True).select("id", "AREA_CODE", "x_from", "x_to", "y_base", "y_to")
+    cell, extent = grid_for(units), _extent(units)
 
-    def near(features: DataFrame, key: str, mark: str) -> DataFrame:
-        e = edges(features.select(F.col(key).alias("id"), "rings")).select(F.col("id").alias("n_key"), F.struct("ring", "e").alias("n_edge"), *_XY)
-        e = pairs.join(e, F.col(key) == F.col("n_key"))
-        e = e.filter((F.greatest("x1", "x2") >= F.col("x_from")) & (F.least("x1", "x2") <= F.col("x_to")) & (F.greatest("y1", "y2") >= F.col("y_base")) & (F.least("y1", "y2") <= F.col("y_to")))
-        return walked(e.select("id", "AREA_CODE", "n_edge", *_XY), cell).select("id", "AREA_CODE", "cx", "cy", F.col("n_edge").alias(f"{mark}_edge"), *[F.col(c).alias(f"{mark}_{c}") for c in _XY])
+    def drawn(features: DataFrame, key: str, mark: str) -> DataFrame:
+        return walked(edges(features, key), cell, box=extent).select(key, "cx", "cy", F.struct("ring", "e").alias(f"{mark}_edge"), *[F.col(c).alias(f"{mark}_{c}") for c in _XY])
 
-    met = near(layer, "id", "l").join(near(units, "AREA_CODE", "u"), ["id", "AREA_CODE", "cx", "cy"]).dropDuplicates(["id", "AREA_CODE", "l_edge", "u_edge"])
     mine, theirs = [F.col(f"l_{c}") for c in _XY], [F.col(f"u_{c}") for c in _XY]
-    u1, u2, l1, l2 = _turn(*mine, *theirs[:2]), _turn(*mine, *theirs[2:]), _turn(*theirs, *mine[:2]), _turn(*theirs, *mine[2:])
-    on_line = (u1 == 0) & (u2 == 0) & (l1 == 0) & (l2 == 0)
     span = lambda a, b, c, d: F.least(F.greatest(a, b), F.greatest(c, d)) - F.greatest(F.least(a, b), F.least(c, d))
     dx, dy = span(mine[0], mine[2], theirs[0], theirs[2]), span(mine[1], mine[3], theirs[1], theirs[3])
-    meets = (dx >= 0) & (dy >= 0) & (F.signum(u1) * F.signum(u2) <= 0) & (F.signum(l1) * F.signum(l2) <= 0)
-    met = met.withColumn("LENGTH", F.when(on_line, F.sqrt(dx * dx + dy * dy)).otherwise(0.0)).filter(meets)
-    return met.groupBy("id", "AREA_CODE").agg(F.sum("LENGTH").alias("LENGTH"))
+    met = drawn(layer, "id", "l").join(bounded(drawn(units, "AREA_CODE", "u")), ["cx", "cy"]).filter((dx >= 0) & (dy >= 0)).drop("cx", "cy").repartition("id", "AREA_CODE")
+    # From here on no row leaves its partition: the comparison of two edges is compiled apart from the walk, as the compiler skips methods that are too long.
+    u1, u2, l1, l2 = _turn(*mine, *theirs[:2]), _turn(*mine, *theirs[2:]), _turn(*theirs, *mine[:2]), _turn(*theirs, *mine[2:])
+    on_line = (u1 == 0) & (u2 == 0) & (l1 == 0) & (l2 == 0)
+    meets = (F.signum(u1) * F.signum(u2) <= 0) & (F.signum(l1) * F.signum(l2) <= 0)
+    length = F.when(on_line, F.sqrt(dx * dx + dy * dy)).when(meets, 0.0)
+    # Edges may share several cells, and their stretch counts once; points add nothing, however often they come.
+    stretch = met.select("id", "AREA_CODE", "l_edge", "u_edge", length.alias("LENGTH")).withColumn("edges", F.when(F.col("LENGTH") > 0, F.struct("l_edge", "u_edge")))
+    once = stretch.groupBy("id", "AREA_CODE", "edges").agg(F.max("LENGTH").alias("LENGTH"))
+    return once.groupBy("id", "AREA_CODE").agg(F.sum("LENGTH").alias("LENGTH")).filter("LENGTH is not null")
 
 
 def fragments(layer: DataFrame, units: DataFrame, tile: float = 1.0) -> DataFrame:
@@ -47,7 +55,7 @@ def fragments(layer: DataFrame, units: DataFrame, tile: float = 1.0) -> DataFram
     KIND is `area` where they share some; else `line` where they share a stretch of boundary, of that LENGTH, or `point`. OVERLAP is 0 for the latter two, LENGTH for `area`.
     """
     shared = overlap(layer, units, tile)
-    touching = contacts(layer, units).join(shared.select("id", "AREA_CODE"), ["id", "AREA_CODE"], "left_anti")
+    touching = contacts(layer, units).join(merged(shared.select("id", "AREA_CODE")), ["id", "AREA_CODE"], "left_anti")
     touching = touching.select("id", "AREA_CODE", F.when(F.col("LENGTH") > 0, "line").otherwise("point").alias("KIND"), F.lit(0.0).alias("OVERLAP"), "LENGTH")
     return shared.select("id", "AREA_CODE", F.lit("area").alias("KIND"), "OVERLAP", F.lit(0.0).alias("LENGTH")).unionByName(touching)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.operators.grid import bounded
+from loomgrid.operators.grid import bounded, merged
 
 RINGS = "array<struct<hole:boolean,points:array<struct<x:double,y:double>>>>"
 
@@ -102,16 +102,15 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
     return F.sqrt((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2)
 
 
-def box_pairs(layer: DataFrame, units: DataFrame, touching: bool = False) -> DataFrame:
-    """(id, AREA_CODE, x_from, x_to, y_base, y_to, least_area): features and units whose bounding boxes meet in both axes (with `touching` also in a line or point), by an equality join on the roster's grid cells."""
+def box_pairs(layer: DataFrame, units: DataFrame) -> DataFrame:
+    """(id, AREA_CODE, x_from, x_to, y_base, least_area): features and units whose bounding boxes share an area, by an equality join on the roster's grid cells."""
     cell = cell_size(units)
     theirs = unit_cells(units, cell).select("AREA_CODE", "cx", "cy", *[F.col(c).alias(f"u_{c}") for c in ("x_lo", "x_hi", "y_lo", "y_hi")], area(F.col("rings")).alias("u_area"))
     mine = unit_cells(layer, cell).select("id", "cx", "cy", "x_lo", "x_hi", "y_lo", "y_hi", area(F.col("rings")).alias("area"))
     # A pair may share several cells; the one where the boxes' common corner lies counts it.
     corner = (F.col("cx") == F.floor(F.greatest("x_lo", "u_x_lo") / cell)) & (F.col("cy") == F.floor(F.greatest("y_lo", "u_y_lo") / cell))
-    below = lambda a, b: F.col(a) <= F.col(b) if touching else F.col(a) < F.col(b)
-    met = mine.join(bounded(theirs), ["cx", "cy"]).filter(corner & below("x_lo", "u_x_hi") & below("u_x_lo", "x_hi") & below("y_lo", "u_y_hi") & below("u_y_lo", "y_hi"))
-    return met.select("id", "AREA_CODE", F.greatest("x_lo", "u_x_lo").alias("x_from"), F.least("x_hi", "u_x_hi").alias("x_to"), F.least("y_lo", "u_y_lo").alias("y_base"), F.least("y_hi", "u_y_hi").alias("y_to"), F.least("area", "u_area").alias("least_area"))
+    met = mine.join(bounded(theirs), ["cx", "cy"]).filter(corner & (F.col("x_lo") < F.col("u_x_hi")) & (F.col("u_x_lo") < F.col("x_hi")) & (F.col("y_lo") < F.col("u_y_hi")) & (F.col("u_y_lo") < F.col("y_hi")))
+    return met.select("id", "AREA_CODE", F.greatest("x_lo", "u_x_lo").alias("x_from"), F.least("x_hi", "u_x_hi").alias("x_to"), F.least("y_lo", "u_y_lo").alias("y_base"), F.least("area", "u_area").alias("least_area"))
 
 
 #: An overlap counts if it exceeds this share of the smaller of the two areas; what lies below is rounding.
@@ -123,15 +122,13 @@ def overlap(layer: DataFrame, units: DataFrame, tile: float = 1.0) -> DataFrame:
 
     Only pairs whose bounding boxes meet are compared, each within the boxes' common stretch of x and with heights from its own least y, so that
     large coordinates do not cancel. Both areas are sums of signed trapezoids under edges; the shared area is the sum over a pair's edges of the area
-    under the lower of the two. Edges meet by an equality join on the pair and a tile of x.
+    under the lower of the two. Edges meet by an equality join on the pair and a tile of x. Only the roster is broadcast.
     """
-    pairs = box_pairs(layer, units).drop("y_to")
+    pairs = box_pairs(layer, units)
 
     def cut(features: DataFrame, key: str, mark: str) -> DataFrame:
         e = edges(features.select(F.col(key).alias("id"), "rings")).filter("side <> 0").withColumnRenamed("id", key)
-        if key == "AREA_CODE":
-            e = bounded(e)
-        e = pairs.join(e, key)
+        e = pairs.join(bounded(e) if key == "AREA_CODE" else merged(e), key)
         lo, hi = F.greatest(F.least("x1", "x2"), F.col("x_from")), F.least(F.greatest("x1", "x2"), F.col("x_to"))
         e = e.withColumns({"lo": lo, "hi": hi}).filter("lo < hi")
         e = e.withColumn("tile", F.explode(F.sequence(F.floor((F.col("lo") - F.col("x_from")) / tile), F.floor((F.col("hi") - F.col("x_from")) / tile))))
@@ -141,7 +138,7 @@ def overlap(layer: DataFrame, units: DataFrame, tile: float = 1.0) -> DataFrame:
         kept = ["id", "AREA_CODE", "tile", "least_area"] if mark == "l" else ["id", "AREA_CODE", "tile"]
         return e.select(*kept, F.col("side").alias(f"{mark}s"), a.alias(f"{mark}a"), b.alias(f"{mark}b"), height(a).alias(f"{mark}p"), height(b).alias(f"{mark}q")).filter(f"{mark}b > {mark}a")
 
-    met = cut(layer, "id", "l").join(cut(units, "AREA_CODE", "u"), ["id", "AREA_CODE", "tile"]).withColumns({"a": F.greatest("la", "ua"), "b": F.least("lb", "ub")}).filter("b > a")
+    met = cut(layer, "id", "l").join(merged(cut(units, "AREA_CODE", "u")), ["id", "AREA_CODE", "tile"]).withColumns({"a": F.greatest("la", "ua"), "b": F.least("lb", "ub")}).filter("b > a")
     on = lambda m, x: F.col(f"{m}p") + (F.col(f"{m}q") - F.col(f"{m}p")) * (F.col(x) - F.col(f"{m}a")) / (F.col(f"{m}b") - F.col(f"{m}a"))
     met = met.withColumns({"l0": on("l", "a"), "l1": on("l", "b"), "u0": on("u", "a"), "u1": on("u", "b")})
     d0, d1 = F.col("u0") - F.col("l0"), F.col("u1") - F.col("l1")

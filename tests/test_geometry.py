@@ -1,5 +1,6 @@
 """Well-known binary, the roster's index, contacts and repairs of polygons, lines inside units, and models of counts, against plain versions."""
 
+import itertools
 import math
 import random
 import struct
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomgrid import queries
 from loomgrid.operators import cells, grid, models, overlay, spatial, validity
 from loomgrid.sources import wkb
 
@@ -115,6 +117,65 @@ def test_fragments_by_kind(spark):
         (1, "A", "area", 2, 0), (1, "B", "area", 2, 0), (2, "A", "line", 0, 3), (3, "A", "point", 0, 0), (3, "B", "line", 0, 5), (4, "B", "point", 0, 0), (6, "A", "point", 0, 0), (7, "A", "area", 20, 0), (7, "B", "line", 0, 2)]
 
 
+def plain_contacts(layer, units):
+    """Lengths of common boundary by comparing every edge with every other, in whole numbers."""
+    edges_of = lambda rings: [e for _, r in rings for e in zip(r, r[1:] + r[:1], strict=True)]
+    turn = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    sign = lambda v: (v > 0) - (v < 0)
+    out = {}
+    for i, rings in layer:
+        for code, others in units:
+            for a, b in edges_of(rings):
+                for c, d in edges_of(others):
+                    dx, dy = (min(max(a[k], b[k]), max(c[k], d[k])) - max(min(a[k], b[k]), min(c[k], d[k])) for k in (0, 1))
+                    sides = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
+                    if dx >= 0 and dy >= 0 and sign(sides[0]) * sign(sides[1]) <= 0 and sign(sides[2]) * sign(sides[3]) <= 0:
+                        out[i, code] = out.get((i, code), 0.0) + (math.hypot(dx, dy) if not any(sides) else 0.0)
+    return out
+
+
+def test_contacts_are_those_of_all_edges(spark, monkeypatch):
+    """Slanted shapes and boxes, one far beyond the roster, and a roster that is too large to broadcast."""
+    rng = random.Random(7)
+    box = lambda x, y, w, h: [(False, [(x, y), (x + w, y), (x + w, y + h), (x, y + h)])]
+    shape = lambda: [(False, [(rng.randint(0, 40), rng.randint(0, 20)) for _ in range(rng.randint(3, 5))])]
+    units = [(f"U{i}{j}", box(i * 10, j * 4, 10, 4)) for i in range(3) for j in range(3)] + [("V", shape()), ("W", shape())]
+    layer = [(i, shape()) for i in range(60)] + [(100 + i, box(rng.randint(0, 40), rng.randint(0, 20), rng.randint(1, 30), rng.randint(1, 6))) for i in range(60)]
+    layer += [(200, box(-3_000_000, -5, 6_000_000, 9)), (201, [(False, [(-3_000_000, -3_000_000), (3_000_000, 3_000_000), (3_000_000, -7)])]), (202, box(31, 0, 5, 5)), (203, [(False, [(0, 0), (1, 1)])])]
+    float_rings = lambda rings: [(hole, [(float(x), float(y)) for x, y in r]) for hole, r in rings]
+    features = spark.createDataFrame([(i, float_rings(r)) for i, r in layer] + [(300, None)], f"id int, rings {spatial.RINGS}")
+    roster = spark.createDataFrame([(c, float_rings(r)) for c, r in units], f"AREA_CODE string, rings {spatial.RINGS}")
+    want = plain_contacts([f for f in layer if f[0] != 203], units)
+    assert sum(v > 0 for v in want.values()) > 50 and sum(v == 0 for v in want.values()) > 50
+    for rows in (grid.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(grid, "BROADCAST_ROWS", rows)
+        got = {(r.id, r.AREA_CODE): r.LENGTH for r in overlay.contacts(features, roster).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert overlay.contacts(features, roster.limit(0)).isEmpty()
+
+
+def test_lines_are_walked_within_a_box(spark):
+    rng = random.Random(3)
+    at = [tuple(rng.uniform(-90, 90) for _ in range(4)) for _ in range(40)] + [(-40.0, 7.0, 60.0, 7.0), (3.0, -50.0, 3.0, 50.0), (-1e9, -1e9, 1e9, 1e9 + 5)]
+    lines = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "id int, x1 double, y1 double, x2 double, y2 double")
+    inside = lambda c: 0 <= c[1] <= 4 and 0 <= c[2] <= 2
+    every = {(r.id, r.cx, r.cy) for r in cells.walked(lines.filter("id < 42"), 5.0).collect()}
+    within = {(r.id, r.cx, r.cy) for r in cells.walked(lines, 5.0, box=(1.0, 2.0, 22.0, 13.0)).collect()}
+    assert all(map(inside, within)) and {c for c in every if inside(c) and c[0] in {w[0] for w in within}} <= within
+    assert {c[0] for c in every if 0 < c[1] < 4 and c[2] == 1} <= {w[0] for w in within} and len([w for w in within if w[0] == 42]) <= 15
+
+
+def test_no_layer_is_broadcast_to_meet_a_roster(spark):
+    """However small the files of a layer, its rows go to no driver: only the roster, which is no file here, is broadcast."""
+    plan = queries.QUERIES["op_SJ4_touch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    sent = [i for i, line in enumerate(plan) if "BroadcastExchange" in line]
+    assert sent and any("FileScan" in line for line in plan)
+    for i in sent:
+        below = itertools.takewhile(lambda j: depth[j] > depth[i], range(i + 1, len(plan)))  # noqa: B023
+        assert not [plan[j] for j in below if "FileScan" in plan[j]]
+
+
 def odd_share(rings, n=220, side=12.0):
     points = [((i + 0.513) * side / n, (j + 0.487) * side / n) for i in range(n) for j in range(n)]
     return sum(sum(validity._inside(r, x, y) for r in rings) % 2 for x, y in points) * (side / n) ** 2
